@@ -1,4 +1,4 @@
-"""What the text operators share: Arrow blocks of bounded size, shared folders and word splitting.
+"""What the text operators share: Arrow blocks of bounded size and word splitting.
 
 Texts are handled as UTF-8 bytes. ``bytes.split()`` cuts exactly at 0x20 and 0x09-0x0D, and
 ``bytes.lower()`` changes exactly A-Z, which is how words are defined throughout this subpackage.
@@ -6,7 +6,6 @@ Texts are handled as UTF-8 bytes. ``bytes.split()`` cuts exactly at 0x20 and 0x0
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,6 +14,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointloom.plans.storage import written
+
+__all__ = ["BLOCK_BYTES", "WORD", "as_bytes", "blocks", "column", "documents", "texts_of", "written"]
+
 #: One word, as a Java and Python regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are worked on in blocks of about so many bytes; a longer text is a block of its own.
@@ -48,24 +51,6 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column.cast(kind), b"").to_pylist()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path below the folder that the cluster shares; set one only where none is set, as in tests."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None and sc.getCheckpointDir() is not None:
-        base = sc.getCheckpointDir()
-    if base is None:
-        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-    return f"{base.rstrip('/')}/pointloom-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again: lineage is cut and executors may be lost."""
-    path = shared_folder(df.sparkSession)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def column(name: str, docs: DataFrame, source: str = "doc_id") -> str:
     """``name type`` for a schema string, the type that of ``source``."""
     return f"{name} {docs.schema[source].dataType.simpleString()}"

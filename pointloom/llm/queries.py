@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import bpe, media, mixing, secrets, token_counts
+from pointloom.llm import bpe, fingerprints, jaccard_join, lm_scoring, media, mixing, secrets, substring_dedup, token_counts, toxicity
 from pointloom.llm.common import documents
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_corpus(documents(spark, sf_dir))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -25,6 +29,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(documents(spark, sf_dir)))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.digest(fingerprints.compare_edited(documents(spark, sf_dir)))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.features(media.store(documents(spark, sf_dir))))
 
@@ -33,7 +41,23 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op3_bpe, op4_secrets, op6_media, op7_token_counts)}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.dedup(documents(spark, sf_dir)))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(documents(spark, sf_dir))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.scores(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_lm_scoring, op2_mixing, op3_bpe, op4_secrets, op5_fingerprints, op6_media, op7_token_counts, op8_substring_dedup, op9_jaccard_join, op10_toxicity)
+}
 
 #: DuckDB SQL of those that SQL expresses.
 ORACLE_SQL: dict[str, str] = {}
