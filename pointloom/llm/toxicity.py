@@ -1,16 +1,17 @@
 """Toxicity by cumulative-link ordinal regression on sparse word features.
 
 P(grade > k) = s(w.x - t_k) with one weight vector w for all ordered thresholds t_0 < t_1 < ...; a text's severity is the expected
-grade. Features are words whose presence depends on the label beyond chance, each valued 1 + log(occurrences).
+grade. Features are words and beginnings of words, as abuse is inflected, whose presence depends on the label beyond chance, each valued
+1 + log(occurrences).
 
 The labels only say toxic or not. Grade 0 is not toxic; toxic examples are graded 1, 2, ... by equal shares of the number of
-feature words in them, so that severity rises with the amount of abuse.
+words with a feature in them, so that severity rises with the amount of abuse.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.llm.common import as_bytes, blocks, column, texts_of, written
+from pointloom.llm.pretokens import Recent
 
-#: Labelled documents that the model is fitted on at most, chosen by a hash of doc_id, and words it may hold.
-SAMPLE, FEATURES = 20_000, 4096
+#: Labelled documents that the model is fitted on at most, chosen by a hash of doc_id; features it may hold, and those that are tested,
+#: the most frequent among toxic examples.
+SAMPLE, FEATURES, TESTED = 20_000, 4096, 1 << 16
+#: Lengths of the beginnings of words, in characters, and the toxic examples that a feature occurs in at least.
+BEGINNINGS, LEAST = range(3, 9), 5
 GRADES = 4
 
 _LETTERS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -31,25 +36,50 @@ def tokens(raw: bytes) -> list[bytes]:
     return raw.lower().translate(_LETTERS).split()
 
 
+def features(word: bytes) -> list[str]:
+    """The word itself, as =word, and its beginnings, as ^begin."""
+    text = word.decode("utf-8", "replace")
+    return [f"={text}", *(f"^{text[:n]}" for n in BEGINNINGS if n <= len(text))]
+
+
+class Reader:
+    """Which of the known features each word has, looked up once for each word that a worker meets."""
+
+    def __init__(self, index: dict[str, int]):
+        self.of = Recent(400_000, lambda word: tuple(index[f] for f in features(word) if f in index))
+
+    def read(self, raw: bytes) -> tuple[list[tuple[int, int]], int]:
+        """(feature, occurrences), ascending, and the number of words that have any."""
+        hits: Counter = Counter()
+        amount = 0
+        words = tokens(raw)
+        telling = [w for w in set(words) if self.of[w]]
+        if telling:
+            times = Counter(words)
+            for w in telling:
+                amount += times[w]
+                for j in self.of[w]:
+                    hits[j] += times[w]
+        return sorted(hits.items()), amount
+
+
 @dataclass(frozen=True)
 class Model:
-    """Broadcast to the workers: at most FEATURES weights by word, and the thresholds."""
+    """Broadcast to the workers: at most FEATURES weights, and the thresholds."""
 
-    weights: dict[bytes, float]
+    index: dict[str, int]
+    weights: tuple[float, ...]
     thresholds: tuple[float, ...]
+    #: The p_toxic from which a text counts as toxic.
+    cut: float = 0.5
 
-    def score(self, raw: bytes) -> np.ndarray:
+    def score(self, hits: list[tuple[int, int]]) -> np.ndarray:
         """P(grade > k) for each threshold."""
-        words = tokens(raw)
-        hits = self.weights.keys() & set(words)
-        x = 0.0
-        if hits:
-            times = Counter(w for w in words if w in hits)
-            x = sum(self.weights[w] * (1.0 + np.log(times[w])) for w in sorted(hits))
+        x = sum(self.weights[j] * (1.0 + float(np.log(n))) for j, n in hits)
         return 1.0 / (1.0 + np.exp(np.array(self.thresholds) - x))
 
 
-def fit(rows: list[list[tuple[int, float]]], grade: np.ndarray, n_features: int, grades: int = GRADES, penalty: float = 0.02, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: list[list[tuple[int, float]]], grade: np.ndarray, n_features: int, grades: int = GRADES, penalty: float = 0.001, steps: int = 1500) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the penalised likelihood, by Adam on the full sample. rows: (feature, value) pairs."""
     n = len(rows)
     at = np.repeat(np.arange(n), [len(r) for r in rows])
@@ -84,65 +114,81 @@ def fit(rows: list[list[tuple[int, float]]], grade: np.ndarray, n_features: int,
     return par[:n_features], raw[0] + np.concatenate([[0.0], np.cumsum(np.log1p(np.exp(raw[1:])))])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, grades: int = GRADES, alpha: float = 0.01) -> Model:
+def best_cut(p: np.ndarray, y: np.ndarray) -> float:
+    """The middle of the gap with the fewest errors on the sample, the one nearest to a half among equals."""
+    order = np.argsort(p, kind="stable")
+    p, y = p[order], y[order]
+    errors = np.concatenate([[0], np.cumsum(y)]) + (len(y) - y.sum()) - np.concatenate([[0], np.cumsum(1 - y)])
+    edge = np.concatenate([[0.0], p, [1.0]])
+    middle = (edge[1:] + edge[:-1]) / 2
+    real = edge[1:] > edge[:-1]
+    return float(min(zip(errors[real], np.abs(middle[real] - 0.5), middle[real]))[2])
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FEATURES, grades: int = GRADES, alpha: float = 0.01) -> Model:
     """A model from at most ``sample`` labelled documents (the smallest hashes of doc_id).
 
-    Words are kept if a likelihood-ratio test of presence against label stays significant at ``alpha`` after correction for the
-    number of words, the most significant first. Labels other than 0 and 1 and null ids are left out; of a document labelled twice the
-    higher label counts. Without toxic examples or significant words the model calls nothing toxic.
+    Features are kept if a likelihood-ratio test of presence against label stays significant at ``alpha`` after correction for the
+    number tested, the most significant first. Labels other than 0 and 1 and null ids are left out; of a document labelled twice the
+    higher label counts. Without toxic examples or significant features the model calls nothing toxic.
     """
     spark = docs.sparkSession
-    chosen = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     given = written(texts_of(docs).join(F.broadcast(chosen.withColumnRenamed("doc_id", "id")), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic"))
-
-    def presence(batches):
-        for batch in blocks(batches):
-            seen: tuple[Counter, Counter] = (Counter(), Counter())
-            toxic = batch.column("toxic").to_pylist()
-            for raw, y in zip(as_bytes(batch.column("text")), toxic):
-                seen[y].update(set(tokens(raw)))
-            words = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array([c[w] for w in words], pa.int64()) for c in seen)], names=["word", "clean", "toxic"])
-
     size = {r["toxic"]: r["count"] for r in given.groupBy("toxic").count().collect()}
     n0, n1 = size.get(0, 0), size.get(1, 0)
-    none = Model({}, tuple([30.0] * (grades - 1)))
-    if not n1:
-        return none
-    counts = written(given.mapInArrow(presence, "word binary, clean bigint, toxic bigint").groupBy("word").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b")))
-    share = n1 / (n0 + n1)
-    part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
-    all_ = F.col("a") + F.col("b")
-    rest0, rest1 = F.lit(n0) - F.col("a"), F.lit(n1) - F.col("b")
-    rest = rest0 + rest1
-    ratio = 2 * (part(F.col("a"), all_ * (1 - share)) + part(F.col("b"), all_ * share) + part(rest0, rest * (1 - share)) + part(rest1, rest * share))
-    n_words = counts.count()
-    least = 2 * float(np.log(max(1, n_words) / alpha))
-    telling = counts.withColumn("g", ratio).where((F.col("g") > least) & (F.col("b") > all_ * share)).orderBy(F.desc("g"), "word").limit(features).collect()
-    if not telling:
-        return none
-    index = {bytes(r["word"]): j for j, r in enumerate(sorted(telling, key=lambda r: bytes(r["word"])))}
+    share = n1 / max(1, n0 + n1)
+
+    def presence(known):
+        def work(batches):
+            for batch in blocks(batches):
+                seen: Counter = Counter()
+                for raw in as_bytes(batch.column("text")):
+                    present = {f for w in set(tokens(raw)) for f in features(w)}
+                    seen.update(present if known is None else present & known.value)
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["feature", "n"])
+
+        return work
+
+    def counted(label, known=None):
+        return given.where(F.col("toxic") == label).mapInArrow(presence(known), "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
+
+    tested = {r["feature"]: r["n"] for r in counted(1).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "feature").limit(TESTED).collect()}
+    clean = {r["feature"]: r["n"] for r in counted(0, spark.sparkContext.broadcast(frozenset(tested))).collect()}
+    names = sorted(tested)
+    b = np.array([tested[f] for f in names], np.float64)
+    a = np.array([clean.get(f, 0) for f in names], np.float64)
+
+    def part(seen, expected):
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-300)), 0.0)
+
+    ratio = 2 * (part(a, (a + b) * (1 - share)) + part(b, (a + b) * share) + part(n0 - a, (n0 + n1 - a - b) * (1 - share)) + part(n1 - b, (n0 + n1 - a - b) * share))
+    # the upper tail of chi-square with one degree of freedom is below exp(-x / 2)
+    telling = np.flatnonzero((ratio > 2 * np.log(max(1, len(names)) / alpha)) & (b > (a + b) * share))
+    telling = telling[np.lexsort((telling, -ratio[telling]))][:most]
+    if not len(telling):
+        return Model({}, (), tuple([30.0] * (grades - 1)))
+    index = {names[i]: j for j, i in enumerate(sorted(telling.tolist()))}
     known = spark.sparkContext.broadcast(index)
 
     def hits(batches):
-        index = known.value
+        reader = Reader(known.value)
         for batch in blocks(batches):
-            found = [Counter(w for w in tokens(raw) if w in index) for raw in as_bytes(batch.column("text"))]
-            pairs = [sorted((index[w], c) for w, c in f.items()) for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([[j for j, _ in p] for p in pairs], pa.list_(pa.int32())), pa.array([[c for _, c in p] for p in pairs], pa.list_(pa.int32()))], names=["doc_id", "toxic", "j", "c"])
+            found = [reader.read(raw) for raw in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([n for _, n in found], pa.int64()), *(pa.array([[x[i] for x in h] for h, _ in found], pa.list_(pa.int32())) for i in (0, 1))], names=["doc_id", "toxic", "amount", "j", "c"])
 
-    toxic_type = given.schema["toxic"].dataType.simpleString()
-    rows = given.mapInArrow(hits, f"{column('doc_id', given)}, toxic {toxic_type}, j array<int>, c array<int>").orderBy("doc_id", "j").collect()
+    rows = given.mapInArrow(hits, f"{column('doc_id', given)}, toxic int, amount bigint, j array<int>, c array<int>").orderBy("doc_id", "j").collect()
     y = np.array([r["toxic"] for r in rows])
-    amount = np.array([sum(r["c"]) for r in rows], np.float64)
+    amount = np.array([r["amount"] for r in rows], np.float64)
     cuts = np.quantile(amount[y == 1], np.arange(1, grades - 1) / (grades - 1))
     grade = np.where(y == 1, 1 + (amount[:, None] > cuts).sum(axis=1), 0)
     w, t = fit([[(j, 1.0 + float(np.log(c))) for j, c in zip(r["j"], r["c"])] for r in rows], grade, len(index), grades)
-    return Model({word: float(w[j]) for word, j in index.items()}, tuple(map(float, t)))
+    model = Model(index, tuple(map(float, w)), tuple(map(float, t)))
+    return replace(model, cut=best_cut(np.array([model.score(list(zip(r["j"], r["c"])))[0] for r in rows]), y))
 
 
 def scores(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The kept columns of every row with severity (expected grade), p_toxic (that the grade is above 0), grade and toxic (p_toxic of a half or more).
+    """The kept columns of every row with severity (expected grade), p_toxic (that the grade is above 0), grade and toxic (p_toxic of the model's cut or more).
 
     ``grade`` is the smallest whose cumulative probability reaches a half. A null or empty text is scored as having no words. Null ids,
     repeated rows and empty tables pass row by row; equal texts get equal scores; texts are scored whole.
@@ -152,9 +198,10 @@ def scores(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), t
 
     def work(batches):
         model = shared.value
+        reader = Reader(model.index)
         for batch in blocks(batches, "__text"):
-            p = np.array([model.score(raw) for raw in as_bytes(batch.column("__text"))]).reshape(-1, len(model.thresholds))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p >= 0.5).sum(axis=1).astype(np.int32)), pa.array(p[:, 0] >= 0.5)], names=names)
+            p = np.array([model.score(reader.read(raw)[0]) for raw in as_bytes(batch.column("__text"))]).reshape(-1, len(model.thresholds))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p >= 0.5).sum(axis=1).astype(np.int32)), pa.array(p[:, 0] >= model.cut)], names=names)
 
     fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
     return docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text")).mapInArrow(work, f"{fields}, severity double, p_toxic double, grade int, toxic boolean")
