@@ -1,10 +1,62 @@
-"""The corpus pipeline (part of pointloom.llm)."""
+"""The corpus pipeline (part of pointloom.llm): five stages, each written as Parquet and read again as the next one's documents.
 
-STAGES = []
-ORACLE_SQL = None
+Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the columns of documents.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    from pointloom.llm.common import documents
+from collections.abc import Callable
 
-    return documents(spark, sf_dir)
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pointloom.llm import bpe, jaccard_join, mixing, secrets, toxicity
+from pointloom.llm.common import documents, written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal model, fitted on the labelled ones among them, calls toxic go; the others stay as they are."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.scores(docs, model, keep=tuple(docs.columns)).where(~F.col("toxic")).select(*docs.columns)
+
+
+def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the smallest doc_id stays; documents without words stay."""
+    classes = jaccard_join.classes(docs)
+    gone = classes.where("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by their kind in brackets, and n_chars follows the text."""
+    return secrets.redact(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target asks for."""
+    return mixing.emit(docs)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document, which decode to its text."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=("lang", "source"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", keep_one_of_each_class),
+    ("secret scans", redact_secrets),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", encode_tokens),
+]
+
+#: SQL can't express the fitted model, nor byte-level BPE; the tests hold run() against a brute-force version.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
