@@ -5,8 +5,9 @@ both have l in common at least, for every l. A set's l is chosen by the estimate
 the longer the prefix and the more matches a candidate needs before it is verified.
 
 Sets that are equal become one set first. Candidates are then taken in two passes. The first compares each entry of a posting list with the
-list's head only, which joins large groups of near copies by a number of pairs that grows with the group, not with its square. The second takes
-all pairs of a list that are still in different classes. A pair that is left out is in one class already, so classes come out as from all links.
+list's head only, if the head leads enough lists that both are in, which joins large groups of near copies by a number of pairs that grows with
+the group, not with its square. The second takes all pairs of a list that are still in different classes. A pair that is left out of both has
+too few matches or is in one class already, so classes come out as from all links.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,9 @@ from pointloom.operators.components import components
 SHINGLE, PERCENT = 5, 80
 #: Shingles whose frequency is broadcast (12 bytes each), the most frequent; and how often one occurs in a block to be counted.
 FREQUENT, LOCAL = 1 << 17, 3
-#: The longest extension of a prefix, and the mean frequency along a prefix at which it begins.
-MATCHES, COSTLY = 4, 8.0
+#: A prefix asks for one more match for each so many shingles of the set, as the cost of verifying a candidate grows with the set;
+#: twice or four times as many where its shingles occur in COSTLY documents, or four times that, on average.
+PER_MATCH, COSTLY = 32, 8.0
 #: Partners of one set that are verified in one go.
 FAN = 256
 CHUNK = 1 << 18
@@ -91,13 +94,11 @@ class Order:
     def prefix(self, s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
         """The prefix and how many matches it asks for."""
         times = self.times_of(s)
-        order = np.lexsort((s, times))
+        order = np.argsort(times, kind="stable")  # hashes ascend already
         n, least = len(s), need(len(s), percent)
         base = n - least + 1
-        cost = times[order[:base]].mean()
-        matches = 1
-        while matches < min(MATCHES, least) and cost >= COSTLY * 2 ** (2 * (matches - 1)):
-            matches += 1
+        cost = float(times[order[:base]].mean())
+        matches = min(least, 1 + n // PER_MATCH * (1 if cost < COSTLY else 2 if cost < 4 * COSTLY else 4))
         return s[order[: base + matches - 1]], matches
 
 
@@ -138,11 +139,11 @@ def _lists(percent: int):
         if len(pairs):
             pairs, times = np.unique(pairs, axis=0, return_counts=True)
         else:
-            pairs, times = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+            pairs, times = np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
         a, b = len(token), len(pairs)
         whole = lambda x, y, kind: pa.array(np.concatenate([x, y]).astype(kind))
         z = np.zeros
-        return pa.RecordBatch.from_arrays([whole(z(a), z(b) + 1, np.int32), whole(token, z(b, np.int64), np.int64), whole(sid, pairs[:, 0], np.int64), whole(z(a, np.int64), pairs[:, 1], np.int64), whole(n, z(b), np.int32), whole(l, z(b), np.int32), whole(z(a), times, np.int32)], names=names)
+        return pa.RecordBatch.from_arrays([whole(z(a), z(b) + 1, np.int32), whole(token, z(b, np.int64), np.int64), whole(sid, pairs[:, 0], np.int64), whole(z(a, np.int64), pairs[:, 1], np.int64), whole(n, z(b), np.int32), whole(l, pairs[:, 2], np.int32), whole(z(a), times, np.int32)], names=names)
 
     def work(batches):
         last = None  # the entry before, not sent yet: (token, sid, n, l), its head and whether it goes out
@@ -167,14 +168,14 @@ def _lists(percent: int):
             for i in np.flatnonzero(near[:-1]).tolist():
                 # the head is the entry before, or its own head while the size allows
                 if head is None or head[0] != token[i] or n[i] * percent > head[2] * 100 or head[1] == sid[i]:
-                    head = (token[i], sid[i - 1], int(n[i - 1]))
-                pairs.append((head[1], sid[i]))
+                    head = (token[i], sid[i - 1], int(n[i - 1]), int(l[i - 1]))
+                pairs.append((head[1], sid[i], min(head[3], int(l[i]))))
             last = ((token[-1], sid[-1], n[-1], l[-1]), bool(goes[-1]))
             out = np.flatnonzero(goes[:-1])
             if len(out) or pairs:
-                yield sent((token[out], sid[out], n[out], l[out]), np.array(pairs, np.int64).reshape(-1, 2))
+                yield sent((token[out], sid[out], n[out], l[out]), np.array(pairs, np.int64).reshape(-1, 3))
         if last is not None and last[1]:
-            yield sent(tuple(np.array([x]) for x in last[0]), np.zeros((0, 2), np.int64))
+            yield sent(tuple(np.array([x]) for x in last[0]), np.zeros((0, 3), np.int64))
 
     return work
 
@@ -230,15 +231,16 @@ def _across(percent: int):
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The (sid, other) of ``pairs`` that reach the threshold. The partners of one set come in groups of about FAN, its own text with each."""
     fan = pairs.groupBy("sid").agg(F.ceil(F.count("*") / FAN).cast("int").alias("groups"))
-    own = fan.join(texts, "sid").select("sid", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(None).cast("bigint").alias("other"), "text")
+    own = fan.join(texts, "sid").select("sid", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(None).cast("bigint").alias("other"), "packed")
     met = pairs.join(fan, "sid").select("sid", "other", F.pmod(F.xxhash64("other"), F.col("groups")).cast("int").alias("part"))
-    met = met.join(texts.withColumnRenamed("sid", "t"), F.col("other") == F.col("t")).select("sid", "part", "other", "text")
+    met = met.join(texts.withColumnRenamed("sid", "t"), F.col("other") == F.col("t")).select("sid", "part", "other", "packed")
 
     def work(batches):
         name, mine = None, None
-        for batch in blocks(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in blocks(batches, "packed", 2 << 20):
             sid, other = batch.column("sid").to_pylist(), batch.column("other").to_pylist()
-            sets = shingle_sets(as_bytes(batch.column("text")), k)
+            sets = shingle_sets([unpack(x) if x else b"" for x in as_bytes(batch.column("packed"))], k)
             out = []
             for a, b, s in zip(sid, other, sets):
                 if b is None:
@@ -288,13 +290,14 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
 
     def own(batches):
         for batch in blocks(batches):
-            names = [_name(s) if len(s) else None for s in shingle_sets(as_bytes(batch.column("text")), shingle)]
-            keep = [n == w for n, w in zip(names, batch.column("want").to_pylist())]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            raw, want = as_bytes(batch.column("text")), batch.column("want").to_pylist()
+            keep = [i for i, s in enumerate(shingle_sets(raw, shingle)) if len(s) and _name(s) == want[i]]
+            pack = zstandard.ZstdCompressor().compress
+            yield pa.RecordBatch.from_arrays([pa.array([want[i] for i in keep], pa.int64()), pa.array([pack(raw[i]) for i in keep], pa.binary())], names=["sid", "packed"])
 
-    full = written(fetched.mapInArrow(own, "want bigint, text string").groupBy(F.col("want").alias("sid")).agg(F.min("text").alias("text")))
+    full = written(fetched.mapInArrow(own, "sid bigint, packed binary").groupBy("sid").agg(F.min("packed").alias("packed")))
 
-    first = listed.where("kind = 1").groupBy("sid", "other").agg(F.sum("times").alias("times")).select("sid", "other")
+    first = written(listed.where("kind = 1").groupBy("sid", "other").agg(F.sum("times").alias("times"), F.min("l").alias("l")).where("times >= l").select("sid", "other"))
     links = written(_verified(first, full, shingle, percent))
     edges = written(_as_edges(links, sets))
     label = components(edges)
