@@ -4,10 +4,13 @@ Each set is ordered by a global order, frequent shingles last. If two sets reach
 both have l in common at least, for every l. A set's l is chosen by the estimated cost of its candidates: the more documents share its prefix,
 the longer the prefix and the more matches a candidate needs before it is verified.
 
-Sets that are equal become one set first. Candidates are then taken in two passes. The first compares each entry of a posting list with the
-list's head only, if the head leads enough lists that both are in, which joins large groups of near copies by a number of pairs that grows with
-the group, not with its square. The second takes all pairs of a list that are still in different classes. A pair that is left out of both has
-too few matches or is in one class already, so classes come out as from all links.
+Sets that are equal become one set first. Then each set is verified with one other: the head that it meets in most posting lists, a list's head
+being the set that shares most tokens with others, as an original does among its copies. That joins most copies by as many pairs as there are sets.
+
+What is left are lists with sets of different classes. A set that is in fewer of them than it needs matches can't have a link to another class and
+is taken out, which thins the lists and is repeated. Sets that are still together in a list form a block of candidates; blocks are verified by
+exact overlaps of whole sets, large ones as pairs of parts, and only links that join two classes leave the task, never the candidates. A pair
+that was left out has too few matches or is in one class already, so classes come out as from all links.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ FREQUENT, LOCAL = 1 << 17, 3
 #: A prefix asks for one more match for each so many shingles of the set, as the cost of verifying a candidate grows with the set;
 #: twice or four times as many where its shingles occur in COSTLY documents, or four times that, on average.
 PER_MATCH, COSTLY = 32, 8.0
+#: Times that sets with too few matches are taken out, and packed bytes in a part of a block of candidates.
+THINNED, PART_BYTES = 3, 1 << 20
 #: Partners of one set that are verified in one go.
 FAN = 256
 CHUNK = 1 << 18
@@ -128,108 +133,168 @@ def _columns(batch, names):
 
 
 def _lists(percent: int):
-    """Entries come by token, size and sid. Sends on those of lists with several sets (kind 0), and the pairs of each with its list's head (kind 1).
+    """Entries come by token, size and sid. Sends on, once, those of lists where another set is near enough in size for a link."""
 
-    A head stands for the entries after it that are small enough to reach the threshold with it.
-    """
-    names = ["kind", "token", "sid", "other", "n", "l", "times"]
-
-    def sent(rows, pairs):
-        token, sid, n, l = rows
-        if len(pairs):
-            pairs, times = np.unique(pairs, axis=0, return_counts=True)
-        else:
-            pairs, times = np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
-        a, b = len(token), len(pairs)
-        whole = lambda x, y, kind: pa.array(np.concatenate([x, y]).astype(kind))
-        z = np.zeros
-        return pa.RecordBatch.from_arrays([whole(z(a), z(b) + 1, np.int32), whole(token, z(b, np.int64), np.int64), whole(sid, pairs[:, 0], np.int64), whole(z(a, np.int64), pairs[:, 1], np.int64), whole(n, z(b), np.int32), whole(l, pairs[:, 2], np.int32), whole(z(a), times, np.int32)], names=names)
+    def sent(token, sid, n, l):
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(sid), pa.array(n), pa.array(l)], names=["token", "sid", "n", "l"])
 
     def work(batches):
-        last = None  # the entry before, not sent yet: (token, sid, n, l), its head and whether it goes out
-        head = None
+        last = None  # the entry before, which is sent when its neighbour is known, and whether it goes out already
         for batch in batches:
             if not batch.num_rows:
                 continue
             token, sid, n, l = _columns(batch, ("token", "sid", "n", "l"))
             if last is not None:
-                token, sid, n, l = (np.concatenate([[x], y]) for x, y in zip(last[0], (token, sid, n, l)))
+                token, sid, n, l = (np.concatenate([x, y]) for x, y in zip(last[0], (token, sid, n, l)))
             fresh = np.ones(len(token), bool)
             fresh[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
-            index = np.flatnonzero(fresh)
-            token, sid, n, l = token[index], sid[index], n[index], l[index]
-            # neighbours in a list are linked by size if any two of it are, as sizes ascend
+            token, sid, n, l = token[fresh], sid[fresh], n[fresh], l[fresh]
+            # sizes ascend, so an entry has a partner if its neighbour is one
             near = np.zeros(len(token) + 1, bool)
             near[1:-1] = (token[1:] == token[:-1]) & (n[1:].astype(np.int64) * percent <= n[:-1].astype(np.int64) * 100)
             goes = near[:-1] | near[1:]
             if last is not None:
                 goes[0] |= last[1]
-            pairs = []
-            for i in np.flatnonzero(near[:-1]).tolist():
-                # the head is the entry before, or its own head while the size allows
-                if head is None or head[0] != token[i] or n[i] * percent > head[2] * 100 or head[1] == sid[i]:
-                    head = (token[i], sid[i - 1], int(n[i - 1]), int(l[i - 1]))
-                pairs.append((head[1], sid[i], min(head[3], int(l[i]))))
-            last = ((token[-1], sid[-1], n[-1], l[-1]), bool(goes[-1]))
+            last = (tuple(x[-1:] for x in (token, sid, n, l)), bool(goes[-1]))
             out = np.flatnonzero(goes[:-1])
-            if len(out) or pairs:
-                yield sent((token[out], sid[out], n[out], l[out]), np.array(pairs, np.int64).reshape(-1, 3))
+            if len(out):
+                yield sent(token[out], sid[out], n[out], l[out])
         if last is not None and last[1]:
-            yield sent(tuple(np.array([x]) for x in last[0]), np.zeros((0, 3), np.int64))
+            yield sent(*last[0])
 
     return work
 
 
-def _across(percent: int):
-    """Entries with their class come by token, size and sid. All pairs of a list whose classes differ and whose sizes allow a link, counted."""
+def _by_list(batches, names):
+    """The columns ``names`` of each list whole, of batches in order of token."""
+    held: list = []
+    open_ = None
+    for batch in batches:
+        token, *rest = _columns(batch, ("token", *names))
+        cuts = [0, *(np.flatnonzero(np.diff(token)) + 1).tolist(), len(token)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if held and open_ != token[a]:
+                yield [np.concatenate(x) for x in zip(*held)]
+                held = []
+            open_ = token[a]
+            held.append([x[a:b] for x in rest])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
 
-    def pairs_of(sid, n, l, cls):
-        high = np.searchsorted(n, n.astype(np.int64) * 100 // percent, "right")
-        for i in range(len(sid) - 1):
-            j = np.arange(i + 1, high[i])
-            j = j[cls[j] != cls[i]]
-            if len(j):
-                yield np.stack([np.full(len(j), sid[i]), sid[j], np.minimum(l[i], l[j])], axis=1)
+def _counted(found):
+    rows, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
+    return pa.RecordBatch.from_arrays([*(pa.array(rows[:, i]) for i in range(3)), pa.array(times.astype(np.int64))], names=["sid", "other", "l", "times"])
 
-    def counted(found):
-        rows, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
-        return pa.RecordBatch.from_arrays([*(pa.array(rows[:, i]) for i in range(3)), pa.array(times.astype(np.int64))], names=["sid", "other", "l", "times"])
+
+def _pairs(of_list, names):
+    """Sends the pairs (sid, other, l) that ``of_list`` makes of each list, counted as far as they are held at once."""
 
     def work(batches):
-        held, found, size = [], [], 0
-
-        def lists():
-            nonlocal held
-            for batch in batches:
-                token, *rest = _columns(batch, ("token", "sid", "n", "l", "label"))
-                cuts = [0, *(np.flatnonzero(np.diff(token)) + 1).tolist(), len(token)]
-                for a, b in zip(cuts, cuts[1:]):
-                    if a == b:
-                        continue
-                    if held and held[0][0] != token[a]:
-                        yield [np.concatenate([h[1][c] for h in held]) for c in range(4)]
-                        held = []
-                    held.append((token[a], [x[a:b] for x in rest]))
-            if held:
-                yield [np.concatenate([h[1][c] for h in held]) for c in range(4)]
-
-        for sid, n, l, cls in lists():
-            if len(sid) < 2 or (cls == cls[0]).all():
-                continue
-            for part in pairs_of(sid, n, l, cls):
+        found, size = [], 0
+        for columns in _by_list(batches, names):
+            for part in of_list(*columns):
                 found.append(part)
                 size += len(part)
                 if size >= CHUNK:
-                    yield counted(found)
+                    yield _counted(found)
                     found, size = [], 0
         if found:
-            yield counted(found)
+            yield _counted(found)
 
     return work
 
 
+def _stars(percent: int):
+    """Lists come with the most sharing set first: each other entry of another class with the first head whose size it fits."""
+
+    def of_list(sid, n, l, cls):
+        left = np.arange(len(sid))
+        n = n.astype(np.int64)
+        while len(left) > 1 and not (cls[left] == cls[left[0]]).all():
+            h, rest = left[0], left[1:]
+            fits = np.minimum(n[rest], n[h]) * 100 >= np.maximum(n[rest], n[h]) * percent
+            x = rest[fits & (cls[rest] != cls[h])]
+            if len(x):
+                yield np.stack([np.full(len(x), sid[h]), sid[x], np.minimum(l[h], l[x])], axis=1).astype(np.int64)
+            left = rest[~fits]
+
+    return of_list
+
+
+def _chained(sid, cls):
+    """A list as a star: its first set with each other."""
+    if len(sid) > 1 and not (cls == cls[0]).all():
+        yield np.stack([np.full(len(sid) - 1, sid[0]), sid[1:], np.zeros(len(sid) - 1, np.int64)], axis=1)
+
+
+def _mixed_lists(lists: DataFrame) -> DataFrame:
+    """The entries of those lists that hold more than one class."""
+    span = lists.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
+    return lists.join(span, "token", "left_semi")
+
+
+def block_links(sets: list[np.ndarray], sids: list[int], labels: list[int], parts: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links between sets of different classes, no more than join the classes; of two parts only those across them."""
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(np.concatenate(sets), kind="stable") if len(sets) else np.zeros(0, np.int64)
+    token = np.concatenate(sets)[order] if len(sets) else order
+    posted = owner[order]
+    root = {x: x for x in labels}
+
+    def top(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    two = len(set(parts)) > 1
+    part = np.array(parts)
+    for i in range(len(sets)):
+        low = np.searchsorted(token, sets[i], "left")
+        n = np.searchsorted(token, sets[i], "right") - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        both = np.bincount(posted[at], minlength=len(sets))
+        hits = np.flatnonzero(100 * both >= percent * (sizes + sizes[i] - both))
+        for j in hits[hits > i].tolist():
+            if two and part[i] == part[j]:
+                continue
+            a, b = top(labels[i]), top(labels[j])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((sids[i], sids[j]))
+    return out
+
+
+def _block_verified(members: DataFrame, k: int, percent: int) -> DataFrame:
+    """The joining links (sid, other) within blocks, of rows of sid, block, label, packed. Blocks of more than PART_BYTES are verified as all pairs of parts."""
+    size = members.groupBy("block").agg(F.greatest(F.ceil(F.sum(F.octet_length("packed")) / PART_BYTES), F.lit(1)).cast("int").alias("n_parts"))
+    dealt = members.join(size, "block").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("n_parts")).cast("int"))
+    dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_parts") - 1, F.lit(0)))))
+    # a part meets each other part once; alone it is verified within its own pair
+    dealt = dealt.select("sid", "block", "label", "packed", "part", F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"))
+
+    def work(table: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor().decompress
+        rows = table.sort_by([("label", "ascending"), ("sid", "ascending")])
+        sets = shingle_sets([unpack(x) for x in rows.column("packed").to_pylist()], k)
+        links = block_links(sets, rows.column("sid").to_pylist(), rows.column("label").to_pylist(), rows.column("part").to_pylist(), percent)
+        return pa.table({"sid": pa.array([a for a, _ in links], pa.int64()), "other": pa.array([b for _, b in links], pa.int64())})
+
+    return dealt.groupBy("block", "i", "j").applyInArrow(work, "sid bigint, other bigint")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The (sid, other) of ``pairs`` that reach the threshold. The partners of one set come in groups of about FAN, its own text with each."""
+    # the set with more partners stands still
+    many = pairs.select("sid").union(pairs.select(F.col("other").alias("sid"))).groupBy("sid").count()
+    by = lambda name: many.select(F.col("sid").alias(f"_{name}"), F.col("count").alias(name))
+    turned = pairs.join(by("a"), F.col("sid") == F.col("_a")).join(by("b"), F.col("other") == F.col("_b"))
+    pairs = turned.select(F.when(F.col("a") >= F.col("b"), F.col("sid")).otherwise(F.col("other")).alias("sid"), F.when(F.col("a") >= F.col("b"), F.col("other")).otherwise(F.col("sid")).alias("other"))
     fan = pairs.groupBy("sid").agg(F.ceil(F.count("*") / FAN).cast("int").alias("groups"))
     own = fan.join(texts, "sid").select("sid", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(None).cast("bigint").alias("other"), "packed")
     met = pairs.join(fan, "sid").select("sid", "other", F.pmod(F.xxhash64("other"), F.col("groups")).cast("int").alias("part"))
@@ -282,8 +347,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     order = spark.sparkContext.broadcast(Order(np.array([r["h"] for r in often], np.int64).view(np.uint64), np.array([r["times"] for r in often], np.int64)))
 
     entries = _entries(texts, order, shingle, percent).repartition("token").sortWithinPartitions("token", "n", "sid")
-    listed = written(entries.mapInArrow(_lists(percent), "kind int, token bigint, sid bigint, other bigint, n int, l int, times int"))
-    shared = listed.where("kind = 0").select("token", "sid", "n", "l")
+    shared = written(entries.mapInArrow(_lists(percent), "token bigint, sid bigint, n int, l int"))
     # the texts of the sets that share a token with another: one row each, told by the document that stands for the set
     chosen = shared.select("sid").distinct().join(sets, "sid").withColumnRenamed("sid", "want")
     fetched = texts.join(chosen, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(last)) == F.col("doc")).select("want", "text")
@@ -297,15 +361,29 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
 
     full = written(fetched.mapInArrow(own, "sid bigint, packed binary").groupBy("sid").agg(F.min("packed").alias("packed")))
 
-    first = written(listed.where("kind = 1").groupBy("sid", "other").agg(F.sum("times").alias("times"), F.min("l").alias("l")).where("times >= l").select("sid", "other"))
-    links = written(_verified(first, full, shingle, percent))
-    edges = written(_as_edges(links, sets))
+    pair = "sid bigint, other bigint, l bigint, times bigint"
+    weight = written(shared.groupBy("sid").agg(F.count("*").alias("shares")))
+    named = weight.join(sets, "sid").select("sid", "shares", F.col("doc").alias("label"))
+    lists = shared.join(named, "sid").repartition("token").sortWithinPartitions("token", F.desc("shares"), "sid")
+    met = lists.mapInArrow(_pairs(_stars(percent), ["sid", "n", "l", "label"]), pair).groupBy("sid", "other").agg(F.sum("times").alias("times"), F.min("l").alias("l"))
+    # the head that each set meets most, if in a good part of the lists that a link would show in
+    best = met.groupBy("other").agg(F.max_by(F.struct("sid", "times", "l"), F.struct("times", "sid")).alias("b"))
+    found = written(best.where("4 * b.times >= b.l").select("b.sid", "other"))
+    edges = written(_as_edges(_verified(found, full, shingle, percent), sets))
     label = components(edges)
-    named = sets.join(label, F.col("doc") == F.col("v"), "left").select("sid", F.coalesce("label", "doc").alias("label"))
-    again = shared.join(named, "sid").repartition("token").sortWithinPartitions("token", "n", "sid")
-    second = again.mapInArrow(_across(percent), "sid bigint, other bigint, l bigint, times bigint").groupBy("sid", "other").agg(F.sum("times").alias("times"), F.min("l").alias("l"))
-    rest = second.where("times >= l").select("sid", "other").join(first, ["sid", "other"], "left_anti")
-    more = _as_edges(written(_verified(written(rest), full, shingle, percent)), sets)
+
+    named = weight.join(sets, "sid").join(label, F.col("doc") == F.col("v"), "left").select("sid", F.coalesce("label", "doc").alias("label"))
+    left = written(_mixed_lists(shared.join(named, "sid")))
+    # the least matches that a set of n, or the smallest that can link with it, asks for
+    small = F.floor((F.col("n") * percent + 99) / 100)
+    few = 1 + F.floor(small / PER_MATCH)
+    for _ in range(THINNED):
+        enough = left.groupBy("sid").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("l").alias("l")).where(F.col("c") >= F.least(F.col("l"), few)).select("sid")
+        left = written(_mixed_lists(left.join(enough, "sid", "left_semi")))
+    ties = left.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(_pairs(_chained, ["sid", "label"]), pair).select(F.col("sid").alias("u"), F.col("other").alias("v")).distinct()
+    block = components(ties)
+    members = block.select(F.col("v").alias("sid"), F.col("label").alias("block")).join(named, "sid").join(full, "sid")
+    more = written(_as_edges(_block_verified(members, shingle, percent), sets))
     label = components(edges.union(more))
 
     # a group of equal sets may hold much of the table: its row is spread over salts

@@ -377,6 +377,7 @@ def test_jaccard_near_threshold(spark, frequent, monkeypatch):
     monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard_join, "COSTLY", 1.0)
     monkeypatch.setattr(jaccard_join, "FAN", 3)
+    monkeypatch.setattr(jaccard_join, "PART_BYTES", 300)
     rng = np.random.default_rng(3)
     pool = [f"w{i}" for i in range(30)]
     rows = []
