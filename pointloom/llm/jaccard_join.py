@@ -277,6 +277,8 @@ def _block_verified(members: DataFrame, k: int, percent: int) -> DataFrame:
     dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_parts") - 1, F.lit(0)))))
     # a part meets each other part once; alone it is verified within its own pair
     dealt = dealt.select("sid", "block", "label", "packed", "part", F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"))
+    # few bytes but much work: as many tasks as a shuffle has, which aren't coalesced
+    dealt = dealt.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "i", "j")
 
     def work(table: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
