@@ -8,8 +8,10 @@ word that a pair begins with, how often the pairs held begin with it. From these
 
 where t(v) counts the pairs held that begin with v: what is not held, pairs seen once among them, backs off to the word alone.
 
-The filter is made of segments by hash, each built by one task to the size that its entries need, and put end to end on the driver.
-Its bound is ``capacity`` bytes: all n-grams are counted over the whole corpus, and the smallest count that is entered rises until the filter fits.
+The filter is made of segments by hash, each built by one task to the size that its entries need, and written to the shared folder. Segments are put
+end to end in shards of about ``capacity`` bytes, of which one at a time is on the driver and the workers. A filter of several shards is probed shard by
+shard: each pass over the documents reads the levels of the keys that lie in its shard, and the levels of all passes together give the scores. No n-gram
+is left out for room.
 
 The base score needs exact counts. Those of frequent words are broadcast (at most HOT of them); a document's other words are joined with the counts.
 """
@@ -18,13 +20,14 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,24 +154,54 @@ class Filter:
         return out
 
 
+@dataclass(frozen=True)
+class Shards:
+    """The written (segment, bits) of a filter of 2**bits segments, and the first segment of each shard with the end of the last."""
+
+    parts: DataFrame
+    bits: int
+    bounds: tuple[int, ...]
+
+    def __len__(self) -> int:
+        return len(self.bounds) - 1
+
+    def filter(self, i: int) -> Filter:
+        """Shard ``i``: keys of other shards have level 0 in it, so the levels of all shards add up to those of the whole filter."""
+        own = self.parts.where((F.col("segment") >= self.bounds[i]) & (F.col("segment") < self.bounds[i + 1]))
+        return Filter.joined(self.bits, {r["segment"]: bytes(r["bits"]) for r in own.toLocalIterator()})
+
+
 @dataclass(frozen=True)
 class Model:
+    """``filter``: one shard, the first unless another was asked for. ``shards`` stay on the driver."""
+
     filter: Filter
     total: int
     distinct: int
     prior: float
     word_counts: np.ndarray
     pair_counts: np.ndarray
+    shards: Shards | None = None
 
-    def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each word hash: P(w), the count as a first word and how often the pairs held begin with it."""
-        count = self.word_counts[self.filter.levels(word_keys(h))]
-        held = self.word_counts[self.filter.levels(total_keys(contexts(h)))]
+    def shard(self, i: int) -> Model:
+        """The model as it is sent to the workers, with shard ``i``."""
+        return replace(self, filter=self.shards.filter(i) if i else self.filter, shards=None)
+
+    def word_levels(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word hash: the levels of the word and of the pairs held that begin with it."""
+        return self.filter.levels(word_keys(h)), self.filter.levels(total_keys(contexts(h)))
+
+    def pair_levels(self, h: np.ndarray, before: np.ndarray) -> np.ndarray:
+        return self.filter.levels(pair_keys(before, h))
+
+    def words(self, own: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of word_levels(): P(w), the count as a first word and how often the pairs held begin with it."""
+        count, held = self.word_counts[own], self.word_counts[totals]
         return (count + 0.5) / (self.total + 0.5 * (self.distinct + 1)), np.maximum(count, held), held
 
-    def log10(self, h: np.ndarray, before: np.ndarray, alone: np.ndarray, v: np.ndarray, held: np.ndarray) -> np.ndarray:
-        """log10 P of each word hash after the one before it, given what words() says: P(w) of the word, the rest of the one before."""
-        c = np.minimum(self.pair_counts[self.filter.levels(pair_keys(before, h))], held)
+    def log10(self, pairs: np.ndarray, alone: np.ndarray, v: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """log10 P of each word after the one before it, given the level of the pair and what words() says: P(w) of the word, the rest of the one before."""
+        c = np.minimum(self.pair_counts[pairs], held)
         return np.log10((c + (v - held + self.prior) * alone) / (v + self.prior))
 
 
@@ -238,9 +271,10 @@ def _word_hashes(words: pa.Array) -> np.ndarray:
     return word_keys(np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words)))
 
 
-def _build(entries: DataFrame, total: int) -> Filter:
-    """Of (k, q) rows with ``total`` levels in all."""
-    bits = max(0, int(np.ceil(np.log2(max(1, total) / SEGMENT))))
+def _build(entries: DataFrame, total: int, capacity: int) -> Shards:
+    """Of (k, q) rows with about ``total`` levels in all."""
+    # a shard has several segments, so that shards come out even
+    bits = max(0, int(np.ceil(np.log2(max(1, total) / min(SEGMENT, max(1, capacity * 8 // BITS // 4))))))
 
     def place(batches):
         for batch in batches:
@@ -251,40 +285,38 @@ def _build(entries: DataFrame, total: int) -> Filter:
         k, q = table.column("k").to_numpy().view(np.uint64), table.column("q").to_numpy().astype(np.int64)
         return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([Filter.built(k, q)], pa.binary())})
 
-    parts = entries.mapInArrow(place, "segment int, k bigint, q int").groupBy("segment").applyInArrow(build, "segment int, bits binary")
-    return Filter.joined(bits, {r["segment"]: bytes(r["bits"]) for r in parts.toLocalIterator()})
+    parts = written(entries.mapInArrow(place, "segment int, k bigint, q int").groupBy("segment").applyInArrow(build, "segment int, bits binary"))
+    size = np.zeros(1 << bits, np.int64)
+    for r in parts.select("segment", F.octet_length("bits").alias("n")).toLocalIterator():
+        size[r["segment"]] = r["n"]
+    shards = max(1, -(-int(size.sum()) // capacity))
+    which = np.minimum((np.cumsum(size) - size) * shards // max(1, int(size.sum())), shards - 1)
+    return Shards(parts, bits, (0, *(np.flatnonzero(np.diff(which)) + 1).tolist(), 1 << bits))
 
 
 def learn(texts: DataFrame, capacity: int = CAPACITY, least: int = 2, prior: float = PRIOR) -> tuple[Model, DataFrame]:
-    """The model and the exact (word, c) of the rows of ``texts``. ``least``: the count from which pairs are entered, if ``capacity`` allows."""
+    """The model and the exact (word, c) of the rows of ``texts``. ``least``: the count from which pairs are entered. ``capacity``: bytes of a shard, about."""
     words = written(word_counts(texts))
     row = words.agg(F.sum("c"), F.count("*")).first()
     total, distinct = row[0] or 0, row[1] or 0
     # pairs below ``least`` count towards nothing but the total of the word they begin with, which the words have
     pairs = written(pair_counts(texts).where(F.col("c") >= least))
-    spread = lambda df, step: df.groupBy(level(F.col("c"), step).alias("q")).agg(F.count("*").alias("n"), F.max("c").alias("to")).collect()
-    pair_levels, word_levels = spread(pairs, PAIR_STEP), spread(words, WORD_STEP)
-
-    def entries_from(cut: int) -> int:
-        """At most so many entries; a context's total has no more levels than its word."""
-        return sum(r["q"] * r["n"] for r in pair_levels if r["to"] >= cut) + 2 * sum(r["q"] * r["n"] for r in word_levels if r["to"] > cut - least)
-
-    room = capacity * 8 // BITS
-    cut = next(c for c in sorted({least, *(r["to"] + least for r in (*pair_levels, *word_levels))}) if entries_from(c) <= room)
-    kept = pairs.where(F.col("c") >= cut).withColumn("q", level(F.col("c"), PAIR_STEP))
-    own = words.where(F.col("c") > cut - least).withColumn("q", level(F.col("c"), WORD_STEP))
+    kept = pairs.withColumn("q", level(F.col("c"), PAIR_STEP))
+    own = words.withColumn("q", level(F.col("c"), WORD_STEP))
     held = kept.groupBy(F.shiftrightunsigned("k", _CONTEXT_BITS).alias("context")).agg(F.sum("c").alias("c")).withColumn("q", level(F.col("c"), WORD_STEP))
     as_totals = _keyed(held, "context", lambda x: total_keys(x.to_numpy(zero_copy_only=False).view(np.uint64)))
-    entries = written(kept.select("k", "q").union(_keyed(own, "word", _word_hashes)).union(as_totals))
-    built = _build(entries, entries.agg(F.sum("q")).first()[0] or 0)
-    return Model(built, total, distinct, prior, counts_of_levels(WORD_STEP), counts_of_levels(PAIR_STEP)), words
+    entries = kept.select("k", "q").union(_keyed(own, "word", _word_hashes)).union(as_totals)
+    # a context's total has no more levels than its word
+    levels = (kept.agg(F.sum("q")).first()[0] or 0) + 2 * (own.agg(F.sum("q")).first()[0] or 0)
+    shards = _build(entries, levels, capacity)
+    return Model(shards.filter(0), total, distinct, prior, counts_of_levels(WORD_STEP), counts_of_levels(PAIR_STEP), shards), words
 
 
 # ---- Scoring
 
 
 class Lexicon:
-    """Numbers for the words a worker meets, with what is known of each: its hash, exact count if it is frequent, and the model's values.
+    """Numbers for the words a worker meets, with what is known of each: its hash, exact count if it is frequent, and the model's levels and values.
 
     When it is full it begins anew.
     """
@@ -298,6 +330,7 @@ class Lexicon:
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
         self.hash, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.own, self.totals = np.zeros(0, np.uint16), np.zeros(0, np.uint16)
         self.alone, self.v, self.held = np.zeros(0), np.zeros(0), np.zeros(0)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
@@ -312,52 +345,111 @@ class Lexicon:
             get = self.frequent.get
             c = np.fromiter((get(w, 0) for w in fresh), np.int64, len(fresh))
             self.hash, self.count = np.concatenate([self.hash, h]), np.concatenate([self.count, c])
-            self.alone, self.v, self.held = (np.concatenate([x, y]) for x, y in zip((self.alone, self.v, self.held), self.model.words(h)))
+            levels = self.model.word_levels(h)
+            self.own, self.totals = (np.concatenate([x, y.astype(np.uint16)]) for x, y in zip((self.own, self.totals), levels))
+            self.alone, self.v, self.held = (np.concatenate([x, y]) for x, y in zip((self.alone, self.v, self.held), self.model.words(*levels)))
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
 _LEXICONS: dict[str, Lexicon] = {}
 
 
+def _lexicon(mark: str, model: Model, frequent: list) -> Lexicon:
+    if mark not in _LEXICONS:
+        _LEXICONS.clear()
+        _LEXICONS[mark] = Lexicon(model, dict(frequent))
+    return _LEXICONS[mark]
+
+
+def _numbered(known: Lexicon, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of all texts, how many each has, the number of each token and of the one before it."""
+    split = [tokens(t) for t in texts]
+    n = np.array([len(x) for x in split], np.int64)
+    flat = list(chain.from_iterable(split))
+    i = known.numbers(flat)
+    j = np.empty_like(i)
+    j[1:] = i[:-1]
+    j[np.cumsum(n) - n] = known.number[END]
+    return flat, n, i, j
+
+
+def _levels(texts: DataFrame, model: Model, i: int) -> DataFrame:
+    """(row, levels) by shard ``i``: of each token its level as a word, as the first of a pair and with the one before it, packed."""
+    shared = texts.sparkSession.sparkContext.broadcast(model.shard(i))
+    mark = uuid.uuid4().hex
+
+    def work(batches):
+        known = _lexicon(mark, shared.value, [])
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in blocks(batches, limit=BLOCK):
+            _, n, i, j = _numbered(known, as_bytes(batch.column("text")))
+            all_ = np.stack([known.own[i], known.totals[i], known.model.pair_levels(known.hash[i], known.hash[j]).astype(np.uint16)])
+            cuts = np.cumsum(n).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([pack(all_[:, a:b].tobytes()) for a, b in zip([0, *cuts], cuts)], pa.binary())], names=["row", "levels"])
+
+    out = written(texts.select("row", "text").mapInArrow(work, "row bigint, levels binary"))
+    shared.destroy()
+    return out
+
+
+def _by_shards(texts: DataFrame, model: Model) -> DataFrame:
+    """(row, score) of (row, text) by a filter of several shards, a pass for each."""
+    parts = [_levels(texts, model, i) for i in range(len(model.shards))]
+    rows = reduce(DataFrame.union, parts).groupBy("row").agg(F.collect_list("levels").alias("levels"))
+    # the filter stays here
+    bare = replace(model, filter=None, shards=None)
+
+    def work(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            out = []
+            for packed in batch.column("levels").to_pylist():
+                own, totals, pairs = sum(np.frombuffer(unpack(x), np.uint16).reshape(3, -1) for x in packed)
+                alone, v, held = bare.words(own, totals)
+                # a text's first token follows END, which is its last
+                out.append(float(bare.log10(pairs, alone, np.roll(v, 1), np.roll(held, 1)).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.float64())], names=["row", "score"])
+
+    return rows.mapInArrow(work, "row bigint, score double")
+
+
 def score(docs: DataFrame, model: Model, counts: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row. ``counts``: the exact (word, c)."""
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(model)
+    whole = len(model.shards) == 1
+    # with several shards the words are read here for their exact counts only
+    shared = sc.broadcast(model.shard(0))
     frequent = sc.broadcast([(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(hot).toLocalIterator()])
     scale = model.total + 0.5 * (model.distinct + 1)
     mark = uuid.uuid4().hex
 
     def work(batches):
-        if mark not in _LEXICONS:
-            _LEXICONS.clear()
-            _LEXICONS[mark] = Lexicon(shared.value, dict(frequent.value))
-        known, task, rows = _LEXICONS[mark], TaskContext.get().partitionId(), 0
+        known = _lexicon(mark, shared.value, frequent.value)
         for batch in blocks(batches, limit=BLOCK):
-            split = [tokens(t) for t in as_bytes(batch.column("text"))]
-            n = np.array([len(x) for x in split], np.int64)
-            flat = list(chain.from_iterable(split))
-            i = known.numbers(flat)
-            j = np.empty_like(i)
-            j[1:] = i[:-1]
-            j[np.cumsum(n) - n] = known.number[END]
+            flat, n, i, j = _numbered(known, as_bytes(batch.column("text")))
             doc = np.repeat(np.arange(len(n)), n)
             c = known.count[i]
             there = c > 0
             base = np.bincount(doc[there], np.log10((c[there] + 0.5) / scale), len(n))
-            value = np.bincount(doc, known.model.log10(known.hash[i], known.hash[j], known.alone[i], known.v[j], known.held[j]), len(n))
+            value = np.zeros(len(n))
+            if whole:
+                pairs = known.model.pair_levels(known.hash[i], known.hash[j])
+                value = np.bincount(doc, known.model.log10(pairs, known.alone[i], known.v[j], known.held[j]), len(n))
             ends = np.cumsum(n)
             missing = np.flatnonzero(~there)
             place = np.searchsorted(missing, np.concatenate([[0], ends]))
             rare = pa.ListArray.from_arrays(pa.array(place.astype(np.int32)), pa.array([flat[i] for i in missing.tolist()], pa.binary()))
-            ids = (task << 40) + rows + np.arange(len(n))
-            rows += len(n)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column("doc_id"), batch.column("held_out"), pa.array(n), pa.array(np.bincount(doc[there], minlength=len(n)).astype(np.int64)), pa.array(base), pa.array(value), rare], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(n), pa.array(np.bincount(doc[there], minlength=len(n)).astype(np.int64)), pa.array(base), pa.array(value), rare], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
 
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
+    if not whole:  # each pass has to meet the same rows under the same numbers
+        texts = written(texts)
     part = written(texts.mapInArrow(work, f"row bigint, {column('doc_id', docs)}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<binary>"))
     rare = part.select("row", F.explode("rare").alias("w")).groupBy("row", "w").agg(F.count("*").alias("times"))
     met = rare.join(counts, F.col("w") == F.col("word"), "left").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(scale))).alias("more_base"))
     rows = part.drop("rare").join(met, "row", "left")
+    if not whole:
+        rows = rows.drop("score").join(_by_shards(texts, model), "row")
     return rows.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score")
 
 
