@@ -1,12 +1,13 @@
 """Language-model scoring with a log-frequency Bloom filter (after Talbot and Osborne, 2007).
 
 The filter holds no counts: an n-gram whose quantised count is q is entered q times, as (n-gram, 1) to (n-gram, q), and its count is read back by
-probing level after level until one is missing. A false positive raises a count by few levels. It holds words, word pairs and, for each
-word that a pair begins with, how often the pairs held begin with it. From these,
+probing level after level until one is missing. A false positive raises a count by few levels. It holds words, word pairs and, where
+rare pairs are left out on request, for each word that a pair begins with, how often the pairs held begin with it. From these,
 
     P(w | v) = (c(v,w) + (c(v) - t(v) + m) P(w)) / (c(v) + m),   P(w) = (c(w) + 1/2) / (N + (V + 1)/2),
 
-where t(v) counts the pairs held that begin with v: what is not held, pairs seen once among them, backs off to the word alone.
+where t(v) counts the pairs held that begin with v. By default every pair is entered from a count of 1, so t(v) = c(v), as every word
+is followed by one token, END by the first of a text; pairs that aren't held back off to the word alone.
 
 The filter is made of segments by hash, each built by one task to the size that its entries need, and written to the shared folder. Segments are put
 end to end in shards of about ``capacity`` bytes, of which one at a time is on the driver and the workers. A filter of several shards is probed shard by
@@ -156,10 +157,11 @@ class Filter:
 
 @dataclass(frozen=True)
 class Shards:
-    """The written (segment, bits) of a filter of 2**bits segments, and the first segment of each shard with the end of the last."""
+    """The written (segment, bits) of a filter of 2**bits segments, their bytes, and the first segment of each shard with the end of the last."""
 
     parts: DataFrame
     bits: int
+    size: np.ndarray
     bounds: tuple[int, ...]
 
     def __len__(self) -> int:
@@ -167,8 +169,14 @@ class Shards:
 
     def filter(self, i: int) -> Filter:
         """Shard ``i``: keys of other shards have level 0 in it, so the levels of all shards add up to those of the whole filter."""
-        own = self.parts.where((F.col("segment") >= self.bounds[i]) & (F.col("segment") < self.bounds[i + 1]))
-        return Filter.joined(self.bits, {r["segment"]: bytes(r["bits"]) for r in own.toLocalIterator()})
+        a, b = self.bounds[i], self.bounds[i + 1]
+        size = np.where((np.arange(1 << self.bits) >= a) & (np.arange(1 << self.bits) < b), self.size, 0)
+        start = np.cumsum(size) - size
+        data = np.zeros(int(size.sum()), np.uint8)
+        for r in self.parts.where((F.col("segment") >= a) & (F.col("segment") < b)).toLocalIterator():
+            at = start[r["segment"]]
+            data[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+        return Filter(self.bits, start.astype(np.uint64) * np.uint64(8), size.astype(np.uint64) * np.uint64(8), data)
 
 
 @dataclass(frozen=True)
@@ -182,6 +190,8 @@ class Model:
     word_counts: np.ndarray
     pair_counts: np.ndarray
     shards: Shards | None = None
+    #: Whether every pair is held, so that a word begins as many pairs as it has occurrences.
+    every_pair: bool = False
 
     def shard(self, i: int) -> Model:
         """The model as it is sent to the workers, with shard ``i``."""
@@ -189,7 +199,8 @@ class Model:
 
     def word_levels(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each word hash: the levels of the word and of the pairs held that begin with it."""
-        return self.filter.levels(word_keys(h)), self.filter.levels(total_keys(contexts(h)))
+        own = self.filter.levels(word_keys(h))
+        return own, own if self.every_pair else self.filter.levels(total_keys(contexts(h)))
 
     def pair_levels(self, h: np.ndarray, before: np.ndarray) -> np.ndarray:
         return self.filter.levels(pair_keys(before, h))
@@ -217,6 +228,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(word, c) of all tokens, counted in the tasks before they are shuffled."""
 
     def work(batches):
+        _LEXICONS.clear()  # what earlier scores left
         seen: Counter = Counter()
 
         def sent():
@@ -291,10 +303,10 @@ def _build(entries: DataFrame, total: int, capacity: int) -> Shards:
         size[r["segment"]] = r["n"]
     shards = max(1, -(-int(size.sum()) // capacity))
     which = np.minimum((np.cumsum(size) - size) * shards // max(1, int(size.sum())), shards - 1)
-    return Shards(parts, bits, (0, *(np.flatnonzero(np.diff(which)) + 1).tolist(), 1 << bits))
+    return Shards(parts, bits, size, (0, *(np.flatnonzero(np.diff(which)) + 1).tolist(), 1 << bits))
 
 
-def learn(texts: DataFrame, capacity: int = CAPACITY, least: int = 2, prior: float = PRIOR) -> tuple[Model, DataFrame]:
+def learn(texts: DataFrame, capacity: int = CAPACITY, least: int = 1, prior: float = PRIOR) -> tuple[Model, DataFrame]:
     """The model and the exact (word, c) of the rows of ``texts``. ``least``: the count from which pairs are entered. ``capacity``: bytes of a shard, about."""
     words = written(word_counts(texts))
     row = words.agg(F.sum("c"), F.count("*")).first()
@@ -303,13 +315,14 @@ def learn(texts: DataFrame, capacity: int = CAPACITY, least: int = 2, prior: flo
     pairs = written(pair_counts(texts).where(F.col("c") >= least))
     kept = pairs.withColumn("q", level(F.col("c"), PAIR_STEP))
     own = words.withColumn("q", level(F.col("c"), WORD_STEP))
-    held = kept.groupBy(F.shiftrightunsigned("k", _CONTEXT_BITS).alias("context")).agg(F.sum("c").alias("c")).withColumn("q", level(F.col("c"), WORD_STEP))
-    as_totals = _keyed(held, "context", lambda x: total_keys(x.to_numpy(zero_copy_only=False).view(np.uint64)))
-    entries = kept.select("k", "q").union(_keyed(own, "word", _word_hashes)).union(as_totals)
+    entries = kept.select("k", "q").union(_keyed(own, "word", _word_hashes))
+    if least > 1:
+        held = kept.groupBy(F.shiftrightunsigned("k", _CONTEXT_BITS).alias("context")).agg(F.sum("c").alias("c")).withColumn("q", level(F.col("c"), WORD_STEP))
+        entries = entries.union(_keyed(held, "context", lambda x: total_keys(x.to_numpy(zero_copy_only=False).view(np.uint64))))
     # a context's total has no more levels than its word
-    levels = (kept.agg(F.sum("q")).first()[0] or 0) + 2 * (own.agg(F.sum("q")).first()[0] or 0)
+    levels = (kept.agg(F.sum("q")).first()[0] or 0) + (1 + (least > 1)) * (own.agg(F.sum("q")).first()[0] or 0)
     shards = _build(entries, levels, capacity)
-    return Model(shards.filter(0), total, distinct, prior, counts_of_levels(WORD_STEP), counts_of_levels(PAIR_STEP), shards), words
+    return Model(shards.filter(0), total, distinct, prior, counts_of_levels(WORD_STEP), counts_of_levels(PAIR_STEP), shards, least <= 1), words
 
 
 # ---- Scoring
@@ -357,6 +370,8 @@ _LEXICONS: dict[str, Lexicon] = {}
 def _lexicon(mark: str, model: Model, frequent: list) -> Lexicon:
     if mark not in _LEXICONS:
         _LEXICONS.clear()
+        _hash.clear()
+        _hash.old = {}
         _LEXICONS[mark] = Lexicon(model, dict(frequent))
     return _LEXICONS[mark]
 
@@ -373,29 +388,34 @@ def _numbered(known: Lexicon, texts: list[bytes]) -> tuple[list[bytes], np.ndarr
     return flat, n, i, j
 
 
+def _packed(known: Lexicon, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.Array:
+    """For each text the levels of its tokens as a word, as the first of a pair and with the one before it."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    levels = np.stack([known.own[i], known.totals[i], known.model.pair_levels(known.hash[i], known.hash[j]).astype(np.uint16)])
+    cuts = np.cumsum(n).tolist()
+    return pa.array([pack(levels[:, a:b].tobytes()) for a, b in zip([0, *cuts], cuts)], pa.binary())
+
+
 def _levels(texts: DataFrame, model: Model, i: int) -> DataFrame:
-    """(row, levels) by shard ``i``: of each token its level as a word, as the first of a pair and with the one before it, packed."""
+    """(row, levels) by shard ``i``."""
     shared = texts.sparkSession.sparkContext.broadcast(model.shard(i))
     mark = uuid.uuid4().hex
 
     def work(batches):
         known = _lexicon(mark, shared.value, [])
-        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in blocks(batches, limit=BLOCK):
-            _, n, i, j = _numbered(known, as_bytes(batch.column("text")))
-            all_ = np.stack([known.own[i], known.totals[i], known.model.pair_levels(known.hash[i], known.hash[j]).astype(np.uint16)])
-            cuts = np.cumsum(n).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([pack(all_[:, a:b].tobytes()) for a, b in zip([0, *cuts], cuts)], pa.binary())], names=["row", "levels"])
+            _, *numbers = _numbered(known, as_bytes(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), _packed(known, *numbers)], names=["row", "levels"])
 
     out = written(texts.select("row", "text").mapInArrow(work, "row bigint, levels binary"))
     shared.destroy()
     return out
 
 
-def _by_shards(texts: DataFrame, model: Model) -> DataFrame:
-    """(row, score) of (row, text) by a filter of several shards, a pass for each."""
-    parts = [_levels(texts, model, i) for i in range(len(model.shards))]
-    rows = reduce(DataFrame.union, parts).groupBy("row").agg(F.collect_list("levels").alias("levels"))
+def _by_shards(first: DataFrame, texts: DataFrame, model: Model) -> DataFrame:
+    """(row, score) of (row, text) by a filter of several shards, a pass for each. ``first``: (row, levels) by the first."""
+    parts = [_levels(texts, model, i) for i in range(1, len(model.shards))]
+    rows = reduce(DataFrame.union, parts, first).groupBy("row").agg(F.collect_list("levels").alias("levels"))
     # the filter stays here
     bare = replace(model, filter=None, shards=None)
 
@@ -417,7 +437,6 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, hot: int = HOT) -> D
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row. ``counts``: the exact (word, c)."""
     sc = docs.sparkSession.sparkContext
     whole = len(model.shards) == 1
-    # with several shards the words are read here for their exact counts only
     shared = sc.broadcast(model.shard(0))
     frequent = sc.broadcast([(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(hot).toLocalIterator()])
     scale = model.total + 0.5 * (model.distinct + 1)
@@ -431,29 +450,33 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, hot: int = HOT) -> D
             c = known.count[i]
             there = c > 0
             base = np.bincount(doc[there], np.log10((c[there] + 0.5) / scale), len(n))
-            value = np.zeros(len(n))
-            if whole:
+            value, packed = np.zeros(len(n)), pa.nulls(len(n), pa.binary())
+            if not whole:
+                packed = _packed(known, n, i, j)
+            else:
                 pairs = known.model.pair_levels(known.hash[i], known.hash[j])
                 value = np.bincount(doc, known.model.log10(pairs, known.alone[i], known.v[j], known.held[j]), len(n))
             ends = np.cumsum(n)
             missing = np.flatnonzero(~there)
             place = np.searchsorted(missing, np.concatenate([[0], ends]))
             rare = pa.ListArray.from_arrays(pa.array(place.astype(np.int32)), pa.array([flat[i] for i in missing.tolist()], pa.binary()))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(n), pa.array(np.bincount(doc[there], minlength=len(n)).astype(np.int64)), pa.array(base), pa.array(value), rare], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(n), pa.array(np.bincount(doc[there], minlength=len(n)).astype(np.int64)), pa.array(base), pa.array(value), packed, rare], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "levels", "rare"])
 
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
     if not whole:  # each pass has to meet the same rows under the same numbers
         texts = written(texts)
-    part = written(texts.mapInArrow(work, f"row bigint, {column('doc_id', docs)}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<binary>"))
+    part = written(texts.mapInArrow(work, f"row bigint, {column('doc_id', docs)}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, levels binary, rare array<binary>"))
+    shared.destroy()
+    frequent.destroy()
     rare = part.select("row", F.explode("rare").alias("w")).groupBy("row", "w").agg(F.count("*").alias("times"))
     met = rare.join(counts, F.col("w") == F.col("word"), "left").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(scale))).alias("more_base"))
-    rows = part.drop("rare").join(met, "row", "left")
+    rows = part.drop("rare", "levels").join(met, "row", "left")
     if not whole:
-        rows = rows.drop("score").join(_by_shards(texts, model), "row")
+        rows = rows.drop("score").join(_by_shards(part.select("row", "levels"), texts, model), "row")
     return rows.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score")
 
 
-def score_corpus(docs: DataFrame, capacity: int = CAPACITY, least: int = 2, hot: int = HOT) -> DataFrame:
+def score_corpus(docs: DataFrame, capacity: int = CAPACITY, least: int = 1, hot: int = HOT) -> DataFrame:
     """score() of all of ``docs`` by a model of those that aren't held out.
 
     A null or empty text is one end token. Rows are told apart inside, so repeated rows and null ids get a row each. Of an empty table, or one

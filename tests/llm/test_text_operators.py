@@ -455,13 +455,16 @@ def plain_bigrams(texts, learnt, least):
     return out
 
 
-@pytest.mark.parametrize(("capacity", "least"), [(lm_scoring.CAPACITY, 2), (2000, 2)])
+@pytest.mark.parametrize(("capacity", "least"), [(lm_scoring.CAPACITY, 2), (2000, 2), (lm_scoring.CAPACITY, None), (2000, None)])
 def test_lm_equals_bigrams_at_any_capacity(docs, rows, capacity, least):
-    """Only false positives of the filter, about one probe in a hundred, tell the scores from a plain model's, in one shard or many."""
-    got = by_id(lm_scoring.score_corpus(docs, capacity=capacity, least=least))
+    """Only false positives of the filter, about one probe in a hundred, tell the scores from a plain model's, in one shard or many.
+
+    By default, pairs seen once count.
+    """
+    got = by_id(lm_scoring.score_corpus(docs, capacity=capacity, **{"least": least} if least else {}))
     texts = {i: (t or "").encode() for i, t, *_ in rows}
     learnt = [t for i, t in texts.items() if not got[i]["held_out"]]
-    for i, want in zip(texts, plain_bigrams(texts.values(), learnt, least)):
+    for i, want in zip(texts, plain_bigrams(texts.values(), learnt, least or 1)):
         if not got[i]["held_out"]:
             assert abs(got[i]["score"] - want) <= 0.04 * got[i]["n_tokens"] + 0.5
     model, _ = lm_scoring.learn(docs, capacity=2000)
