@@ -44,15 +44,22 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", least=16),
     Rule("hex", r"[0-9a-f]{32,}"),
 )
-#: Further public credential formats.
+#: A private key goes from BEGIN to the END of the same label; without that (or with another BEGIN or END before it), over known header lines and as far
+#: as the run of base64 goes: words of 16 characters or more, on lines of their own or escaped, and up to two shorter lines after them.
+_KEY = (
+    r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY( BLOCK|)-----(?:(?:[^-]|-(?!----(?:BEGIN|END) ))*+-----END \1PRIVATE KEY\2-----"
+    r"|(?:(?:\s|\\[nrt])*+(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):[^\r\n\\]*+)*+(?:(?:\s|\\[nrt])*+[A-Za-z0-9+/=]{16,}+(?:(?:\s|\\[nrt])++[A-Za-z0-9+/=]{16,}+)*+"
+    r"(?:(?:\r?\n|(?:\\r)?\\n)[A-Za-z0-9+/=]{1,15}+(?=[ \t]*(?:[\r\n\\\"']|\Z))){0,2}+)?+)"
+)
+#: Further public credential formats. Values have no upper bound, so that a span covers the whole value.
 EXTRA = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
-    Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
-    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,250}"),
-    Rule("cloud_key", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("payment", r"[rs]k_live_[A-Za-z0-9]{16,250}"),
+    Rule("private_key", _KEY),
+    Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("cloud_key", r"AIza[A-Za-z0-9_-]{35,}"),
+    Rule("payment", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/@]{1,64}@"),
+    Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@]++:[^\s/@]++@"),
 )
 RULES = BASE + EXTRA
 

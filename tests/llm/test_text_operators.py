@@ -139,6 +139,37 @@ def test_secrets(docs, rows, odd, empty):
     assert [r["text"] for r in secrets.redact(odd).collect()].count(None) == 1
 
 
+def test_redaction_leaves_nothing_of_a_secret(spark):
+    rng = np.random.default_rng(2)
+    base = lambda n: "".join(rng.choice(list("ABCDEFGHabcdefgh0123+/"), n))
+    body = "\n".join([*(base(64) for _ in range(20)), "Qw+/12=="])
+    key = lambda label, inside, end: f"-----BEGIN {label}-----\n{inside}" + f"\n-----END {label}-----" * end
+    texts = {
+        "pem": key("RSA PRIVATE KEY", body, True),
+        "bare": key("PRIVATE KEY", body, True),
+        "headers": key("EC PRIVATE KEY", f"Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body}", True),
+        "pgp": key("PGP PRIVATE KEY BLOCK", f"Version: X 1\n\n{body}\n=ab1/", True),
+        "escaped": key("OPENSSH PRIVATE KEY", body, True).replace("\n", "\\n"),
+        "open": key("RSA PRIVATE KEY", body, False),
+        "open headers": key("EC PRIVATE KEY", f"Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body}", False),
+        "open escaped": key("PRIVATE KEY", body, False).replace("\n", "\\n"),
+        "other end": key("RSA PRIVATE KEY", body, False) + "\n-----END CERTIFICATE-----",
+        "code": "ghp_" + "a1" * 300,
+        "chat": "xoxb-" + "a1-" * 200,
+        "cloud": "AIza" + "x" * 90,
+        "payment": "sk_live_" + "a1" * 300,
+    }
+    texts["two"] = texts["open"] + "\nthe next one\n" + texts["pem"]
+    docs = spark.createDataFrame([(i, f"before {t}\nafter the end") for i, t in enumerate(texts.values())], "doc_id bigint, text string")
+    got = [r["text"] for r in secrets.redact(docs).orderBy("doc_id").collect()]
+    kinds = ["private_key"] * 9 + ["code_host", "chat", "cloud_key", "payment"]
+    rest = ["\n-----END CERTIFICATE-----" if name == "other end" else "" for name in texts]
+    assert got[:-1] == [f"before [{k}]{r}\nafter the end" for k, r in zip(kinds, rest)]
+    assert got[-1] == "before [private_key]\nthe next one\n[private_key]\nafter the end"
+    login = spark.createDataFrame([(0, "see db://me:" + "p4" * 100 + "@host/x and " + "u" * 90 + " db://" + "u" * 90 + ":pw@h")], "doc_id bigint, text string")
+    assert secrets.redact(login).first()["text"] == "see [url_login]host/x and " + "u" * 90 + " [url_login]h"
+
+
 @pytest.mark.parametrize(("pattern", "query"), [("abcd", {b"abc", b"bcd"}), ("[0-9]+", set()), ("AbC|xyzw", {b"abc", b"xyz", b"yzw"}), ("ab(c|d)e", {b"abc", b"bce", b"abd", b"bde"}), ("abc*", set()), ("(abc)?def", {b"def"}), ("a.cdef", {b"cde", b"def"})])
 def test_trigram_queries(pattern, query):
     assert secrets.trigrams(secrets.trigram_query(pattern)) >= query
