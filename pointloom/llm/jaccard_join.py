@@ -11,6 +11,9 @@ What is left are lists with sets of different classes. A set that is in fewer of
 is taken out, which thins the lists and is repeated. Sets that are still together in a list form a block of candidates; blocks are verified by
 exact overlaps of whole sets, large ones as pairs of parts, and only links that join two classes leave the task, never the candidates. A pair
 that was left out has too few matches or is in one class already, so classes come out as from all links.
+
+All links lie within classes. If their number is asked for, the sets of each class are compared with each other by exact overlaps, large classes
+as pairs of parts, and each row counts the rows of the sets that link with its own and the other rows of its own set.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ PER_MATCH, COSTLY = 32, 8.0
 THINNED, PART_BYTES = 3, 1 << 20
 #: Partners of one set that are verified in one go.
 FAN = 256
+#: Sets in a part of a class whose links are counted, at most about so many; and the rows of overlaps that are held at once.
+PART_SETS, STRIP = 4096, 512
 CHUNK = 1 << 18
 
 
@@ -290,6 +295,79 @@ def _block_verified(members: DataFrame, k: int, percent: int) -> DataFrame:
     return dealt.groupBy("block", "i", "j").applyInArrow(work, "sid bigint, other bigint")
 
 
+def count_links(one: list[np.ndarray], two: list[np.ndarray] | None, copies: np.ndarray, other: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each set of ``one`` and of ``two`` the rows of the other side that link with it, by exact overlaps. Without ``two``, ``one`` with itself."""
+    alone = two is None
+    two, other = (one, copies) if alone else (two, other)
+    n, m = np.array([len(s) for s in one], np.int64), np.array([len(s) for s in two], np.int64)
+    token, number = np.unique(np.concatenate([*one, *two]), return_inverse=True)
+    a, b = number[: n.sum()], number[n.sum() :]
+    owner_a, owner_b = np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)
+    by_token = np.argsort(b, kind="stable")
+    posted, in_b = owner_b[by_token], np.bincount(b, minlength=len(token))
+    start = np.cumsum(in_b) - in_b
+    # what many sets have is multiplied as a matrix, the rest by posting lists
+    dense = np.bincount(a, minlength=len(token)) * in_b * 50 > len(n) * len(m)
+    column = np.flatnonzero(dense)
+    place = np.cumsum(dense) - 1
+    here, there = np.zeros(len(n), np.int64), np.zeros(len(m), np.int64)
+    starts = np.concatenate([[0], np.cumsum(n)])
+    for low in range(0, len(n), STRIP):
+        high = min(low + STRIP, len(n))
+        t, row = a[starts[low] : starts[high]], owner_a[starts[low] : starts[high]] - low
+        thin = ~dense[t]
+        x, times = t[thin], in_b[t[thin]]
+        at = np.repeat(start[x] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+        both = np.bincount(np.repeat(row[thin], times) * len(m) + posted[at], minlength=(high - low) * len(m)).reshape(high - low, len(m))
+        for c in range(0, len(column), STRIP):
+            width = min(STRIP, len(column) - c)
+            mine, theirs = np.zeros((high - low, width), np.float32), np.zeros((len(m), width), np.float32)
+            u, v = dense[t] & (place[t] >= c) & (place[t] < c + width), dense[b] & (place[b] >= c) & (place[b] < c + width)
+            mine[row[u], place[t[u]] - c] = 1
+            theirs[owner_b[v], place[b[v]] - c] = 1
+            both += (mine @ theirs.T).astype(np.int64)
+        hit = 100 * both >= percent * (n[low:high, None] + m[None] - both)
+        if alone:
+            hit[np.arange(high - low), np.arange(low, high)] = False
+        here[low:high] = hit @ other
+        there += copies[low:high] @ hit
+    return here, there
+
+
+def _link_counts(members: DataFrame, k: int, percent: int) -> DataFrame:
+    """(sid, linked): how many rows of other sets link with each set that has any, of rows of sid, block, copies, packed. Links lie within blocks.
+
+    Blocks of more than PART_BYTES or PART_SETS are compared as all pairs of parts; small ones go together.
+    """
+    members = written(members)
+    size = members.groupBy("block").agg(F.greatest(F.ceil(F.sum(F.octet_length("packed")) / PART_BYTES), F.ceil(F.count("*") / PART_SETS)).cast("int").alias("n_parts"))
+    bundles = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), (members.agg(F.sum(F.octet_length("packed"))).first()[0] or 0) // PART_BYTES)
+    dealt = members.join(size, "block").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("n_parts")).cast("int"))
+    dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
+    small = F.col("n_parts") == 1
+    dealt = dealt.select("sid", "block", "copies", "packed", "part", F.when(small, F.pmod(F.xxhash64("block"), F.lit(bundles))).otherwise(F.col("block")).alias("bundle"), small.alias("small"), F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"))
+    dealt = dealt.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "small", "bundle", "i", "j")
+
+    def work(table: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor().decompress
+        rows = table.sort_by([("block", "ascending"), ("part", "ascending")])
+        block, part, copies = (rows.column(c).to_numpy() for c in ("block", "part", "copies"))
+        two = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+        linked = np.zeros(len(block), np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for a, b in zip(cuts, cuts[1:]):
+            sets = shingle_sets([unpack(x) for x in rows.column("packed").slice(a, b - a).to_pylist()], k)
+            c = int(np.searchsorted(part[a:b], part[a], "right")) if two else b - a
+            if two and c < b - a:
+                linked[a : a + c], linked[a + c : b] = count_links(sets[:c], sets[c:], copies[a : a + c], copies[a + c : b], percent)
+            elif not two and c > 1:
+                linked[a:b] = count_links(sets, None, copies[a:b], copies[a:b], percent)[0]
+        some = np.flatnonzero(linked)
+        return pa.table({"sid": rows.column("sid").take(pa.array(some)).combine_chunks(), "linked": pa.array(linked[some])})
+
+    return dealt.groupBy("small", "bundle", "i", "j").applyInArrow(work, "sid bigint, linked bigint").groupBy("sid").agg(F.sum("linked").alias("linked"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The (sid, other) of ``pairs`` that reach the threshold. The partners of one set come in groups of about FAN, its own text with each."""
     # the set with more partners stands still
@@ -330,9 +408,11 @@ def _as_edges(links: DataFrame, sets: DataFrame) -> DataFrame:
     return links.join(one, links["sid"] == one["s1"]).join(two, links["other"] == two["s2"]).select("u", "v")
 
 
-def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, links: bool = False) -> DataFrame:
     """doc_id, n_shingles, copy_of (the smallest doc_id with the same set) and component_id (the smallest doc_id that links lead to) of every row.
 
+    ``links`` adds n_links: how many other rows each row links with, those of the same set among them.
+
     Sets are of distinct ``shingle``-word sequences, A-Z folded; two rows link at a Jaccard similarity of ``percent`` or more. Rows without words, null
     texts among them, have no shingles and are linked with nothing. Every row is judged by its own text, so rows that share a doc_id get a row each;
     ids are integers, and a row with a null id takes the class of its set, which is null if all ids of the class are. Empty tables give no rows.
@@ -343,7 +423,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     rows = signed.where("n IS NOT NULL").select("doc_id", "n", "sid")
     # classes are numbered by doc_id; a null id stands for the largest number
     last = (1 << 63) - 1
-    sets = written(rows.where("n > 0").groupBy("sid").agg(F.min(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(last))).alias("doc")))
+    sets = written(rows.where("n > 0").groupBy("sid").agg(F.min(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(last))).alias("doc"), F.count("*").alias("copies")))
     often = signed.where("h IS NOT NULL").select(F.explode(F.arrays_zip("h", "times")).alias("x")).groupBy("x.h").agg(F.sum("x.times").alias("times")).orderBy(F.desc("times"), "h").limit(FREQUENT).collect()
     often.sort(key=lambda r: r["h"] % (1 << 64))
     order = spark.sparkContext.broadcast(Order(np.array([r["h"] for r in often], np.int64).view(np.uint64), np.array([r["times"] for r in often], np.int64)))
@@ -388,9 +468,18 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     more = written(_as_edges(_block_verified(members, shingle, percent), sets))
     label = components(edges.union(more))
 
+    if links:
+        label = written(label)
+        classed = sets.join(label, F.col("doc") == F.col("v")).select("sid", F.col("label").alias("block"), "copies")
+        linked = _link_counts(classed.join(full, "sid"), shingle, percent).withColumnRenamed("sid", "l")
+        counted = sets.join(linked, F.col("sid") == F.col("l"), "left").select("sid", "doc", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("links"))
+    else:
+        counted = sets.select("sid", "doc", F.lit(None).cast("bigint").alias("links"))
+
     # a group of equal sets may hold much of the table: its row is spread over salts
     salts = 8
-    final = sets.join(label, F.col("doc") == F.col("v"), "left").select(F.col("sid").alias("s"), F.nullif("doc", F.lit(last)).alias("copy_of"), F.nullif(F.coalesce("label", "doc"), F.lit(last)).alias("component"))
+    final = counted.join(label, F.col("doc") == F.col("v"), "left").select(F.col("sid").alias("s"), F.nullif("doc", F.lit(last)).alias("copy_of"), F.nullif(F.coalesce("label", "doc"), F.lit(last)).alias("component"), "links")
     final = final.withColumn("part", F.explode(F.array(*map(F.lit, range(salts)))))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    return rows.join(final, (rows["sid"] == final["s"]) & (rows["salt"] == final["part"]), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("copy_of", "doc_id").cast(docs.schema["doc_id"].dataType).alias("copy_of"), F.coalesce("component", "doc_id").cast(docs.schema["doc_id"].dataType).alias("component_id"))
+    out = rows.join(final, (rows["sid"] == final["s"]) & (rows["salt"] == final["part"]), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("copy_of", "doc_id").cast(docs.schema["doc_id"].dataType).alias("copy_of"), F.coalesce("component", "doc_id").cast(docs.schema["doc_id"].dataType).alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    return out if links else out.drop("n_links")

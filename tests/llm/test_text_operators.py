@@ -424,6 +424,41 @@ def test_jaccard_near_threshold(spark, frequent, monkeypatch):
     assert got == plain_classes(rows)
 
 
+def plain_links(rows):
+    """How many other rows each row links with, by comparing all of them."""
+    sets = []
+    for _, t, *_ in rows:
+        w = words(fold(t))
+        sets.append(frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    return [sum(bool(a and b) and 100 * len(a & b) >= 80 * len(a | b) for b in sets) - bool(a) for a in sets]
+
+
+@pytest.mark.parametrize("part", [1 << 20, 300])
+def test_jaccard_links(docs, rows, odd, empty, part, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PART_BYTES", part)
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.classes(docs, links=True).collect()}
+    assert got == {r[0]: n for r, n in zip(rows, plain_links(rows))} and max(got.values()) > 10
+    if part > 300:
+        assert jaccard_join.classes(empty, links=True).count() == 0
+        assert sorted((str(r["doc_id"]), r["n_shingles"], r["n_links"]) for r in jaccard_join.classes(odd, links=True).collect()) == [("1", 1, 0), ("1", 2, 2), ("1", 2, 2), ("None", 0, 0), ("None", 2, 2)]
+
+
+def test_link_counts_of_two_sides():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 60, 200).astype(np.uint64)
+    sets = []
+    for _ in range(700):
+        x = base.copy()
+        x[rng.integers(0, 200, rng.integers(0, 30))] = rng.integers(0, 1 << 60)
+        sets.append(np.unique(x[: rng.integers(150, 201)]))
+    copies = rng.integers(1, 4, 700)
+    link = np.array([[100 * (c := len(np.intersect1d(a, b))) >= 80 * (len(a) + len(b) - c) for b in sets[:40]] for a in sets])
+    here, there = jaccard_join.count_links(sets, sets[:40], copies, copies[:40], 80)
+    assert (here == link @ copies[:40]).all() and (there == copies @ link).all() and 0 < link.mean() < 1
+    own, _ = jaccard_join.count_links(sets[:40], None, copies[:40], copies[:40], 80)
+    assert (own == (link[:40] & ~np.eye(40, dtype=bool)) @ copies[:40]).all()
+
+
 # ---- 1: language model
 
 
