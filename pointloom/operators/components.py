@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.plans.storage import written
+from pointloom.plans.storage import released, written
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         if mark == before or not mark[0]:
             break
         before = mark
-        now = written(_small_star(_large_star(now)))
+        last, now = now, written(_small_star(_large_star(now)))
+        released(last)
     else:
         raise RuntimeError("components didn't settle")
     labels = now.select(F.col("u").alias("v"), F.col("v").alias("label"))

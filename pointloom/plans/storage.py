@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir, or, where none is set (as in tests), below the checkpoint or warehouse folder."""
+    """A new path below spark.checkpoint.dir, or below the checkpoint folder that the session was given.
+
+    One of them must be set, but where driver and executors are one process, as in tests: there it is below the warehouse.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    master = spark.sparkContext.master
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     base = base or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
     return f"{base.rstrip('/')}/pointloom-{uuid.uuid4().hex}"
 
@@ -18,4 +24,14 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again: what is computed once stays when executors are lost."""
     path = shared_folder(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes what written() made of these, once nothing that is still to run reads them."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
