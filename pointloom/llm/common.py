@@ -14,14 +14,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.plans.storage import written
+from pointloom.plans.storage import released, written
 
-__all__ = ["BLOCK_BYTES", "WORD", "as_bytes", "blocks", "column", "documents", "texts_of", "written"]
+__all__ = ["ARRAY_BYTES", "BLOCK_BYTES", "WORD", "as_bytes", "blocks", "column", "documents", "released", "texts_of", "written"]
 
 #: One word, as a Java and Python regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are worked on in blocks of about so many bytes; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
+#: Arrays made of a block take some forty times its bytes.
+ARRAY_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,16 +4,15 @@ Each set is ordered by a global order, frequent shingles last. If two sets reach
 both have l in common at least, for every l. A set's l is chosen by the estimated cost of its candidates: the more documents share its prefix,
 the longer the prefix and the more matches a candidate needs before it is verified.
 
-Sets that are equal become one set first. Then each set is verified with one other: the head that it meets in most posting lists, a list's head
-being the set that shares most tokens with others, as an original does among its copies. That joins most copies by as many pairs as there are sets.
+Equal sets become one first. Prefix shingles are dealt to buckets by their hash, packed by task. A bucket makes the posting lists and sends on what
+stands in a list with another set of about its size. A set that is in fewer of the lists than any partner asks for can't link and is taken out, which
+shortens the lists and is repeated. Then
 
-What is left are lists with sets of different classes. A set that is in fewer of them than it needs matches can't have a link to another class and
-is taken out, which thins the lists and is repeated. Sets that are still together in a list form a block of candidates; blocks are verified by
-exact overlaps of whole sets, large ones as pairs of parts, and only links that join two classes leave the task, never the candidates. A pair
-that was left out has too few matches or is in one class already, so classes come out as from all links.
+* lists of at most SHORT sets send their pairs, equal lists once with their number, and a pair with the matches that both its sets ask for is verified;
+* sets that meet in longer lists, as in a family of near copies, form blocks, which are never turned into pairs of rows: a task holds a block, or two
+  parts of a large one, counts the matches of all its sets at once, and compares whole sets where there are enough.
 
-All links lie within classes. If their number is asked for, the sets of each class are compared with each other by exact overlaps, large classes
-as pairs of parts, and each row counts the rows of the sets that link with its own and the other rows of its own set.
+Both count the same links, none twice. Classes are connected components over the names of sets; ids come in at the end.
 """
 
 from __future__ import annotations
@@ -24,26 +23,31 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import as_bytes, blocks, column, written
+from pointloom.llm.common import ARRAY_BYTES, as_bytes, blocks, column, released, written
 from pointloom.llm.words import Words
 from pointloom.operators.components import components
 
 SHINGLE, PERCENT = 5, 80
-#: Shingles whose frequency is broadcast (12 bytes each), the most frequent; and how often one occurs in a block to be counted.
-FREQUENT, LOCAL = 1 << 17, 3
+#: Shingles whose frequency is broadcast, the most frequent (12 bytes each), and the occurrences that one has at least.
+FREQUENT, LEAST = 1 << 20, 3
 #: A prefix asks for one more match for each so many shingles of the set, as the cost of verifying a candidate grows with the set;
 #: twice or four times as many where its shingles occur in COSTLY documents, or four times that, on average.
 PER_MATCH, COSTLY = 32, 8.0
-#: Times that sets with too few matches are taken out, and packed bytes in a part of a block of candidates.
-THINNED, PART_BYTES = 3, 1 << 20
+#: Shingles of documents that frequent are not gathered in a bucket: each is a long list, known by its hash.
+HOT = 1000
+#: Times that sets with too few matches are taken out, and sets in a list that sends pairs.
+THINNED, SHORT = 3, 32
 #: Partners of one set that are verified in one go.
 FAN = 256
-#: Sets in a part of a class whose links are counted, at most about so many; and the rows of overlaps that are held at once.
-PART_SETS, STRIP = 4096, 512
-CHUNK = 1 << 18
+#: Packed bytes and sets in a part of a block, at most about so many; and the rows of overlaps that are held at once.
+PART_BYTES, PART_SETS, STRIP = 1 << 20, 4096, 512
+#: Shingles in a bucket, about, and in what a task holds before it sends; sets that are broadcast to fetch their texts.
+BUCKET, HELD, FEW_SETS = 1 << 19, 1 << 21, 1 << 19
+#: Sizes are compared by bands, each 2 % above the one before.
+_BAND = float(np.log(1.02))
 
 
 def need(n: int, percent: int) -> int:
@@ -55,326 +59,388 @@ def linked(a: int, b: int, both: int, percent: int) -> bool:
     return 100 * both >= percent * (a + b - both)
 
 
-def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def shingle_sets(texts: pa.Array | list[bytes], k: int) -> list[np.ndarray]:
     """Each text's distinct shingle hashes, ascending; a text of fewer words is one shingle, and one without words has none."""
     w = Words(texts, lower=True)
     grams = w.grams(k)
     out = []
     for i, (a, n) in enumerate(zip(w.starts.tolist(), w.counts.tolist())):
-        out.append(np.unique(grams[a : a + n - k + 1]) if n >= k else np.array([w.whole(i)] if n else [], np.uint64))
+        out.append(_distinct(grams[a : a + n - k + 1]) if n >= k else np.array([w.whole(i)] if n else [], np.uint64))
     return out
 
 
 def _name(s: np.ndarray) -> int:
-    """64 bits that name a set, together with its size."""
+    """64 bits that name a set."""
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
 
 
-def _signed(docs: DataFrame, k: int, local: int) -> DataFrame:
-    """A row for each document with the size and name of its set, and one for each block with its frequent shingles."""
+def _signed(texts: DataFrame, k: int) -> DataFrame:
+    """doc_id, tie, n and sid of every row: the size and name of its set."""
 
     def work(batches):
-        for batch in blocks(batches):
-            sets = shingle_sets(as_bytes(batch.column("text")), k)
-            names = [_name(s) if len(s) else None for s in sets]
-            apart = {}
-            for name, s in zip(names, sets):
-                apart.setdefault(name, s)
-            h, n = np.unique(np.concatenate(list(apart.values())), return_counts=True)
-            often = n >= local
-            none = [None] * len(sets)
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([batch.column("doc_id"), pa.nulls(1, batch.column("doc_id").type)]), pa.array([*map(len, sets), None], pa.int64()), pa.array([*names, None], pa.int64()), pa.array([*none, h[often].view(np.int64)], pa.list_(pa.int64())), pa.array([*none, n[often]], pa.list_(pa.int64()))], names=["doc_id", "n", "sid", "h", "times"])
+        for batch in blocks(batches, limit=ARRAY_BYTES):
+            sets = shingle_sets(batch.column("text"), k)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(list(map(len, sets)), pa.int64()), pa.array([_name(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "tie", "n", "sid"])
 
-    return docs.mapInArrow(work, f"{column('doc_id', docs)}, n bigint, sid bigint, h array<bigint>, times array<bigint>")
+    return texts.mapInArrow(work, f"{column('doc_id', texts)}, tie bigint, n bigint, sid bigint")
 
 
-@dataclass(frozen=True)
-class Order:
-    """Frequent shingles, ascending, and about how many documents have each: at most FREQUENT of them."""
+# ---- The order
 
-    hashes: np.ndarray
-    times: np.ndarray
 
-    def times_of(self, s: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.ones(len(s), np.int64)
-        i = np.minimum(np.searchsorted(self.hashes, s), len(self.hashes) - 1)
-        return np.where(self.hashes[i] == s, self.times[i], 1)
+def _bits(items: int, each: int, least: int) -> int:
+    """Bits of the number of a bucket, so that a bucket has about ``each`` of the items and there are ``least`` buckets."""
+    return int(np.ceil(np.log2(max(1, least, -(-items // each)))))
 
-    def prefix(self, s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-        """The prefix and how many matches it asks for."""
-        times = self.times_of(s)
-        order = np.argsort(times, kind="stable")  # hashes ascend already
-        n, least = len(s), need(len(s), percent)
-        base = n - least + 1
-        cost = float(times[order[:base]].mean())
-        matches = min(least, 1 + n // PER_MATCH * (1 if cost < COSTLY else 2 if cost < 4 * COSTLY else 4))
-        return s[order[: base + matches - 1]], matches
 
+def _bucket_cuts(keys: np.ndarray, bits: int) -> list[int]:
+    """Where each of 2**bits buckets begins in ascending keys, and the end."""
+    if not bits:
+        return [0, len(keys)]
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    return [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
 
-def _entries(docs: DataFrame, order, k: int, percent: int) -> DataFrame:
-    """(token, sid, n, l): the prefix tokens of every set, once for each block."""
 
-    def work(batches):
-        known = order.value
-        for batch in blocks(batches):
-            done, rows = set(), []
-            for s in shingle_sets(as_bytes(batch.column("text")), k):
-                if not len(s) or (name := _name(s)) in done:
-                    continue
-                done.add(name)
-                tokens, matches = known.prefix(s, percent)
-                rows.append((tokens, name, len(s), matches))
-            if rows:
-                times = [len(t) for t, *_ in rows]
-                spread = lambda i, kind: pa.array(np.repeat(np.array([r[i] for r in rows], kind), times))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[0] for r in rows]).view(np.int64)), spread(1, np.int64), spread(2, np.int32), spread(3, np.int32)], names=["token", "sid", "n", "l"])
+def _short(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The 32 bits after the number of the bucket."""
+    return (keys >> np.uint64(32 - bits) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
-    return docs.mapInArrow(work, "token bigint, sid bigint, n int, l int")
 
+def _frequencies(texts: DataFrame, k: int, bits: int) -> DataFrame:
+    """(bucket, keys, times): of each bucket the most frequent shingles, FREQUENT in all at most. Shingles are counted by ``bits`` + 32 bits of their hash."""
 
-def _columns(batch, names):
-    return tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in names)
+    def count(batches):
+        held, size = [], 0
 
+        def sent():
+            u, n = np.unique(np.concatenate(held), return_counts=True)
+            short, cuts = _short(u, bits), _bucket_cuts(u, bits)
+            rows = [(b, short[i:j].tobytes(), np.minimum(n[i:j], 255).astype(np.uint8).tobytes()) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[c] for r in rows], pa.binary()) for c in (1, 2))], names=["bucket", "keys", "times"])
 
-def _lists(percent: int):
-    """Entries come by token, size and sid. Sends on, once, those of lists where another set is near enough in size for a link."""
+        for batch in blocks(batches, limit=ARRAY_BYTES):
+            sets = {s.tobytes(): s for s in shingle_sets(batch.column("text"), k) if len(s)}
+            if sets:
+                held.append(np.concatenate(list(sets.values())))
+                size += len(held[-1])
+            if size >= HELD:
+                yield sent()
+                held, size = [], 0
+        if held:
+            yield sent()
 
-    def sent(token, sid, n, l):
-        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(sid), pa.array(n), pa.array(l)], names=["token", "sid", "n", "l"])
+    most = max(1, FREQUENT >> bits)
 
-    def work(batches):
-        last = None  # the entry before, which is sent when its neighbour is known, and whether it goes out already
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            token, sid, n, l = _columns(batch, ("token", "sid", "n", "l"))
-            if last is not None:
-                token, sid, n, l = (np.concatenate([x, y]) for x, y in zip(last[0], (token, sid, n, l)))
-            fresh = np.ones(len(token), bool)
-            fresh[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
-            token, sid, n, l = token[fresh], sid[fresh], n[fresh], l[fresh]
-            # sizes ascend, so an entry has a partner if its neighbour is one
-            near = np.zeros(len(token) + 1, bool)
-            near[1:-1] = (token[1:] == token[:-1]) & (n[1:].astype(np.int64) * percent <= n[:-1].astype(np.int64) * 100)
-            goes = near[:-1] | near[1:]
-            if last is not None:
-                goes[0] |= last[1]
-            last = (tuple(x[-1:] for x in (token, sid, n, l)), bool(goes[-1]))
-            out = np.flatnonzero(goes[:-1])
-            if len(out):
-                yield sent(token[out], sid[out], n[out], l[out])
-        if last is not None and last[1]:
-            yield sent(*last[0])
+    def reduce(table: pa.Table) -> pa.Table:
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32)
+        times = np.frombuffer(b"".join(table.column("times").to_pylist()), np.uint8).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        keys, times = keys[order], times[order]
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        keys, times = keys[at], np.add.reduceat(times, at)
+        often = np.flatnonzero(times >= LEAST)
+        if len(often) > most:
+            often = np.sort(often[np.lexsort((often, -times[often]))[:most]])
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "keys": pa.array([keys[often].tobytes()], pa.binary()), "times": pa.array([times[often].astype(np.uint32).tobytes()], pa.binary())})
 
-    return work
+    kind = "bucket int, keys binary, times binary"
+    return texts.select("text").mapInArrow(count, kind).groupBy("bucket").applyInArrow(reduce, kind)
 
 
-def _by_list(batches, names):
-    """The columns ``names`` of each list whole, of batches in order of token."""
-    held: list = []
-    open_ = None
-    for batch in batches:
-        token, *rest = _columns(batch, ("token", *names))
-        cuts = [0, *(np.flatnonzero(np.diff(token)) + 1).tolist(), len(token)]
-        for a, b in zip(cuts, cuts[1:]):
-            if a == b:
-                continue
-            if held and open_ != token[a]:
-                yield [np.concatenate(x) for x in zip(*held)]
-                held = []
-            open_ = token[a]
-            held.append([x[a:b] for x in rest])
-    if held:
-        yield [np.concatenate(x) for x in zip(*held)]
+@dataclass(frozen=True)
+class Order:
+    """Frequent shingles by the upper bits of their hash, ascending, and about how many documents have each."""
 
+    bits: int
+    keys: np.ndarray
+    times: np.ndarray
 
-def _counted(found):
-    rows, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
-    return pa.RecordBatch.from_arrays([*(pa.array(rows[:, i]) for i in range(3)), pa.array(times.astype(np.int64))], names=["sid", "other", "l", "times"])
+    @staticmethod
+    def of(frequencies: DataFrame, bits: int) -> Order:
+        rows = sorted(frequencies.collect(), key=lambda r: r["bucket"])
+        keys = [np.frombuffer(r["keys"], np.uint32).astype(np.uint64) | np.uint64(r["bucket"] << 32) for r in rows]
+        return Order(bits, np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(r["times"], np.uint32) for r in rows)]))
 
+    def times_of(self, tokens: np.ndarray) -> np.ndarray:
+        out = np.ones(len(tokens), np.uint32)
+        if len(self.keys):
+            short = tokens >> np.uint64(32 - self.bits)
+            i = np.minimum(np.searchsorted(self.keys, short), len(self.keys) - 1)
+            same = self.keys[i] == short
+            out[same] = self.times[i[same]]
+        return out
 
-def _pairs(of_list, names):
-    """Sends the pairs (sid, other, l) that ``of_list`` makes of each list, counted as far as they are held at once."""
+    def prefixes(self, sets: list[np.ndarray], percent: int) -> list[tuple[np.ndarray, int, int]]:
+        """For each set its prefix in order, how many matches it asks for, and the factor that this has by its cost."""
+        times = np.split(self.times_of(np.concatenate(sets)), np.cumsum(list(map(len, sets)))[:-1]) if sets else []
+        out = []
+        for s, t in zip(sets, times):
+            n = len(s)
+            base = n - need(n, percent) + 1
+            if int(t.max()) > 1:
+                order = np.argsort(t, kind="stable")  # hashes ascend already
+                s, t = s[order], t[order]
+            cost = float(t[:base].mean())
+            factor = 1 if cost < COSTLY else 2 if cost < 4 * COSTLY else 4
+            matches = asked(n, factor, percent)
+            out.append((s[: base + matches - 1], matches, factor))
+        return out
 
-    def work(batches):
-        found, size = [], 0
-        for columns in _by_list(batches, names):
-            for part in of_list(*columns):
-                found.append(part)
-                size += len(part)
-                if size >= CHUNK:
-                    yield _counted(found)
-                    found, size = [], 0
-        if found:
-            yield _counted(found)
 
-    return work
+def asked(n: int, factor: int, percent: int) -> int:
+    """The matches that a set of n asks for."""
+    return min(need(n, percent), 1 + n // PER_MATCH * factor)
 
 
-def _stars(percent: int):
-    """Lists come with the most sharing set first: each other entry of another class with the first head whose size it fits."""
+# ---- Posting lists
 
-    def of_list(sid, n, l, cls):
-        left = np.arange(len(sid))
-        n = n.astype(np.int64)
-        while len(left) > 1 and not (cls[left] == cls[left[0]]).all():
-            h, rest = left[0], left[1:]
-            fits = np.minimum(n[rest], n[h]) * 100 >= np.maximum(n[rest], n[h]) * percent
-            x = rest[fits & (cls[rest] != cls[h])]
-            if len(x):
-                yield np.stack([np.full(len(x), sid[h]), sid[x], np.minimum(l[h], l[x])], axis=1).astype(np.int64)
-            left = rest[~fits]
 
-    return of_list
+def _bands(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(n) / _BAND + 1e-9).astype(np.int64)
 
 
-def _chained(sid, cls):
-    """A list as a star: its first set with each other."""
-    if len(sid) > 1 and not (cls == cls[0]).all():
-        yield np.stack([np.full(len(sid) - 1, sid[0]), sid[1:], np.zeros(len(sid) - 1, np.int64)], axis=1)
+def _entries(texts: DataFrame, order, k: int, percent: int, bits: int) -> DataFrame:
+    """(bucket, keys, sids, codes): prefix shingles of sets, packed by bucket. A code is the size's band, times 4, and the factor's power of 2.
 
+    Shingles of HOT documents or more come alone, one to a row, under bucket -1.
+    """
 
-def _mixed_lists(lists: DataFrame) -> DataFrame:
-    """The entries of those lists that hold more than one class."""
-    span = lists.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-    return lists.join(span, "token", "left_semi")
+    def work(batches):
+        known = order.value
+        held, size = [], 0
+
+        def sent():
+            token, sid, code = (np.concatenate(x) for x in zip(*held))
+            hot = known.times_of(token) >= HOT
+            rows = [(-1, token[i : i + 1].tobytes(), sid[i : i + 1].tobytes(), code[i : i + 1].tobytes()) for i in np.flatnonzero(hot).tolist()]
+            token, sid, code = token[~hot], sid[~hot], code[~hot]
+            by = np.argsort(token, kind="stable")
+            token, sid, code = token[by], sid[by], code[by]
+            short, cuts = _short(token, bits), _bucket_cuts(token, bits)
+            rows += [(b, short[i:j].tobytes(), sid[i:j].tobytes(), code[i:j].tobytes()) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[c] for r in rows], pa.binary()) for c in (1, 2, 3))], names=["bucket", "keys", "sids", "codes"])
+
+        for batch in blocks(batches, limit=ARRAY_BYTES):
+            sets = {_name(s): s for s in shingle_sets(batch.column("text"), k) if len(s)}
+            if sets:
+                found = known.prefixes(list(sets.values()), percent)
+                times = [len(p) for p, _, _ in found]
+                n = np.array(list(map(len, sets.values())), np.int64)
+                code = (_bands(n) * 4 + np.array([f.bit_length() - 1 for _, _, f in found])).astype(np.int16)
+                held.append((np.concatenate([p for p, _, _ in found]), np.repeat(np.array(list(sets), np.int64), times), np.repeat(code, times)))
+                size += len(held[-1][0])
+            if size >= HELD:
+                yield sent()
+                held, size = [], 0
+        if held:
+            yield sent()
+
+    return texts.select("text").mapInArrow(work, "bucket int, keys binary, sids binary, codes binary")
+
+
+_SHARED = "token bigint, sid bigint, code smallint"
 
 
-def block_links(sets: list[np.ndarray], sids: list[int], labels: list[int], parts: list[int], percent: int) -> list[tuple[int, int]]:
-    """Links between sets of different classes, no more than join the classes; of two parts only those across them."""
-    sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(np.concatenate(sets), kind="stable") if len(sets) else np.zeros(0, np.int64)
-    token = np.concatenate(sets)[order] if len(sets) else order
-    posted = owner[order]
-    root = {x: x for x in labels}
+def _lists(percent: int):
+    """The entries, told once, of those lists of a bucket where another set is near enough in size for a link."""
+    reach = int(np.ceil(np.log(100 / percent) / _BAND)) + 1
 
-    def top(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+    def work(table: pa.Table) -> pa.Table:
+        read = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
+        key, sid, code = read("keys", np.uint32), read("sids", np.int64), read("codes", np.int16)
+        by = np.argsort(key, kind="stable")
+        key, sid, code = key[by], sid[by], code[by]
+        # most shingles stand alone
+        same = key[1:] == key[:-1]
+        some = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        key, sid, code = key[some], sid[some], code[some]
+        by = np.lexsort((sid, code >> 2, key))
+        key, sid, band, code = key[by], sid[by], (code[by] >> 2).astype(np.int64), code[by]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
+        key, sid, band, code = key[fresh], sid[fresh], band[fresh], code[fresh]
+        near = (key[1:] == key[:-1]) & (band[1:] - band[:-1] <= reach)
+        out = np.concatenate([[False], near]) | np.concatenate([near, [False]]) if len(key) else np.zeros(0, bool)
+        bucket = table.column("bucket")[0].as_py()
+        return pa.table({"token": pa.array(key[out].astype(np.int64) | bucket << 32), "sid": pa.array(sid[out]), "code": pa.array(code[out])})
 
-    out = []
-    two = len(set(parts)) > 1
-    part = np.array(parts)
-    for i in range(len(sets)):
-        low = np.searchsorted(token, sets[i], "left")
-        n = np.searchsorted(token, sets[i], "right") - low
-        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        both = np.bincount(posted[at], minlength=len(sets))
-        hits = np.flatnonzero(100 * both >= percent * (sizes + sizes[i] - both))
-        for j in hits[hits > i].tolist():
-            if two and part[i] == part[j]:
-                continue
-            a, b = top(labels[i]), top(labels[j])
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                out.append((sids[i], sids[j]))
-    return out
+    return work
 
 
-def _block_verified(members: DataFrame, k: int, percent: int) -> DataFrame:
-    """The joining links (sid, other) within blocks, of rows of sid, block, label, packed. Blocks of more than PART_BYTES are verified as all pairs of parts."""
-    size = members.groupBy("block").agg(F.greatest(F.ceil(F.sum(F.octet_length("packed")) / PART_BYTES), F.lit(1)).cast("int").alias("n_parts"))
-    dealt = members.join(size, "block").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("n_parts")).cast("int"))
-    dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_parts") - 1, F.lit(0)))))
-    # a part meets each other part once; alone it is verified within its own pair
-    dealt = dealt.select("sid", "block", "label", "packed", "part", F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"))
-    # few bytes but much work: as many tasks as a shuffle has, which aren't coalesced
-    dealt = dealt.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "i", "j")
+def _hot(entries: DataFrame) -> DataFrame:
+    """The entries of bucket -1, by the whole hash, negative so that it is no other token's."""
 
-    def work(table: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor().decompress
-        rows = table.sort_by([("label", "ascending"), ("sid", "ascending")])
-        sets = shingle_sets([unpack(x) for x in rows.column("packed").to_pylist()], k)
-        links = block_links(sets, rows.column("sid").to_pylist(), rows.column("label").to_pylist(), rows.column("part").to_pylist(), percent)
-        return pa.table({"sid": pa.array([a for a, _ in links], pa.int64()), "other": pa.array([b for _, b in links], pa.int64())})
+    def work(batches):
+        for batch in batches:
+            read = lambda c, kind: np.frombuffer(b"".join(batch.column(c).to_pylist()), kind)
+            token = (read("keys", np.uint64) | np.uint64(1 << 63)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(read("sids", np.int64)), pa.array(read("codes", np.int16))], names=["token", "sid", "code"])
+
+    return entries.select("keys", "sids", "codes").mapInArrow(work, _SHARED)
+
+
+def _few(percent: int) -> Column:
+    """The least matches that any partner of a set asks for, by the set's code."""
+    size = F.exp(F.floor(F.col("code") / 4) * _BAND) * (percent / 100)
+    return 1 + F.floor(F.ceil(size * 0.999) / PER_MATCH)
 
-    return dealt.groupBy("block", "i", "j").applyInArrow(work, "sid bigint, other bigint")
 
+def _thinned(shared: DataFrame, percent: int) -> DataFrame:
+    """Without the sets that are in too few lists to link, and the lists that keep only one set; repeated."""
+    for _ in range(THINNED):
+        enough = shared.groupBy("sid").agg(F.count("*").alias("c"), F.first("code").alias("code")).where(F.col("c") >= _few(percent)).select("sid")
+        left = shared.join(enough, "sid", "left_semi")
+        lists = left.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+        before, shared = shared, written(left.join(lists, "token", "left_semi"))
+        released(before)
+    return shared
+
+
+# ---- Overlaps
+
+
+class Overlaps:
+    """How many elements each set of ``one`` has in common with each of ``two`` (or of ``one``), a strip of rows at a time."""
+
+    def __init__(self, one: list[np.ndarray], two: list[np.ndarray] | None):
+        two = one if two is None else two
+        self.n, self.m = np.array([len(s) for s in one], np.int64), np.array([len(s) for s in two], np.int64)
+        alone = two is one
+        token, number = np.unique(np.concatenate(one if alone else [*one, *two]), return_inverse=True)
+        self.a = number[: self.n.sum()]
+        b = self.a if alone else number[self.n.sum() :]
+        self.owner_a, owner_b = np.repeat(np.arange(len(self.n)), self.n), np.repeat(np.arange(len(self.m)), self.m)
+        by_token = np.argsort(b, kind="stable")
+        self.posted, self.in_b = owner_b[by_token], np.bincount(b, minlength=len(token))
+        self.start = np.cumsum(self.in_b) - self.in_b
+        # what many sets have is multiplied as a matrix, the rest by posting lists
+        self.dense = np.bincount(self.a, minlength=len(token)) * self.in_b * 50 > len(self.n) * len(self.m)
+        self.columns, self.place = int(self.dense.sum()), np.cumsum(self.dense) - 1
+        v = self.dense[b]
+        self.b, self.owner_b = self.place[b[v]], owner_b[v]
+        self.starts = np.concatenate([[0], np.cumsum(self.n)])
+
+    def strip(self, low: int, high: int) -> np.ndarray:
+        m = len(self.m)
+        t, row = self.a[self.starts[low] : self.starts[high]], self.owner_a[self.starts[low] : self.starts[high]] - low
+        thin = ~self.dense[t]
+        x, times = t[thin], self.in_b[t[thin]]
+        at = np.repeat(self.start[x] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+        both = np.bincount(np.repeat(row[thin], times) * m + self.posted[at], minlength=(high - low) * m).reshape(high - low, m)
+        place, row = self.place[t[~thin]], row[~thin]
+        for c in range(0, self.columns, STRIP):
+            width = min(STRIP, self.columns - c)
+            mine, theirs = np.zeros((high - low, width), np.float32), np.zeros((m, width), np.float32)
+            u, v = (place >= c) & (place < c + width), (self.b >= c) & (self.b < c + width)
+            mine[row[u], place[u] - c] = 1
+            theirs[self.owner_b[v], self.b[v] - c] = 1
+            both += (mine @ theirs.T).astype(np.int64)
+        return both
 
-def count_links(one: list[np.ndarray], two: list[np.ndarray] | None, copies: np.ndarray, other: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each set of ``one`` and of ``two`` the rows of the other side that link with it, by exact overlaps. Without ``two``, ``one`` with itself."""
+
+def links_of(one: list[np.ndarray], two: list[np.ndarray] | None, order: Order, percent: int) -> np.ndarray:
+    """Which sets of ``one`` link with which of ``two`` (or of ``one``): those whose prefixes have the matches that both ask for, by their exact overlap."""
     alone = two is None
-    two, other = (one, copies) if alone else (two, other)
-    n, m = np.array([len(s) for s in one], np.int64), np.array([len(s) for s in two], np.int64)
-    token, number = np.unique(np.concatenate([*one, *two]), return_inverse=True)
-    a, b = number[: n.sum()], number[n.sum() :]
-    owner_a, owner_b = np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)
-    by_token = np.argsort(b, kind="stable")
-    posted, in_b = owner_b[by_token], np.bincount(b, minlength=len(token))
-    start = np.cumsum(in_b) - in_b
-    # what many sets have is multiplied as a matrix, the rest by posting lists
-    dense = np.bincount(a, minlength=len(token)) * in_b * 50 > len(n) * len(m)
-    column = np.flatnonzero(dense)
-    place = np.cumsum(dense) - 1
-    here, there = np.zeros(len(n), np.int64), np.zeros(len(m), np.int64)
-    starts = np.concatenate([[0], np.cumsum(n)])
+    first = order.prefixes(one, percent)
+    second = first if alone else order.prefixes(two, percent)
+    n, m = (np.array([len(s) for s in x], np.int64) for x in (one, one if alone else two))
+    la, lb = (np.array([l for _, l, _ in x], np.int64) for x in (first, second))
+    matches = Overlaps([p for p, _, _ in first], None if alone else [p for p, _, _ in second])
+    out = np.zeros((len(n), len(m)), bool)
     for low in range(0, len(n), STRIP):
         high = min(low + STRIP, len(n))
-        t, row = a[starts[low] : starts[high]], owner_a[starts[low] : starts[high]] - low
-        thin = ~dense[t]
-        x, times = t[thin], in_b[t[thin]]
-        at = np.repeat(start[x] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
-        both = np.bincount(np.repeat(row[thin], times) * len(m) + posted[at], minlength=(high - low) * len(m)).reshape(high - low, len(m))
-        for c in range(0, len(column), STRIP):
-            width = min(STRIP, len(column) - c)
-            mine, theirs = np.zeros((high - low, width), np.float32), np.zeros((len(m), width), np.float32)
-            u, v = dense[t] & (place[t] >= c) & (place[t] < c + width), dense[b] & (place[b] >= c) & (place[b] < c + width)
-            mine[row[u], place[t[u]] - c] = 1
-            theirs[owner_b[v], place[b[v]] - c] = 1
-            both += (mine @ theirs.T).astype(np.int64)
-        hit = 100 * both >= percent * (n[low:high, None] + m[None] - both)
-        if alone:
-            hit[np.arange(high - low), np.arange(low, high)] = False
-        here[low:high] = hit @ other
-        there += copies[low:high] @ hit
-    return here, there
-
+        fits = np.minimum(n[low:high, None], m[None]) * 100 >= np.maximum(n[low:high, None], m[None]) * percent
+        out[low:high] = fits & (matches.strip(low, high) >= np.minimum(la[low:high, None], lb[None]))
+    if alone:
+        np.fill_diagonal(out, False)
+    rows, columns = np.flatnonzero(out.any(1)), np.flatnonzero(out.any(0))
+    if not len(rows):
+        return out
+    whole = Overlaps([one[i] for i in rows], [(one if alone else two)[j] for j in columns])
+    for low in range(0, len(rows), STRIP):
+        at = rows[low : low + STRIP]
+        both = whole.strip(low, low + len(at))
+        hit = 100 * both >= percent * (n[at][:, None] + m[columns][None] - both)
+        out[np.ix_(at, columns)] &= hit
+    return out
 
-def _link_counts(members: DataFrame, k: int, percent: int) -> DataFrame:
-    """(sid, linked): how many rows of other sets link with each set that has any, of rows of sid, block, copies, packed. Links lie within blocks.
 
-    Blocks of more than PART_BYTES or PART_SETS are compared as all pairs of parts; small ones go together.
+def heads(hit: np.ndarray, alone: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and column (one and the same if ``alone``) of a matrix of links the number of the component it is in; columns count on from the rows."""
+    n, m = hit.shape
+    row, col = np.full(n, -1), np.full(m, -1)
+    for i in range(n):
+        if row[i] >= 0:
+            continue
+        row[i], open_ = i, np.array([i])
+        while len(open_):
+            if alone:
+                open_ = np.flatnonzero(hit[open_].any(0) & (row < 0))
+                row[open_] = i
+            else:
+                there = np.flatnonzero(hit[open_].any(0) & (col < 0))
+                col[there] = i
+                open_ = np.flatnonzero(hit[:, there].any(1) & (row < 0))
+                row[open_] = i
+    return row, row if alone else np.where(col < 0, n + np.arange(m), col)
+
+
+def _block_links(members: DataFrame, order, k: int, percent: int) -> DataFrame:
+    """(sid, linked, head) of rows of sid, block, copies, packed: how many rows of other sets link with each set, and a set that links lead to.
+
+    Blocks of more than PART_BYTES or PART_SETS are compared as all pairs of parts, in a row for each; small ones go together in a task.
     """
-    members = written(members)
     size = members.groupBy("block").agg(F.greatest(F.ceil(F.sum(F.octet_length("packed")) / PART_BYTES), F.ceil(F.count("*") / PART_SETS)).cast("int").alias("n_parts"))
-    bundles = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), (members.agg(F.sum(F.octet_length("packed"))).first()[0] or 0) // PART_BYTES)
+    partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bundles = max(partitions, (members.agg(F.sum(F.octet_length("packed"))).first()[0] or 0) // PART_BYTES)
     dealt = members.join(size, "block").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("n_parts")).cast("int"))
     dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
     small = F.col("n_parts") == 1
     dealt = dealt.select("sid", "block", "copies", "packed", "part", F.when(small, F.pmod(F.xxhash64("block"), F.lit(bundles))).otherwise(F.col("block")).alias("bundle"), small.alias("small"), F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"))
-    dealt = dealt.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "small", "bundle", "i", "j")
+    # few bytes but much work: as many tasks as a shuffle has, which aren't coalesced
+    dealt = dealt.repartition(partitions, "small", "bundle", "i", "j")
 
     def work(table: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
-        rows = table.sort_by([("block", "ascending"), ("part", "ascending")])
-        block, part, copies = (rows.column(c).to_numpy() for c in ("block", "part", "copies"))
+        rows = table.sort_by([("block", "ascending"), ("part", "ascending"), ("sid", "ascending")])
+        block, part, copies, sid = (rows.column(c).to_numpy() for c in ("block", "part", "copies", "sid"))
         two = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
-        linked = np.zeros(len(block), np.int64)
+        total, head = np.zeros(len(block), np.int64), sid.copy()
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
         for a, b in zip(cuts, cuts[1:]):
             sets = shingle_sets([unpack(x) for x in rows.column("packed").slice(a, b - a).to_pylist()], k)
             c = int(np.searchsorted(part[a:b], part[a], "right")) if two else b - a
             if two and c < b - a:
-                linked[a : a + c], linked[a + c : b] = count_links(sets[:c], sets[c:], copies[a : a + c], copies[a + c : b], percent)
+                hit = links_of(sets[:c], sets[c:], order.value, percent)
+                total[a : a + c], total[a + c : b] = hit @ copies[a + c : b], copies[a : a + c] @ hit
+                head[a:b] = sid[a:b][np.concatenate(heads(hit, False))]
             elif not two and c > 1:
-                linked[a:b] = count_links(sets, None, copies[a:b], copies[a:b], percent)[0]
-        some = np.flatnonzero(linked)
-        return pa.table({"sid": rows.column("sid").take(pa.array(some)).combine_chunks(), "linked": pa.array(linked[some])})
+                hit = links_of(sets, None, order.value, percent)
+                total[a:b] = hit @ copies[a:b]
+                head[a:b] = sid[a:b][heads(hit, True)[0]]
+        some = pa.array(np.flatnonzero(total))
+        return pa.table({"sid": pa.array(sid).take(some), "linked": pa.array(total).take(some), "head": pa.array(head).take(some)})
+
+    return dealt.groupBy("small", "bundle", "i", "j").applyInArrow(work, "sid bigint, linked bigint, head bigint")
+
+
+# ---- Pairs of short lists
+
 
-    return dealt.groupBy("small", "bundle", "i", "j").applyInArrow(work, "sid bigint, linked bigint").groupBy("sid").agg(F.sum("linked").alias("linked"))
+def _pairs(short: DataFrame) -> DataFrame:
+    """(sid, other, times) of the pairs within lists, sid below other. Equal lists become one first."""
+    lists = short.groupBy("token").agg(F.sort_array(F.collect_set("sid")).alias("sids")).groupBy("sids").agg(F.count("*").alias("times"))
+    each = lists.select("times", "sids", F.posexplode("sids").alias("i", "sid")).select("times", "sid", F.explode(F.slice("sids", F.col("i") + 2, F.size("sids"))).alias("other"))
+    return each.groupBy("sid", "other").agg(F.sum("times").alias("times"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The (sid, other) of ``pairs`` that reach the threshold. The partners of one set come in groups of about FAN, its own text with each."""
-    # the set with more partners stands still
-    many = pairs.select("sid").union(pairs.select(F.col("other").alias("sid"))).groupBy("sid").count()
-    by = lambda name: many.select(F.col("sid").alias(f"_{name}"), F.col("count").alias(name))
-    turned = pairs.join(by("a"), F.col("sid") == F.col("_a")).join(by("b"), F.col("other") == F.col("_b"))
-    pairs = turned.select(F.when(F.col("a") >= F.col("b"), F.col("sid")).otherwise(F.col("other")).alias("sid"), F.when(F.col("a") >= F.col("b"), F.col("other")).otherwise(F.col("sid")).alias("other"))
     fan = pairs.groupBy("sid").agg(F.ceil(F.count("*") / FAN).cast("int").alias("groups"))
     own = fan.join(texts, "sid").select("sid", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(None).cast("bigint").alias("other"), "packed")
     met = pairs.join(fan, "sid").select("sid", "other", F.pmod(F.xxhash64("other"), F.col("groups")).cast("int").alias("part"))
@@ -383,7 +449,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     def work(batches):
         name, mine = None, None
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in blocks(batches, "packed", 2 << 20):
+        for batch in blocks(batches, "packed", ARRAY_BYTES // 4):
             sid, other = batch.column("sid").to_pylist(), batch.column("other").to_pylist()
             sets = shingle_sets([unpack(x) if x else b"" for x in as_bytes(batch.column("packed"))], k)
             out = []
@@ -393,8 +459,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                     continue
                 if a != name:
                     raise RuntimeError("a set is missing beside its partners")
-                both = len(np.intersect1d(mine, s, assume_unique=True))
-                if linked(len(mine), len(s), both, percent):
+                both = np.sort(np.concatenate([mine, s]))
+                if linked(len(mine), len(s), int((both[1:] == both[:-1]).sum()), percent):
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["sid", "other"])
 
@@ -402,84 +468,88 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return both.mapInArrow(work, "sid bigint, other bigint")
 
 
-def _as_edges(links: DataFrame, sets: DataFrame) -> DataFrame:
-    one = sets.select(F.col("sid").alias("s1"), F.col("doc").alias("u"))
-    two = sets.select(F.col("sid").alias("s2"), F.col("doc").alias("v"))
-    return links.join(one, links["sid"] == one["s1"]).join(two, links["other"] == two["s2"]).select("u", "v")
+# ---- The join
 
 
-def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, links: bool = False) -> DataFrame:
-    """doc_id, n_shingles, copy_of (the smallest doc_id with the same set) and component_id (the smallest doc_id that links lead to) of every row.
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
 
-    ``links`` adds n_links: how many other rows each row links with, those of the same set among them.
 
-    Sets are of distinct ``shingle``-word sequences, A-Z folded; two rows link at a Jaccard similarity of ``percent`` or more. Rows without words, null
-    texts among them, have no shingles and are linked with nothing. Every row is judged by its own text, so rows that share a doc_id get a row each;
-    ids are integers, and a row with a null id takes the class of its set, which is null if all ids of the class are. Empty tables give no rows.
-    """
-    spark = docs.sparkSession
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    signed = written(_signed(texts, shingle, LOCAL))
-    rows = signed.where("n IS NOT NULL").select("doc_id", "n", "sid")
-    # classes are numbered by doc_id; a null id stands for the largest number
-    last = (1 << 63) - 1
-    sets = written(rows.where("n > 0").groupBy("sid").agg(F.min(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(last))).alias("doc"), F.count("*").alias("copies")))
-    often = signed.where("h IS NOT NULL").select(F.explode(F.arrays_zip("h", "times")).alias("x")).groupBy("x.h").agg(F.sum("x.times").alias("times")).orderBy(F.desc("times"), "h").limit(FREQUENT).collect()
-    often.sort(key=lambda r: r["h"] % (1 << 64))
-    order = spark.sparkContext.broadcast(Order(np.array([r["h"] for r in often], np.int64).view(np.uint64), np.array([r["times"] for r in often], np.int64)))
-
-    entries = _entries(texts, order, shingle, percent).repartition("token").sortWithinPartitions("token", "n", "sid")
-    shared = written(entries.mapInArrow(_lists(percent), "token bigint, sid bigint, n int, l int"))
-    # the texts of the sets that share a token with another: one row each, told by the document that stands for the set
-    chosen = shared.select("sid").distinct().join(sets, "sid").withColumnRenamed("sid", "want")
-    fetched = texts.join(chosen, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(last)) == F.col("doc")).select("want", "text")
+def _fetched(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(sid, packed): the compressed text of each wanted (sid, tie)."""
+    few = wanted.count() <= FEW_SETS
+    wanted = wanted.select(F.col("sid").alias("want"), F.col("tie").alias("_tie"))
+    near = texts.join(F.broadcast(wanted) if few else wanted, F.col("tie") == F.col("_tie")).select("want", "text")
 
     def own(batches):
-        for batch in blocks(batches):
+        pack = zstandard.ZstdCompressor().compress
+        for batch in blocks(batches, limit=ARRAY_BYTES):
             raw, want = as_bytes(batch.column("text")), batch.column("want").to_pylist()
-            keep = [i for i, s in enumerate(shingle_sets(raw, shingle)) if len(s) and _name(s) == want[i]]
-            pack = zstandard.ZstdCompressor().compress
-            yield pa.RecordBatch.from_arrays([pa.array([want[i] for i in keep], pa.int64()), pa.array([pack(raw[i]) for i in keep], pa.binary())], names=["sid", "packed"])
-
-    full = written(fetched.mapInArrow(own, "sid bigint, packed binary").groupBy("sid").agg(F.min("packed").alias("packed")))
-
-    pair = "sid bigint, other bigint, l bigint, times bigint"
-    weight = written(shared.groupBy("sid").agg(F.count("*").alias("shares")))
-    named = weight.join(sets, "sid").select("sid", "shares", F.col("doc").alias("label"))
-    lists = shared.join(named, "sid").repartition("token").sortWithinPartitions("token", F.desc("shares"), "sid")
-    met = lists.mapInArrow(_pairs(_stars(percent), ["sid", "n", "l", "label"]), pair).groupBy("sid", "other").agg(F.sum("times").alias("times"), F.min("l").alias("l"))
-    # the head that each set meets most, if in a good part of the lists that a link would show in
-    best = met.groupBy("other").agg(F.max_by(F.struct("sid", "times", "l"), F.struct("times", "sid")).alias("b"))
-    found = written(best.where("4 * b.times >= b.l").select("b.sid", "other"))
-    edges = written(_as_edges(_verified(found, full, shingle, percent), sets))
+            keep = {want[i]: i for i, s in enumerate(shingle_sets(batch.column("text"), k)) if len(s) and _name(s) == want[i]}
+            yield pa.RecordBatch.from_arrays([pa.array(list(keep), pa.int64()), pa.array([pack(raw[i]) for i in keep.values()], pa.binary())], names=["sid", "packed"])
+
+    return near.mapInArrow(own, "sid bigint, packed binary").groupBy("sid").agg(F.min("packed").alias("packed"))
+
+
+def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, sets, found): rows of doc_id, n, sid; the distinct sets as sid, n, doc (smallest id), copies; and for each set that links with another
+    sid, label (of its class) and linked (rows of other sets that it links with)."""
+    spark = docs.sparkSession
+    texts = _keyed(docs)
+    rows = written(_signed(texts, shingle))
+    sets = written(rows.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.min(F.col("doc_id").cast("bigint")).alias("doc"), F.min("tie").alias("tie"), F.count("*").alias("copies")))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(20, _bits(total, 2 * BUCKET, min(partitions, 1 << 10)))
+    order = spark.sparkContext.broadcast(Order.of(_frequencies(texts, shingle, bits), bits))
+
+    bits = min(31, _bits(total // 4, BUCKET, partitions))
+    entries = _entries(texts, order, shingle, percent, bits)
+    dealt = entries.where("bucket >= 0").groupBy("bucket").applyInArrow(_lists(percent), _SHARED)
+    shared = _thinned(written(dealt.union(_hot(entries.where("bucket < 0")).distinct())), percent)
+
+    length = shared.groupBy("token").agg(F.count("*").alias("c"), F.min("sid").alias("head"))
+    longer = written(length.where(F.col("c") > SHORT).select("token", "head"))
+    block = components(shared.join(longer, "token").select(F.col("sid").alias("u"), F.col("head").alias("v")).distinct()).withColumnsRenamed({"v": "sid", "label": "block"})
+    block = written(block.distinct())
+    known = written(shared.groupBy("sid").agg(F.first("code").alias("code")).join(sets, "sid").join(block, "sid", "left").select("sid", "n", "tie", "copies", "block", F.pow(F.lit(2), F.pmod("code", F.lit(4))).cast("int").alias("factor")))
+    full = written(_fetched(texts, known.select("sid", "tie"), shingle))
+
+    small = (F.col("n") * percent + 99) / 100
+    matches = F.least(F.floor(small), 1 + F.floor(F.col("n") / PER_MATCH) * F.col("factor"))
+    side = lambda a, name: known.select(F.col("sid").alias(name), F.col("n").alias(f"n{a}"), matches.alias(f"l{a}"), F.col("block").alias(f"b{a}"), F.col("copies").alias(f"copies{a}"))
+    met = _pairs(shared.join(longer, "token", "left_anti")).join(side(1, "sid"), "sid").join(side(2, "other"), "other")
+    met = met.where("times >= least(l1, l2)").where(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent).where("b1 IS NULL OR b2 IS NULL OR b1 <> b2")
+    candidates = written(met.select("sid", "other", "copies1", "copies2"))
+    pairs = written(_verified(candidates.select("sid", "other"), full, shingle, percent).join(candidates, ["sid", "other"]))
+    blocks_ = written(_block_links(known.where("block IS NOT NULL").join(full, "sid").select("sid", "block", "copies", "packed"), order, shingle, percent))
+    edges = pairs.select(F.col("sid").alias("u"), F.col("other").alias("v")).union(blocks_.select(F.col("sid").alias("u"), F.col("head").alias("v")))
     label = components(edges)
+    counted = pairs.select("sid", F.col("copies2").alias("linked")).union(pairs.select("other", "copies1")).union(blocks_.select("sid", "linked"))
+    found = written(label.join(counted.groupBy("sid").agg(F.sum("linked").alias("linked")), F.col("v") == F.col("sid")).select("sid", "label", "linked"))
+    released(shared, longer, block, known, full, candidates, pairs, blocks_)
+    order.destroy()
+    return rows, sets, found
 
-    named = weight.join(sets, "sid").join(label, F.col("doc") == F.col("v"), "left").select("sid", F.coalesce("label", "doc").alias("label"))
-    left = written(_mixed_lists(shared.join(named, "sid")))
-    # the least matches that a set of n, or the smallest that can link with it, asks for
-    small = F.floor((F.col("n") * percent + 99) / 100)
-    few = 1 + F.floor(small / PER_MATCH)
-    for _ in range(THINNED):
-        enough = left.groupBy("sid").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("l").alias("l")).where(F.col("c") >= F.least(F.col("l"), few)).select("sid")
-        left = written(_mixed_lists(left.join(enough, "sid", "left_semi")))
-    ties = left.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(_pairs(_chained, ["sid", "label"]), pair).select(F.col("sid").alias("u"), F.col("other").alias("v")).distinct()
-    block = components(ties)
-    members = block.select(F.col("v").alias("sid"), F.col("label").alias("block")).join(named, "sid").join(full, "sid")
-    more = written(_as_edges(_block_verified(members, shingle, percent), sets))
-    label = components(edges.union(more))
-
-    if links:
-        label = written(label)
-        classed = sets.join(label, F.col("doc") == F.col("v")).select("sid", F.col("label").alias("block"), "copies")
-        linked = _link_counts(classed.join(full, "sid"), shingle, percent).withColumnRenamed("sid", "l")
-        counted = sets.join(linked, F.col("sid") == F.col("l"), "left").select("sid", "doc", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("links"))
-    else:
-        counted = sets.select("sid", "doc", F.lit(None).cast("bigint").alias("links"))
 
+def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, tie, n_shingles, copy_of (the smallest doc_id with the same set), component_id (the smallest doc_id that links lead to) and n_links (how
+    many other rows the row links with, those of the same set among them) of every row. ``tie`` is a hash of the text, which tells rows of one id apart.
+
+    Sets are of distinct ``shingle``-word sequences, A-Z folded; two rows link at a Jaccard similarity of ``percent`` or more. Rows without words, null
+    texts among them, have no shingles and are linked with nothing. Every row is judged by its own text, so rows that share a doc_id get a row each;
+    ids are integers, and a row with a null id takes the class of its set, which is null if all ids of the class are. Empty tables give no rows.
+    Columns other than doc_id and text aren't read. Long texts are taken whole.
+    """
+    rows, sets, found = joined(docs, shingle, percent)
+    met = sets.select("sid", "doc", "copies").join(found, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    least = found.join(sets.select("sid", "doc"), "sid").groupBy("label").agg(F.min("doc").alias("least"))
+    final = met.join(least, "label", "left").select(F.col("sid").alias("s"), F.col("doc").alias("copy_of"), F.when(F.col("linked").isNull(), F.col("doc")).otherwise(F.col("least")).alias("component"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("links"))
     # a group of equal sets may hold much of the table: its row is spread over salts
     salts = 8
-    final = counted.join(label, F.col("doc") == F.col("v"), "left").select(F.col("sid").alias("s"), F.nullif("doc", F.lit(last)).alias("copy_of"), F.nullif(F.coalesce("label", "doc"), F.lit(last)).alias("component"), "links")
     final = final.withColumn("part", F.explode(F.array(*map(F.lit, range(salts)))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    out = rows.join(final, (rows["sid"] == final["s"]) & (rows["salt"] == final["part"]), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("copy_of", "doc_id").cast(docs.schema["doc_id"].dataType).alias("copy_of"), F.coalesce("component", "doc_id").cast(docs.schema["doc_id"].dataType).alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
-    return out if links else out.drop("n_links")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(salts)).cast("int"))
+    kind = docs.schema["doc_id"].dataType
+    out = rows.join(final, (rows["sid"] == final["s"]) & (rows["salt"] == final["part"]), "left")
+    own = lambda c: F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col(c)).cast(kind).alias
+    return out.select("doc_id", "tie", F.col("n").alias("n_shingles"), own("copy_of")("copy_of"), own("component")("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))

@@ -46,7 +46,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.classes(documents(spark, sf_dir), links=True)
+    return jaccard_join.classes(documents(spark, sf_dir)).drop("tie")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

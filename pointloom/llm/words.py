@@ -1,15 +1,18 @@
-"""Hashed words and word sequences of a block of texts, as numpy arrays."""
+"""Hashed words and word sequences of a block of texts, as numpy arrays.
 
-from __future__ import annotations
+A word is hashed without being cut out: the bytes of all texts are mapped to fixed 64-bit values, weighted with the powers of an odd base and
+summed up once, so that a word's hash is a difference of two sums, shifted to a common power. The same is done with the hashes of words for
+sequences of words. Words of over LONG bytes, for which such sums are weak, are hashed by xxh3 instead.
+"""
 
-from itertools import chain
+from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
-from pointloom.llm.pretokens import Recent
-
-WORD_CACHE = 600_000
+#: Words of more bytes are hashed one by one.
+LONG = 256
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -21,6 +24,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+_FOLDED = _BYTE[np.frombuffer(bytes(range(256)).lower(), np.uint8)]
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
 class _Powers:
     """Powers of the base and its inverse modulo 2**64, as far as they were needed."""
 
@@ -37,21 +46,53 @@ class _Powers:
         return cls.up[:n], cls.down[:n]
 
 
-_HASHES = Recent(WORD_CACHE, xxhash.xxh3_64_intdigest)
+def _sums(values: np.ndarray) -> np.ndarray:
+    """Sums of the values before each place, each weighted with the power of its place."""
+    up, _ = _Powers.of(len(values) + 1)
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=out[1:])
+    return out
+
+
+def flat(texts: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts end to end and the places where each begins, with the end of the last. Null counts as empty."""
+    if isinstance(texts, list):
+        return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    big = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    if texts.null_count:
+        texts = texts.cast(pa.large_binary() if big else pa.binary()).fill_null(b"")
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64 if big else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[at[0] : at[-1]], at - at[0]
 
 
 class Words:
-    """The words of several texts end to end: hashes, how many each text has and where it starts."""
-
-    def __init__(self, texts: list[bytes], lower: bool = False):
-        split = [(t.lower() if lower else t).split() for t in texts]
-        self.counts = np.array([len(x) for x in split], np.int64)
-        self.starts = np.cumsum(self.counts) - self.counts
-        self.n = int(self.counts.sum())
-        self.hashes = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(split)), np.uint64, self.n)
-        up, _ = _Powers.of(self.n + 1)
-        self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(self.hashes * up[: self.n], out=self.sums[1:])
+    """The words of several texts end to end: hashes, bytes from ``begin`` to ``end``, how many each text has and where it starts."""
+
+    def __init__(self, texts: pa.Array | list[bytes], lower: bool = False):
+        raw, at = flat(texts)
+        n = len(raw)
+        inside = np.zeros(n + 2, bool)
+        np.logical_not(_SPACE[raw], out=inside[1:-1])
+        first = inside[1:-1] & ~inside[:-2]
+        last = inside[1:-1] & ~inside[2:]
+        border = at[1:-1]  # where one text ends and the next begins
+        border = border[(border > 0) & (border < n)]
+        first[border] = inside[1 + border]
+        last[border - 1] = inside[border]
+        self.begin, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.n = len(self.begin)
+        cut = np.searchsorted(self.begin, at)
+        self.counts = np.diff(cut)
+        self.starts = cut[:-1]
+        sums = _sums((_FOLDED if lower else _BYTE)[raw])
+        _, down = _Powers.of(n + 1)
+        self.hashes = mixed((sums[self.end] - sums[self.begin]) * down[self.begin])
+        for i in np.flatnonzero(self.end - self.begin > LONG).tolist():
+            word = raw[self.begin[i] : self.end[i]].tobytes()
+            self.hashes[i] = xxhash.xxh3_64_intdigest(word.lower() if lower else word)
+        self.sums = _sums(self.hashes)
 
     def grams(self, k: int) -> np.ndarray:
         """A hash of the k words from each position on; those that run into the next text mean nothing. Shorter by k - 1."""
@@ -70,6 +111,11 @@ class Words:
         return np.repeat(self.starts + self.counts, self.counts) - np.arange(self.n)
 
 
+def word_hash(word: bytes, lower: bool = False) -> int:
+    """The hash of one word."""
+    return int(Words([word], lower).hashes[0])
+
+
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     """Minima of n neighbours, shorter by n - 1."""
     if len(x) < n:
