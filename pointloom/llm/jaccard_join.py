@@ -5,7 +5,7 @@ both have l in common at least, for every l. A set's l is chosen by the estimate
 the longer the prefix and the more matches a candidate needs before it is verified.
 
 Equal sets become one first. Prefix shingles are dealt to buckets by their hash, packed by task. A bucket makes the posting lists and sends on what
-stands in a list with another set of about its size. A set that is in fewer of the lists than any partner asks for can't link and is taken out, which
+stands in a list with another set of about its size; lists of very frequent shingles need no gathering. A set that is in fewer of the lists than any partner asks for can't link and is taken out, which
 shortens the lists and is repeated. Then
 
 * lists of at most SHORT sets send their pairs, equal lists once with their number, and a pair with the matches that both its sets ask for is verified;
@@ -21,13 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import ARRAY_BYTES, as_bytes, blocks, column, released, written
-from pointloom.llm.words import Words
+from pointloom.llm.common import ARRAY_BYTES, as_bytes, blocks, bounded, column, released, written
+from pointloom.llm.words import Words, mixed
 from pointloom.operators.components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -39,13 +40,13 @@ PER_MATCH, COSTLY = 32, 8.0
 #: Shingles of documents that frequent are not gathered in a bucket: each is a long list, known by its hash.
 HOT = 1000
 #: Times that sets with too few matches are taken out, and sets in a list that sends pairs.
-THINNED, SHORT = 3, 32
+THINNED, SHORT = 2, 32
 #: Partners of one set that are verified in one go.
 FAN = 256
 #: Packed bytes and sets in a part of a block, at most about so many; and the rows of overlaps that are held at once.
 PART_BYTES, PART_SETS, STRIP = 1 << 20, 4096, 512
 #: Shingles in a bucket, about, and in what a task holds before it sends; sets that are broadcast to fetch their texts.
-BUCKET, HELD, FEW_SETS = 1 << 19, 1 << 21, 1 << 19
+BUCKET, HELD, FEW_SETS = 1 << 19, 1 << 20, 1 << 19
 #: Sizes are compared by bands, each 2 % above the one before.
 _BAND = float(np.log(1.02))
 
@@ -205,9 +206,9 @@ def _bands(n: np.ndarray) -> np.ndarray:
 
 
 def _entries(texts: DataFrame, order, k: int, percent: int, bits: int) -> DataFrame:
-    """(bucket, keys, sids, codes): prefix shingles of sets, packed by bucket. A code is the size's band, times 4, and the factor's power of 2.
+    """(bucket, hot, keys, sids, codes): prefix shingles of sets, packed by bucket. A code is the size's band, times 4, and the factor's power of 2.
 
-    Shingles of HOT documents or more come alone, one to a row, under bucket -1.
+    Shingles of HOT documents or more are dealt by the set instead and keep their whole hash.
     """
 
     def work(batches):
@@ -216,14 +217,16 @@ def _entries(texts: DataFrame, order, k: int, percent: int, bits: int) -> DataFr
 
         def sent():
             token, sid, code = (np.concatenate(x) for x in zip(*held))
-            hot = known.times_of(token) >= HOT
-            rows = [(-1, token[i : i + 1].tobytes(), sid[i : i + 1].tobytes(), code[i : i + 1].tobytes()) for i in np.flatnonzero(hot).tolist()]
-            token, sid, code = token[~hot], sid[~hot], code[~hot]
-            by = np.argsort(token, kind="stable")
-            token, sid, code = token[by], sid[by], code[by]
-            short, cuts = _short(token, bits), _bucket_cuts(token, bits)
-            rows += [(b, short[i:j].tobytes(), sid[i:j].tobytes(), code[i:j].tobytes()) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[c] for r in rows], pa.binary()) for c in (1, 2, 3))], names=["bucket", "keys", "sids", "codes"])
+            often = known.times_of(token) >= HOT
+            rows = []
+            for hot in (False, True):
+                t, s, c = (x[often == hot] for x in (token, sid, code))
+                by = t if not hot else mixed(s.view(np.uint64))
+                at = np.argsort(by, kind="stable")
+                t, s, c = t[at], s[at], c[at]
+                keys, cuts = t if hot else _short(t, bits), _bucket_cuts(by[at], bits)
+                rows += [(b, hot, keys[i:j].tobytes(), s[i:j].tobytes(), c[i:j].tobytes()) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), *(pa.array([r[c] for r in rows], pa.binary()) for c in (2, 3, 4))], names=["bucket", "hot", "keys", "sids", "codes"])
 
         for batch in blocks(batches, limit=ARRAY_BYTES):
             sets = {_name(s): s for s in shingle_sets(batch.column("text"), k) if len(s)}
@@ -240,50 +243,47 @@ def _entries(texts: DataFrame, order, k: int, percent: int, bits: int) -> DataFr
         if held:
             yield sent()
 
-    return texts.select("text").mapInArrow(work, "bucket int, keys binary, sids binary, codes binary")
+    return texts.select("text").mapInArrow(work, "bucket int, hot boolean, keys binary, sids binary, codes binary")
 
 
 _SHARED = "token bigint, sid bigint, code smallint"
 
 
 def _lists(percent: int):
-    """The entries, told once, of those lists of a bucket where another set is near enough in size for a link."""
+    """The entries, told once, of those lists of a bucket where another set is near enough in size for a link, and all of frequent shingles."""
     reach = int(np.ceil(np.log(100 / percent) / _BAND)) + 1
 
+    def once(key, sid, code):
+        """By key, size and set."""
+        by = np.lexsort((sid, code >> 2, key))
+        key, sid, code = key[by], sid[by], code[by]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
+        return key[fresh], sid[fresh], code[fresh]
+
+    def read(table, kind):
+        return (np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in (("keys", kind), ("sids", np.int64), ("codes", np.int16)))
+
     def work(table: pa.Table) -> pa.Table:
-        read = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-        key, sid, code = read("keys", np.uint32), read("sids", np.int64), read("codes", np.int16)
+        hot = table.column("hot")
+        key, sid, code = read(table.filter(pc.invert(hot)), np.uint32)
         by = np.argsort(key, kind="stable")
         key, sid, code = key[by], sid[by], code[by]
         # most shingles stand alone
         same = key[1:] == key[:-1]
-        some = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        key, sid, code = key[some], sid[some], code[some]
-        by = np.lexsort((sid, code >> 2, key))
-        key, sid, band, code = key[by], sid[by], (code[by] >> 2).astype(np.int64), code[by]
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
-        key, sid, band, code = key[fresh], sid[fresh], band[fresh], code[fresh]
+        some = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(key) else np.zeros(0, bool)
+        key, sid, code = once(key[some], sid[some], code[some])
+        band = (code >> 2).astype(np.int64)
         near = (key[1:] == key[:-1]) & (band[1:] - band[:-1] <= reach)
         out = np.concatenate([[False], near]) | np.concatenate([near, [False]]) if len(key) else np.zeros(0, bool)
-        bucket = table.column("bucket")[0].as_py()
-        return pa.table({"token": pa.array(key[out].astype(np.int64) | bucket << 32), "sid": pa.array(sid[out]), "code": pa.array(code[out])})
+        token = key[out].astype(np.int64) | table.column("bucket")[0].as_py() << 32
+        # a whole hash is made negative, so that it is no other token's
+        often = once(*read(table.filter(hot), np.uint64))
+        return pa.table({"token": pa.array(np.concatenate([token, (often[0] | np.uint64(1 << 63)).view(np.int64)])), "sid": pa.array(np.concatenate([sid[out], often[1]])), "code": pa.array(np.concatenate([code[out], often[2]]))})
 
     return work
 
 
-def _hot(entries: DataFrame) -> DataFrame:
-    """The entries of bucket -1, by the whole hash, negative so that it is no other token's."""
-
-    def work(batches):
-        for batch in batches:
-            read = lambda c, kind: np.frombuffer(b"".join(batch.column(c).to_pylist()), kind)
-            token = (read("keys", np.uint64) | np.uint64(1 << 63)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(read("sids", np.int64)), pa.array(read("codes", np.int16))], names=["token", "sid", "code"])
-
-    return entries.select("keys", "sids", "codes").mapInArrow(work, _SHARED)
-
-
 def _few(percent: int) -> Column:
     """The least matches that any partner of a set asks for, by the set's code."""
     size = F.exp(F.floor(F.col("code") / 4) * _BAND) * (percent / 100)
@@ -472,7 +472,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    return bounded(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
 
 
 def _fetched(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -505,8 +505,7 @@ def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> t
 
     bits = min(31, _bits(total // 4, BUCKET, partitions))
     entries = _entries(texts, order, shingle, percent, bits)
-    dealt = entries.where("bucket >= 0").groupBy("bucket").applyInArrow(_lists(percent), _SHARED)
-    shared = _thinned(written(dealt.union(_hot(entries.where("bucket < 0")).distinct())), percent)
+    shared = _thinned(written(entries.groupBy("bucket").applyInArrow(_lists(percent), _SHARED)), percent)
 
     length = shared.groupBy("token").agg(F.count("*").alias("c"), F.min("sid").alias("head"))
     longer = written(length.where(F.col("c") > SHORT).select("token", "head"))
@@ -553,3 +552,23 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     out = rows.join(final, (rows["sid"] == final["s"]) & (rows["salt"] == final["part"]), "left")
     own = lambda c: F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col(c)).cast(kind).alias
     return out.select("doc_id", "tie", F.col("n").alias("n_shingles"), own("copy_of")("copy_of"), own("component")("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``docs``, all its columns, with one row of each class: that of the smallest doc_id (null last), then the smallest hash of the text, and one of
+    several rows that are equal in both. Rows without words all stay."""
+    rows, _, found = joined(docs, shingle, percent)
+    classed = rows.where("n > 0").join(found.select("sid", "label"), "sid", "left").select(F.coalesce("label", "sid").alias("label"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie").alias("row"))
+    # a class may hold much of the table: rows equal in id and text become one first, with their number
+    times = classed.groupBy("label", "row").agg(F.count("*").alias("times"))
+    first = times.groupBy("label").agg(F.min("row").alias("first"))
+    times = written(times.join(first, "label").select(F.col("row.doc_id").alias("id"), F.col("row.tie").alias("tie"), (F.col("row") != F.col("first")).alias("goes"), (F.col("times") > 1).alias("again")).where("goes OR again"))
+    text = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    same = lambda t: docs["doc_id"].eqNullSafe(t["id"]) & (text == t["tie"])
+    out = docs.join(times, same(times), "left_anti")
+    again = times.where("again AND NOT goes")
+    if not again.limit(1).count():
+        return out
+    met = docs.join(again, same(again))
+    one = met.groupBy(again["id"], again["tie"]).agg(F.first(F.struct(*(docs[c] for c in docs.columns))).alias("row"))
+    return out.unionByName(one.select("row.*"))

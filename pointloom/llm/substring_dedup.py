@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import as_bytes, blocks, column
+from pointloom.llm.common import as_bytes, blocks, bounded, column
 from pointloom.llm.words import Words, sliding_min
 
 WINDOW, ANCHOR = 50, 25
@@ -131,7 +131,7 @@ def _judged(window: int):
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Rows are told apart by id and a hash of the text: rows equal in both have equal results."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    return bounded(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
 
 
 def factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
