@@ -1,15 +1,18 @@
 """Mixing sources to target weights with DataFrame functions only.
 
 Words are counted once per document into a narrow table. Per-source totals, a table as long as there are sources, give the targets;
-a document is then emitted floor(rate) times, and once more if a hash of it, seeded, falls below the rate's fraction.
+a document is then emitted floor(rate) times, and once more if a hash of it, seeded, is among the smallest of its source and size, with the rate's
+fraction as probability.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import WORD, written
+from pointloom.llm.common import WORD, free, written
 
 #: Copies of a document, at most, as a multiple of its source.
 MOST = 3.0
@@ -57,46 +60,80 @@ def targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     return table.select("source", "source_size", F.least(bound, F.col("_weight") * level).cast("double").alias("target"))
 
 
-#: Sources whose targets are broadcast; beyond, the salted shuffle join takes over.
-BROADCAST_SOURCES = 100_000
-SALTS = 16
+def _key(seed: int, text_col: str) -> Column:
+    """A hash of 53 bits."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", text_col), 11)
 
 
-def _with_targets(near: DataFrame, goal: DataFrame, source_col: str) -> DataFrame:
-    """``near``, which has __key, with __size and __target of its source; one source may hold much of it."""
-    goal = goal.select(F.col("source").alias("__source"), F.col("source_size").alias("__size"), F.col("target").alias("__target"))
-    same = near[source_col].eqNullSafe(goal["__source"])
-    if goal.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        return near.join(F.broadcast(goal), same).drop("__source")
-    goal = goal.withColumn("__slot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    near = near.withColumn("__salt", F.pmod("__key", F.lit(SALTS)).cast("int"))
-    return near.join(goal, near[source_col].eqNullSafe(goal["__source"]) & (near["__salt"] == goal["__slot"])).drop("__source", "__salt", "__slot")
+def _band(size: Column) -> Column:
+    """Sizes of a band differ by a tenth; -1 holds texts without words."""
+    return F.when(size > 0, F.floor(F.log(F.greatest(size, F.lit(1))) / math.log(1.1) + 1e-9)).otherwise(-1).cast("int")
 
 
-def _key(seed: int, text_col: str) -> Column:
-    return F.xxhash64(F.lit(seed), "doc_id", text_col)
+def _rate(most: float) -> Column:
+    return F.when(F.col("source_size") > 0, F.least(F.lit(most), F.col("target") / F.greatest("source_size", F.lit(1)))).otherwise(F.lit(0.0))
 
 
-def _copies(most: float) -> Column:
-    rate = F.when(F.col("__size") > 0, F.least(F.lit(most), F.col("__target") / F.greatest("__size", F.lit(1)))).otherwise(F.lit(0.0))
-    chance = F.shiftrightunsigned("__key", 11) / F.lit(float(1 << 53))
-    return (F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+def shares(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 17) -> DataFrame:
+    """source, source_size, target, band, whole and edge of rows of source, size and key: what decides the copies of each document.
+
+    A document gets ``whole`` copies, and one more if its key is not above ``edge``. A source's rate is its target by its size. Of each band of sizes
+    of a source that many documents get the further copy as the rate's fraction asks for, those with the smallest keys; numbers are rounded along the
+    bands of a source from a start that depends on seed and source, so that a document's probability is the fraction and a source misses its target
+    by little more than a document. The key at the edge is found by counting keys by their upper bits first; only those about the edge are numbered.
+    """
+    goal = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
+    top = F.shiftright("key", 41)
+    counts = written(sized.groupBy("source", _band(F.col("size")).alias("band"), top.alias("top")).agg(F.count("*").alias("n")))
+    many = counts.groupBy("source", "band").agg(F.sum("n").alias("n"))
+    goal = goal.withColumnRenamed("source", "s")
+    many = many.join(goal, many["source"].eqNullSafe(goal["s"])).drop("s").withColumn("rate", _rate(most)).withColumn("whole", F.floor("rate"))
+    along = Window.partitionBy("source").orderBy("band")
+    start = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("start"), "source"), 11) / F.lit(float(1 << 53))
+    # texts without words change nothing: they get the further copy or not as a band of its own
+    asked = F.sum((F.col("rate") - F.col("whole")) * F.col("n")).over(along) + start
+    many = many.withColumn("upto", F.floor(asked + 1e-9)).withColumn("more", F.least(F.col("n"), F.col("upto") - F.coalesce(F.lag("upto").over(along), F.lit(0))))
+    many = written(many.select("source", "band", "source_size", "target", "whole", "more"))
+    wanted = many.where("more > 0").select(F.col("source").alias("s"), F.col("band").alias("b"), "more")
+    below = F.sum("n").over(Window.partitionBy("source", "band").orderBy("top")) - F.col("n")
+    about = counts.withColumn("below", below).join(wanted, F.col("source").eqNullSafe(F.col("s")) & (F.col("band") == F.col("b")))
+    about = written(about.where("below < more AND more <= below + n").select("s", "b", F.col("top").alias("t"), (F.col("more") - F.col("below")).alias("rest")))
+    near = sized.select("source", _band(F.col("size")).alias("band"), "key").join(about, F.col("source").eqNullSafe(F.col("s")) & (F.col("band") == F.col("b")) & (top == F.col("t")))
+    edge = near.withColumn("r", F.row_number().over(Window.partitionBy("s", "b").orderBy("key"))).where("r = rest").select("s", "b", F.col("key").alias("edge"))
+    out = many.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("band") == F.col("b")), "left")
+    return written(out.select("source", "source_size", "target", "band", "whole", F.coalesce("edge", F.lit(-1)).alias("edge")))
+
+
+#: Bands of sources that are broadcast; beyond, a salted shuffle join takes over.
+BROADCAST, SALTS = 200_000, 16
+
+
+def _decided(near: DataFrame, share: DataFrame, source: Column, size: Column, key: Column) -> tuple[DataFrame, Column, DataFrame]:
+    """``near`` beside the columns of ``share`` for its source and size, the copies, and ``share`` as joined; one source may hold much of it."""
+    same = source.eqNullSafe(share["source"]) & (_band(size) == share["band"])
+    if share.limit(BROADCAST + 1).count() <= BROADCAST:
+        met = near.join(F.broadcast(share), same)
+    else:
+        share = share.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = near.join(share, source.eqNullSafe(share["source"]) & (_band(size) == share["band"]) & (F.pmod(key, F.lit(SALTS)).cast("int") == share["slot"]))
+    return met, (share["whole"] + F.when(key <= share["edge"], 1).otherwise(0)).cast("long"), share
 
 
 def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 17, text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How often the mix takes each row: doc_id, source, size, source_size, target, copies.
 
-    A null text has size 0 and a null source is a source of its own. Rows are decided by a hash of seed, doc_id and text, so that reruns
+    A null text has size 0 and a null source is a source of its own. Rows are decided by shares() and a hash of seed, doc_id and text, so that reruns
     agree and repeated rows share their fate. A source without words has target 0, and its rows are not taken. An empty table gives no rows.
     """
-    sized = written(docs.select("doc_id", _key(seed, text_col).alias("__key"), F.col(source_col).alias("source"), words(text_col).alias("size")))
-    goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    return _with_targets(sized, goal, "source").select("doc_id", "source", "size", F.col("__size").alias("source_size"), F.col("__target").alias("target"), _copies(most).alias("copies"))
+    sized = written(docs.select("doc_id", _key(seed, text_col).alias("key"), F.col(source_col).alias("source"), words(text_col).alias("size")))
+    met, copies, share = _decided(sized, shares(sized, weights, most, seed), sized["source"], sized["size"], sized["key"])
+    return met.select("doc_id", sized["source"], "size", share["source_size"], share["target"], copies.alias("copies"))
 
 
 def emit(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 17, text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: the rows of ``docs`` with their columns, each as often as plan() takes it. Texts aren't shuffled."""
-    sizes = written(docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(words(text_col)).alias("source_size")))
-    near = _with_targets(docs.withColumn("__key", _key(seed, text_col)), targets(sizes, weights, most), source_col)
-    taken = near.withColumn("__copies", _copies(most)).where(F.col("__copies") > 0)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)
+    """The mix itself: the rows of ``docs`` with their columns, whatever their names, each as often as plan() takes it. Texts aren't shuffled."""
+    sized = written(docs.select(_key(seed, text_col).alias("key"), F.col(source_col).alias("source"), words(text_col).alias("size")))
+    met, copies, _ = _decided(docs, shares(sized, weights, most, seed), docs[source_col], words(docs[text_col]), F.shiftrightunsigned(F.xxhash64(F.lit(seed), docs["doc_id"], docs[text_col]), 11))
+    times = free("copies", docs)
+    taken = met.select(*(docs[c] for c in docs.columns), copies.alias(times)).where(F.col(times) > 0)
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(free("copy", docs))).select(*docs.columns)
