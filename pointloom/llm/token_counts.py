@@ -1,26 +1,32 @@
-"""Token counts by a map-side lookup in two tiers, without a shuffle.
+"""Token counts by a map-side lookup in two tiers, without a shuffle of pre-tokens.
 
-The first tier is a compact table of frequent pre-tokens and their lengths in tokens. BPE builds its vocabulary from the
-most frequent strings, so the entries that are whole pre-tokens are the frequent ones; each is one token. The table is
-broadcast and can't exceed the vocabulary. Other pre-tokens are encoded once by the library's model and kept in a bounded cache
-of the worker, the second tier.
+The first tier is a compact hash table of the most frequent pre-tokens and their lengths in tokens: ascending 64-bit hashes beside bytes, TABLE entries
+at most, broadcast. Which are frequent is counted in a bounded sample of documents; that changes no result, only how often the second tier is asked.
+There a worker encodes a pre-token by the library's model and keeps its length in a bounded cache.
+
+Texts are cut into pre-tokens a block at a time, as arrays, and looked up as hashes; only pre-tokens that the table lacks are cut out as strings.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from collections import Counter as Tally
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pointloom.llm.common import as_bytes, blocks, column, texts_of
-from pointloom.llm.pretokens import BYTE_LEVEL, Recent, splitter
+from pointloom.llm.common import ARRAY_BYTES, blocks, column, live, texts_of
+from pointloom.llm.pretokens import Recent, span_hashes, spans, splitter
 
-#: Misses that a worker keeps; long ones are encoded each time.
-MISS_CACHE = 1_000_000
+#: Entries of the table (9 bytes each), documents that are sampled for it, about, and pre-tokens that a task of the sample passes on.
+TABLE, SAMPLE, PASSED = 1 << 18, 8_000, 1 << 17
+#: Misses that a worker keeps (some 150 bytes each); long ones are encoded each time.
+MISS_CACHE = 400_000
 
 
 def byte_letters() -> list[str]:
@@ -30,27 +36,6 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
-def frequent_table(tokenizer_json: str) -> tuple[bytes, bytes]:
-    """Pre-tokens, joined by line feeds, and their lengths: every vocabulary entry that is one pre-token of valid UTF-8."""
-    spec = json.loads(tokenizer_json)
-    letters = {c: b for b, c in enumerate(byte_letters())}
-    whole = regex.compile(BYTE_LEVEL)
-    special = {t["content"] for t in spec.get("added_tokens", [])}
-    found = []
-    for entry in spec["model"]["vocab"]:
-        if entry in special or any(c not in letters for c in entry):
-            continue
-        try:
-            text = bytes(letters[c] for c in entry).decode()
-        except UnicodeDecodeError:
-            continue
-        if "\n" not in text and whole.fullmatch(text):
-            found.append(text)
-    model = _model(tokenizer_json)
-    sizes = [len(model.tokenize(_spelt(t))) for t in found]
-    return "\n".join(found).encode(), np.array(sizes, np.uint8).tobytes()
-
-
 _LETTERS = byte_letters()
 
 
@@ -64,18 +49,43 @@ def _model(tokenizer_json: str):
     return Tokenizer.from_str(tokenizer_json).model
 
 
-class Lengths(Recent):
-    """Length in tokens by pre-token: the frequent table first, then what this worker has met."""
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts end to end, where each begins, and the end."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum([0, *map(len, texts)])
 
-    def __init__(self, tokenizer_json: str, frequent: tuple[bytes, bytes]):
-        tokenize = _model(tokenizer_json).tokenize
-        table = dict(zip(frequent[0].decode().split("\n"), frequent[1]))
-        super().__init__(2 * len(table) + MISS_CACHE, lambda piece: table.get(piece) or len(tokenize(_spelt(piece))))
-        self.update(table)
+
+def frequent(docs: DataFrame, sample: int = SAMPLE, passed: int = PASSED) -> Tally:
+    """Pre-tokens of about ``sample`` documents, chosen by a hash of the id, with their counts: of each task the ``passed`` most frequent."""
+    part = max(1, docs.count() // max(1, sample))
+
+    def work(batches):
+        seen: Tally = Tally()
+        split = splitter()
+        for batch in blocks(batches):
+            for text in batch.column("text").to_pylist():
+                seen.update(split(text))
+        best = [(t, n) for t, n in seen.most_common(passed) if len(t) <= 64]
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], names=["piece", "n"])
+
+    chosen = texts_of(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0).coalesce(8)
+    out: Tally = Tally()
+    for r in chosen.select("text").mapInArrow(work, "piece string, n bigint").toLocalIterator():
+        out[r["piece"]] += r["n"]
+    return out
+
+
+def table_of(tokenizer_json: str, pieces: Tally, most: int = TABLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and lengths in tokens of the most frequent pieces."""
+    tokenize = _model(tokenizer_json).tokenize
+    best = [(t, n) for t, _ in pieces.most_common(most) if (n := len(tokenize(_spelt(t)))) < 256]
+    points, at = _points([t for t, _ in best])
+    keys = span_hashes(points, at[:-1], at[1:])
+    by = np.argsort(keys)
+    return keys[by], np.array([n for _, n in best], np.uint8)[by]
 
 
 class Counter:
-    def __init__(self, tokenizer_json: str, frequent: tuple[bytes, bytes]):
+    def __init__(self, tokenizer_json: str, table: tuple[np.ndarray, np.ndarray]):
         spec = json.loads(tokenizer_json)
         pre = spec.get("pre_tokenizer") or {}
         if spec["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
@@ -85,38 +95,55 @@ class Counter:
             raise ValueError("added tokens that strip or stand alone aren't supported")
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"])))) if added else None
         self.marks = [t["content"] for t in added]
-        self.pieces, self.length = splitter(), Lengths(tokenizer_json, frequent)
-
-    def count(self, text: str) -> int:
-        """As the library counts: a special string in the text is one token, and the parts around it stand alone."""
-        get = self.length.__getitem__
-        if any(m in text for m in self.marks):
-            parts = self.special.split(text)
-            return len(parts) - 1 + sum(sum(map(get, self.pieces(p))) for p in parts)
-        return sum(map(get, self.pieces(text)))
-
-
-_COUNTERS: dict[bytes, Counter] = {}
+        tokenize = _model(tokenizer_json).tokenize
+        self.keys, self.sizes = table
+        self.missed = Recent(MISS_CACHE, lambda piece: len(tokenize(_spelt(piece))))
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """As the library counts: a special string in a text is one token, and the parts around it stand alone."""
+        specials = np.zeros(len(texts), np.int64)
+        owner, parts = np.arange(len(texts)), texts
+        marked = [i for i, t in enumerate(texts) if any(m in t for m in self.marks)]
+        if marked:
+            parts, whose = [], []
+            for i, t in enumerate(texts):
+                cut = self.special.split(t)
+                specials[i] = len(cut) - 1
+                parts += cut
+                whose += [i] * len(cut)
+            owner = np.array(whose, np.int64)
+        points, at = _points(parts)
+        start, stop = spans(points, at)
+        keys, first, place = np.unique(span_hashes(points, start, stop), return_index=True, return_inverse=True)
+        size = np.zeros(len(keys), np.int64)
+        if len(self.keys):
+            i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            size = np.where(self.keys[i] == keys, self.sizes[i], 0).astype(np.int64)
+        whole = points.tobytes()
+        for k in np.flatnonzero(size == 0).tolist():
+            a, b = int(start[first[k]]), int(stop[first[k]])
+            size[k] = self.missed[whole[4 * a : 4 * b].decode("utf-32-le", "surrogatepass")]
+        text = owner[np.searchsorted(at, start, "right") - 1] if len(start) else np.zeros(0, np.int64)
+        return specials + np.bincount(text, size[place], len(texts)).astype(np.int64)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every whole text.
 
     ``tokenizer`` is the path of a byte-level BPE file of the tokenizers library, read by the driver and broadcast with the
-    frequent table made of it. A null text counts as empty (0 tokens); null ids, repeated rows and empty tables pass row by row.
+    table of frequent pre-tokens. A null text counts as empty (0 tokens); null ids, repeated rows and empty tables pass row by row.
     """
     with open(tokenizer, encoding="utf-8") as f:
         spec = f.read()
-    shared = docs.sparkSession.sparkContext.broadcast((spec, frequent_table(spec)))
+    shared = docs.sparkSession.sparkContext.broadcast((spec, table_of(spec, frequent(docs))))
     mark = hashlib.sha256(spec.encode()).digest()
 
     def work(batches):
-        if mark not in _COUNTERS:
-            _COUNTERS[mark] = Counter(*shared.value)
-        count = _COUNTERS[mark].count
-        for batch in blocks(batches):
-            raw = as_bytes(batch.column("text"))
-            n = [count(b.decode("utf-8", "replace")) for b in raw]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(b) for b in raw], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        table = shared.value[1]
+        counter = live(("tokens", mark, hashlib.sha256(table[0].tobytes()).digest()), lambda: Counter(*shared.value))
+        for batch in blocks(batches, limit=ARRAY_BYTES // 2):
+            text = batch.column("text")
+            n = counter.counts(text.to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.cast(pc.binary_length(text), pa.int64()), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return texts_of(docs).mapInArrow(work, f"{column('doc_id', docs)}, n_bytes bigint, n_tokens bigint, over_limit boolean")
