@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import as_bytes, blocks, column, texts_of
+from pointloom.llm.common import as_bytes, blocks, bounded, column, live, texts_of
 
 _parse, _op = re._parser, re._constants
 
@@ -238,7 +238,8 @@ class Scanner:
             for d in self.candidates(self.queries[k], postings, len(texts)).tolist():
                 raw = texts[d]
                 if full:  # over all documents: bytes need no decoding, as classes and literals are ASCII
-                    out[d] += [(len(raw[: m.start()].decode("utf-8", "replace")), len(raw[: m.end()].decode("utf-8", "replace")), k) for m in self.bytes_scan[k](raw) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+                    found = np.array([m.span() for m in self.bytes_scan[k](raw) if m.end(rule.group) - m.start(rule.group) >= rule.least], np.int64)
+                    out[d] += [(a, b, k) for a, b in _code_points(raw, found.reshape(-1, 2)).tolist()]
                     continue
                 if d not in decoded:
                     decoded[d] = raw.decode("utf-8", "replace")
@@ -248,13 +249,16 @@ class Scanner:
         return out
 
 
-_SCANNERS: dict[tuple[Rule, ...], Scanner] = {}
+def _code_points(raw: bytes, at: np.ndarray) -> np.ndarray:
+    """Byte positions as code points: each byte that continues a character counts for nothing."""
+    if not at.size or raw.isascii():
+        return at
+    first = np.cumsum(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)
+    return np.where(at > 0, first[at - 1], 0)
 
 
 def scanner(rules: tuple[Rule, ...]) -> Scanner:
-    if rules not in _SCANNERS:
-        _SCANNERS[rules] = Scanner(rules)
-    return _SCANNERS[rules]
+    return live(("secrets", rules), lambda: Scanner(rules))
 
 
 def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -309,4 +313,4 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "te
             new = [None if no else cleaned(t, s).decode("utf-8", "replace") for t, s, no in zip(raw, scan.spans(raw), null)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)], names=batch.schema.names)
 
-    return docs.mapInArrow(work, docs.schema)
+    return bounded(docs).mapInArrow(work, docs.schema)
