@@ -1,87 +1,78 @@
-"""Language-model scoring with a log-frequency Bloom filter (after Talbot and Osborne, 2007).
+"""Language-model scoring with log-frequency Bloom filters (after Talbot and Osborne, 2007).
 
-The filter holds no counts: an n-gram whose quantised count is q is entered q times, as (n-gram, 1) to (n-gram, q), and its count is read back by
-probing level after level until one is missing. A false positive raises a count by few levels. It holds words, word pairs and, where
-rare pairs are left out on request, for each word that a pair begins with, how often the pairs held begin with it. From these,
+A filter holds no counts: an n-gram whose quantised count is q is entered q times, as (n-gram, 1) to (n-gram, q), and its count is read back by
+probing level after level until one is missing. A false positive raises a count by few levels. One filter holds words, another word pairs and how
+often each word begins one. Every n-gram is entered from a count of 1. From these,
 
-    P(w | v) = (c(v,w) + (c(v) - t(v) + m) P(w)) / (c(v) + m),   P(w) = (c(w) + 1/2) / (N + (V + 1)/2),
+    P(w | v) = (c(v,w) + m P(w)) / (c(v) + m),   P(w) = (c(w) + 1/2) / (N + (V + 1)/2).
 
-where t(v) counts the pairs held that begin with v. By default every pair is entered from a count of 1, so t(v) = c(v), as every word
-is followed by one token, END by the first of a text; pairs that aren't held back off to the word alone.
+Every word is followed by one token, END by the first of a text.
 
-The filter is made of segments by hash, each built by one task to the size that its entries need, and written to the shared folder. Segments are put
-end to end in shards of about ``capacity`` bytes, of which one at a time is on the driver and the workers. A filter of several shards is probed shard by
-shard: each pass over the documents reads the levels of the keys that lie in its shard, and the levels of all passes together give the scores. No n-gram
-is left out for room.
+A filter is made of segments, each built by one task to the size that its entries need and written to the shared folder: those of words by a hash of the
+word, those of pairs by a hash of the first word. Segments are put end to end in shards of about ``capacity`` bytes, of which one of each filter is
+broadcast at a time. A token is scored where both its word and the word before lie in the shards at hand, so scores of all pairs of shards add up to the
+whole; each pair is a pass over the documents. No n-gram is left out for room.
 
-The base score needs exact counts. Those of frequent words are broadcast (at most HOT of them); a document's other words are joined with the counts.
+Words are known by 64-bit hashes. The base score needs exact counts: those of frequent words are broadcast (at most HOT of them), a document's other words
+are joined with the counts.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter
-from dataclasses import dataclass, replace
-from functools import reduce
-from itertools import chain
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-import zstandard
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import as_bytes, blocks, column, written
-from pointloom.llm.pretokens import Recent
-from pointloom.llm.words import mixed
+from pointloom.llm.common import ARRAY_BYTES, blocks, bounded, column, written
+from pointloom.llm.words import Words, mixed
 
-#: The token that ends each document, which is also what its first word follows. No word is empty.
-END = b""
-HOT, CAPACITY = 1 << 18, 128 << 20
+#: The token that ends each document, which is also what its first word follows. It is no word's hash.
+END = np.uint64(0x94D049BB133111EB)
+HOT, CAPACITY = 1 << 20, 160 << 20
 #: Bits for each entry, probes for each level, and entries in a segment, about.
-BITS, PROBES, SEGMENT = 10, 4, 1 << 15
+BITS, PROBES, SEGMENT = 10, 4, 1 << 20
 #: A level covers counts up to so many times its smallest: finer for words than for pairs.
-WORD_STEP, PAIR_STEP = 1.1, 1.5
+WORD_STEP, PAIR_STEP = 1.2, 1.5
 PRIOR = 20.0
-#: Bytes of text that are worked on at once; the arrays for them take some twenty times as much.
-BLOCK = 4 << 20
-#: Distinct words that a task counts before it passes them on.
-FLUSH = 400_000
-_CONTEXT_BITS = 36
-
-_hash = Recent(600_000, xxhash.xxh3_64_intdigest)
-
-
-def tokens(raw: bytes) -> list[bytes]:
-    return [*raw.lower().split(), END]
+#: Tokens that a task counts before it passes them on.
+HELD = 1 << 20
+
+
+def hashed(texts: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of each token of all texts, of the one before it, and how many tokens each text has."""
+    w = Words(texts, lower=True)
+    n = w.counts + 1
+    ends = np.cumsum(n) - 1
+    token = np.empty(w.n + len(n), np.uint64)
+    word = np.ones(len(token), bool)
+    word[ends] = False
+    token[word] = w.hashes
+    token[ends] = END
+    before = np.empty_like(token)
+    before[1:] = token[:-1]
+    before[np.cumsum(n) - n] = END
+    return token, before, n
 
 
 # ---- Keys and levels
 
 
-def word_keys(h: np.ndarray) -> np.ndarray:
-    return mixed(h + np.uint64(0x5851F42D4C957F2D))
-
-
-def contexts(h: np.ndarray) -> np.ndarray:
-    """28 bits of a word that stand for it as the first of a pair."""
-    return mixed(h + np.uint64(0x14057B7EF767814F)) >> np.uint64(_CONTEXT_BITS)
-
-
 def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """The context in the upper bits, the pair below."""
-    low = mixed(mixed(first) * np.uint64(0x9E3779B97F4A7C15) + second) & np.uint64((1 << _CONTEXT_BITS) - 1)
-    return contexts(first) << np.uint64(_CONTEXT_BITS) | low
+    return mixed(mixed(first) * np.uint64(0x9E3779B97F4A7C15) + second)
 
 
-def total_keys(context: np.ndarray) -> np.ndarray:
-    return mixed(context + np.uint64(0x2545F4914F6CDD1D))
+def first_keys(first: np.ndarray) -> np.ndarray:
+    """The keys of how often words begin a pair."""
+    return mixed(first + np.uint64(0x2545F4914F6CDD1D))
 
 
-def level(count: Column, step: float) -> Column:
+def levels_of(count: np.ndarray, step: float) -> np.ndarray:
     """1 for a count of 1, and so on: the number of powers of ``step`` up to the count."""
-    return (1 + F.floor(F.log(count) / float(np.log(step)) + 1e-9)).cast("int")
+    return (1 + np.floor(np.log(count) / float(np.log(step)) + 1e-9)).astype(np.int64)
 
 
 def counts_of_levels(step: float, n: int = 512) -> np.ndarray:
@@ -94,6 +85,16 @@ def counts_of_levels(step: float, n: int = 512) -> np.ndarray:
 # ---- The filter
 
 
+def segments_of(words: np.ndarray, bits: int) -> np.ndarray:
+    """The segment, of 2**bits, of what is kept by these words."""
+    return (mixed(words ^ np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(words), np.int64)
+
+
+def _short(keys: np.ndarray) -> np.ndarray:
+    """The part of a key that tells it from others of its segment."""
+    return (keys >> np.uint64(32)).astype(np.uint32)
+
+
 @dataclass(frozen=True)
 class Filter:
     """Segments of bits end to end: 2**bits of them, where each begins and how many bits it has."""
@@ -104,50 +105,44 @@ class Filter:
     data: np.ndarray
 
     @staticmethod
-    def positions(keys: np.ndarray, level: int, size: np.ndarray):
+    def positions(short: np.ndarray, level: int, size: np.ndarray | np.uint64):
         """PROBES bit positions below ``size``, one array after the other."""
-        x = mixed(keys + np.uint64(0xA0761D6478BD642F * level % (1 << 64)))
+        x = mixed(short.astype(np.uint64) + np.uint64(0xA0761D6478BD642F * level % (1 << 64)))
         a, b = x >> np.uint64(32), x & np.uint64(0xFFFFFFFF) | np.uint64(1)
         for i in range(PROBES):
             yield ((a + np.uint64(i) * b & np.uint64(0xFFFFFFFF)) * size) >> np.uint64(32)
 
     @staticmethod
-    def segment(keys: np.ndarray, bits: int) -> np.ndarray:
-        return mixed(keys ^ np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)
-
-    @staticmethod
-    def built(keys: np.ndarray, levels: np.ndarray) -> bytes:
+    def built(short: np.ndarray, levels: np.ndarray) -> bytes:
         """One segment that holds each key at the levels 1 to its own."""
         size = max(64, -(-int(levels.sum()) * BITS // 64) * 64)
         on = np.zeros(size, bool)
         now = 1
-        while len(keys):
-            for p in Filter.positions(keys, now, np.full(len(keys), size, np.uint64)):
+        while len(short):
+            for p in Filter.positions(short, now, np.uint64(size)):
                 on[p] = True
             now += 1
             keep = levels >= now
-            keys, levels = keys[keep], levels[keep]
+            short, levels = short[keep], levels[keep]
         return np.packbits(on, bitorder="little").tobytes()
 
-    @classmethod
-    def joined(cls, bits: int, parts: dict[int, bytes]) -> Filter:
-        size = np.array([len(parts.get(i, b"")) for i in range(1 << bits)], np.uint64)
-        data = np.frombuffer(b"".join(parts[i] for i in sorted(parts)), np.uint8)
-        return cls(bits, (np.cumsum(size) - size) * np.uint64(8), size * np.uint64(8), data)
+    def holds(self, words: np.ndarray) -> np.ndarray:
+        """Whether what is kept by these words would lie in this shard."""
+        return self.size[segments_of(words, self.bits)] > 0
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The highest level that each key holds without a gap, by probing one after the other."""
+    def levels(self, keys: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The highest level that each key holds without a gap, by probing one after the other. ``words``: what the keys are kept by."""
         out = np.zeros(len(keys), np.int64)
-        segment = self.segment(keys, self.bits).astype(np.int64)
-        start, size = self.start[segment], self.size[segment]
+        segment = segments_of(words, self.bits)
+        start, size, short = self.start[segment], self.size[segment], _short(keys)
         index = np.flatnonzero(size)
         now = 1
         while len(index):
-            for i in range(PROBES):
+            own = size[index]
+            for i, p in enumerate(self.positions(short[index], now, own)):
                 if not i:
-                    probes = self.positions(keys[index], now, size[index])
                     alive = np.arange(len(index))
-                p = next(probes)[alive] + start[index[alive]]
+                p = p[alive] + start[index[alive]]
                 alive = alive[self.data[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & 1 > 0]
             index = index[alive]
             out[index] = now
@@ -168,7 +163,7 @@ class Shards:
         return len(self.bounds) - 1
 
     def filter(self, i: int) -> Filter:
-        """Shard ``i``: keys of other shards have level 0 in it, so the levels of all shards add up to those of the whole filter."""
+        """Shard ``i``: segments of other shards have no bits in it."""
         a, b = self.bounds[i], self.bounds[i + 1]
         size = np.where((np.arange(1 << self.bits) >= a) & (np.arange(1 << self.bits) < b), self.size, 0)
         start = np.cumsum(size) - size
@@ -180,40 +175,49 @@ class Shards:
 
 
 @dataclass(frozen=True)
-class Model:
-    """``filter``: one shard, the first unless another was asked for. ``shards`` stay on the driver."""
+class Scorer:
+    """What is sent to the workers: a shard of each filter."""
 
-    filter: Filter
+    words: Filter
+    pairs: Filter
     total: int
     distinct: int
     prior: float
-    word_counts: np.ndarray
-    pair_counts: np.ndarray
-    shards: Shards | None = None
-    #: Whether every pair is held, so that a word begins as many pairs as it has occurrences.
-    every_pair: bool = False
 
-    def shard(self, i: int) -> Model:
-        """The model as it is sent to the workers, with shard ``i``."""
-        return replace(self, filter=self.shards.filter(i) if i else self.filter, shards=None)
-
-    def word_levels(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each word hash: the levels of the word and of the pairs held that begin with it."""
-        own = self.filter.levels(word_keys(h))
-        return own, own if self.every_pair else self.filter.levels(total_keys(contexts(h)))
+    def log10(self, token: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """log10 P of each token after the one before it; 0 where either is of another shard."""
+        own, place = np.unique(token, return_inverse=True)
+        count = counts_of_levels(WORD_STEP)
+        here, there = self.words.holds(own), self.pairs.holds(own)
+        alone = (count[self.words.levels(own, own)] + 0.5) / (self.total + 0.5 * (self.distinct + 1))
+        # the token before is one of the block's, but for what the first follows
+        follows = np.empty_like(place)
+        follows[1:] = place[:-1]
+        first = before == END
+        follows[first] = np.searchsorted(own, END)
+        begins = count[self.pairs.levels(first_keys(own), own)]
+        out = np.zeros(len(token))
+        at = np.flatnonzero(here[place] & there[follows])
+        c = counts_of_levels(PAIR_STEP)[self.pairs.levels(pair_keys(before[at], token[at]), before[at])]
+        v = begins[follows[at]]
+        out[at] = np.log10((np.minimum(c, v) + self.prior * alone[place[at]]) / (v + self.prior))
+        return out
 
-    def pair_levels(self, h: np.ndarray, before: np.ndarray) -> np.ndarray:
-        return self.filter.levels(pair_keys(before, h))
 
-    def words(self, own: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of word_levels(): P(w), the count as a first word and how often the pairs held begin with it."""
-        count, held = self.word_counts[own], self.word_counts[totals]
-        return (count + 0.5) / (self.total + 0.5 * (self.distinct + 1)), np.maximum(count, held), held
+@dataclass(frozen=True)
+class Model:
+    words: Shards
+    pairs: Shards
+    total: int
+    distinct: int
+    prior: float
 
-    def log10(self, pairs: np.ndarray, alone: np.ndarray, v: np.ndarray, held: np.ndarray) -> np.ndarray:
-        """log10 P of each word after the one before it, given the level of the pair and what words() says: P(w) of the word, the rest of the one before."""
-        c = np.minimum(self.pair_counts[pairs], held)
-        return np.log10((c + (v - held + self.prior) * alone) / (v + self.prior))
+    def scorers(self):
+        """One for each pair of shards."""
+        for i in range(len(self.words)):
+            words = self.words.filter(i)
+            for j in range(len(self.pairs)):
+                yield Scorer(words, self.pairs.filter(j), self.total, self.distinct, self.prior)
 
 
 # ---- Learning
@@ -224,264 +228,201 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, c) of all tokens, counted in the tasks before they are shuffled."""
+_PACKED = "segment int, keys binary, times binary, first boolean"
+
+
+def _packed(segment: np.ndarray, keys: np.ndarray, times: np.ndarray, first: bool) -> pa.RecordBatch:
+    """A row for each segment, which ascend."""
+    cuts = [0, *(np.flatnonzero(np.diff(segment)) + 1).tolist(), len(segment)]
+    rows = [(int(segment[a]), keys[a:b].tobytes(), times[a:b].astype(np.uint32).tobytes()) for a, b in zip(cuts, cuts[1:]) if a < b]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[c] for r in rows], pa.binary()) for c in (1, 2)), pa.array([first] * len(rows))], names=["segment", "keys", "times", "first"])
+
+
+def _counted(texts: DataFrame, keys_of, bits: int) -> DataFrame:
+    """Rows of _PACKED: keys counted in the tasks. ``keys_of``: (segment, key) arrays of (token, before)."""
 
     def work(batches):
-        _LEXICONS.clear()  # what earlier scores left
-        seen: Counter = Counter()
+        held, size = [], 0
 
         def sent():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
-
-        for batch in blocks(batches, limit=BLOCK):
-            for raw in as_bytes(batch.column("text")):
-                seen.update(tokens(raw))
-                if len(seen) >= FLUSH:
-                    yield sent()
-                    seen.clear()
-        if seen:
+            segment, key = (np.concatenate(x) for x in zip(*held))
+            by = np.lexsort((key, segment))
+            segment, key = segment[by], key[by]
+            at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (segment[1:] != segment[:-1])]))
+            return _packed(segment[at], key[at], np.diff(np.append(at, len(key))), False)
+
+        for batch in blocks(batches, limit=ARRAY_BYTES):
+            token, before, _ = hashed(batch.column("text"))
+            held.append(keys_of(token, before))
+            size += len(token)
+            if size >= HELD:
+                yield sent()
+                held, size = [], 0
+        if held:
             yield sent()
 
-    return texts.select("text").mapInArrow(work, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(work, _PACKED)
 
 
-def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each token of all texts and of the one before it."""
-    split = [tokens(t) for t in texts]
-    n = np.array([len(x) for x in split], np.int64)
-    h = np.fromiter(map(_hash.__getitem__, chain.from_iterable(split)), np.uint64, int(n.sum()))
-    before = np.empty_like(h)
-    before[1:] = h[:-1]
-    before[np.cumsum(n) - n] = _hash[END]
-    return h, before
+def _summed(keys: list[bytes], times: list[bytes], kind) -> tuple[np.ndarray, np.ndarray]:
+    key, n = np.frombuffer(b"".join(keys), kind), np.frombuffer(b"".join(times), np.uint32).astype(np.int64)
+    by = np.argsort(key, kind="stable")
+    key, n = key[by], n[by]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[at], np.add.reduceat(n, at) if len(at) else n
 
 
-def pair_counts(texts: DataFrame) -> DataFrame:
-    """(k, c) of all pairs of neighbours."""
+def word_counts(texts: DataFrame, bits: int = 8) -> DataFrame:
+    """(word, c) of all tokens, by hash."""
 
-    def work(batches):
-        for batch in blocks(batches, limit=BLOCK):
-            h, before = _hashed(as_bytes(batch.column("text")))
-            keys, n = np.unique(pair_keys(before, h), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["k", "c"])
+    def keys_of(token, before):
+        return (token >> np.uint64(64 - bits)).astype(np.int64), token
+
+    def total(table: pa.Table) -> pa.Table:
+        key, n = _summed(table.column("keys").to_pylist(), table.column("times").to_pylist(), np.uint64)
+        return pa.table({"word": pa.array(key.view(np.int64)), "c": pa.array(n)})
 
-    return texts.select("text").mapInArrow(work, "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c"))
+    return _counted(texts, keys_of, bits).groupBy("segment").applyInArrow(total, "word bigint, c bigint")
 
 
-def _keyed(df: DataFrame, source: str, key) -> DataFrame:
-    """``df``'s c and q under the key that ``key`` makes of a list of values."""
+def _entered(words: DataFrame, keys, bits: int, first: bool) -> DataFrame:
+    """Rows of _PACKED of (word, c), by the word."""
 
     def work(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(key(batch.column(source)).view(np.int64)), batch.column("q")], names=["k", "q"])
+            word = batch.column("word").to_numpy(zero_copy_only=False).view(np.uint64)
+            segment = segments_of(word, bits)
+            by = np.argsort(segment, kind="stable")
+            if len(by):
+                yield _packed(segment[by], _short(keys(word))[by], batch.column("c").to_numpy(zero_copy_only=False)[by], first)
 
-    return df.select(source, "q").mapInArrow(work, "k bigint, q int")
+    return words.mapInArrow(work, _PACKED)
 
 
-def _word_hashes(words: pa.Array) -> np.ndarray:
-    return word_keys(np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words)))
-
-
-def _build(entries: DataFrame, total: int, capacity: int) -> Shards:
-    """Of (k, q) rows with about ``total`` levels in all."""
-    # a shard has several segments, so that shards come out even
-    bits = max(0, int(np.ceil(np.log2(max(1, total) / min(SEGMENT, max(1, capacity * 8 // BITS // 4))))))
-
-    def place(batches):
-        for batch in batches:
-            k = batch.column("k").to_numpy(zero_copy_only=False).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(Filter.segment(k, bits).astype(np.int32)), batch.column("k"), batch.column("q")], names=["segment", "k", "q"])
+def _built(entries: DataFrame, bits: int, capacity: int) -> Shards:
+    """The filter of rows of _PACKED. ``first`` tells counts of words from those of pairs."""
 
     def build(table: pa.Table) -> pa.Table:
-        k, q = table.column("k").to_numpy().view(np.uint64), table.column("q").to_numpy().astype(np.int64)
-        return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([Filter.built(k, q)], pa.binary())})
-
-    parts = written(entries.mapInArrow(place, "segment int, k bigint, q int").groupBy("segment").applyInArrow(build, "segment int, bits binary"))
+        short, levels = [], []
+        for first, step in ((False, PAIR_STEP), (True, WORD_STEP)):
+            part = table.filter(pc.equal(table.column("first"), first))
+            k, n = _summed(part.column("keys").to_pylist(), part.column("times").to_pylist(), np.uint32)
+            short.append(k)
+            levels.append(levels_of(n, step))
+        return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([Filter.built(np.concatenate(short), np.concatenate(levels))], pa.binary())})
+
+    parts = written(entries.groupBy("segment").applyInArrow(build, "segment int, bits binary"))
     size = np.zeros(1 << bits, np.int64)
     for r in parts.select("segment", F.octet_length("bits").alias("n")).toLocalIterator():
         size[r["segment"]] = r["n"]
+    # what is kept by a word of another segment than any in the filter must still be told to lie in a shard
+    size = np.maximum(size, 8)
     shards = max(1, -(-int(size.sum()) // capacity))
     which = np.minimum((np.cumsum(size) - size) * shards // max(1, int(size.sum())), shards - 1)
     return Shards(parts, bits, size, (0, *(np.flatnonzero(np.diff(which)) + 1).tolist(), 1 << bits))
 
 
-def learn(texts: DataFrame, capacity: int = CAPACITY, least: int = 1, prior: float = PRIOR) -> tuple[Model, DataFrame]:
-    """The model and the exact (word, c) of the rows of ``texts``. ``least``: the count from which pairs are entered. ``capacity``: bytes of a shard, about."""
+def learn(texts: DataFrame, capacity: int = CAPACITY, prior: float = PRIOR) -> tuple[Model, DataFrame]:
+    """The model and the exact (word, c), by hash, of the rows of ``texts``. ``capacity``: bytes of a shard, about."""
     words = written(word_counts(texts))
     row = words.agg(F.sum("c"), F.count("*")).first()
     total, distinct = row[0] or 0, row[1] or 0
-    # pairs below ``least`` count towards nothing but the total of the word they begin with, which the words have
-    pairs = written(pair_counts(texts).where(F.col("c") >= least))
-    kept = pairs.withColumn("q", level(F.col("c"), PAIR_STEP))
-    own = words.withColumn("q", level(F.col("c"), WORD_STEP))
-    entries = kept.select("k", "q").union(_keyed(own, "word", _word_hashes))
-    if least > 1:
-        held = kept.groupBy(F.shiftrightunsigned("k", _CONTEXT_BITS).alias("context")).agg(F.sum("c").alias("c")).withColumn("q", level(F.col("c"), WORD_STEP))
-        entries = entries.union(_keyed(held, "context", lambda x: total_keys(x.to_numpy(zero_copy_only=False).view(np.uint64))))
-    # a context's total has no more levels than its word
-    levels = (kept.agg(F.sum("q")).first()[0] or 0) + (1 + (least > 1)) * (own.agg(F.sum("q")).first()[0] or 0)
-    shards = _build(entries, levels, capacity)
-    return Model(shards.filter(0), total, distinct, prior, counts_of_levels(WORD_STEP), counts_of_levels(PAIR_STEP), shards, least <= 1), words
+    # a shard has several segments, so that shards come out even
+    each = min(SEGMENT, max(1, capacity * 8 // BITS // 4))
+    bits = lambda n: int(np.ceil(np.log2(max(1, -(-n // each)))))
+    many, few = bits(total), bits(4 * distinct)
+    singles = _built(_entered(words, mixed, few, True), few, capacity)
+    pairs = _counted(texts, lambda token, before: (segments_of(before, many), _short(pair_keys(before, token))), many)
+    doubles = _built(pairs.union(_entered(words, first_keys, many, True)), many, capacity)
+    return Model(singles, doubles, total, distinct, prior), words
 
 
 # ---- Scoring
 
 
-class Lexicon:
-    """Numbers for the words a worker meets, with what is known of each: its hash, exact count if it is frequent, and the model's levels and values.
-
-    When it is full it begins anew.
-    """
-
-    ROOM = 500_000
-
-    def __init__(self, model: Model, frequent: dict[bytes, int]):
-        self.model, self.frequent = model, frequent
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.hash, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.own, self.totals = np.zeros(0, np.uint16), np.zeros(0, np.uint16)
-        self.alone, self.v, self.held = np.zeros(0), np.zeros(0), np.zeros(0)
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        if len(self.number) > self.ROOM:
-            self.clear()
-        known = self.number
-        new = {w for w in words if w not in known}
-        if new:
-            fresh = list(new)
-            known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), np.uint64, len(fresh))
-            get = self.frequent.get
-            c = np.fromiter((get(w, 0) for w in fresh), np.int64, len(fresh))
-            self.hash, self.count = np.concatenate([self.hash, h]), np.concatenate([self.count, c])
-            levels = self.model.word_levels(h)
-            self.own, self.totals = (np.concatenate([x, y.astype(np.uint16)]) for x, y in zip((self.own, self.totals), levels))
-            self.alone, self.v, self.held = (np.concatenate([x, y]) for x, y in zip((self.alone, self.v, self.held), self.model.words(*levels)))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-
-
-_LEXICONS: dict[str, Lexicon] = {}
-
-
-def _lexicon(mark: str, model: Model, frequent: list) -> Lexicon:
-    if mark not in _LEXICONS:
-        _LEXICONS.clear()
-        _hash.clear()
-        _hash.old = {}
-        _LEXICONS[mark] = Lexicon(model, dict(frequent))
-    return _LEXICONS[mark]
-
-
-def _numbered(known: Lexicon, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """The tokens of all texts, how many each has, the number of each token and of the one before it."""
-    split = [tokens(t) for t in texts]
-    n = np.array([len(x) for x in split], np.int64)
-    flat = list(chain.from_iterable(split))
-    i = known.numbers(flat)
-    j = np.empty_like(i)
-    j[1:] = i[:-1]
-    j[np.cumsum(n) - n] = known.number[END]
-    return flat, n, i, j
-
-
-def _packed(known: Lexicon, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.Array:
-    """For each text the levels of its tokens as a word, as the first of a pair and with the one before it."""
-    pack = zstandard.ZstdCompressor(level=1).compress
-    levels = np.stack([known.own[i], known.totals[i], known.model.pair_levels(known.hash[i], known.hash[j]).astype(np.uint16)])
-    cuts = np.cumsum(n).tolist()
-    return pa.array([pack(levels[:, a:b].tobytes()) for a, b in zip([0, *cuts], cuts)], pa.binary())
-
-
-def _levels(texts: DataFrame, model: Model, i: int) -> DataFrame:
-    """(row, levels) by shard ``i``."""
-    shared = texts.sparkSession.sparkContext.broadcast(model.shard(i))
-    mark = uuid.uuid4().hex
-
-    def work(batches):
-        known = _lexicon(mark, shared.value, [])
-        for batch in blocks(batches, limit=BLOCK):
-            _, *numbers = _numbered(known, as_bytes(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), _packed(known, *numbers)], names=["row", "levels"])
-
-    out = written(texts.select("row", "text").mapInArrow(work, "row bigint, levels binary"))
-    shared.destroy()
-    return out
-
+def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words, ascending, and their counts, of as many of the most frequent as have a count above that of the first one left out."""
+    by_count = counts.groupBy(F.least(F.col("c"), F.lit(1 << 20)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c"))
+    seen, least = 0, None
+    for r in by_count.toLocalIterator():
+        seen += r["n"]
+        if seen > most:
+            break
+        least = r["c"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    table = counts.where(F.col("c") >= least).select("word", "c").toArrow()
+    word, c = table.column("word").to_numpy().view(np.uint64), table.column("c").to_numpy()
+    by = np.argsort(word)
+    return word[by], c[by]
 
-def _by_shards(first: DataFrame, texts: DataFrame, model: Model) -> DataFrame:
-    """(row, score) of (row, text) by a filter of several shards, a pass for each. ``first``: (row, levels) by the first."""
-    parts = [_levels(texts, model, i) for i in range(1, len(model.shards))]
-    rows = reduce(DataFrame.union, parts, first).groupBy("row").agg(F.collect_list("levels").alias("levels"))
-    # the filter stays here
-    bare = replace(model, filter=None, shards=None)
 
-    def work(batches):
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            out = []
-            for packed in batch.column("levels").to_pylist():
-                own, totals, pairs = sum(np.frombuffer(unpack(x), np.uint16).reshape(3, -1) for x in packed)
-                alone, v, held = bare.words(own, totals)
-                # a text's first token follows END, which is its last
-                out.append(float(bare.log10(pairs, alone, np.roll(v, 1), np.roll(held, 1)).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.float64())], names=["row", "score"])
-
-    return rows.mapInArrow(work, "row bigint, score double")
+def _sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of the values of each text."""
+    return np.bincount(np.repeat(np.arange(len(n)), n), values, len(n))
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row. ``counts``: the exact (word, c)."""
     sc = docs.sparkSession.sparkContext
-    whole = len(model.shards) == 1
-    shared = sc.broadcast(model.shard(0))
-    frequent = sc.broadcast([(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(hot).toLocalIterator()])
+    passes = len(model.words) * len(model.pairs)
+    frequent = sc.broadcast(_frequent(counts, hot))
     scale = model.total + 0.5 * (model.distinct + 1)
-    mark = uuid.uuid4().hex
+    scorers = model.scorers()
+    shared = sc.broadcast(next(scorers))
 
     def work(batches):
-        known = _lexicon(mark, shared.value, frequent.value)
-        for batch in blocks(batches, limit=BLOCK):
-            flat, n, i, j = _numbered(known, as_bytes(batch.column("text")))
-            doc = np.repeat(np.arange(len(n)), n)
-            c = known.count[i]
-            there = c > 0
-            base = np.bincount(doc[there], np.log10((c[there] + 0.5) / scale), len(n))
-            value, packed = np.zeros(len(n)), pa.nulls(len(n), pa.binary())
-            if not whole:
-                packed = _packed(known, n, i, j)
-            else:
-                pairs = known.model.pair_levels(known.hash[i], known.hash[j])
-                value = np.bincount(doc, known.model.log10(pairs, known.alone[i], known.v[j], known.held[j]), len(n))
-            ends = np.cumsum(n)
-            missing = np.flatnonzero(~there)
-            place = np.searchsorted(missing, np.concatenate([[0], ends]))
-            rare = pa.ListArray.from_arrays(pa.array(place.astype(np.int32)), pa.array([flat[i] for i in missing.tolist()], pa.binary()))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(n), pa.array(np.bincount(doc[there], minlength=len(n)).astype(np.int64)), pa.array(base), pa.array(value), packed, rare], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "levels", "rare"])
+        word, times = frequent.value
+        log10 = shared.value.log10
+        for batch in blocks(batches, limit=ARRAY_BYTES):
+            token, before, n = hashed(batch.column("text"))
+            own, place = np.unique(token, return_inverse=True)
+            i = np.minimum(np.searchsorted(word, own), max(0, len(word) - 1))
+            c = np.where(word[i] == own, times[i], 0) if len(word) else np.zeros(len(own), np.int64)
+            known = c > 0
+            base = np.where(known, np.log10((c + 0.5) / scale), 0.0)[place]
+            there = known[place]
+            cut = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(n)), n)[~there], minlength=len(n)))])
+            rare = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(token[~there].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("row", "doc_id", "held_out")), pa.array(n), pa.array(_sums(there, n).astype(np.int64)), pa.array(_sums(base, n)), pa.array(_sums(log10(token, before), n)), rare], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
 
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
-    if not whole:  # each pass has to meet the same rows under the same numbers
+    if passes > 1:  # each pass has to meet the same rows under the same numbers
         texts = written(texts)
-    part = written(texts.mapInArrow(work, f"row bigint, {column('doc_id', docs)}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, levels binary, rare array<binary>"))
+    part = written(texts.mapInArrow(work, f"row bigint, {column('doc_id', docs)}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>"))
     shared.destroy()
     frequent.destroy()
+    more = [_more(texts, scorer) for scorer in scorers]
     rare = part.select("row", F.explode("rare").alias("w")).groupBy("row", "w").agg(F.count("*").alias("times"))
     met = rare.join(counts, F.col("w") == F.col("word"), "left").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(scale))).alias("more_base"))
-    rows = part.drop("rare", "levels").join(met, "row", "left")
-    if not whole:
-        rows = rows.drop("score").join(_by_shards(part.select("row", "levels"), texts, model), "row")
-    return rows.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score")
+    rows = part.drop("rare").join(met, "row", "left")
+    for i, x in enumerate(more):
+        rows = rows.join(x.withColumnRenamed("more", f"more_{i}"), "row")
+    scored = sum((F.col(f"more_{i}") for i in range(len(more))), F.col("score"))
+    return rows.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), scored.alias("score"))
+
+
+def _more(texts: DataFrame, scorer: Scorer) -> DataFrame:
+    """(row, more): what a further pair of shards adds to the scores."""
+    shared = texts.sparkSession.sparkContext.broadcast(scorer)
+
+    def work(batches):
+        log10 = shared.value.log10
+        for batch in blocks(batches, limit=ARRAY_BYTES):
+            token, before, n = hashed(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(_sums(log10(token, before), n))], names=["row", "more"])
+
+    out = written(texts.select("row", "text").mapInArrow(work, "row bigint, more double"))
+    shared.destroy()
+    return out
 
 
-def score_corpus(docs: DataFrame, capacity: int = CAPACITY, least: int = 1, hot: int = HOT) -> DataFrame:
+def score_corpus(docs: DataFrame, capacity: int = CAPACITY, hot: int = HOT) -> DataFrame:
     """score() of all of ``docs`` by a model of those that aren't held out.
 
-    A null or empty text is one end token. Rows are told apart inside, so repeated rows and null ids get a row each. Of an empty table, or one
-    that is all held out, the model knows nothing and gives every token the same probability.
+    A null or empty text is one end token. Rows are told apart inside, so repeated rows and null ids get a row each; equal texts get equal scores. Of an
+    empty table, or one that is all held out, the model knows nothing and gives every token the same probability. Other columns aren't read.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    model, counts = learn(texts.where(~held_out(F.col("doc_id"))), capacity, least)
+    texts = bounded(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    model, counts = learn(texts.where(~held_out(F.col("doc_id"))), capacity)
     return score(docs, model, counts, hot)
