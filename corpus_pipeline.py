@@ -12,35 +12,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.llm import bpe, jaccard_join, mixing, secrets, toxicity
-from pointloom.llm.common import documents, written
+from pointloom.llm.common import documents, released, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal model, fitted on the labelled ones among them, calls toxic go; the others stay as they are."""
+    """Documents that the ordinal model, fitted on the labelled ones among them, calls toxic go; the others stay as they are.
+
+    A null or empty text has no words and stays unless the model calls that toxic. Repeated rows share their fate; an empty table gives no rows.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.scores(docs, model, keep=tuple(docs.columns)).where(~F.col("toxic")).select(*docs.columns)
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest doc_id stays; documents without words stay."""
-    classes = jaccard_join.classes(docs)
-    gone = classes.where("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each class of near copies one row stays: the one with the smallest doc_id, a null one last, and among rows of one id the one with the
+    smallest hash of the text. Of rows equal in both, one. Rows without words (null and empty texts) all stay; an empty table gives no rows.
+    """
+    return jaccard_join.one_of_each(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by their kind in brackets, and n_chars follows the text."""
+    """Secrets are replaced by their kind in brackets, and n_chars follows the text: null for a null text. All rows stay."""
     return secrets.redact(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target asks for."""
+    """Each document as often as its source's target asks for; a null source is a source, and one without words is not taken."""
     return mixing.emit(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document, which decode to its text."""
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=("lang", "source"))
+    """doc_id, lang, source, n_tokens, the token ids of every document, their digest, that of the bytes they decode to, and whether these are the
+    text's. A null text has no tokens, as an empty one.
+    """
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=("lang", "source"), digests=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -57,6 +62,8 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        docs, before = written(stage(spark, docs, sf_dir)), docs
+        if i:
+            released(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -19,11 +19,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import as_bytes, blocks, column
+from pointloom.llm.common import as_bytes, blocks, bounded, column, live
 from pointloom.llm.pretokens import Recent, splitter
 
-#: Entries kept by a worker: encoded pieces (long ones are encoded each time), and pairs of adjacent tokens.
-PIECE_CACHE, PAIR_CACHE = 800_000, 1_000_000
+#: Entries kept by a worker: encoded pieces (of at most 64 characters and 256 bytes of ids, 500 bytes in all), and pairs of adjacent tokens (100 bytes).
+PIECE_CACHE, PAIR_CACHE = 200_000, 400_000
 
 
 class ByteBpe:
@@ -142,15 +142,9 @@ class ByteBpe:
         return b"".join(map(self.token.__getitem__, memoryview(ids).cast("I")))
 
 
-_ENGINES: dict[tuple[bytes, str], ByteBpe] = {}
-
-
 def engine(data: bytes, pattern: str) -> ByteBpe:
-    """One engine for each vocabulary in a worker process."""
-    key = (hashlib.sha256(data).digest(), pattern)
-    if key not in _ENGINES:
-        _ENGINES[key] = ByteBpe.from_file(data, pattern)
-    return _ENGINES[key]
+    """The engine of a vocabulary, one at a time in a worker process."""
+    return live(("bpe", hashlib.sha256(data).digest(), pattern), lambda: ByteBpe.from_file(data, pattern))
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, keep: tuple[str, ...] = (), ids: bool = True, digests: bool = False) -> DataFrame:
@@ -183,7 +177,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, keep: tuple[str, ...]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     names = ["doc_id", *keep, "n_tokens", *["ids"] * ids, *["ids_sha256", "decoded_sha256", "round_trip"] * digests]
-    picked = docs.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("text"))
+    picked = bounded(docs).select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("text"))
     return picked.mapInArrow(work, ", ".join(want))
 
 

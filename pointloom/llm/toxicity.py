@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import as_bytes, blocks, column, texts_of, written
+from pointloom.llm.common import as_bytes, blocks, bounded, column, texts_of, written
 from pointloom.llm.pretokens import Recent
 
 #: Labelled documents that the model is fitted on at most, chosen by a hash of doc_id; features it may hold, and those that are tested,
@@ -46,7 +46,7 @@ class Reader:
     """Which of the known features each word has, looked up once for each word that a worker meets."""
 
     def __init__(self, index: dict[str, int]):
-        self.of = Recent(400_000, lambda word: tuple(index[f] for f in features(word) if f in index))
+        self.of = Recent(100_000, lambda word: tuple(index[f] for f in features(word) if f in index))
 
     def read(self, raw: bytes) -> tuple[list[tuple[int, int]], int]:
         """(feature, occurrences), ascending, and the number of words that have any."""
@@ -204,4 +204,4 @@ def scores(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), t
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p >= 0.5).sum(axis=1).astype(np.int32)), pa.array(p[:, 0] >= model.cut)], names=names)
 
     fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text")).mapInArrow(work, f"{fields}, severity double, p_toxic double, grade int, toxic boolean")
+    return bounded(docs).select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text")).mapInArrow(work, f"{fields}, severity double, p_toxic double, grade int, toxic boolean")
