@@ -27,14 +27,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.llm.bloom import BITS, Filter, segments_of, short_of
 from pointloom.llm.common import ARRAY_BYTES, blocks, bounded, column, written
 from pointloom.llm.words import Words, mixed
 
 #: The token that ends each document, which is also what its first word follows. It is no word's hash.
 END = np.uint64(0x94D049BB133111EB)
 HOT, CAPACITY = 1 << 20, 160 << 20
-#: Bits for each entry, probes for each level, and entries in a segment, about.
-BITS, PROBES, SEGMENT = 10, 4, 1 << 20
+#: Entries in a segment, about.
+SEGMENT = 1 << 20
 #: A level covers counts up to so many times its smallest: finer for words than for pairs.
 WORD_STEP, PAIR_STEP = 1.2, 1.5
 PRIOR = 20.0
@@ -85,71 +86,6 @@ def counts_of_levels(step: float, n: int = 512) -> np.ndarray:
 # ---- The filter
 
 
-def segments_of(words: np.ndarray, bits: int) -> np.ndarray:
-    """The segment, of 2**bits, of what is kept by these words."""
-    return (mixed(words ^ np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(words), np.int64)
-
-
-def _short(keys: np.ndarray) -> np.ndarray:
-    """The part of a key that tells it from others of its segment."""
-    return (keys >> np.uint64(32)).astype(np.uint32)
-
-
-@dataclass(frozen=True)
-class Filter:
-    """Segments of bits end to end: 2**bits of them, where each begins and how many bits it has."""
-
-    bits: int
-    start: np.ndarray
-    size: np.ndarray
-    data: np.ndarray
-
-    @staticmethod
-    def positions(short: np.ndarray, level: int, size: np.ndarray | np.uint64):
-        """PROBES bit positions below ``size``, one array after the other."""
-        x = mixed(short.astype(np.uint64) + np.uint64(0xA0761D6478BD642F * level % (1 << 64)))
-        a, b = x >> np.uint64(32), x & np.uint64(0xFFFFFFFF) | np.uint64(1)
-        for i in range(PROBES):
-            yield ((a + np.uint64(i) * b & np.uint64(0xFFFFFFFF)) * size) >> np.uint64(32)
-
-    @staticmethod
-    def built(short: np.ndarray, levels: np.ndarray) -> bytes:
-        """One segment that holds each key at the levels 1 to its own."""
-        size = max(64, -(-int(levels.sum()) * BITS // 64) * 64)
-        on = np.zeros(size, bool)
-        now = 1
-        while len(short):
-            for p in Filter.positions(short, now, np.uint64(size)):
-                on[p] = True
-            now += 1
-            keep = levels >= now
-            short, levels = short[keep], levels[keep]
-        return np.packbits(on, bitorder="little").tobytes()
-
-    def holds(self, words: np.ndarray) -> np.ndarray:
-        """Whether what is kept by these words would lie in this shard."""
-        return self.size[segments_of(words, self.bits)] > 0
-
-    def levels(self, keys: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The highest level that each key holds without a gap, by probing one after the other. ``words``: what the keys are kept by."""
-        out = np.zeros(len(keys), np.int64)
-        segment = segments_of(words, self.bits)
-        start, size, short = self.start[segment], self.size[segment], _short(keys)
-        index = np.flatnonzero(size)
-        now = 1
-        while len(index):
-            own = size[index]
-            for i, p in enumerate(self.positions(short[index], now, own)):
-                if not i:
-                    alive = np.arange(len(index))
-                p = p[alive] + start[index[alive]]
-                alive = alive[self.data[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & 1 > 0]
-            index = index[alive]
-            out[index] = now
-            now += 1
-        return out
-
-
 @dataclass(frozen=True)
 class Shards:
     """The written (segment, bits) of a filter of 2**bits segments, their bytes, and the first segment of each shard with the end of the last."""
@@ -189,7 +125,7 @@ class Scorer:
         own, place = np.unique(token, return_inverse=True)
         count = counts_of_levels(WORD_STEP)
         here, there = self.words.holds(own), self.pairs.holds(own)
-        alone = (count[self.words.levels(own, own)] + 0.5) / (self.total + 0.5 * (self.distinct + 1))
+        alone = (count[self.words.levels(mixed(own), own)] + 0.5) / (self.total + 0.5 * (self.distinct + 1))
         # the token before is one of the block's, but for what the first follows
         follows = np.empty_like(place)
         follows[1:] = place[:-1]
@@ -294,7 +230,7 @@ def _entered(words: DataFrame, keys, bits: int, first: bool) -> DataFrame:
             segment = segments_of(word, bits)
             by = np.argsort(segment, kind="stable")
             if len(by):
-                yield _packed(segment[by], _short(keys(word))[by], batch.column("c").to_numpy(zero_copy_only=False)[by], first)
+                yield _packed(segment[by], short_of(keys(word))[by], batch.column("c").to_numpy(zero_copy_only=False)[by], first)
 
     return words.mapInArrow(work, _PACKED)
 
@@ -332,7 +268,7 @@ def learn(texts: DataFrame, capacity: int = CAPACITY, prior: float = PRIOR) -> t
     bits = lambda n: int(np.ceil(np.log2(max(1, -(-n // each)))))
     many, few = bits(total), bits(4 * distinct)
     singles = _built(_entered(words, mixed, few, True), few, capacity)
-    pairs = _counted(texts, lambda token, before: (segments_of(before, many), _short(pair_keys(before, token))), many)
+    pairs = _counted(texts, lambda token, before: (segments_of(before, many), short_of(pair_keys(before, token))), many)
     doubles = _built(pairs.union(_entered(words, first_keys, many, True)), many, capacity)
     return Model(singles, doubles, total, distinct, prior), words
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pointloom.llm import bpe, fingerprints, jaccard_join, lm_scoring, media, mixing, secrets, substring_dedup, token_counts, toxicity
 from pointloom.llm.common import documents
+from pointloom.llm.oracle import ORACLE_SQL
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +55,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_lm_scoring, op2_mixing, op3_bpe, op4_secrets, op5_fingerprints, op6_media, op7_token_counts, op8_substring_dedup, op9_jaccard_join, op10_toxicity)
 }
-
-#: DuckDB SQL of those that SQL expresses.
-ORACLE_SQL: dict[str, str] = {}
