@@ -1,14 +1,16 @@
 """Substring dedup by relative Lempel-Ziv parsing against reference blocks.
 
-A window is WINDOW consecutive words. Its anchor is the smallest hash among the sequences of ANCHOR words in it, so equal windows have
-equal anchors, wherever they stand. All windows of one anchor, from all documents, form a reference block with an index from window to
-the smallest document that has it. Every document is parsed greedily against each block that holds an anchor of it: from the first window
-whose sequence an earlier document has, the factor grows word by word as long as that holds. A factor covers WINDOW words or more.
-Factors of one block end where the anchor changes though the repeated passage may go on, so they are joined at these borders in the
-document afterwards. Where nothing repeats, nothing but the hashes of windows leaves the task that read the text.
-
-Before that, the documents of one Arrow block are parsed against each other the same way. A window that an earlier document of the block has
-needn't be sent, so a passage shared by many documents leaves each block once.
+A window is WINDOW consecutive words. Its anchor is the smallest hash among the sequences of ANCHOR words in it, so equal windows have equal anchors,
+wherever they stand. The windows of one anchor that follow each other in a document span a stretch of words, its passage. The different passages of an
+anchor, from all documents, are its reference block, a text of words in which every window is indexed by where the document with the smallest id has it.
+
+Each passage is parsed greedily against the block: from its first word on where a window stands in an earlier document, the factor is extended there, word
+by word, to the longest match, (position, length) in the block; parsing goes on at the factor's border, WINDOW - 1 words before its end, so that no window
+across the border is missed. Factors have WINDOW words or more. A passage that an earlier document has as a whole is one factor. Those of one document,
+from all blocks, are joined where they meet.
+
+Only anchors that several rows have make blocks. They are found first, from hashes alone, and go to the workers as a Bloom filter of bounded size: what it
+lets through beside them makes blocks of one row, which hold no factor. Texts aren't shuffled for that.
 """
 
 from __future__ import annotations
@@ -19,14 +21,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import as_bytes, blocks, bounded, column
-from pointloom.llm.words import Words, sliding_min
+from pointloom.llm.bloom import Filter, segments_of, short_of
+from pointloom.llm.common import ARRAY_BYTES, as_bytes, blocks, bounded, column, give_back, released, written
+from pointloom.llm.words import Words, _Powers, _sums, mixed, sliding_min
 
 WINDOW, ANCHOR = 50, 25
-#: Bytes of a window's hash that are sent; windows are only compared within one anchor, itself a 64-bit hash.
-SENT = 6
-#: Rows that are judged at once.
-CHUNK = 1 << 16
+#: Bytes of the filter of anchors at most, anchors in a bucket and bytes of passages in a bucket, about, and anchors that a task holds before it sends.
+FILTER, BUCKET, PASSAGES, HELD = 64 << 20, 1 << 20, 8 << 20, 1 << 18
 LAST = np.iinfo(np.int64).max
 
 
@@ -35,112 +36,198 @@ def _ids(column_: pa.Array) -> np.ndarray:
     return pc.fill_null(column_.cast(pa.int64()), LAST).to_numpy(zero_copy_only=False)
 
 
-def _later(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether the same key occurs with a smaller id; among equal keys ids must already ascend."""
-    out = np.zeros(len(keys), bool)
-    if len(keys):
-        order = np.argsort(keys, kind="stable")
-        k, d = keys[order], ids[order]
-        new = np.concatenate([[True], k[1:] != k[:-1]])
-        first = d[new][np.cumsum(new) - 1]
-        out[order] = d > first
-    return out
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, end to end."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
 
+def passages(w: Words, window: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """For each run of windows of one anchor in a text: the anchor, the text, the first word and the words of the passage."""
+    mins = sliding_min(w.grams(anchor), window - anchor + 1)
+    at = np.flatnonzero(w.left()[: len(mins)] >= window)
+    text = np.repeat(np.arange(len(w.counts)), w.counts)[at]
+    mins = mins[at]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(text) != 0) | (mins[1:] != mins[:-1])])) if len(at) else at
+    windows = np.diff(np.append(first, len(at)))
+    return mins[first], text[first], at[first], windows + window - 1
 
-def _runs(change: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of runs, from whether each element begins a new one."""
-    at = np.flatnonzero(change)
-    return at, np.append(at[1:], len(change))
 
+def _dealt(rows: list[tuple], bucket: np.ndarray) -> tuple[list, list[int], list[int]]:
+    """The arrays by ascending bucket, where each begins, and the numbers of the buckets."""
+    by = np.argsort(bucket, kind="stable")
+    bucket = bucket[by]
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+    return [x[by] for x in rows], cuts, bucket[cuts[:-1]].tolist() if len(bucket) else []
 
-_NAMES = ["anchor", "doc_id", "tie", "start", "stop", "windows"]
 
+def _repeated(keyed: DataFrame, window: int, anchor: int, bits: int) -> Filter:
+    """The anchors that rows of different keys have, and few others."""
+
+    def sent(held):
+        found, key = (np.concatenate(x) for x in zip(*held))
+        (short, key), cuts, numbers = _dealt([short_of(found), key], segments_of(found, bits))
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), *(pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])] if numbers else [], pa.binary()) for x in (short, key))], names=["bucket", "anchors", "keys"])
 
-def _sent(window: int, anchor: int):
     def work(batches):
-        for batch in blocks(batches):
-            batch = batch.take(pa.array(np.argsort(_ids(batch.column("doc_id")), kind="stable")))
-            w = Words(as_bytes(batch.column("text")))
-            mins = sliding_min(w.grams(anchor), window - anchor + 1)
-            at = np.flatnonzero(w.left()[: len(mins)] >= window)
-            if not len(at):
+        held, size = [], 0
+        for batch in blocks(batches, limit=ARRAY_BYTES):
+            found, text, _, _ = passages(Words(batch.column("text")), window, anchor)
+            held.append((found, batch.column("key").to_numpy()[text]))
+            size += len(found)
+            if size >= HELD:
+                yield sent(held)
+                held, size = [], 0
+        if held:
+            yield sent(held)
+
+    most = max(64, FILTER >> bits)
+
+    def build(table: pa.Table) -> pa.Table:
+        short, key = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("anchors", np.uint32), ("keys", np.int64)))
+        by = np.argsort(short, kind="stable")
+        short, key = short[by], key[by]
+        at = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]])) if len(short) else np.zeros(0, np.int64)
+        several = short[at][np.minimum.reduceat(key, at) < np.maximum.reduceat(key, at)] if len(at) else short
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "bits": pa.array([Filter.built(several, np.ones(len(several), np.int64), most) if len(several) else None], pa.binary())})
+
+    found = keyed.select("key", "text").mapInArrow(work, "bucket int, anchors binary, keys binary").groupBy("bucket").applyInArrow(build, "bucket int, bits binary")
+    return Filter.joined(bits, {r["bucket"]: bytes(r["bits"]) for r in found.where("bits IS NOT NULL").toLocalIterator()})
+
+
+#: Of each passage that a pack tells apart its name, length and words; of each row that has one its number in the pack, the row's key and id and the first word.
+_PACK = {"names": np.uint64, "sizes": np.uint32, "words": np.uint32, "of": np.uint32, "keys": np.int64, "ids": np.int64, "starts": np.int32}
+
+
+def _sent(known, window: int, anchor: int, bits: int):
+    def pack(held):
+        name, size, words, found, key, doc, start = (np.concatenate(x) for x in zip(*held))
+        names, first, place = np.unique(name, return_index=True, return_inverse=True)
+        begin = np.cumsum(size) - size
+        # passages by bucket, then the rows that have them
+        (number,), cuts, buckets = _dealt([np.arange(len(names))], segments_of(found[first], bits))
+        rank = np.empty(len(names), np.int64)
+        rank[number] = np.arange(len(names))
+        by = np.argsort(rank[place], kind="stable")
+        of = rank[place][by]
+        edges = np.searchsorted(of, cuts)
+        rows = []
+        for a, b, c, d in zip(cuts, cuts[1:], edges, edges[1:]):
+            own = first[number[a:b]]
+            rows.append([x.astype(k).tobytes() for x, k in zip((names[number[a:b]], size[own], words[_ranges(begin[own], size[own])], of[c:d] - a, key[by[c:d]], doc[by[c:d]], start[by[c:d]]), _PACK.values())])
+        return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(len(_PACK)))], names=["bucket", *_PACK])
+
+    def work(batches):
+        held, size = [], 0
+        for batch in blocks(batches, limit=ARRAY_BYTES):
+            w = Words(batch.column("text"))
+            found, text, at, n = passages(w, window, anchor)
+            some = np.flatnonzero(known.value.levels(found, found))
+            if not len(some):
                 continue
-            doc = np.repeat(np.arange(len(w.counts)), w.counts)[at]
-            keys, mins = w.grams(window)[at], mins[at]
-            late = _later(keys, _ids(batch.column("doc_id"))[doc])
-            step = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(doc) != 0) | (late[1:] != late[:-1])])
-            a, b = _runs(step | np.concatenate([[True], (mins[1:] != mins[:-1]) & ~late[1:]]))
-            known = late[a]
-            start = at[a] - w.starts[doc[a]]
-            cut = np.cumsum(np.concatenate([[0], np.where(known, 0, b - a)])) * SENT
-            flat = np.ascontiguousarray(keys[~late]).view(np.uint8).reshape(-1, 8)[:, :SENT].tobytes()
-            bits = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(flat)])
-            row = pa.array(doc[a])
-            yield pa.RecordBatch.from_arrays([pa.array(mins[a].view(np.int64)), batch.column("doc_id").take(row), batch.column("tie").take(row), pa.array(start.astype(np.int32)), pa.array(np.where(known, start + (b - a) - 1 + window, 0).astype(np.int32)), bits], names=_NAMES)
+            found, text, at, n = (x[some] for x in (found, text, at, n))
+            _, down = _Powers.of(w.n + 1)
+            name = mixed((w.sums[at + n] - w.sums[at]) * down[at] + n.astype(np.uint64))
+            # a passage's words go once from a block
+            name, first, place = np.unique(name, return_index=True, return_inverse=True)
+            words = short_of(w.hashes)[_ranges(at[first], n[first])]
+            lengths = np.zeros(len(place), np.int64)
+            lengths[first] = n[first]
+            order = np.argsort(first)
+            held.append((name[place], lengths, short_of(w.hashes)[_ranges(at[first[order]], n[first[order]])], found, batch.column("key").to_numpy()[text], _ids(batch.column("doc_id"))[text], at - w.starts[text]))
+            size += len(found)
+            if size >= HELD // 4:
+                yield pack(held)
+                held, size = [], 0
+        if held:
+            yield pack(held)
 
     return work
 
 
-def _judged(window: int):
-    """Rows come by anchor and id; the factors found are sent on."""
+def parsed(words: np.ndarray, size: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Factors of passages against the block that they make together: the passage, where the factor begins in it, its position in the block, its length.
 
-    def work(batches):
-        # what the blocks so far have of the anchor that is still open: its windows and the smallest id of each
-        open_anchor, seen, seen_id = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in blocks(batches, "windows"):
-            for part in (batch.slice(i, CHUNK) for i in range(0, batch.num_rows, CHUNK)):
-                ids, anchors = _ids(part.column("doc_id")), part.column("anchor").to_numpy(zero_copy_only=False)
-                start, stop = (part.column(c).to_numpy(zero_copy_only=False) for c in ("start", "stop"))
-                raw = as_bytes(part.column("windows"))
-                n = np.array([len(x) for x in raw], np.int64) // SENT
-                keys = np.zeros((int(n.sum()), 8), np.uint8)
-                keys[:, :SENT] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, SENT)
-                keys = keys.view(np.uint64).ravel()
-                row = np.repeat(np.arange(len(n)), n)
-                own = anchors.view(np.uint64)[row]
-                both = keys * np.uint64(0xD6E8FEB86659FD93) ^ own
-                late = _later(both, ids[row])
-                if open_anchor is not None and len(seen):
-                    same = np.flatnonzero(anchors[row] == open_anchor)
-                    if len(same):
-                        i = np.minimum(np.searchsorted(seen, keys[same]), len(seen) - 1)
-                        late[same] |= (seen[i] == keys[same]) & (seen_id[i] < ids[row[same]])
-                if len(row):
-                    last = anchors[-1]
-                    mine = np.flatnonzero(anchors[row] == last)
-                    k, d = keys[mine], ids[row[mine]]
-                    if last == open_anchor:
-                        k, d = np.concatenate([seen, k]), np.concatenate([seen_id, d])
-                    open_anchor = last
-                    seen, i = np.unique(k, return_index=True)  # ids ascend, so the first one is the smallest
-                    seen_id = d[i]
-                # factors: greedy runs of windows that an earlier document has
-                first = np.cumsum(n) - n
-                at = np.flatnonzero(late)
-                done = np.flatnonzero(stop > 0)
-                if not len(at) and not len(done):
-                    continue
-                a, b = _runs(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(row[at]) != 0)])) if len(at) else (at, at)
-                r = row[at[a]]
-                begin = start[r] + (at[a] - first[r])
-                take = pa.array(np.concatenate([r, done]))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("tie").take(take), pa.array(np.concatenate([begin, start[done]]).astype(np.int32)), pa.array(np.concatenate([begin + (b - a) - 1 + window, stop[done]]).astype(np.int32))], names=["doc_id", "tie", "start", "stop"])
+    ``words`` of all passages end to end, with their sizes and the smallest id that has each. A factor stands in a passage of a smaller id.
+    """
+    begin = np.cumsum(size) - size
+    sums = _sums(words.astype(np.uint64))
+    _, down = _Powers.of(len(words) + 1)
+    of = lambda at, n: (sums[at + n] - sums[at]) * down[at]
+    at = _ranges(begin, size - window + 1)
+    passage = np.repeat(np.arange(len(size)), size - window + 1)
+    # the index: for each window the place where the smallest id has it
+    key = mixed(of(at, window))
+    by = np.lexsort((doc[passage], key))
+    new = np.concatenate([[True], key[by][1:] != key[by][:-1]]) if len(by) else np.zeros(0, bool)
+    first = np.empty(len(at), np.int64)
+    first[by] = by[new][np.cumsum(new) - 1] if len(by) else by
+    late = np.flatnonzero(doc[passage[first]] < doc[passage])
+    out = []
+    end = begin + size
+    # the first place of each passage where a factor begins; places ascend with passages
+    now = late[np.concatenate([[True], passage[late][1:] != passage[late][:-1]])] if len(late) else late
+    while len(now):
+        p, q = at[now], at[first[now]]
+        # the longest match, by halving: no shorter than a window, no longer than what is left of either passage
+        low, high = np.full(len(now), window), np.minimum(end[passage[now]] - p, end[passage[first[now]]] - q)
+        while (low < high).any():
+            middle = (low + high + 1) // 2
+            same = of(p, middle) == of(q, middle)
+            low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+        out.append((passage[now], p - begin[passage[now]], q, low))
+        # on at the border: the first window that the factor doesn't hold
+        i = np.searchsorted(late, now + low - window + 1)
+        there = i < len(late)
+        there[there] = passage[late[i[there]]] == passage[now[there]]
+        now = late[i[there]]
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (late, late, late, late)
+
+
+def _factors(window: int):
+    def work(table: pa.Table) -> pa.Table:
+        packs = {c: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()] for c, kind in _PACK.items()}
+        before = np.cumsum([0, *map(len, packs["names"])])
+        name, size, words, key, doc, start = (np.concatenate(packs[c]) for c in ("names", "sizes", "words", "keys", "ids", "starts"))
+        of = np.concatenate([x.astype(np.int64) + n for x, n in zip(packs["of"], before)])
+        size = size.astype(np.int64)
+        _, own, place = np.unique(name, return_index=True, return_inverse=True)
+        begin, of = np.cumsum(size) - size, place[of]
+        words, size = words[_ranges(begin[own], size[own])], size[own]
+        least = np.full(len(size), LAST)
+        np.minimum.at(least, of, doc)
+        passage, offset, _, length = parsed(words, size, least, window)
+        # rows of a larger id have the whole passage from the smallest, which itself is parsed
+        later = np.flatnonzero(doc > least[of])
+        mine = np.flatnonzero(doc == least[of])
+        mine = mine[np.argsort(of[mine], kind="stable")]
+        low, high = np.searchsorted(of[mine], passage, "left"), np.searchsorted(of[mine], passage, "right")
+        row, factor = mine[_ranges(low, high - low)], np.repeat(np.arange(len(passage)), high - low)
+        begins = np.concatenate([start[later], start[row] + offset[factor]]).astype(np.int32)
+        ends = begins + np.concatenate([size[of[later]], length[factor]]).astype(np.int32)
+        out = pa.table({"key": pa.array(np.concatenate([key[later], key[row]])), "start": pa.array(begins), "stop": pa.array(ends)})
+        give_back()
+        return out
 
     return work
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows are told apart by id and a hash of the text: rows equal in both have equal results."""
-    return bounded(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    """Rows are told apart by a hash of id and text: rows equal in both have equal results."""
+    return bounded(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
 
 
 def factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, tie, start, stop: stretches of words, each covered by windows that a document of smaller id has too."""
+    """key, start, stop: stretches of words, each a factor in a document of smaller id. ``key`` is xxhash64 of id and text, null as empty."""
+    spark = docs.sparkSession
     keyed = _keyed(docs)
-    kind = column("doc_id", docs)
-    sent = keyed.mapInArrow(_sent(window, anchor), f"anchor bigint, {kind}, tie bigint, start int, stop int, windows binary")
-    met = sent.repartition("anchor").sortWithinPartitions("anchor", F.col("doc_id").asc_nulls_last())
-    return met.mapInArrow(_judged(window), f"{kind}, tie bigint, start int, stop int")
+    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    power = lambda n, each: min(20, int(np.ceil(np.log2(max(1, partitions, n // each)))))
+    # a passage begins every 13 words, some 80 bytes; one in a few is repeated, with four bytes for each of its words
+    known = spark.sparkContext.broadcast(_repeated(keyed, window, anchor, power(size // 80, BUCKET)))
+    bits = power(size, PASSAGES)
+    packs = keyed.mapInArrow(_sent(known, window, anchor, bits), "bucket int, " + ", ".join(f"{c} binary" for c in _PACK))
+    return packs.groupBy("bucket").applyInArrow(_factors(window), "key bigint, start int, stop int")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -148,11 +235,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
 
     ``docs`` needs doc_id (an integer) and text. A null or empty text has no words. A null id counts as larger than all others, and rows of
     the same id, repeated rows among them, never count against each other. Texts shorter than a window are kept whole; empty tables give no rows.
+    Other columns aren't read.
     """
-    spans = factors(docs, window, anchor).distinct().groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    spans = spans.withColumnsRenamed({"doc_id": "_id", "tie": "_tie"})
+    spans = factors(docs, window, anchor).groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumnRenamed("key", "_key")
     keyed = _keyed(docs)
-    met = keyed.join(spans, keyed["doc_id"].eqNullSafe(spans["_id"]) & (keyed["tie"] == spans["_tie"]), "left").select("doc_id", "text", F.col("spans.start").alias("start"), F.col("spans.stop").alias("stop"))
+    met = keyed.join(spans, F.col("key") == F.col("_key"), "left").select("doc_id", "text", F.col("spans.start").alias("start"), F.col("spans.stop").alias("stop"))
 
     def work(batches):
         for batch in blocks(batches):
