@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.llm import bpe, jaccard_join, mixing, secrets, toxicity
-from pointloom.llm.common import documents, released, written
+from pointloom.llm.common import documents, free, released, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text has no words and stays unless the model calls that toxic. Repeated rows share their fate; an empty table gives no rows.
     """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scores(docs, model, keep=tuple(docs.columns)).where(~F.col("toxic")).select(*docs.columns)
+    return toxicity.scores(docs, model, keep=tuple(docs.columns)).where(~F.col(free("toxic", docs))).select(*docs.columns)
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

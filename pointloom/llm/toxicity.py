@@ -4,8 +4,9 @@ P(grade > k) = s(w.x - t_k) with one weight vector w for all ordered thresholds
 grade. Features are words and beginnings of words, as abuse is inflected, whose presence depends on the label beyond chance, each valued
 1 + log(occurrences).
 
-The labels only say toxic or not. Grade 0 is not toxic; toxic examples are graded 1, 2, ... by equal shares of the number of
-words with a feature in them, so that severity rises with the amount of abuse.
+The labels only say toxic or not. Grade 0 is not toxic; toxic examples are graded 1, 2, ... by equal shares of the number of telling words in them, so
+that severity rises with the amount of abuse. Which words are telling for that is found in the other half of the sample, so that an example has no part in
+what it is graded by.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import as_bytes, blocks, bounded, column, texts_of, written
+from pointloom.llm.common import as_bytes, blocks, bounded, column, free, texts_of, written
 from pointloom.llm.pretokens import Recent
 
 #: Labelled documents that the model is fitted on at most, chosen by a hash of doc_id; features it may hold, and those that are tested,
@@ -134,47 +135,53 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     """
     spark = docs.sparkSession
     chosen = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    given = written(texts_of(docs).join(F.broadcast(chosen.withColumnRenamed("doc_id", "id")), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic"))
-    size = {r["toxic"]: r["count"] for r in given.groupBy("toxic").count().collect()}
-    n0, n1 = size.get(0, 0), size.get(1, 0)
-    share = n1 / max(1, n0 + n1)
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")
+    given = written(texts_of(docs).join(F.broadcast(chosen.withColumnRenamed("doc_id", "id")), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic", half))
+    size = {(r["half"], r["toxic"]): r["count"] for r in given.groupBy("half", "toxic").count().collect()}
 
     def presence(known):
         def work(batches):
             for batch in blocks(batches):
-                seen: Counter = Counter()
-                for raw in as_bytes(batch.column("text")):
+                seen: tuple[Counter, Counter] = (Counter(), Counter())
+                for raw, own in zip(as_bytes(batch.column("text")), batch.column("half").to_pylist()):
                     present = {f for w in set(tokens(raw)) for f in features(w)}
-                    seen.update(present if known is None else present & known.value)
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["feature", "n"])
+                    seen[own].update(present if known is None else present & known.value)
+                names = list(seen[0].keys() | seen[1].keys())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([x[f] for f in names], pa.int64()) for x in seen)], names=["feature", "n", "m"])
 
         return work
 
     def counted(label, known=None):
-        return given.where(F.col("toxic") == label).mapInArrow(presence(known), "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
+        return given.where(F.col("toxic") == label).mapInArrow(presence(known), "feature string, n bigint, m bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
-    tested = {r["feature"]: r["n"] for r in counted(1).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "feature").limit(TESTED).collect()}
-    clean = {r["feature"]: r["n"] for r in counted(0, spark.sparkContext.broadcast(frozenset(tested))).collect()}
+    tested = {r["feature"]: (r["n"], r["m"]) for r in counted(1).where(F.col("n") + F.col("m") >= LEAST).orderBy(F.desc(F.col("n") + F.col("m")), "feature").limit(TESTED).collect()}
+    clean = {r["feature"]: (r["n"], r["m"]) for r in counted(0, spark.sparkContext.broadcast(frozenset(tested))).collect()}
     names = sorted(tested)
-    b = np.array([tested[f] for f in names], np.float64)
-    a = np.array([clean.get(f, 0) for f in names], np.float64)
+    toxic_in, clean_in = (np.array([x.get(f, (0, 0)) for f in names], np.float64).reshape(-1, 2) for x in (tested, clean))
 
     def part(seen, expected):
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-300)), 0.0)
 
-    ratio = 2 * (part(a, (a + b) * (1 - share)) + part(b, (a + b) * share) + part(n0 - a, (n0 + n1 - a - b) * (1 - share)) + part(n1 - b, (n0 + n1 - a - b) * share))
-    # the upper tail of chi-square with one degree of freedom is below exp(-x / 2)
-    telling = np.flatnonzero((ratio > 2 * np.log(max(1, len(names)) / alpha)) & (b > (a + b) * share))
-    telling = telling[np.lexsort((telling, -ratio[telling]))][:most]
-    if not len(telling):
+    def told_by(halves: tuple[int, ...]) -> dict[str, int]:
+        """The telling features by the examples of these halves, numbered by name."""
+        n0, n1 = (sum(size.get((h, label), 0) for h in halves) for label in (0, 1))
+        share = n1 / max(1, n0 + n1)
+        a, b = (x[:, list(halves)].sum(axis=1) for x in (clean_in, toxic_in))
+        ratio = 2 * (part(a, (a + b) * (1 - share)) + part(b, (a + b) * share) + part(n0 - a, (n0 + n1 - a - b) * (1 - share)) + part(n1 - b, (n0 + n1 - a - b) * share))
+        # the upper tail of chi-square with one degree of freedom is below exp(-x / 2)
+        telling = np.flatnonzero((ratio > 2 * np.log(max(1, len(names)) / alpha)) & (b > (a + b) * share))
+        telling = telling[np.lexsort((telling, -ratio[telling]))][:most]
+        return {names[i]: j for j, i in enumerate(sorted(telling.tolist()))}
+
+    index = told_by((0, 1))
+    if not index:
         return Model({}, (), tuple([30.0] * (grades - 1)))
-    index = {names[i]: j for j, i in enumerate(sorted(telling.tolist()))}
-    known = spark.sparkContext.broadcast(index)
+    known = spark.sparkContext.broadcast((index, told_by((1,)), told_by((0,))))
 
     def hits(batches):
-        reader = Reader(known.value)
+        reader, *other = map(Reader, known.value)
         for batch in blocks(batches):
-            found = [reader.read(raw) for raw in as_bytes(batch.column("text"))]
+            found = [(reader.read(raw)[0], other[own].read(raw)[1]) for raw, own in zip(as_bytes(batch.column("text")), batch.column("half").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([n for _, n in found], pa.int64()), *(pa.array([[x[i] for x in h] for h, _ in found], pa.list_(pa.int32())) for i in (0, 1))], names=["doc_id", "toxic", "amount", "j", "c"])
 
     rows = given.mapInArrow(hits, f"{column('doc_id', given)}, toxic int, amount bigint, j array<int>, c array<int>").orderBy("doc_id", "j").collect()
@@ -190,18 +197,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
 def scores(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The kept columns of every row with severity (expected grade), p_toxic (that the grade is above 0), grade and toxic (p_toxic of the model's cut or more).
 
-    ``grade`` is the smallest whose cumulative probability reaches a half. A null or empty text is scored as having no words. Null ids,
+    A name that ``docs`` has already gets an underscore. ``grade`` is the smallest whose cumulative probability reaches a half. A null or empty text is scored as having no words. Null ids,
     repeated rows and empty tables pass row by row; equal texts get equal scores; texts are scored whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [*keep, "severity", "p_toxic", "grade", "toxic"]
+    names = [*keep, *(free(n, docs) for n in ("severity", "p_toxic", "grade", "toxic"))]
+    text_name = free("text_read", docs)
 
     def work(batches):
         model = shared.value
         reader = Reader(model.index)
-        for batch in blocks(batches, "__text"):
-            p = np.array([model.score(reader.read(raw)[0]) for raw in as_bytes(batch.column("__text"))]).reshape(-1, len(model.thresholds))
+        for batch in blocks(batches, text_name):
+            p = np.array([model.score(reader.read(raw)[0]) for raw in as_bytes(batch.column(text_name))]).reshape(-1, len(model.thresholds))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p >= 0.5).sum(axis=1).astype(np.int32)), pa.array(p[:, 0] >= model.cut)], names=names)
 
-    fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return bounded(docs).select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text")).mapInArrow(work, f"{fields}, severity double, p_toxic double, grade int, toxic boolean")
+    fields = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep]
+    return bounded(docs).select(*keep, F.coalesce(F.col(text), F.lit("")).alias(text_name)).mapInArrow(work, ", ".join([*fields, *(f"{n} {t}" for n, t in zip(names[len(keep) :], ("double", "double", "int", "boolean")))]))
