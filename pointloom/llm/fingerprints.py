@@ -101,9 +101,9 @@ def with_next(docs: DataFrame, k: int = K) -> DataFrame:
     bounds: list[int] = []
     if n > 1:
         bounds = sorted({int(b) for b in docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 4 * n))).first()[0] or []})
-    last = len(bounds) + 1  # of null ids
-    dealt = docs.withColumn("__tie", F.xxhash64("text")).withColumn("__range", F.when(F.col("doc_id").isNull(), last).otherwise(_range_of(F.col("doc_id"), bounds)).cast("int"))
-    # One row for each range at most, RANGES + 2 in all.
+    last = len(bounds) + 1  # null ids come after it, in 128 ranges by hash
+    dealt = docs.withColumn("__tie", F.xxhash64("text")).withColumn("__range", F.when(F.col("doc_id").isNull(), F.shiftright("__tie", 57) + last + 64).otherwise(_range_of(F.col("doc_id"), bounds)).cast("int"))
+    # One row for each range at most, RANGES + 130 in all.
     heads = dealt.groupBy("__range").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "__tie")).alias("h")).select("__range", F.col("h.doc_id").alias("__id"), F.col("h.__tie").alias("__t"))
     around = Window.orderBy("__range")
     ahead = heads.withColumn("__to", F.coalesce(F.lag("__range").over(around), F.max("__range").over(Window.partitionBy())))
