@@ -44,7 +44,7 @@ THINNED, SHORT = 2, 32
 #: Partners of one set that are verified in one go.
 FAN = 256
 #: Packed bytes and sets in a part of a block, at most about so many; and the rows of overlaps that are held at once.
-PART_BYTES, PART_SETS, STRIP = 1 << 20, 4096, 512
+PART_BYTES, PART_SETS, STRIP = 1 << 20, 512, 512
 #: Shingles in a bucket, about, and in what a task holds before it sends; sets that are broadcast to fetch their texts.
 BUCKET, HELD, FEW_SETS = 1 << 19, 1 << 20, 1 << 19
 #: Sizes are compared by bands, each 2 % above the one before.
