@@ -17,6 +17,9 @@ from pointloom.llm.common import WORD, free, written
 #: Copies of a document, at most, as a multiple of its source.
 MOST = 3.0
 WEIGHTS = (5.0, 2.0, 1.0)
+SEED = 17
+#: Bands of sizes go up by a tenth.
+STEP = math.log(1.1)
 
 
 def words(text: Column | str) -> Column:
@@ -60,21 +63,25 @@ def targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     return table.select("source", "source_size", F.least(bound, F.col("_weight") * level).cast("double").alias("target"))
 
 
+def _drawn(*parts: Column) -> Column:
+    """52 bits of a hash of the parts; nulls are left out."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 13), 16, 10).cast("long")
+
+
 def _key(seed: int, text_col: str) -> Column:
-    """A hash of 53 bits."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", text_col), 11)
+    return _drawn(F.lit(str(seed)), F.col("doc_id").cast("string"), F.col(text_col))
 
 
 def _band(size: Column) -> Column:
     """Sizes of a band differ by a tenth; -1 holds texts without words."""
-    return F.when(size > 0, F.floor(F.log(F.greatest(size, F.lit(1))) / math.log(1.1) + 1e-9)).otherwise(-1).cast("int")
+    return F.when(size > 0, F.floor(F.log(F.greatest(size, F.lit(1))) / STEP + 1e-9)).otherwise(-1).cast("int")
 
 
 def _rate(most: float) -> Column:
     return F.when(F.col("source_size") > 0, F.least(F.lit(most), F.col("target") / F.greatest("source_size", F.lit(1)))).otherwise(F.lit(0.0))
 
 
-def shares(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 17) -> DataFrame:
+def shares(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = SEED) -> DataFrame:
     """source, source_size, target, band, whole and edge of rows of source, size and key: what decides the copies of each document.
 
     A document gets ``whole`` copies, and one more if its key is not above ``edge``. A source's rate is its target by its size. Of each band of sizes
@@ -83,13 +90,13 @@ def shares(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
     by little more than a document. The key at the edge is found by counting keys by their upper bits first; only those about the edge are numbered.
     """
     goal = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
-    top = F.shiftright("key", 41)
+    top = F.shiftright("key", 40)
     counts = written(sized.groupBy("source", _band(F.col("size")).alias("band"), top.alias("top")).agg(F.count("*").alias("n")))
     many = counts.groupBy("source", "band").agg(F.sum("n").alias("n"))
     goal = goal.withColumnRenamed("source", "s")
     many = many.join(goal, many["source"].eqNullSafe(goal["s"])).drop("s").withColumn("rate", _rate(most)).withColumn("whole", F.floor("rate"))
     along = Window.partitionBy("source").orderBy("band")
-    start = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("start"), "source"), 11) / F.lit(float(1 << 53))
+    start = _drawn(F.lit(str(seed)), F.lit("start"), F.col("source").cast("string")) / F.lit(float(1 << 52))
     # texts without words change nothing: they get the further copy or not as a band of its own
     asked = F.sum((F.col("rate") - F.col("whole")) * F.col("n")).over(along) + start
     many = many.withColumn("upto", F.floor(asked + 1e-9)).withColumn("more", F.least(F.col("n"), F.col("upto") - F.coalesce(F.lag("upto").over(along), F.lit(0))))
@@ -119,7 +126,7 @@ def _decided(near: DataFrame, share: DataFrame, source: Column, size: Column, ke
     return met, (share["whole"] + F.when(key <= share["edge"], 1).otherwise(0)).cast("long"), share
 
 
-def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 17, text_col: str = "text", source_col: str = "source") -> DataFrame:
+def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = SEED, text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How often the mix takes each row: doc_id, source, size, source_size, target, copies.
 
     A null text has size 0 and a null source is a source of its own. Rows are decided by shares() and a hash of seed, doc_id and text, so that reruns
@@ -130,10 +137,10 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MO
     return met.select("doc_id", sized["source"], "size", share["source_size"], share["target"], copies.alias("copies"))
 
 
-def emit(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 17, text_col: str = "text", source_col: str = "source") -> DataFrame:
+def emit(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = SEED, text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: the rows of ``docs`` with their columns, whatever their names, each as often as plan() takes it. Texts aren't shuffled."""
     sized = written(docs.select(_key(seed, text_col).alias("key"), F.col(source_col).alias("source"), words(text_col).alias("size")))
-    met, copies, _ = _decided(docs, shares(sized, weights, most, seed), docs[source_col], words(docs[text_col]), F.shiftrightunsigned(F.xxhash64(F.lit(seed), docs["doc_id"], docs[text_col]), 11))
+    met, copies, _ = _decided(docs, shares(sized, weights, most, seed), docs[source_col], words(docs[text_col]), _drawn(F.lit(str(seed)), docs["doc_id"].cast("string"), docs[text_col]))
     times = free("copies", docs)
     taken = met.select(*(docs[c] for c in docs.columns), copies.alias(times)).where(F.col(times) > 0)
     return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(free("copy", docs))).select(*docs.columns)

@@ -14,7 +14,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pointloom.llm import bpe, fingerprints, jaccard_join, lm_scoring, media, mixing, secrets, substring_dedup, token_counts, toxicity
-from pointloom.llm.pretokens import Recent, splitter
+from pointloom.llm.bloom import Filter, segments_of, short_of
+from pointloom.llm.pretokens import Recent, spans, splitter
+from pointloom.llm.words import Words, word_hash
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 VOCABULARY, TOKENIZER = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json")
@@ -70,11 +72,11 @@ def test_bpe_and_counts_on_any_text(text):
     if "tik" not in _once:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
         spec = open(TOKENIZER).read()
-        _once.update(tik=tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), hf=Tokenizer.from_str(spec), counter=token_counts.Counter(spec, token_counts.frequent_table(spec)))
+        _once.update(tik=tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), hf=Tokenizer.from_str(spec), counter=token_counts.Counter(spec, token_counts.table_of(spec, Counter(["a", " the", "'s", "é", " "]))))
     ids = bpe.engine(data, P.PATTERN).encode(text)
     assert np.frombuffer(ids, "<u4").tolist() == _once["tik"].encode_ordinary(text)
     assert bpe.engine(data, P.PATTERN).decode(ids) == text.encode()
-    assert _once["counter"].count(text) == len(_once["hf"].encode(text, add_special_tokens=False).ids)
+    assert _once["counter"].counts([text, "", text]).tolist() == [(n := len(_once["hf"].encode(text, add_special_tokens=False).ids)), 0, n]
 
 
 _once: dict = {}
@@ -87,6 +89,15 @@ def test_narrow_and_wide_split_agree():
             assert wide(s) == narrow(s)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="'srtvelmd a  \n\u3000\t1é中!?", max_size=20), max_size=4))
+def test_spans_equal_the_split(texts):
+    points, at = token_counts._points(texts)
+    start, stop = spans(points, at)
+    by = np.argsort(start)
+    assert ["".join(texts)[a:b] for a, b in zip(start[by], stop[by])] == [x for t in texts for x in splitter()(t)]
+
+
 def test_caches_stay_bounded():
     cache = Recent(10, lambda k: k * 2)
     for i in range(100):
@@ -226,11 +237,22 @@ def test_mixing(spark, docs, rows, odd, empty):
     assert taken == 50
     sums = plan.selectExpr("source", "target", "copies * size t").groupBy("source").agg({"target": "max", "t": "sum"}).collect()
     assert sum(r["sum(t)"] for r in sums) == pytest.approx(sum(r["max(target)"] for r in sums), rel=0.1)
+    for r in sums:  # within two of the longest documents of its source
+        assert abs(r["sum(t)"] - r["max(target)"]) <= 2 * 14
+    clash = docs.selectExpr("*", "1 copies", "2 copy", "3 source_size", "4 band", "5 key", "6 edge", "7 whole")
+    assert mixing.emit(clash).drop("copies", "copy", "source_size", "band", "key", "edge", "whole").count() == sum(sent.values())
+
+
+def test_mixing_meets_targets_of_few_long_documents(spark):
+    plan = mixing.plan(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    for r in plan.groupBy("source").agg({"target": "max", "size": "max", "taken": "sum"} if "taken" in plan.columns else {"target": "max", "size": "max"}).collect():
+        taken = sum(x["copies"] * x["size"] for x in plan.where(plan["source"].eqNullSafe(r["source"])).collect())
+        assert abs(taken - r["max(target)"]) <= max(0.02 * r["max(target)"], r["max(size)"])
 
 
 def test_mixing_beyond_the_broadcast(docs, monkeypatch):
     a = sorted(map(tuple, mixing.plan(docs).collect()), key=str)
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    monkeypatch.setattr(mixing, "BROADCAST", 1)
     assert sorted(map(tuple, mixing.plan(docs).collect()), key=str) == a
 
 
@@ -358,9 +380,10 @@ def plain_dedup(rows, window=50):
 def test_substring_dedup(docs, rows, odd, empty, window, anchor, monkeypatch):
     want = {i: (n, r, s) for i, n, r, s in plain_dedup(rows, window)}
     assert sum(r > 0 for _, r, _ in want.values()) > 10
-    for chunk, block in ((1 << 16, 8 << 20), (3, 2000)):
-        monkeypatch.setattr(substring_dedup, "CHUNK", chunk)
-        monkeypatch.setattr(substring_dedup, "blocks", lambda b, c="text", limit=block: _blocks(b, c, limit))
+    for held, block, size in ((1 << 18, 8 << 20, 64 << 20), (8, 2000, 1)):
+        monkeypatch.setattr(substring_dedup, "HELD", held)
+        monkeypatch.setattr(substring_dedup, "FILTER", size)
+        monkeypatch.setattr(substring_dedup, "ARRAY_BYTES", block)
         got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.digest(substring_dedup.dedup(docs, window, anchor)).collect()}
         assert got == want
     assert substring_dedup.dedup(empty).count() == 0
@@ -370,7 +393,15 @@ def test_substring_dedup(docs, rows, odd, empty, window, anchor, monkeypatch):
     assert sorted((str(r["doc_id"]), r["n_removed"]) for r in substring_dedup.dedup(rep).collect()) == [("5", 0), ("5", 0), ("7", 70), ("None", 70), ("None", 70)]
 
 
-from pointloom.llm.common import blocks as _blocks  # noqa: E402
+def test_factors_are_longest_matches():
+    """A passage of the second half of one and the first half of another is two factors that overlap by a window less one word."""
+    a, b = (np.arange(k, k + 100, dtype=np.uint32) for k in (0, 1000))
+    c = np.concatenate([a[50:], b[:60]])
+    passage, begin, at, n = substring_dedup.parsed(np.concatenate([a, b, c]), np.array([100, 100, 110]), np.array([1, 2, 3]), 50)
+    assert list(zip(passage, begin, at, n)) == [(2, 0, 50, 50), (2, 50, 100, 60)]
+    passage, begin, at, n = substring_dedup.parsed(np.concatenate([a, c[:50], a]), np.array([100, 50, 100]), np.array([5, 2, 7]), 50)
+    assert sorted(zip(passage, begin, n)) == [(0, 50, 50), (2, 0, 100)]
+
 
 # ---- 9: Jaccard join
 
@@ -403,9 +434,12 @@ def test_jaccard_classes(docs, rows, odd, empty):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard_join.classes(odd).collect()) == [("1", 1, "1"), ("1", 2, "1"), ("1", 2, "1"), ("None", 0, "None"), ("None", 2, "1")]
 
 
-@pytest.mark.parametrize("frequent", [1 << 17, 0])
-def test_jaccard_near_threshold(spark, frequent, monkeypatch):
+@pytest.mark.parametrize(("frequent", "hot", "short"), [(1 << 17, 1000, 32), (0, 1000, 2), (1 << 17, 5, 4)])
+def test_jaccard_near_threshold(spark, frequent, hot, short, monkeypatch):
     monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    monkeypatch.setattr(jaccard_join, "SHORT", short)
+    monkeypatch.setattr(jaccard_join, "PER_MATCH", 4)
     monkeypatch.setattr(jaccard_join, "COSTLY", 1.0)
     monkeypatch.setattr(jaccard_join, "FAN", 3)
     monkeypatch.setattr(jaccard_join, "PART_BYTES", 300)
@@ -420,8 +454,9 @@ def test_jaccard_near_threshold(spark, frequent, monkeypatch):
                 t[rng.integers(0, 40)] = "z" + str(rng.integers(0, 5))
             rows.append((len(rows), " ".join(t[: rng.integers(30, 41)])))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.classes(docs).collect()}
-    assert got == plain_classes(rows)
+    got = jaccard_join.classes(docs).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_classes(rows)
+    assert {r["doc_id"]: r["n_links"] for r in got} == {r[0]: n for r, n in zip(rows, plain_links(rows))}
 
 
 def plain_links(rows):
@@ -433,17 +468,37 @@ def plain_links(rows):
     return [sum(bool(a and b) and 100 * len(a & b) >= 80 * len(a | b) for b in sets) - bool(a) for a in sets]
 
 
-@pytest.mark.parametrize("part", [1 << 20, 300])
-def test_jaccard_links(docs, rows, odd, empty, part, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "PART_BYTES", part)
-    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.classes(docs, links=True).collect()}
+def test_jaccard_links(docs, rows, odd):
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.classes(docs).collect()}
     assert got == {r[0]: n for r, n in zip(rows, plain_links(rows))} and max(got.values()) > 10
-    if part > 300:
-        assert jaccard_join.classes(empty, links=True).count() == 0
-        assert sorted((str(r["doc_id"]), r["n_shingles"], r["n_links"]) for r in jaccard_join.classes(odd, links=True).collect()) == [("1", 1, 0), ("1", 2, 2), ("1", 2, 2), ("None", 0, 0), ("None", 2, 2)]
+    assert sorted((str(r["doc_id"]), r["n_shingles"], r["n_links"]) for r in jaccard_join.classes(odd).collect()) == [("1", 1, 0), ("1", 2, 2), ("1", 2, 2), ("None", 0, 0), ("None", 2, 2)]
+
+
+def _near(n, seed):
+    """A text of n words and one near it."""
+    a = [f"{seed}w{i}" for i in range(n)]
+    return " ".join(a), " ".join([*a[:-1], "other"])
+
+
+def test_null_and_shared_ids_join_no_classes(spark):
+    (a, a2), (b, b2) = _near(60, "a"), _near(60, "b")
+    found = lambda rows: sorted((str(r["doc_id"]), str(r["component_id"]), r["n_links"]) for r in jaccard_join.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert found([(5, a), (7, b), (None, a2), (None, b2)]) == [("5", "5", 1), ("7", "7", 1), ("None", "5", 1), ("None", "7", 1)]
+    assert found([(5, a), (7, b), (20, a2), (20, b2)]) == [("20", "5", 1), ("20", "7", 1), ("5", "5", 1), ("7", "7", 1)]
+    assert found([(None, a), (None, a2), (3, "x")]) == [("3", "3", 0), ("None", "None", 1), ("None", "None", 1)]
 
 
-def test_link_counts_of_two_sides():
+def test_one_of_each_class(spark):
+    (a, a2), (b, _) = _near(60, "a"), _near(60, "b")
+    rows = [(1, a, "p"), (5, a, "q"), (5, b, "r"), (1, a, "p"), (None, a2, "s"), (None, None, "t"), (None, "", "u"), (9, "", "v"), (None, b, "w")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, tie string")
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [(1, a, "p"), (5, b, "r"), (None, None, "t"), (None, "", "u"), (9, "", "v")]))
+    assert jaccard_join.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_links_of_two_sides():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 60, 200).astype(np.uint64)
     sets = []
@@ -451,25 +506,47 @@ def test_link_counts_of_two_sides():
         x = base.copy()
         x[rng.integers(0, 200, rng.integers(0, 30))] = rng.integers(0, 1 << 60)
         sets.append(np.unique(x[: rng.integers(150, 201)]))
-    copies = rng.integers(1, 4, 700)
+    order = jaccard_join.Order(4, np.sort(base[:50] >> np.uint64(28)), np.arange(50, dtype=np.uint32) + 3)
     link = np.array([[100 * (c := len(np.intersect1d(a, b))) >= 80 * (len(a) + len(b) - c) for b in sets[:40]] for a in sets])
-    here, there = jaccard_join.count_links(sets, sets[:40], copies, copies[:40], 80)
-    assert (here == link @ copies[:40]).all() and (there == copies @ link).all() and 0 < link.mean() < 1
-    own, _ = jaccard_join.count_links(sets[:40], None, copies[:40], copies[:40], 80)
-    assert (own == (link[:40] & ~np.eye(40, dtype=bool)) @ copies[:40]).all()
+    hit = jaccard_join.links_of(sets, sets[:40], order, 80)
+    assert (hit == link).all() and 0 < link.mean() < 1
+    assert (jaccard_join.links_of(sets[:40], None, order, 80) == link[:40] & ~np.eye(40, dtype=bool)).all()
+
+
+def test_heads_are_components():
+    hit = np.zeros((5, 4), bool)
+    hit[[0, 2, 2, 4], [1, 1, 3, 0]] = True
+    row, col = jaccard_join.heads(hit, False)
+    assert row.tolist() == [0, 1, 0, 3, 4] and col.tolist() == [4, 0, 7, 0]
+    chain = np.zeros((4, 4), bool)
+    chain[[0, 1, 1, 3], [1, 0, 3, 1]] = True
+    assert jaccard_join.heads(chain, True)[0].tolist() == [0, 0, 2, 0]
+
+
+@given(st.lists(st.text(alphabet="aZé \t\n\x0b\x1c\u3000", max_size=12), max_size=5))
+@settings(max_examples=200, deadline=None)
+def test_words_are_cut_and_hashed_as_bytes_split(texts):
+    w = Words([t.encode() for t in texts], lower=True)
+    split = [t.encode().lower().split() for t in texts]
+    assert w.counts.tolist() == list(map(len, split))
+    assert w.hashes.tolist() == [word_hash(x) for s in split for x in s]
+    assert len(set(w.hashes.tolist())) == len({x for s in split for x in s})
 
 
 # ---- 1: language model
 
 
+def lm_tokens(text):
+    return [*words(fold(text)), ""]
+
+
 def test_lm_scores(docs, rows, odd, empty):
     got = by_id(lm_scoring.score_corpus(docs, hot=50))
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, *_ in rows}
-    counts = Counter(t for i, text, *_ in rows if not held[i] for t in lm_scoring.tokens((text or "").encode()))
+    counts = Counter(t for i, text, *_ in rows if not held[i] for t in lm_tokens(text))
     n, v = sum(counts.values()), len(counts)
     for i, text, *_ in rows:
-        toks = [*words(fold(text)), ""]
-        toks = [t.encode() for t in toks]
+        toks = lm_tokens(text)
         g = got[i]
         assert (g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"]) == (held[i], len(toks), sum(counts[t] > 0 for t in toks), n)
         assert g["base_score"] == pytest.approx(sum(math.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in toks), rel=1e-9)
@@ -481,60 +558,56 @@ def test_filter_counts():
     rng = np.random.default_rng(0)
     keys = rng.integers(0, 1 << 63, 50_000).astype(np.uint64)
     levels = np.minimum(rng.geometric(0.4, len(keys)), 40)
-    parts = lm_scoring.Filter.segment(keys, 3).astype(int)
-    built = lm_scoring.Filter.joined(3, {s: lm_scoring.Filter.built(keys[parts == s], levels[parts == s]) for s in range(8) if s != 5})
+    parts = segments_of(keys, 3)
+    built = Filter.joined(3, {s: Filter.built(short_of(keys[parts == s]), levels[parts == s]) for s in range(8) if s != 5})
     there = parts != 5
-    read = built.levels(keys)
+    read = built.levels(keys, keys)
     assert (read[there] >= levels[there]).all() and (read[there] > levels[there]).mean() < 0.03 and not read[~there].any()
-    assert (built.levels(rng.integers(0, 1 << 63, 50_000).astype(np.uint64)) > 0).mean() < 0.03
+    assert (built.holds(keys) == there).all()
+    other = rng.integers(0, 1 << 63, 50_000).astype(np.uint64)
+    assert (built.levels(other, other) > 0).mean() < 0.03
     assert lm_scoring.counts_of_levels(1.5)[:6].tolist() == [0, 1, 2, 3, 4.5, 6.5]
 
 
-def test_lm_learns_pairs_and_fits_its_capacity(spark):
+def test_lm_learns_pairs(spark):
     rows = [(i, " ".join(["the cat sat"] * 30 + [f"x{i}"])) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = lm_scoring.score_corpus(docs).where("held_out").collect()
     assert got and all(r["score"] > r["base_score"] / 2 for r in got)
-    model, _ = lm_scoring.learn(docs, capacity=200)
-    assert len(model.filter.data) <= 400
 
 
-def plain_bigrams(texts, learnt, least):
+def plain_bigrams(texts, learnt):
     """Scores by a bigram model with counts of the levels that the filter enters."""
-    pairs_of = lambda t: list(zip([lm_scoring.END, *lm_scoring.tokens(t)[:-1]], lm_scoring.tokens(t)))
-    c1 = Counter(w for t in learnt for w in lm_scoring.tokens(t))
+    pairs_of = lambda t: list(zip(["", *lm_tokens(t)[:-1]], lm_tokens(t)))
+    c1 = Counter(w for t in learnt for w in lm_tokens(t))
     c2 = Counter(p for t in learnt for p in pairs_of(t))
-    total = Counter()
-    for (v, _), c in c2.items():
-        total[v] += c * (c >= least)
     word, pair = (lm_scoring.counts_of_levels(s) for s in (lm_scoring.WORD_STEP, lm_scoring.PAIR_STEP))
     read = lambda table, c, step: table[1 + math.floor(math.log(c) / math.log(step) + 1e-9)] if c else 0.0
     n, m, out = sum(c1.values()) + 0.5 * (len(c1) + 1), lm_scoring.PRIOR, []
     for t in texts:
         s = 0.0
         for v, w in pairs_of(t):
-            held = read(word, total[v], lm_scoring.WORD_STEP)
-            first = max(read(word, c1[v], lm_scoring.WORD_STEP), held)
-            c = min(read(pair, c2[v, w] * (c2[v, w] >= least), lm_scoring.PAIR_STEP), held)
-            s += math.log10((c + (first - held + m) * (read(word, c1[w], lm_scoring.WORD_STEP) + 0.5) / n) / (first + m))
+            first = read(word, c1[v], lm_scoring.WORD_STEP)
+            c = min(read(pair, c2[v, w], lm_scoring.PAIR_STEP), first)
+            s += math.log10((c + m * (read(word, c1[w], lm_scoring.WORD_STEP) + 0.5) / n) / (first + m))
         out.append(s)
     return out
 
 
-@pytest.mark.parametrize(("capacity", "least"), [(lm_scoring.CAPACITY, 2), (2000, 2), (lm_scoring.CAPACITY, None), (2000, None)])
-def test_lm_equals_bigrams_at_any_capacity(docs, rows, capacity, least):
-    """Only false positives of the filter, about one probe in a hundred, tell the scores from a plain model's, in one shard or many.
-
-    By default, pairs seen once count.
-    """
-    got = by_id(lm_scoring.score_corpus(docs, capacity=capacity, **{"least": least} if least else {}))
-    texts = {i: (t or "").encode() for i, t, *_ in rows}
+@pytest.mark.parametrize("capacity", [lm_scoring.CAPACITY, 1500])
+def test_lm_equals_bigrams_at_any_capacity(docs, rows, capacity):
+    """Only false positives of the filter, about one probe in a hundred, tell the scores from a plain model's, in one shard or many. Pairs seen once count."""
+    got = by_id(lm_scoring.score_corpus(docs, capacity=capacity))
+    texts = {i: t for i, t, *_ in rows}
     learnt = [t for i, t in texts.items() if not got[i]["held_out"]]
-    for i, want in zip(texts, plain_bigrams(texts.values(), learnt, least or 1)):
+    wants = dict(zip(texts, plain_bigrams(texts.values(), learnt)))
+    for i, want in wants.items():
         if not got[i]["held_out"]:
             assert abs(got[i]["score"] - want) <= 0.04 * got[i]["n_tokens"] + 0.5
-    model, _ = lm_scoring.learn(docs, capacity=2000)
-    assert len(model.shards) > 3 and max(len(model.shards.filter(s).data) for s in range(len(model.shards))) <= 4000
+    held = [i for i in texts if got[i]["held_out"]]
+    assert 0 <= sum(got[i]["score"] - wants[i] for i in held) <= 0.08 * sum(got[i]["n_tokens"] for i in held)
+    model, _ = lm_scoring.learn(docs, capacity=1500)
+    assert len(model.pairs) > 2 and all(len(model.pairs.filter(i).data) <= 3000 for i in range(len(model.pairs)))
 
 
 # ---- 10: toxicity
