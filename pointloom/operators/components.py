@@ -1,13 +1,32 @@
-"""Connected components of an undirected graph by alternating large-star and small-star steps (Kiveris et al. 2014)."""
+"""Connected components of an undirected graph by alternating large-star and small-star steps (Kiveris et al. 2014).
+
+A graph of at most SMALL edges, as counted, is solved in one task.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.functions.maxflow import parts
 from pointloom.plans.storage import released, written
 
 
+#: Edges that are gathered in one task (16 bytes each).
+SMALL = 1 << 19
+
+
+def _at_once(batches):
+    """(v, label) of all vertices of all edges."""
+    table = pa.Table.from_batches(list(batches), pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+    u, v = (table.column(c).to_numpy() for c in ("u", "v"))
+    ids, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    label = ids[parts(len(ids), place[: len(u)], place[len(u) :])]
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(label)], names=["v", "label"])
+
+
 def _nearest(edges: DataFrame) -> DataFrame:
     """Each (u, v) with m, the smallest of u and its neighbours. A hub's rows stay apart: only its minimum is joined back."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
@@ -29,11 +48,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(v, label) of every vertex that has an edge (u, v) to another: label is the smallest vertex it reaches.
 
-    Self-loops, nulls and repeated edges count for nothing. Every round is written to the shared folder; the only values that come to the
-    driver are a count and a checksum, which show when a round changed nothing.
+    Vertices are integers. Self-loops, nulls and repeated edges count for nothing. Every round is written to the shared folder; the only values that
+    come to the driver are a count and a checksum, which show when a round changed nothing.
     """
-    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    as_long = lambda c: c.cast("bigint")
+    now = written(edges.where("u <> v").select(as_long(F.greatest("u", "v")).alias("u"), as_long(F.least("u", "v")).alias("v")).distinct())
     before = None
+    if now.count() <= SMALL:
+        return written(now.coalesce(1).mapInArrow(_at_once, "v bigint, label bigint"))
     for _ in range(max_rounds):
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:

@@ -54,6 +54,18 @@ def terminals(obs: np.ndarray, w: np.ndarray, a: np.ndarray, b: np.ndarray, scal
     return np.where(near_a, 0, diff), np.where(near_a, diff, 0)
 
 
+def terminal_capacities(vertices: DataFrame, obs: list[str], scale: int = 1000) -> DataFrame:
+    """(v, to_source, to_sink) of rows of v, the observations, w and both centres of the vertex's component (a_, b_)."""
+
+    def work(batches):
+        for rows in batches:
+            near = lambda t: rows[[f"{t}{o}" for o in obs]].to_numpy(float)
+            source, sink = terminals(near(""), rows["w"].to_numpy(float), near("a_"), near("b_"), scale)
+            yield pd.DataFrame({"v": rows["v"], "to_source": source, "to_sink": sink})
+
+    return vertices.mapInPandas(work, "v long, to_source long, to_sink long")
+
+
 def split_component(obs: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray, ew: np.ndarray, reg: float, p: CutPursuitParams) -> tuple[np.ndarray, bool]:
     """The parts that one component falls into, as smallest vertices, and whether it is saturated."""
     n = len(obs)

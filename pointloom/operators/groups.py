@@ -17,6 +17,26 @@ def first_label(points: DataFrame, by: list[str], label: str, order: str = "poin
     return points.groupBy(*by).agg(F.min_by(label, order).alias(label))
 
 
+def sizes(points: DataFrame, by: list[str]) -> DataFrame:
+    """(n): how many rows each group has."""
+    return points.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def extents(points: DataFrame, by: list[str], axes: tuple[str, ...] = AXES) -> DataFrame:
+    """(n, min_x, max_x, ...) of each group; without columns to group by, of all rows."""
+    return points.groupBy(*by).agg(F.count("*").alias("n"), *(f(a).alias(f"{n}_{a}") for a in axes for n, f in (("min", F.min), ("max", F.max))))
+
+
+def members(df: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose key is among ``others``."""
+    return df.join(others.select(key).distinct(), key, "left_semi")
+
+
+def without(df: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose key isn't among ``others``."""
+    return df.join(others.select(key).distinct(), key, "left_anti")
+
+
 def mode_label(points: DataFrame, by: list[str], label: str) -> DataFrame:
     """The commonest label, the smallest among equals; counted first, so a large group meets as one row a label."""
     counts = points.groupBy(*by, label).count()

@@ -41,11 +41,14 @@ def first_width(data: DataFrame, dims: list[str], occupancy: int = OCCUPANCY) ->
     if not span:
         return 1.0
     h = span * (occupancy / 4 / box[0]) ** (1 / len(dims)) if box[0] > occupancy / 4 else span
-    for _ in range(40):
-        full = _cells(data, dims, h, "_c").groupBy(*(f"_c{i}" for i in range(len(dims)))).count().agg(F.max("count")).first()[0]
-        if full <= occupancy:
+    for _ in range(10):  # four widths at a time
+        each = data.select(*dims, F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(h / 2**i).alias("h")) for i in range(4)))).alias("_w"))
+        cells = each.groupBy("_w.i", *(F.floor(F.col(d) / F.col("_w.h")).alias(f"_c{j}") for j, d in enumerate(dims))).count()
+        full = {r["i"]: r["most"] for r in cells.groupBy("i").agg(F.max("count").alias("most")).collect()}
+        fits = [i for i in range(4) if full[i] <= occupancy]
+        h /= 2 ** (fits[0] if fits else 4)
+        if fits:
             break
-        h /= 2
     return h
 
 

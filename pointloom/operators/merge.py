@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.operators.groups import centroids, dense_labels, elevation_length, first_label, trimmed_means
+from pointloom.operators.groups import centroids, dense_labels, elevation_length, first_label, members, trimmed_means, without
 from pointloom.operators.hulls import hull_overlap, hulls
 from pointloom.operators.knn import distance, knn_join
 from pointloom.params import SegmentationParams
@@ -36,6 +36,11 @@ def group_features(points: DataFrame, p: SegmentationParams) -> DataFrame:
     return trimmed.join(elevation_length(points, ["g"]), "g").join(hulls(points, "g"), "g")
 
 
+def nearest_scale(near: DataFrame) -> DataFrame:
+    """(sigma): the mean distance of groups from the nearest other one, of rows of u, v, dist."""
+    return near.where("u <> v").groupBy("u").agg(F.min("dist").alias("d")).agg(F.avg("d").alias("sigma"))
+
+
 def stem_flags(features: DataFrame, near: DataFrame, p: SegmentationParams) -> DataFrame:
     """``features`` with flagged (its foot is high over its neighbours' for its length) and long (it is much longer than they are, by the median).
 
@@ -72,9 +77,7 @@ def merge_pass(points: DataFrame, clusters: DataFrame, p: SegmentationParams, fi
     features = written(group_features(points.join(clusters.select("init", "g"), "init").select("g", "x", "y", "z"), p))
     flat = ("fx", "fy")
     near = written(knn_join(features, features, p.min_nn3, flat, "g", "g"))
-    # the nearest other group is the second of a list that begins with the group itself
-    own = near.where("u <> v").groupBy("u").agg(F.min("dist").alias("d"))
-    sigma = own.agg(F.avg("d")).first()[0] or 0.0
+    sigma = nearest_scale(near).first()[0] or 0.0
     flags = written(stem_flags(features, near, p))
     only_long = first and not flags.where("long").isEmpty()
     going = flags.where("long" if only_long else "flagged")
@@ -115,11 +118,11 @@ def final_segments(points: DataFrame, params: SegmentationParams | None = None,
         if not n or n == before:
             break
         before = n
-    left = clusters.select("g").distinct().join(targets, "g", "left_anti")
+    left = without(clusters.select("g").distinct(), targets, "g")
     if targets is not None and not left.isEmpty():
         now = clusters.select("g").distinct()
-        features = features.join(now, "g", "left_semi")
-        pairs = knn_join(features.join(left, "g", "left_semi"), features.join(targets, "g", "left_semi"), p.min_nn3, ("fx", "fy"), "g", "g")
+        features = members(features, now, "g")
+        pairs = knn_join(members(features, left, "g"), members(features, targets, "g"), p.min_nn3, ("fx", "fy"), "g", "g")
         near = _closest(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")), clusters)
         to = near.groupBy("a").agg(F.min_by("b", F.struct("d3", "b")).alias("b"))
         clusters = clusters.join(to, F.col("g") == F.col("a"), "left").withColumn("g", F.coalesce("b", "g")).select(*clusters.columns)

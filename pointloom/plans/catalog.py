@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from pointloom.operators import groups as G
 from pointloom.operators.components import label_vertices
-from pointloom.operators.cutpursuit import cut_pursuit, median_sides
+from pointloom.operators.cutpursuit import cut_pursuit, median_sides, terminal_capacities
 from pointloom.operators.hulls import hull_overlap, hulls
 from pointloom.operators.knn import knn_join, nearest_gaps, radius_edges
-from pointloom.operators.merge import best_candidates, merge_score, stem_flags, vertical_overlap
+from pointloom.operators.merge import best_candidates, final_segments, merge_score, nearest_scale, stem_flags, vertical_overlap
 from pointloom.operators.outliers import isolate_gaps, sor_filter
 from pointloom.operators.voxels import VOXEL, centered, decimate, label_back, min_shifted, voxelize
 from pointloom.params import SegmentationParams
@@ -99,7 +99,7 @@ def global_shift_auto(spark, d):
 
 @query("SELECT count(*) AS n, round(min(x), 6) AS min_x, round(max(x), 6) AS max_x, round(min(y), 6) AS min_y, round(max(y), 6) AS max_y FROM (SELECT o_custkey::DOUBLE AS x, o_totalprice / 1000 AS y FROM orders)")
 def extent(spark, d):
-    return ord_(spark, d).agg(F.count("*").alias("n"), *(F.round(f(a), 6).alias(f"{n}_{a}") for a in "xy" for n, f in (("min", F.min), ("max", F.max))))
+    return G.extents(ord_(spark, d), [], ("x", "y")).select("n", *r6("min_x", "max_x", "min_y", "max_y"))
 
 
 # ---- Neighbours
@@ -206,7 +206,7 @@ def mode_label(spark, d):
 
 @query(f"WITH {EVT} SELECT grp, count(*) AS n FROM evt GROUP BY grp")
 def group_size(spark, d):
-    return evt(spark, d).groupBy("grp").agg(F.count("*").alias("n"))
+    return G.sizes(evt(spark, d), ["grp"])
 
 
 def _weighted(spark, d):
@@ -256,10 +256,7 @@ def terminal_capacity(spark, d):
     e = emb(spark, d)
     m = G.medians(e, ["grp"], ("x",))
     sides = e.join(m, "grp").select(F.col("grp").alias("comp"), F.col("point_id").alias("v"), "x", (F.col("x") > F.col("med_x")).alias("side"), F.lit(1.0).alias("w"))
-    c = sides.join(G.two_centers(sides, ["x"]), "comp")
-    p, q = (F.lit(0.5) * (F.col("x") - F.col(t)) * (F.col("x") - F.col(t)) for t in ("a_x", "b_x"))
-    diff = (F.abs(p - q) * 1000).cast("bigint")
-    return c.select("v", F.when(p <= q, F.lit(0).cast("bigint")).otherwise(diff).alias("to_source"), F.when(p <= q, diff).otherwise(F.lit(0).cast("bigint")).alias("to_sink"))
+    return terminal_capacities(sides.join(G.two_centers(sides, ["x"]), "comp"), ["x"])
 
 
 # ---- Sets, graphs
@@ -275,14 +272,19 @@ def dense_relabel(spark, d):
     return G.dense_labels(evt(spark, d), "grp", name="lab").select("point_id", "lab")
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def _customers(spark, d):
+    dear = spark.read.parquet(f"{d}/orders.parquet").where("o_totalprice > 400000").select(F.col("o_custkey").alias("id"))
+    return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id")), dear
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def set_difference(spark, d):
-    return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id")).join(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("id")), "id", "left_anti")
+    return G.without(*_customers(spark, d), "id")
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def semi_members(spark, d):
-    return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id")).join(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("id")), "id", "left_semi")
+    return G.members(*_customers(spark, d), "id")
 
 
 @query(f"WITH {EMB}, {KNN5}, {CROSS} SELECT least(lu, lv) AS ca, greatest(lu, lv) AS cb, round(sum(w) * 0.5, 6) AS weight FROM cr GROUP BY ALL")
@@ -335,7 +337,7 @@ def _near(spark, d):
 
 @query(f"WITH {EMB}, {NEAR} SELECT round(avg(d), 6) AS sigma FROM (SELECT u, min(dist) AS d FROM near WHERE u <> v GROUP BY u)")
 def sigma_nn(spark, d):
-    return _near(spark, d)[1].where("u <> v").groupBy("u").agg(F.min("dist").alias("d")).agg(F.round(F.avg("d"), 6).alias("sigma"))
+    return nearest_scale(_near(spark, d)[1]).select(*r6("sigma"))
 
 
 @query(f"""WITH {EMB}, {NEAR}, a AS (SELECT n.u AS g, min(o.elev) AS low, median(o.len) AS mid FROM near n JOIN f o ON n.v = o.g GROUP BY n.u)
@@ -414,6 +416,13 @@ def intermediate_segs(spark, d):
     return intermediate_segments(emb(spark, d).withColumnRenamed("grp", "init"), SegmentationParams())
 
 
+@query()
+def final_segs(spark, d):
+    """Merging of groups by label, of clusters of the points of a label that lie on one side of the plane z = 0."""
+    e = emb(spark, d).withColumn("init", F.col("grp") * 2 + (F.col("z") > 0).cast("int")).withColumn("inter", F.col("init"))
+    return final_segments(e, SegmentationParams(rel_height_length_ratio=0.1, long_stem_ratio=1.05))
+
+
 @query()
 def segment_cloud(spark, d):
     return segment(emb(spark, d), SegmentationParams(reg_strength1=0.05)).select("point_id", "init_segs", "intermediate_segs", "final_segs")

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pointloom.params import SegmentationParams
 from pointloom.plans.segmentation import segment
 from pointloom.plans.storage import written
-from pointloom.sources.las import LasSource
-from pointloom.sources.points import SUFFIX, discover, read_delimited, write_delimited
+from pointloom.sources.las import Header, LasSource
+from pointloom.sources.points import SUFFIX, discover, original_columns, read_delimited, write_delimited
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
     """Points of a LAS, Parquet or delimited text file; written once, so that point ids hold."""
-    if path.lower().endswith(".las"):
+    if path.lower().endswith((".las", ".laz")):
         spark.dataSource.register(LasSource)
         return written(spark.read.format("las").load(path))
     if path.lower().endswith(".parquet"):
@@ -29,11 +29,15 @@ def segment_file(spark: SparkSession, path: str, out: str, params: SegmentationP
     to = f"{out}/{stem}{SUFFIX}.{kind}"
     labelled = segment(read_points(spark, path), params)
     if kind.lower() == "las":
-        labelled.coalesce(1).sortWithinPartitions("point_id").write.format("las").mode("append").save(to)
+        head = Header.read(path.removeprefix("file://").removeprefix("file:"))
+        said = lambda numbers: ",".join(map(repr, numbers))
+        ordered = labelled.repartitionByRange("point_id").sortWithinPartitions("point_id")
+        ordered.write.format("las").option("format", head.format).option("scale", said(head.scale)).option("offset", said(head.offset)).mode("append").save(to)
     elif kind.lower() == "parquet":
         labelled.write.parquet(to)
     else:
-        write_delimited(labelled, to)
+        fields, header = original_columns(spark.read.text(path).head()[0], labelled.columns)
+        write_delimited(labelled, to, header, fields=fields)
     return to
 
 

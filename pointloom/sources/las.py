@@ -6,15 +6,18 @@ this package and are refused. Record layouts follow the public LAS 1.2 to 1.4 sp
 
 from __future__ import annotations
 
+import contextlib
 import glob
 import os
 import struct
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.types import StructType
 
 RECORDS = 1 << 20
 #: Fields at the start of a point record by format, as the specification lays them out.
@@ -107,43 +110,108 @@ class LasReader(DataSourceReader):
         yield pa.RecordBatch.from_arrays(cols, names=[n for n, _ in named])
 
 
-class LasWriter(DataSourceArrowWriter):
-    """Every partition writes a LAS 1.4 file of format 6: coordinates, intensity if there, and all integer columns but the ids as extra fields."""
+#: Types of extra fields by those of columns; other columns can't be written.
+_WRITTEN = {"byte": 2, "short": 4, "int": 6, "bigint": 8, "float": 9, "double": 10}
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """The file that an attempt wrote, and what it is to be called."""
 
-    def __init__(self, path: str, schema: StructType, scale: float):
-        self.path, self.scale = path.removeprefix("file://").removeprefix("file:"), scale
-        known = {n for n, _ in LAYOUTS[6]} | {"x", "y", "z", "cloud_id", "point_id"}
-        self.extra = [f.name for f in schema if isinstance(f.dataType, IntegerType) and f.name not in known]
+    temporary: str
+    final: str
+
+
+class LasWriter(DataSourceArrowWriter):
+    """Every partition that has rows writes a LAS 1.4 file: coordinates, the format's fields that are there, and all other numbers but the ids as extra fields.
+
+    The file gets its name when the job commits, so that attempts that were lost or repeated leave nothing. ``scale`` and ``offset`` are one or three
+    numbers; without an offset the first batch's minimum, rounded down, is taken. ``format``: that of the points, 7 if there are colours and else 6.
+    Nulls are written as 0, or NaN in extra fields of real numbers.
+    """
+
+    def __init__(self, path: str, schema: StructType, options):
+        self.path = path.removeprefix("file://").removeprefix("file:")
+        self.scale, self.offset = _three(options.get("scale", "0.001")), _three(options.get("offset"))
+        self.format = int(options.get("format", 7 if "red" in schema.names else 6))
+        known = {n for n, _ in LAYOUTS[self.format]} | {"x", "y", "z", "cloud_id", "point_id"}
+        rest = [(f.name, f.dataType.simpleString()) for f in schema if f.name not in known]
+        if lost := [n for n, t in rest if t not in _WRITTEN]:
+            raise ValueError(f"columns that LAS has no type for: {lost}")
+        self.extra = [(n, _WRITTEN[t]) for n, t in rest]
 
     def write(self, batches):
         from pyspark import TaskContext
 
-        table = pa.Table.from_batches(list(batches))
-        os.makedirs(self.path, exist_ok=True)
-        if table.num_rows:
-            with open(os.path.join(self.path, f"part-{TaskContext.get().partitionId():05d}.las"), "wb") as f:
-                f.write(encode(table, self.extra, self.scale))
-        return WriterCommitMessage()
-
-
-def encode(table: pa.Table, extra: list[str], scale: float = 0.001) -> bytes:
-    xyz = np.stack([table.column(a).to_numpy() for a in "xyz"])
-    offset = np.floor(xyz.min(axis=1))
-    dtype = np.dtype(LAYOUTS[6] + [(n, "<i4") for n in extra])
-    rows = np.zeros(table.num_rows, dtype)
-    for i, a in enumerate("XYZ"):
-        rows[a] = np.rint((xyz[i] - offset[i]) / scale)
-    for n in [n for n, _ in LAYOUTS[6] if n in table.column_names] + extra:
-        rows[n] = table.column(n).to_numpy()
-    fields = b"".join(struct.pack("<2xBB32s4x", 6, 0, n.encode()[:32]).ljust(192, b"\0") for n in extra)
-    vlr = struct.pack("<2x16sHH32s", b"LASF_Spec", 4, len(fields), b"extra fields") + fields if extra else b""
-    head = bytearray(375)
-    head[:4], head[24:26] = b"LASF", b"\x01\x04"
-    struct.pack_into("<HIIBHI", head, 94, 375, 375 + len(vlr), int(bool(extra)), 6, dtype.itemsize, 0)
-    struct.pack_into("<6d", head, 131, *([scale] * 3), *offset)
-    struct.pack_into("<6d", head, 179, *(v for i in range(3) for v in (xyz[i].max(), xyz[i].min())))
-    struct.pack_into("<Q", head, 247, len(rows))
-    return bytes(head) + vlr + rows.tobytes()
+        made = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if made is None:
+                os.makedirs(self.path, exist_ok=True)
+                final = os.path.join(self.path, f"part-{TaskContext.get().partitionId():05d}.las")
+                made = Written(os.path.join(self.path, f"._{uuid.uuid4().hex}"), final)
+                out = Encoder(open(made.temporary, "wb"), self.format, self.extra, self.scale, self.offset)
+            out.add(batch)
+        if made is not None:
+            out.close()
+        return made or Written("", "")
+
+    def commit(self, messages):
+        for m in messages:
+            if m and m.temporary:
+                os.replace(m.temporary, m.final)
+
+    def abort(self, messages):
+        for m in messages:
+            if m and m.temporary:
+                with contextlib.suppress(FileNotFoundError):
+                    os.remove(m.temporary)
+
+
+def _three(given: str | None) -> tuple[float, float, float] | None:
+    if given is None:
+        return None
+    numbers = [float(x) for x in given.split(",")]
+    return tuple(numbers * 3 if len(numbers) == 1 else numbers)
+
+
+class Encoder:
+    """Writes points batch by batch; the header follows at the end, in the room left for it."""
+
+    def __init__(self, file, kind: int, extra: list[tuple[str, int]], scale: tuple[float, float, float], offset: tuple[float, float, float] | None):
+        self.file, self.kind, self.extra, self.scale, self.offset = file, kind, extra, scale, offset
+        self.dtype = np.dtype(LAYOUTS[kind] + [(n, EXTRA[t]) for n, t in extra])
+        fields = b"".join(struct.pack("<2xBB32s4x", t, 0, n.encode()[:32]).ljust(192, b"\0") for n, t in extra)
+        self.vlr = struct.pack("<2x16sHH32s", b"LASF_Spec", 4, len(fields), b"extra fields") + fields if extra else b""
+        self.count, self.low, self.high = 0, np.full(3, np.inf), np.full(3, -np.inf)
+        file.write(bytes(375) + self.vlr)
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        xyz = np.stack([batch.column(a).to_numpy(zero_copy_only=False).astype(float) for a in "xyz"])
+        if self.offset is None:
+            self.offset = tuple(np.floor(xyz.min(axis=1)))
+        rows = np.zeros(batch.num_rows, self.dtype)
+        for i, a in enumerate("XYZ"):
+            rows[a] = np.rint((xyz[i] - self.offset[i]) / self.scale[i])
+        for n in [*(n for n, _ in LAYOUTS[self.kind] if n in batch.schema.names), *(n for n, _ in self.extra)]:
+            column = batch.column(n)
+            rows[n] = pc.fill_null(column, float("nan") if pa.types.is_floating(column.type) else 0).to_numpy(zero_copy_only=False)
+        self.file.write(rows.tobytes())
+        self.count += len(rows)
+        self.low, self.high = np.minimum(self.low, xyz.min(axis=1)), np.maximum(self.high, xyz.max(axis=1))
+
+    def close(self) -> None:
+        head = bytearray(375)
+        head[:4], head[24:26] = b"LASF", b"\x01\x04"
+        old = self.count if self.kind < 6 and self.count < 1 << 32 else 0
+        struct.pack_into("<HIIBHI", head, 94, 375, 375 + len(self.vlr), int(bool(self.extra)), self.kind, self.dtype.itemsize, old)
+        struct.pack_into("<6d", head, 131, *self.scale, *self.offset)
+        struct.pack_into("<6d", head, 179, *(v for i in range(3) for v in (self.high[i], self.low[i])))
+        struct.pack_into("<Q", head, 247, self.count)
+        self.file.seek(0)
+        self.file.write(bytes(head))
+        self.file.close()
 
 
 class LasSource(DataSource):
@@ -163,4 +231,4 @@ class LasSource(DataSource):
         return LasReader(self.options["path"])
 
     def writer(self, schema, overwrite):
-        return LasWriter(self.options["path"], schema, float(self.options.get("scale", "0.001")))
+        return LasWriter(self.options["path"], schema, self.options)

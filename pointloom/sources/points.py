@@ -7,8 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Any one of these separates two fields.
-SEPARATORS = r"[ ;,\t]"
+#: What separates two fields: a mark, with blanks around it, or blanks alone. Between two marks is an empty field.
+SEPARATORS = r" *[;,\t] *| +"
 #: Where labelled copies are written; they are never read as input.
 SUFFIX = "_segmented"
 
@@ -17,8 +17,11 @@ class PointFileError(ValueError):
     """A point file that can't be read, with the reason."""
 
 
-def discover(spark: SparkSession, folder: str, pattern: str = "*.{csv,txt,las}") -> list[str]:
-    """Paths of the point files directly in a folder, through Spark's file systems, without labelled copies."""
+def discover(spark: SparkSession, folder: str, pattern: str = "*.{csv,txt,las,laz}") -> list[str]:
+    """Paths of the point files directly in a folder, through Spark's file systems, without labelled copies.
+
+    Compressed files (laz) are among them, so that reading says that they need a codec, rather than passing them over.
+    """
     rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path").orderBy("path").toLocalIterator()
     return [r["path"] for r in rows if SUFFIX not in r["path"].rsplit("/", 1)[-1]]
 
@@ -29,14 +32,14 @@ def sniff(line: str) -> list[str] | None:
     if not line:
         raise PointFileError("the first line is empty")
     bare = re.sub(r"^(//|#)\s*", "", line)
-    fields = [f for f in re.split(SEPARATORS, bare) if f != ""]
+    fields = re.split(SEPARATORS, bare)
     if bare == line:
         try:
-            float(fields[0])
+            float(next(f for f in fields if f))
             return None
-        except (ValueError, IndexError):
+        except (ValueError, StopIteration):
             pass
-    return fields
+    return [f or f"col{i + 1}" for i, f in enumerate(fields)]
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
@@ -51,7 +54,7 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("point_id"), F.col("_metadata.file_path").alias("cloud_id"), "value")
     lines = lines.where(F.length(F.trim("value")) > 0)
     if names is None:
-        names = [f"col{i + 1}" for i in range(len([f for f in re.split(SEPARATORS, first[0][0].strip()) if f != ""]))]
+        names = [f"col{i + 1}" for i in range(len(re.split(SEPARATORS, first[0][0].strip())))]
         xyz = [0, 1, 2]
         if len(names) < 3:
             raise PointFileError("fewer than three fields")
@@ -61,15 +64,28 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
         if any(a not in lower for a in "xyz"):
             raise PointFileError(f"no x, y and z among {names}")
         xyz = [lower.index(a) for a in "xyz"]
-    fields = F.filter(F.split(F.trim("value"), SEPARATORS), lambda f: f != "")
+    fields = F.transform(F.split(F.trim("value"), SEPARATORS), lambda f: F.nullif(f, F.lit("")))
     rest = [(i, n) for i, n in enumerate(names) if i not in xyz]
     rows = lines.withColumn("_f", fields)
     return rows.select("cloud_id", "point_id", *(F.get("_f", F.lit(i)).cast("double").alias(a) for i, a in zip(xyz, "xyz")), *(F.get("_f", F.lit(i)).alias(n) for i, n in rest))
 
 
-def write_delimited(points: DataFrame, path: str, header: bool = True, sep: str = ",") -> None:
-    """One sorted text folder, labels after the other columns."""
-    points.repartitionByRange("point_id").sortWithinPartitions("point_id").write.option("header", header).option("sep", sep).csv(path)
+def original_columns(first_line: str, columns: list[str]) -> tuple[list[tuple[str, str]], bool]:
+    """The fields of a file as (column read, name in the file), with the labels after them, and whether the file has a header."""
+    names = sniff(first_line)
+    fields = names or [f"col{i + 1}" for i in range(len(re.split(SEPARATORS, first_line.strip())))]
+    lower = [n.lower() for n in fields]
+    places = {lower.index(a) if names else i: a for i, a in enumerate("xyz")}
+    own = [(places.get(i, n), n) for i, n in enumerate(fields)]
+    return own + [(c, c) for c in columns if c not in {"cloud_id", "point_id"} | {a for a, _ in own}], names is not None
+
+
+def write_delimited(points: DataFrame, path: str, header: bool = True, sep: str = ",", fields: list[tuple[str, str]] | None = None) -> None:
+    """One sorted text folder, labels after the other columns. ``fields``: the columns to write, and their names."""
+    ordered = points.repartitionByRange("point_id").sortWithinPartitions("point_id")
+    if fields is not None:
+        ordered = ordered.select(*(F.col(f"`{c}`").alias(n) for c, n in fields))
+    ordered.write.option("header", header).option("sep", sep).csv(path)
 
 
 def range_filter(points: DataFrame, field: str, low: float, high: float) -> DataFrame:

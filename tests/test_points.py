@@ -186,3 +186,126 @@ def test_stream(spark, tmp_path):
     c.write.parquet(str(tmp_path / "in"))
     segment_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), "cloud_id string, point_id bigint, x double, y double, z double").awaitTermination(300)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_las_keeps_numbers_scale_and_format_over_empty_partitions(spark, tmp_path):
+    from pointloom.sources.las import Header, LasSource
+
+    spark.dataSource.register(LasSource)
+    rows = [("a", i, 100.0 + i * 0.25, -5.0, i * 1e-4, i + 1, 1 << 40, 0.5, 1.5 if i else None, 7, i, 3, 9) for i in range(5)]
+    kind = "cloud_id string, point_id bigint, x double, y double, z double, intensity int, big bigint, half float, real double, small smallint, red int, green int, blue int"
+    out = str(tmp_path / "out")
+    spark.createDataFrame(rows, kind).repartition(8, "point_id").write.format("las").option("scale", "0.25,1,0.0001").option("offset", "100,0,0").mode("append").save(out)
+    back = sorted(spark.read.format("las").load(out).collect(), key=lambda r: r["x"])
+    assert [(r["x"], r["y"], round(r["z"], 9), r["intensity"], r["big"], r["half"], r["small"], r["red"], r["green"], r["blue"]) for r in back] == [(r[2], r[3], round(r[4], 9), *r[5:8], *r[9:]) for r in rows]
+    assert str(back[0]["real"]) == "nan" and back[1]["real"] == 1.5
+    files = sorted((tmp_path / "out").iterdir())
+    assert all(f.suffix == ".las" for f in files) and all(Header.read(str(f)).scale == (0.25, 1.0, 0.0001) and Header.read(str(f)).format == 7 for f in files)
+    with pytest.raises(Exception, match="no type for"):
+        spark.createDataFrame([("a", 1, 0.0, 0.0, 0.0, "text")], "cloud_id string, point_id bigint, x double, y double, z double, name string").write.format("las").mode("append").save(out)
+
+
+def test_empty_fields_stay_empty(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("x,y,z,i,c\n1,2,3,,7\n4 , 5,  6,8,\n")
+    assert [(r["x"], r["y"], r["z"], r["i"], r["c"]) for r in read_delimited(spark, str(tmp_path / "e.csv")).orderBy("point_id").collect()] == [(1, 2, 3, None, "7"), (4, 5, 6, "8", None)]
+
+
+def test_files_come_back_as_they_were(spark, tmp_path):
+    from pointloom.plans.files import segment_folder
+    from pointloom.sources.las import Header, LasSource
+
+    spark.dataSource.register(LasSource)
+    points = [(i % 5 * 0.3 + (i >= 20) * 30, i // 5 % 4 * 0.3, i % 7 * 0.2) for i in range(40)]
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Z,X,name,Y\n" + "".join(f"{z},{x},n{i},{y}\n" for i, (x, y, z) in enumerate(points)))
+    (folder / "b.txt").write_text("".join(f"{x} {y} {z} {i}\n" for i, (x, y, z) in enumerate(points)))
+    df = spark.createDataFrame([("c", i, *p, i) for i, p in enumerate(points)], "cloud_id string, point_id bigint, x double, y double, z double, mark bigint")
+    df.coalesce(1).write.format("las").option("scale", "0.01").mode("append").save(str(tmp_path / "las"))
+    next((tmp_path / "las").glob("*.las")).rename(folder / "c.las")
+    a, b, c = segment_folder(spark, str(folder), str(out))
+    lines = [x for f in sorted((out / "a_segmented.csv").glob("part-*.csv")) for x in f.read_text().splitlines() if not x.startswith("Z")]
+    assert spark.read.option("header", True).csv(a).columns == ["Z", "X", "name", "Y", "init_segs", "intermediate_segs", "final_segs"]
+    assert [x.split(",")[2] for x in lines] == [f"n{i}" for i in range(40)]
+    bare = spark.read.csv(b).collect()
+    assert len(bare) == 40 and len(bare[0]) == 7 and {int(r[3]) for r in bare} == set(range(40))
+    back = spark.read.format("las").load(c).collect()
+    assert {r["mark"] for r in back} == set(range(40)) and len({r["final_segs"] for r in back if r["x"] < 10} & {r["final_segs"] for r in back if r["x"] > 20}) == 0
+    assert Header.read(str(next((out / "c_segmented.las").glob("*.las")))).scale == (0.01, 0.01, 0.01)
+    (folder / "d.laz").write_bytes(b"LASF" + bytes(400))
+    with pytest.raises(ValueError):
+        segment_folder(spark, str(folder), str(tmp_path / "more"))
+
+
+# ---- The first two stages against a plain version
+
+
+def plain_cut_pursuit(obs, u, v, ew, reg, p):
+    """Labels (smallest vertex) of the same method on whole arrays, a component after the other."""
+    from pointloom.functions.maxflow import parts, sink_side
+    from pointloom.operators.cutpursuit import first_sides, split_component, terminals
+
+    n, w = len(obs), np.ones(len(obs))
+
+    def energy(comp):
+        means = {c: obs[comp == c].mean(axis=0) for c in set(comp.tolist())}
+        return 0.5 * sum(((obs[i] - means[comp[i]]) ** 2).sum() for i in range(n)) + reg * ew[comp[u] != comp[v]].sum()
+
+    comp, stable, before = np.zeros(n, np.int64), np.zeros(n, bool), energy(np.zeros(n, np.int64))
+    full = np.zeros(n, bool)
+    for number in range(1, p.max_rounds + 1):
+        if number == 1:
+            side, cap = first_sides(obs), (ew * reg * p.scale).astype(np.int64) * p.edge_multiplier
+            for _ in range(p.flow_steps):
+                if side.all() or not side.any():
+                    break
+                side = sink_side(n, *terminals(obs, w, obs[~side].mean(axis=0), obs[side].mean(axis=0), p.scale), u, v, cap)
+            live = side[u] == side[v]
+            comp, full[:] = parts(n, u[live], v[live]), side.all() or not side.any()
+        else:
+            new = comp.copy()
+            for c in sorted(set(comp[~stable].tolist())):
+                own = np.flatnonzero(comp == c)
+                inner = (comp[u] == c) & (comp[v] == c)
+                label, saturated = split_component(obs[own], w[own], np.searchsorted(own, u[inner]), np.searchsorted(own, v[inner]), ew[inner], reg, p)
+                new[own], stable[own], full[own] = own[label], (label == label[0]).all(), saturated
+            comp = new
+        now = energy(comp)
+        if full.all() or before <= 0 or (before - now) / before < p.stop_ratio:
+            break
+        before = now
+    return comp
+
+
+def plain_neighbours(xyz, k):
+    d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    order = np.lexsort((np.broadcast_to(np.arange(len(xyz)), d.shape), d), axis=1)[:, :k]
+    return np.repeat(np.arange(len(xyz)), order.shape[1]), order.ravel()
+
+
+def test_first_stages_equal_a_plain_version(spark):
+    from pointloom.params import SegmentationParams
+    from pointloom.plans.segmentation import init_segments, intermediate_segments
+
+    rng = np.random.default_rng(11)
+    xyz = np.concatenate([rng.normal(c, 0.4, (30, 3)) for c in ((0, 0, 0), (3, 0, 1), (3.5, 3, 0), (0.5, 2.5, 2))])
+    p = SegmentationParams(reg_strength1=0.05, reg_strength2=0.5)
+    points = cloud(spark, [tuple(map(float, x)) for x in xyz])
+    got = {r["point_id"]: r["init"] for r in init_segments(points, p).collect()}
+    u, v = plain_neighbours(xyz - xyz.mean(axis=0), p.min_nn1)
+    init = plain_cut_pursuit(xyz - xyz.mean(axis=0), u, v, np.ones(len(u)), p.reg_strength1, p.solver)
+    assert [got[i] for i in range(len(xyz))] == init.tolist() and 4 <= len(set(init.tolist())) < 100
+
+    labelled = points.join(spark.createDataFrame([(i, int(c)) for i, c in enumerate(init)], "point_id bigint, init bigint"), "point_id")
+    got = {r["point_id"]: r["inter"] for r in intermediate_segments(labelled, p).collect()}
+    names = sorted(set(init.tolist()))
+    centre = np.array([xyz[init == c].mean(axis=0) for c in names])
+    near = {(names[a], names[b]) for a, b in zip(*plain_neighbours(centre, p.min_nn2))}
+    gap = {(a, b): np.sqrt(((xyz[init == a][:, None] - xyz[init == b][None]) ** 2).sum(axis=2)).min() for a, b in near}
+    gap = {k: g for k, g in gap.items() if g < p.max_gap} | {(c, c): 0.0 for c in names}
+    u, v = plain_neighbours(xyz, p.min_nn2)
+    known = [(a, b, 10 / ((gap[init[a], init[b]] + 0.01) / 0.01)) for a, b in zip(u, v) if (init[a], init[b]) in gap]
+    flat = (xyz - xyz.mean(axis=0))[:, :2]
+    inter = plain_cut_pursuit(flat, *(np.array(x) for x in zip(*known)), p.reg_strength2, p.solver)
+    assert [got[i] for i in range(len(xyz))] == inter.tolist() and 1 < len(set(inter.tolist())) < len(names)
