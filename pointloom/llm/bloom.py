@@ -32,12 +32,14 @@ class Filter:
     data: np.ndarray
 
     @staticmethod
-    def positions(short: np.ndarray, level: int, size: np.ndarray | np.uint64):
-        """PROBES bit positions below ``size``, one array after the other."""
+    def positions(short: np.ndarray, level: int):
+        """PROBES fractions of 2**32, one array after the other: the place of each probe in its segment."""
         x = mixed(short.astype(np.uint64) + np.uint64(0xA0761D6478BD642F * level % (1 << 64)))
-        a, b = x >> np.uint64(32), x & np.uint64(0xFFFFFFFF) | np.uint64(1)
+        now, step = (x >> np.uint64(32)).astype(np.uint32), x.astype(np.uint32) | np.uint32(1)
         for i in range(PROBES):
-            yield ((a + np.uint64(i) * b & np.uint64(0xFFFFFFFF)) * size) >> np.uint64(32)
+            yield now
+            if i + 1 < PROBES:
+                now = now + step
 
     @staticmethod
     def built(short: np.ndarray, levels: np.ndarray, most: int | None = None) -> bytes:
@@ -47,8 +49,8 @@ class Filter:
         on = np.zeros(size, bool)
         now = 1
         while len(short):
-            for p in Filter.positions(short, now, np.uint64(size)):
-                on[p] = True
+            for p in Filter.positions(short, now):
+                on[p * np.uint64(size) >> np.uint64(32)] = True
             now += 1
             keep = levels >= now
             short, levels = short[keep], levels[keep]
@@ -60,25 +62,35 @@ class Filter:
         size = np.array([len(parts.get(i, b"")) for i in range(1 << bits)], np.uint64)
         return cls(bits, (np.cumsum(size) - size) * np.uint64(8), size * np.uint64(8), np.frombuffer(b"".join(parts[i] for i in sorted(parts)), np.uint8))
 
-    def holds(self, words: np.ndarray) -> np.ndarray:
-        """Whether what is kept by these words would lie in this shard."""
-        return self.size[segments_of(words, self.bits)] > 0
+    def segments(self, words: np.ndarray) -> np.ndarray:
+        """The segments of what is kept by these words."""
+        return segments_of(words, self.bits)
 
-    def levels(self, keys: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The highest level that each key holds without a gap, by probing one after the other. ``words``: what the keys are kept by."""
+    def holds(self, segments: np.ndarray) -> np.ndarray:
+        """Whether this shard has these segments."""
+        return self.size[segments] > 0
+
+    def levels(self, keys: np.ndarray, segments: np.ndarray) -> np.ndarray:
+        """The highest level that each key, of its segment, holds without a gap, by probing one after the other."""
         out = np.zeros(len(keys), np.int64)
-        segment = segments_of(words, self.bits)
-        start, size, short = self.start[segment], self.size[segment], short_of(keys)
-        index = np.flatnonzero(size)
+        # a segment after the other, so that its bits stay at hand
+        index = np.argsort(segments.astype(np.uint16) if self.bits <= 16 else segments, kind="stable")
+        segments = segments[index]
+        here = self.holds(segments)
+        if not here.all():
+            index, segments = index[here], segments[here]
+        start, size, short = self.start[segments], self.size[segments], short_of(keys)[index]
         now = 1
         while len(index):
-            own = size[index]
-            for i, p in enumerate(self.positions(short[index], now, own)):
-                if not i:
-                    alive = np.arange(len(index))
-                p = p[alive] + start[index[alive]]
-                alive = alive[self.data[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & 1 > 0]
-            index = index[alive]
+            alive = None
+            for p in self.positions(short, now):
+                if alive is None:
+                    at = (p * size >> np.uint64(32)) + start
+                else:
+                    at = (p[alive] * size[alive] >> np.uint64(32)) + start[alive]
+                found = np.flatnonzero(self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+                alive = found if alive is None else alive[found]
+            index, start, size, short = index[alive], start[alive], size[alive], short[alive]
             out[index] = now
             now += 1
         return out

@@ -120,23 +120,23 @@ class Scorer:
     distinct: int
     prior: float
 
-    def log10(self, token: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 P of each token after the one before it; 0 where either is of another shard."""
-        own, place = np.unique(token, return_inverse=True)
+    def log10(self, token: np.ndarray, before: np.ndarray, own: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """log10 P of each token after the one before it; 0 where either is of another shard. ``own``: the distinct tokens, at ``place``."""
         count = counts_of_levels(WORD_STEP)
-        here, there = self.words.holds(own), self.pairs.holds(own)
-        alone = (count[self.words.levels(mixed(own), own)] + 0.5) / (self.total + 0.5 * (self.distinct + 1))
-        # the token before is one of the block's, but for what the first follows
+        words, pairs = self.words.segments(own), self.pairs.segments(own)
+        alone = (count[self.words.levels(mixed(own), words)] + 0.5) / (self.total + 0.5 * (self.distinct + 1))
+        begins = count[self.pairs.levels(first_keys(own), pairs)]
+        # the token before is one of the block's, END for the first of a text
         follows = np.empty_like(place)
         follows[1:] = place[:-1]
-        first = before == END
-        follows[first] = np.searchsorted(own, END)
-        begins = count[self.pairs.levels(first_keys(own), own)]
+        follows[before == END] = np.searchsorted(own, END)
+        here = self.words.holds(words)[place] & self.pairs.holds(pairs)[follows]
+        at = slice(None) if here.all() else np.flatnonzero(here)
+        place, follows = place[at], follows[at]
+        c = counts_of_levels(PAIR_STEP)[self.pairs.levels(pair_keys(before[at], token[at]), pairs[follows])]
+        v = begins[follows]
         out = np.zeros(len(token))
-        at = np.flatnonzero(here[place] & there[follows])
-        c = counts_of_levels(PAIR_STEP)[self.pairs.levels(pair_keys(before[at], token[at]), before[at])]
-        v = begins[follows[at]]
-        out[at] = np.log10((np.minimum(c, v) + self.prior * alone[place[at]]) / (v + self.prior))
+        out[at] = np.log10((np.minimum(c, v) + self.prior * alone[place]) / (v + self.prior))
         return out
 
 
@@ -320,7 +320,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, hot: int = HOT) -> D
             there = known[place]
             cut = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(n)), n)[~there], minlength=len(n)))])
             rare = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(token[~there].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("row", "doc_id", "held_out")), pa.array(n), pa.array(_sums(there, n).astype(np.int64)), pa.array(_sums(base, n)), pa.array(_sums(log10(token, before), n)), rare], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("row", "doc_id", "held_out")), pa.array(n), pa.array(_sums(there, n).astype(np.int64)), pa.array(_sums(base, n)), pa.array(_sums(log10(token, before, own, place), n)), rare], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
 
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
     if passes > 1:  # each pass has to meet the same rows under the same numbers
@@ -346,7 +346,7 @@ def _more(texts: DataFrame, scorer: Scorer) -> DataFrame:
         log10 = shared.value.log10
         for batch in blocks(batches, limit=ARRAY_BYTES):
             token, before, n = hashed(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(_sums(log10(token, before), n))], names=["row", "more"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(_sums(log10(token, before, *np.unique(token, return_inverse=True)), n))], names=["row", "more"])
 
     out = written(texts.select("row", "text").mapInArrow(work, "row bigint, more double"))
     shared.destroy()

@@ -121,7 +121,7 @@ def _sent(known, window: int, anchor: int, bits: int):
         for batch in blocks(batches, limit=ARRAY_BYTES):
             w = Words(batch.column("text"))
             found, text, at, n = passages(w, window, anchor)
-            some = np.flatnonzero(known.value.levels(found, found))
+            some = np.flatnonzero(known.value.levels(found, known.value.segments(found)))
             if not len(some):
                 continue
             found, text, at, n = (x[some] for x in (found, text, at, n))
