@@ -47,18 +47,18 @@ SELECT doc_id, size, source_size, target, ((floor(rate) + CASE WHEN place <= mor
 
 OP8 = f"""
 WITH words AS (
-  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at, len(w) AS n
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos, len(w) AS n
   FROM (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents)),
 windows AS (
-  SELECT doc_id, at, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY at ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) AS h
-  FROM words QUALIFY n - at >= 49),
+  SELECT doc_id, pos, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) AS h
+  FROM words QUALIFY n - pos >= 49),
 late AS (
-  SELECT doc_id, at FROM windows QUALIFY min(doc_id) OVER (PARTITION BY h) < doc_id),
+  SELECT doc_id, pos FROM windows QUALIFY min(doc_id) OVER (PARTITION BY h) < doc_id),
 marked AS (
-  SELECT w.doc_id, w.word, w.at, max(l.at) OVER (PARTITION BY w.doc_id ORDER BY w.at ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
-  FROM words w LEFT JOIN late l ON w.doc_id = l.doc_id AND w.at = l.at),
+  SELECT w.doc_id, w.word, w.pos, max(l.pos) OVER (PARTITION BY w.doc_id ORDER BY w.pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM words w LEFT JOIN late l ON w.doc_id = l.doc_id AND w.pos = l.pos),
 kept AS (
-  SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS removed, string_agg(word, ' ' ORDER BY at) FILTER (NOT gone) AS text FROM marked GROUP BY doc_id)
+  SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS text FROM marked GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
