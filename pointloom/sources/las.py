@@ -111,7 +111,7 @@ class LasReader(DataSourceReader):
 
 
 #: Types of extra fields by those of columns; other columns can't be written.
-_WRITTEN = {"byte": 2, "short": 4, "int": 6, "bigint": 8, "float": 9, "double": 10}
+_WRITTEN = {"tinyint": 2, "smallint": 4, "int": 6, "bigint": 8, "float": 9, "double": 10}
 
 
 @dataclass
