@@ -160,12 +160,16 @@ class Order:
     bits: int
     keys: np.ndarray
     times: np.ndarray
+    #: The settings of this name, which go to the workers with the order.
+    per_match: int = PER_MATCH
+    costly: float = COSTLY
+    hot: int = HOT
 
     @staticmethod
     def of(frequencies: DataFrame, bits: int) -> Order:
         rows = sorted(frequencies.collect(), key=lambda r: r["bucket"])
         keys = [np.frombuffer(r["keys"], np.uint32).astype(np.uint64) | np.uint64(r["bucket"] << 32) for r in rows]
-        return Order(bits, np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(r["times"], np.uint32) for r in rows)]))
+        return Order(bits, np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(r["times"], np.uint32) for r in rows)]), PER_MATCH, COSTLY, HOT)
 
     def times_of(self, tokens: np.ndarray) -> np.ndarray:
         out = np.ones(len(tokens), np.uint32)
@@ -187,15 +191,15 @@ class Order:
                 order = np.argsort(t, kind="stable")  # hashes ascend already
                 s, t = s[order], t[order]
             cost = float(t[:base].mean())
-            factor = 1 if cost < COSTLY else 2 if cost < 4 * COSTLY else 4
-            matches = asked(n, factor, percent)
+            factor = 1 if cost < self.costly else 2 if cost < 4 * self.costly else 4
+            matches = asked(n, factor, percent, self.per_match)
             out.append((s[: base + matches - 1], matches, factor))
         return out
 
 
-def asked(n: int, factor: int, percent: int) -> int:
+def asked(n: int, factor: int, percent: int, per_match: int) -> int:
     """The matches that a set of n asks for."""
-    return min(need(n, percent), 1 + n // PER_MATCH * factor)
+    return min(need(n, percent), 1 + n // per_match * factor)
 
 
 # ---- Posting lists
@@ -217,7 +221,7 @@ def _entries(texts: DataFrame, order, k: int, percent: int, bits: int) -> DataFr
 
         def sent():
             token, sid, code = (np.concatenate(x) for x in zip(*held))
-            often = known.times_of(token) >= HOT
+            often = known.times_of(token) >= known.hot
             rows = []
             for hot in (False, True):
                 t, s, c = (x[often == hot] for x in (token, sid, code))
