@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import as_bytes, blocks, bounded, column, free, texts_of, written
-from pointloom.llm.pretokens import Recent
+from pointloom.llm.common import ARRAY_BYTES, as_bytes, blocks, bounded, column, free, texts_of, written
+from pointloom.llm.words import Words, word_hash
 
 #: Labelled documents that the model is fitted on at most, chosen by a hash of doc_id; features it may hold, and those that are tested,
 #: the most frequent among toxic examples.
@@ -30,6 +30,7 @@ BEGINNINGS, LEAST = range(3, 9), 5
 GRADES = 4
 
 _LETTERS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+_TABLE = np.frombuffer(bytes(range(256)).lower().translate(_LETTERS), np.uint8)
 
 
 def tokens(raw: bytes) -> list[bytes]:
@@ -44,24 +45,53 @@ def features(word: bytes) -> list[str]:
 
 
 class Reader:
-    """Which of the known features each word has, looked up once for each word that a worker meets."""
+    """Finds the known features in a block of texts at once, by hashes of words and of their beginnings."""
 
     def __init__(self, index: dict[str, int]):
-        self.of = Recent(100_000, lambda word: tuple(index[f] for f in features(word) if f in index))
+        self.known = []
+        for n in (0, *BEGINNINGS):
+            own = [(word_hash(f[1:].encode()), j) for f, j in index.items() if (f[0] == "=") == (n == 0) and (n == 0 or len(f) == n + 1)]
+            keys, numbers = np.array([h for h, _ in own], np.uint64), np.array([j for _, j in own], np.int64)
+            by = np.argsort(keys)
+            self.known.append((n, keys[by], numbers[by]))
+
+    def block(self, texts: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, feature, occurrences), ascending, and of each text the number of words that have any feature."""
+        w = Words(texts, table=_TABLE)
+        _, first, place = np.unique(w.hashes, return_index=True, return_inverse=True)
+        begin, end = w.begin[first], w.end[first]
+        starts = np.flatnonzero(w.raw & 0xC0 != 0x80)
+        char = np.searchsorted(starts, begin)
+        starts = np.append(starts, np.full(max(BEGINNINGS) + 1, len(w.raw)))
+        word, feature = [], []
+        for n, keys, numbers in self.known:
+            if not len(keys):
+                continue
+            to = starts[char + n] if n else end
+            some = np.flatnonzero(to <= end)
+            h = w.hashed(begin[some], to[some]) if n else w.hashes[first]
+            i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            same = keys[i] == h
+            word.append(some[same])
+            feature.append(numbers[i[same]])
+        word, feature = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (word, feature))
+        by = np.argsort(word, kind="stable")
+        word, feature = word[by], feature[by]
+        n = np.bincount(word, minlength=len(first))
+        text = np.repeat(np.arange(len(w.counts)), w.counts)
+        telling = np.flatnonzero(n[place])
+        amount = np.bincount(text[telling], minlength=len(w.counts))
+        own = place[telling]
+        start = (np.cumsum(n) - n)[own]
+        times = n[own]
+        j = feature[np.repeat(start - np.cumsum(times) + times, times) + np.arange(int(times.sum()))]
+        both, c = np.unique(np.repeat(text[telling], times) << 32 | j, return_counts=True)
+        return both >> 32, both & 0xFFFFFFFF, c, amount
 
     def read(self, raw: bytes) -> tuple[list[tuple[int, int]], int]:
-        """(feature, occurrences), ascending, and the number of words that have any."""
-        hits: Counter = Counter()
-        amount = 0
-        words = tokens(raw)
-        telling = [w for w in set(words) if self.of[w]]
-        if telling:
-            times = Counter(words)
-            for w in telling:
-                amount += times[w]
-                for j in self.of[w]:
-                    hits[j] += times[w]
-        return sorted(hits.items()), amount
+        """(feature, occurrences) of one text, ascending, and the number of words that have any."""
+        _, j, c, amount = self.block([raw])
+        return list(zip(j.tolist(), c.tolist())), int(amount[0])
 
 
 @dataclass(frozen=True)
@@ -76,8 +106,13 @@ class Model:
 
     def score(self, hits: list[tuple[int, int]]) -> np.ndarray:
         """P(grade > k) for each threshold."""
-        x = sum(self.weights[j] * (1.0 + float(np.log(n))) for j, n in hits)
-        return 1.0 / (1.0 + np.exp(np.array(self.thresholds) - x))
+        j, c = (np.array([x[i] for x in hits], np.int64) for i in (0, 1))
+        return self.scores(np.zeros(len(j), np.int64), j, c, 1)[0]
+
+    def scores(self, text: np.ndarray, j: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+        """P(grade > k) of each of ``n`` texts, a column for each threshold."""
+        x = np.bincount(text, np.array(self.weights)[j] * (1.0 + np.log(c)), n) if len(j) else np.zeros(n)
+        return 1.0 / (1.0 + np.exp(np.array(self.thresholds) - x[:, None]))
 
 
 def fit(rows: list[list[tuple[int, float]]], grade: np.ndarray, n_features: int, grades: int = GRADES, penalty: float = 0.001, steps: int = 1500) -> tuple[np.ndarray, np.ndarray]:
@@ -180,9 +215,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
 
     def hits(batches):
         reader, *other = map(Reader, known.value)
-        for batch in blocks(batches):
-            found = [(reader.read(raw)[0], other[own].read(raw)[1]) for raw, own in zip(as_bytes(batch.column("text")), batch.column("half").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([n for _, n in found], pa.int64()), *(pa.array([[x[i] for x in h] for h, _ in found], pa.list_(pa.int32())) for i in (0, 1))], names=["doc_id", "toxic", "amount", "j", "c"])
+        for batch in blocks(batches, limit=ARRAY_BYTES):
+            text, j, c, _ = reader.block(batch.column("text"))
+            amounts = np.stack([x.block(batch.column("text"))[3] for x in other])
+            amount = amounts[batch.column("half").to_numpy(zero_copy_only=False), np.arange(batch.num_rows)]
+            cuts = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(amount), *(pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.astype(np.int32))) for x in (j, c))], names=["doc_id", "toxic", "amount", "j", "c"])
 
     rows = given.mapInArrow(hits, f"{column('doc_id', given)}, toxic int, amount bigint, j array<int>, c array<int>").orderBy("doc_id", "j").collect()
     y = np.array([r["toxic"] for r in rows])
@@ -207,8 +245,9 @@ def scores(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), t
     def work(batches):
         model = shared.value
         reader = Reader(model.index)
-        for batch in blocks(batches, text_name):
-            p = np.array([model.score(reader.read(raw)[0]) for raw in as_bytes(batch.column(text_name))]).reshape(-1, len(model.thresholds))
+        for batch in blocks(batches, text_name, ARRAY_BYTES):
+            text, j, c, _ = reader.block(batch.column(text_name))
+            p = model.scores(text, j, c, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p >= 0.5).sum(axis=1).astype(np.int32)), pa.array(p[:, 0] >= model.cut)], names=names)
 
     fields = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep]

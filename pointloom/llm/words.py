@@ -70,8 +70,10 @@ def flat(texts: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of several texts end to end: hashes, bytes from ``begin`` to ``end``, how many each text has and where it starts."""
 
-    def __init__(self, texts: pa.Array | list[bytes], lower: bool = False):
+    def __init__(self, texts: pa.Array | list[bytes], lower: bool = False, table: np.ndarray | None = None):
+        """``table``: what each byte is taken for."""
         raw, at = flat(texts)
+        raw = raw if table is None else table[raw]
         n = len(raw)
         inside = np.zeros(n + 2, bool)
         np.logical_not(_SPACE[raw], out=inside[1:-1])
@@ -87,13 +89,18 @@ class Words:
         self.counts = np.diff(cut)
         self.starts = cut[:-1]
         sums = _sums((_FOLDED if lower else _BYTE)[raw])
-        _, down = _Powers.of(n + 1)
-        self.hashes = mixed((sums[self.end] - sums[self.begin]) * down[self.begin])
+        self.raw, self.byte_sums = raw, sums
+        self.hashes = self.hashed(self.begin, self.end)
         for i in np.flatnonzero(self.end - self.begin > LONG).tolist():
             word = raw[self.begin[i] : self.end[i]].tobytes()
             self.hashes[i] = xxhash.xxh3_64_intdigest(word.lower() if lower else word)
         self.sums = _sums(self.hashes)
 
+    def hashed(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of stretches of bytes, as of words of at most LONG bytes."""
+        _, down = _Powers.of(len(self.raw) + 1)
+        return mixed((self.byte_sums[end] - self.byte_sums[begin]) * down[begin])
+
     def grams(self, k: int) -> np.ndarray:
         """A hash of the k words from each position on; those that run into the next text mean nothing. Shorter by k - 1."""
         n = max(0, self.n - k + 1)
