@@ -3,7 +3,8 @@
 Minimises 1/2 sum w |o - x|^2 + reg * sum of the weights of edges whose ends have different x. A component is split by minimum cuts between two
 centres, cut edges stay cut, and what remains connected is the next round's component. As no live edge leaves a component, components are
 independent: one grouped call splits one component. The first component is the whole graph, whose connected parts share its two centres,
-so its first split runs the flow steps as Spark rounds over parts.
+so its first split runs the flow steps as Spark rounds over parts. A graph of at most AT_ONCE vertices and edges, as counted, goes through all rounds
+in one grouped call instead, with the same result.
 
 Graphs: vertices(v, o1..oD, w) and edges(u, v, w), each edge once.
 """
@@ -24,6 +25,10 @@ from pointloom.params import CutPursuitParams
 from pointloom.plans.storage import written
 
 
+#: Vertices and edges (32 bytes each) of a graph that one task solves.
+AT_ONCE = 1 << 20
+
+
 @dataclass(frozen=True)
 class Round:
     """One round: how many components, vertices of saturated ones, and the energy."""
@@ -85,6 +90,61 @@ def split_component(obs: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray
     return parts(n, u[live], v[live]), False
 
 
+def _energy(obs: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray, ew: np.ndarray, reg: float, comp: np.ndarray) -> tuple[float, float]:
+    total = np.bincount(comp, w)
+    mean = np.stack([np.bincount(comp, w * o) / np.where(total > 0, total, 1) for o in obs.T], axis=1)
+    return float(0.5 * (w * ((obs - mean[comp]) ** 2).sum(axis=1)).sum()), float(reg * ew[comp[u] != comp[v]].sum())
+
+
+def solved(obs: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray, ew: np.ndarray, reg: float, p: CutPursuitParams) -> tuple[np.ndarray, list[Round]]:
+    """The smallest vertex of each vertex's component, and the rounds, of a whole graph."""
+    n = len(obs)
+    comp, stable, full = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
+    before = _energy(obs, w, u, v, ew, reg, comp)[0]
+    rounds: list[Round] = []
+    for number in range(1, p.max_rounds + 1):
+        live = comp[u] == comp[v]
+        by_vertex, by_edge = np.argsort(comp, kind="stable"), np.flatnonzero(live)
+        by_edge = by_edge[np.argsort(comp[u[by_edge]], kind="stable")]
+        cuts = [0, *(np.flatnonzero(np.diff(comp[by_vertex])) + 1).tolist(), n]
+        edge_comp, new, place = comp[u[by_edge]], comp.copy(), np.zeros(n, np.int64)
+        for a, b in zip(cuts, cuts[1:]):
+            own = by_vertex[a:b]
+            if stable[own[0]]:
+                continue
+            c = comp[own[0]]
+            e = by_edge[np.searchsorted(edge_comp, c, "left") : np.searchsorted(edge_comp, c, "right")]
+            place[own] = np.arange(len(own))
+            label, saturated = split_component(obs[own], w[own], place[u[e]], place[v[e]], ew[e], reg, p)
+            if number == 1 and saturated:  # the whole graph may have several parts
+                label = parts(n, u, v)
+            new[own], full[own] = own[label], saturated
+            stable[own] = number > 1 and bool((label == label[0]).all())
+        comp = new
+        fid, pen = _energy(obs, w, u, v, ew, reg, comp)
+        rounds.append(Round(number, len(np.unique(comp)), int(full.sum()), fid, pen))
+        if full.all() or before <= 0 or (before - fid - pen) / before < p.stop_ratio:
+            break
+        before = fid + pen
+    return comp, rounds
+
+
+_SOLVED = "v long, comp long, number int, components long, saturated long, fidelity double, penalty double"
+
+
+def _whole(obs: list[str], reg: float, p: CutPursuitParams):
+    def work(vertices: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        vertices = vertices.sort_values("v")
+        ids = vertices["v"].to_numpy()
+        u, v = (np.searchsorted(ids, edges[c].to_numpy()) for c in ("u", "v"))
+        comp, rounds = solved(vertices[obs].to_numpy(float), vertices["w"].to_numpy(float), u, v, edges["w"].to_numpy(float), reg, p)
+        labels = pd.DataFrame({"v": ids, "comp": ids[comp]}).astype("Int64")
+        done = pd.DataFrame([vars(r) for r in rounds]).astype({"number": "Int32", "components": "Int64", "saturated": "Int64"})
+        return pd.concat([labels, done], ignore_index=True)[["v", "comp", "number", "components", "saturated", "fidelity", "penalty"]]
+
+    return work
+
+
 def _grouped(obs: list[str], reg: float, p: CutPursuitParams):
     def work(vertices: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         if not len(vertices):
@@ -163,6 +223,12 @@ def cut_pursuit(vertices: DataFrame, edges: DataFrame, obs: list[str], reg: floa
     labels = vertices.select("v", F.lit(None).cast("long").alias("comp"), F.lit(False).alias("stable"), F.lit(False).alias("saturated"))
     if not n:
         return labels.select("v", "comp"), []
+    if n + edges.count() <= AT_ONCE:
+        one = vertices.groupBy(F.lit(0).alias("k")).cogroup(edges.groupBy(F.lit(0).alias("k")))
+        made = written(one.applyInPandas(_whole(obs, reg, p), _SOLVED))
+        rounds = [Round(*r) for r in made.where("number IS NOT NULL").orderBy("number").select("number", "components", "saturated", "fidelity", "penalty").collect()]
+        out = made.where("v IS NOT NULL").select("v", "comp")
+        return (merge_back(vertices, edges, out, obs, reg, p) if p.cutoff > 0 or p.merge_step else out), rounds
     start = vertices.withColumn("comp", F.lit(0))
     before = energy(vertices, edges.limit(0), start, obs, reg)[0]
     rounds: list[Round] = []

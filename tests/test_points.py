@@ -210,10 +210,14 @@ def test_empty_fields_stay_empty(spark, tmp_path):
     assert [(r["x"], r["y"], r["z"], r["i"], r["c"]) for r in read_delimited(spark, str(tmp_path / "e.csv")).orderBy("point_id").collect()] == [(1, 2, 3, None, "7"), (4, 5, 6, "8", None)]
 
 
-def test_files_come_back_as_they_were(spark, tmp_path):
+def test_files_come_back_as_they_were(spark, tmp_path, monkeypatch):
+    from pointloom.plans import files
     from pointloom.plans.files import segment_folder
     from pointloom.sources.las import Header, LasSource
 
+    side = (F.col("x") > 15).cast("int")
+    monkeypatch.setattr(files, "segment", lambda df, p=None: df.withColumns({c: side for c in ("init_segs", "intermediate_segs", "final_segs")}))
+
     spark.dataSource.register(LasSource)
     points = [(i % 5 * 0.3 + (i >= 20) * 30, i // 5 % 4 * 0.3, i % 7 * 0.2) for i in range(40)]
     folder, out = tmp_path / "in", tmp_path / "out"
@@ -232,9 +236,10 @@ def test_files_come_back_as_they_were(spark, tmp_path):
     back = spark.read.format("las").load(c).collect()
     assert {r["mark"] for r in back} == set(range(40)) and len({r["final_segs"] for r in back if r["x"] < 10} & {r["final_segs"] for r in back if r["x"] > 20}) == 0
     assert Header.read(str(next((out / "c_segmented.las").glob("*.las")))).scale == (0.01, 0.01, 0.01)
-    (folder / "d.laz").write_bytes(b"LASF" + bytes(400))
-    with pytest.raises(ValueError):
-        segment_folder(spark, str(folder), str(tmp_path / "more"))
+    (tmp_path / "packed").mkdir()
+    (tmp_path / "packed" / "d.laz").write_bytes(b"LASF" + bytes(100) + b"\x80" + bytes(300))
+    with pytest.raises(Exception, match="LAZ needs a codec"):
+        segment_folder(spark, str(tmp_path / "packed"), str(tmp_path / "more"))
 
 
 # ---- The first two stages against a plain version
@@ -284,10 +289,14 @@ def plain_neighbours(xyz, k):
     return np.repeat(np.arange(len(xyz)), order.shape[1]), order.ravel()
 
 
-def test_first_stages_equal_a_plain_version(spark):
+@pytest.mark.parametrize("at_once", [1 << 20, 0])
+def test_first_stages_equal_a_plain_version(spark, monkeypatch, at_once):
+    """In one task and in Spark rounds."""
+    from pointloom.operators import cutpursuit
     from pointloom.params import SegmentationParams
     from pointloom.plans.segmentation import init_segments, intermediate_segments
 
+    monkeypatch.setattr(cutpursuit, "AT_ONCE", at_once)
     rng = np.random.default_rng(11)
     xyz = np.concatenate([rng.normal(c, 0.4, (30, 3)) for c in ((0, 0, 0), (3, 0, 1), (3.5, 3, 0), (0.5, 2.5, 2))])
     p = SegmentationParams(reg_strength1=0.05, reg_strength2=0.5)
