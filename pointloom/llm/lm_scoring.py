@@ -9,9 +9,10 @@ often each word begins one. Every n-gram is entered from a count of 1. From thes
 Every word is followed by one token, END by the first of a text.
 
 A filter is made of segments, each built by one task to the size that its entries need and written to the shared folder: those of words by a hash of the
-word, those of pairs by a hash of the first word. Segments are put end to end in shards of about ``capacity`` bytes, of which one of each filter is
-broadcast at a time. A token is scored where both its word and the word before lie in the shards at hand, so scores of all pairs of shards add up to the
-whole; each pair is a pass over the documents. No n-gram is left out for room.
+word, those of pairs by a hash of the first word. Filters of at most ``capacity`` bytes are broadcast whole. Words beyond that are put in shards of about
+that size, each broadcast for a pass over the documents. Pairs beyond that aren't broadcast: tokens, with the levels of their words, are sent packed to the
+segments of the words before them, and what each segment adds to a document's score is summed up. The levels read are the same either way, and no n-gram is
+left out for room.
 
 Words are known by 64-bit hashes. The base score needs exact counts: those of frequent words are broadcast (at most HOT of them), a document's other words
 are joined with the counts.
@@ -20,6 +21,7 @@ are joined with the counts.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -111,49 +113,56 @@ class Shards:
 
 
 @dataclass(frozen=True)
-class Scorer:
-    """What is sent to the workers: a shard of each filter."""
+class Terms:
+    """The numbers that turn levels into probabilities."""
 
-    words: Filter
-    pairs: Filter
     total: int
     distinct: int
     prior: float
 
+    def log10(self, pairs: np.ndarray, words: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """log10 P by the levels of a pair, of its second word, and of how often the first one begins a pair."""
+        alone = (counts_of_levels(WORD_STEP)[words] + 0.5) / (self.total + 0.5 * (self.distinct + 1))
+        v = counts_of_levels(WORD_STEP)[firsts]
+        return np.log10((np.minimum(counts_of_levels(PAIR_STEP)[pairs], v) + self.prior * alone) / (v + self.prior))
+
+
+def _follows(own: np.ndarray, place: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Where the token before each stands among the distinct ones: it is one of the block's, END for the first of a text."""
+    out = np.empty_like(place)
+    out[1:] = place[:-1]
+    out[before == END] = np.searchsorted(own, END)
+    return out
+
+
+@dataclass(frozen=True)
+class Scorer:
+    """What is sent to the workers where both filters are broadcast."""
+
+    words: Filter
+    pairs: Filter
+    terms: Terms
+
     def log10(self, token: np.ndarray, before: np.ndarray, own: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """log10 P of each token after the one before it; 0 where either is of another shard. ``own``: the distinct tokens, at ``place``."""
-        count = counts_of_levels(WORD_STEP)
-        words, pairs = self.words.segments(own), self.pairs.segments(own)
-        alone = (count[self.words.levels(mixed(own), words)] + 0.5) / (self.total + 0.5 * (self.distinct + 1))
-        begins = count[self.pairs.levels(first_keys(own), pairs)]
-        # the token before is one of the block's, END for the first of a text
-        follows = np.empty_like(place)
-        follows[1:] = place[:-1]
-        follows[before == END] = np.searchsorted(own, END)
-        here = self.words.holds(words)[place] & self.pairs.holds(pairs)[follows]
-        at = slice(None) if here.all() else np.flatnonzero(here)
-        place, follows = place[at], follows[at]
-        c = counts_of_levels(PAIR_STEP)[self.pairs.levels(pair_keys(before[at], token[at]), pairs[follows])]
-        v = begins[follows]
-        out = np.zeros(len(token))
-        out[at] = np.log10((np.minimum(c, v) + self.prior * alone[place]) / (v + self.prior))
-        return out
+        """log10 P of each token after the one before it. ``own``: the distinct tokens, at ``place``."""
+        segments, follows = self.pairs.segments(own), _follows(own, place, before)
+        words, firsts = self.words.levels(mixed(own), self.words.segments(own)), self.pairs.levels(first_keys(own), segments)
+        return self.terms.log10(self.pairs.levels(pair_keys(before, token), segments[follows]), words[place], firsts[follows])
 
 
 @dataclass(frozen=True)
 class Model:
     words: Shards
     pairs: Shards
-    total: int
-    distinct: int
-    prior: float
+    terms: Terms
+
+    @property
+    def whole(self) -> bool:
+        """Whether both filters are small enough to be broadcast."""
+        return len(self.words) == len(self.pairs) == 1
 
-    def scorers(self):
-        """One for each pair of shards."""
-        for i in range(len(self.words)):
-            words = self.words.filter(i)
-            for j in range(len(self.pairs)):
-                yield Scorer(words, self.pairs.filter(j), self.total, self.distinct, self.prior)
+    def scorer(self) -> Scorer:
+        return Scorer(self.words.filter(0), self.pairs.filter(0), self.terms)
 
 
 # ---- Learning
@@ -270,7 +279,7 @@ def learn(texts: DataFrame, capacity: int = CAPACITY, prior: float = PRIOR) -> t
     singles = _built(_entered(words, mixed, few, True), few, capacity)
     pairs = _counted(texts, lambda token, before: (segments_of(before, many), short_of(pair_keys(before, token))), many)
     doubles = _built(pairs.union(_entered(words, first_keys, many, True)), many, capacity)
-    return Model(singles, doubles, total, distinct, prior), words
+    return Model(singles, doubles, Terms(total, distinct, prior)), words
 
 
 # ---- Scoring
@@ -301,15 +310,14 @@ def _sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, model: Model, counts: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row. ``counts``: the exact (word, c)."""
     sc = docs.sparkSession.sparkContext
-    passes = len(model.words) * len(model.pairs)
     frequent = sc.broadcast(_frequent(counts, hot))
-    scale = model.total + 0.5 * (model.distinct + 1)
-    scorers = model.scorers()
-    shared = sc.broadcast(next(scorers))
+    total = model.terms.total
+    scale = total + 0.5 * (model.terms.distinct + 1)
+    whole = model.whole
+    shared = sc.broadcast(model.scorer() if whole else None)
 
     def work(batches):
         word, times = frequent.value
-        log10 = shared.value.log10
         for batch in blocks(batches, limit=ARRAY_BYTES):
             token, before, n = hashed(batch.column("text"))
             own, place = np.unique(token, return_inverse=True)
@@ -320,37 +328,84 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, hot: int = HOT) -> D
             there = known[place]
             cut = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(n)), n)[~there], minlength=len(n)))])
             rare = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(token[~there].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("row", "doc_id", "held_out")), pa.array(n), pa.array(_sums(there, n).astype(np.int64)), pa.array(_sums(base, n)), pa.array(_sums(log10(token, before, own, place), n)), rare], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+            value = _sums(shared.value.log10(token, before, own, place), n) if whole else np.zeros(len(n))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("row", "doc_id", "held_out")), pa.array(n), pa.array(_sums(there, n).astype(np.int64)), pa.array(_sums(base, n)), pa.array(value), rare], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
 
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
-    if passes > 1:  # each pass has to meet the same rows under the same numbers
+    if not whole:  # every pass has to meet the same rows under the same numbers
         texts = written(texts)
     part = written(texts.mapInArrow(work, f"row bigint, {column('doc_id', docs)}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>"))
     shared.destroy()
     frequent.destroy()
-    more = [_more(texts, scorer) for scorer in scorers]
     rare = part.select("row", F.explode("rare").alias("w")).groupBy("row", "w").agg(F.count("*").alias("times"))
     met = rare.join(counts, F.col("w") == F.col("word"), "left").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(scale))).alias("more_base"))
     rows = part.drop("rare").join(met, "row", "left")
-    for i, x in enumerate(more):
-        rows = rows.join(x.withColumnRenamed("more", f"more_{i}"), "row")
-    scored = sum((F.col(f"more_{i}") for i in range(len(more))), F.col("score"))
-    return rows.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), scored.alias("score"))
-
-
-def _more(texts: DataFrame, scorer: Scorer) -> DataFrame:
-    """(row, more): what a further pair of shards adds to the scores."""
-    shared = texts.sparkSession.sparkContext.broadcast(scorer)
-
-    def work(batches):
-        log10 = shared.value.log10
-        for batch in blocks(batches, limit=ARRAY_BYTES):
-            token, before, n = hashed(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(_sums(log10(token, before, *np.unique(token, return_inverse=True)), n))], names=["row", "more"])
-
-    out = written(texts.select("row", "text").mapInArrow(work, "row bigint, more double"))
-    shared.destroy()
-    return out
+    if not whole:
+        rows = rows.drop("score").join(_routed(texts, model), "row")
+    return rows.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score")
+
+
+#: Of each token sent to a segment: the pair's key, that of the word before it, the level of its word, and which of the documents of the pack it is in.
+_SENT = {"keys": np.uint32, "firsts": np.uint32, "levels": np.uint16, "docs": np.uint32, "rows": np.int64}
+
+
+def _routed(texts: DataFrame, model: Model) -> DataFrame:
+    """(row, score) by filters that aren't broadcast whole."""
+    sc, bits, terms = texts.sparkSession.sparkContext, model.pairs.bits, model.terms
+
+    def sent(held):
+        segment, key, first, level, row = (np.concatenate(x) for x in zip(*held))
+        by = np.lexsort((row, first, segment))
+        segment, key, first, level, row = (x[by] for x in (segment, key, first, level, row))
+        cuts = [0, *(np.flatnonzero(np.diff(segment)) + 1).tolist(), len(segment)]
+        packs = []
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                rows, docs = np.unique(row[a:b], return_inverse=True)
+                packs.append([int(segment[a]), *(x.astype(k).tobytes() for x, k in zip((key[a:b], first[a:b], level[a:b], docs, rows), _SENT.values()))])
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in packs], pa.int32()), *(pa.array([p[i + 1] for p in packs], pa.binary()) for i in range(len(_SENT)))], names=["segment", *_SENT])
+
+    def tokens_of(shard):
+        def work(batches):
+            held, size = [], 0
+            for batch in blocks(batches, limit=ARRAY_BYTES):
+                token, before, n = hashed(batch.column("text"))
+                own, place = np.unique(token, return_inverse=True)
+                words = shard.value.segments(own)
+                here = np.flatnonzero(shard.value.holds(words)[place])
+                level = shard.value.levels(mixed(own), words)[place]
+                row = np.repeat(batch.column("row").to_numpy(), n)
+                segment, first = (x[_follows(own, place, before)] for x in (segments_of(own, bits), short_of(first_keys(own))))
+                held.append([x[here] for x in (segment, short_of(pair_keys(before, token)), first, level, row)])
+                size += len(here)
+                if size >= HELD:
+                    yield sent(held)
+                    held, size = [], 0
+            if size:
+                yield sent(held)
+
+        return work
+
+    def total(packs: pa.Table, part: pa.Table) -> pa.Table:
+        rows, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
+        data = np.frombuffer(part.column("bits")[0].as_py() if part.num_rows else b"", np.uint8)
+        segment = Filter(0, np.zeros(1, np.uint64), np.array([8 * len(data)], np.uint64), data)
+        read = lambda short: segment.levels(short.astype(np.uint64) << np.uint64(32), np.zeros(len(short), np.int64))
+        for pack in packs.select(list(_SENT)).to_pylist():
+            key, first, level, doc, row = (np.frombuffer(pack[c], k) for c, k in _SENT.items())
+            own, place = np.unique(first, return_inverse=True)
+            rows.append(row)
+            scores.append(np.bincount(doc, terms.log10(read(key), level, read(own)[place]), len(row)))
+        return pa.table({"row": pa.array(np.concatenate(rows)), "score": pa.array(np.concatenate(scores))})
+
+    parts = []
+    for i in range(len(model.words)):
+        shard = sc.broadcast(model.words.filter(i))
+        packs = texts.select("row", "text").mapInArrow(tokens_of(shard), "segment int, " + ", ".join(f"{c} binary" for c in _SENT))
+        scored = packs.groupBy("segment").cogroup(model.pairs.parts.groupBy("segment")).applyInArrow(total, "row bigint, score double")
+        parts.append(written(scored.groupBy("row").agg(F.sum("score").alias("score"))))
+        shard.destroy()
+    return reduce(DataFrame.union, parts).groupBy("row").agg(F.sum("score").alias("score"))
 
 
 def score_corpus(docs: DataFrame, capacity: int = CAPACITY, hot: int = HOT) -> DataFrame:
