@@ -47,6 +47,8 @@ FAN = 256
 PART_BYTES, PART_SETS, STRIP = 1 << 20, 512, 512
 #: Shingles in a bucket, about, and in what a task holds before it sends; sets that are broadcast to fetch their texts.
 BUCKET, HELD, FEW_SETS = 1 << 19, 1 << 20, 1 << 19
+#: Shares into which the rows of one class or set are dealt to be joined.
+SALTS = 8
 #: Sizes are compared by bands, each 2 % above the one before.
 _BAND = float(np.log(1.02))
 
@@ -549,9 +551,8 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     least = found.join(sets.select("sid", "doc"), "sid").groupBy("label").agg(F.min("doc").alias("least"))
     final = met.join(least, "label", "left").select(F.col("sid").alias("s"), F.col("doc").alias("copy_of"), F.when(F.col("linked").isNull(), F.col("doc")).otherwise(F.col("least")).alias("component"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("links"))
     # a group of equal sets may hold much of the table: its row is spread over salts
-    salts = 8
-    final = final.withColumn("part", F.explode(F.array(*map(F.lit, range(salts)))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(salts)).cast("int"))
+    final = final.withColumn("part", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(SALTS)).cast("int"))
     kind = docs.schema["doc_id"].dataType
     out = rows.join(final, (rows["sid"] == final["s"]) & (rows["salt"] == final["part"]), "left")
     own = lambda c: F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col(c)).cast(kind).alias
@@ -565,8 +566,9 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     classed = rows.where("n > 0").join(found.select("sid", "label"), "sid", "left").select(F.coalesce("label", "sid").alias("label"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie").alias("row"))
     # a class may hold much of the table: rows equal in id and text become one first, with their number
     times = classed.groupBy("label", "row").agg(F.count("*").alias("times"))
-    first = times.groupBy("label").agg(F.min("row").alias("first"))
-    times = written(times.join(first, "label").select(F.col("row.doc_id").alias("id"), F.col("row.tie").alias("tie"), (F.col("row") != F.col("first")).alias("goes"), (F.col("times") > 1).alias("again")).where("goes OR again"))
+    first = times.groupBy("label").agg(F.min("row").alias("first")).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    times = times.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    times = written(times.join(first, ["label", "salt"]).select(F.col("row.doc_id").alias("id"), F.col("row.tie").alias("tie"), (F.col("row") != F.col("first")).alias("goes"), (F.col("times") > 1).alias("again")).where("goes OR again"))
     text = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     same = lambda t: docs["doc_id"].eqNullSafe(t["id"]) & (text == t["tie"])
     out = docs.join(times, same(times), "left_anti")
