@@ -102,8 +102,8 @@ def merge_pass(points: DataFrame, clusters: DataFrame, p: SegmentationParams, fi
 def final_segments(points: DataFrame, params: SegmentationParams | None = None, max_passes: int = 100) -> DataFrame:
     """(init, final): the final label of each first-stage cluster, from 0, of rows of point_id, x, y, z, init and inter.
 
-    Passes go on while groups are to merge and their number changes; that this doesn't end is an error. Groups of the last pass that never were targets then join the nearest of those
-    that were.
+    Passes go on while groups are to merge and their number changes; that this doesn't end is an error. Groups of the last pass that never were targets
+    then join the nearest of those that were.
     """
     p = params or SegmentationParams()
     points = written(points.select("point_id", "x", "y", "z", "init", "inter"))
