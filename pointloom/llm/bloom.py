@@ -80,8 +80,20 @@ class Filter:
         if not here.all():
             index, segments = index[here], segments[here]
         start, size, short = self.start[segments], self.size[segments], short_of(keys)[index]
-        now = 1
-        while len(index):
+        found = self._climbed(start, size, short, 1, 2)
+        # what goes further occurs often, so each key is followed once
+        more = np.flatnonzero(found == 2)
+        _, first, place = np.unique(segments[more].astype(np.uint64) << np.uint64(32) | short[more], return_index=True, return_inverse=True)
+        first = more[first]
+        found[more] = self._climbed(start[first], size[first], short[first], 3)[place]
+        out[index] = found
+        return out
+
+    def _climbed(self, start: np.ndarray, size: np.ndarray, short: np.ndarray, now: int, last: int | None = None) -> np.ndarray:
+        """The highest level up to ``last`` of keys that are known to hold the one below ``now``."""
+        out = np.full(len(short), now - 1)
+        index = np.arange(len(short))
+        while len(index) and (last is None or now <= last):
             alive = None
             for p in self.positions(short, now):
                 if alive is None:
