@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pointloom.llm import mixing
+from pointloom.llm import fill_middle, mixing
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -89,4 +89,26 @@ FROM documents d LEFT JOIN sets s ON s.doc_id = d.doc_id LEFT JOIN firsts f ON f
 LEFT JOIN classes c ON c.doc_id = d.doc_id LEFT JOIN degrees g ON g.doc_id = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": OP2.replace("{seed}", str(mixing.SEED)), "op8_substring_dedup": OP8, "op9_jaccard_join": OP9}
+OP11 = """
+WITH keyed AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+hashed AS (
+  SELECT doc_id, t, length(t) AS n, ('0x' || substr(k, 1, 8))::BIGINT AS h1, ('0x' || substr(k, 9, 8))::BIGINT AS h2, ('0x' || substr(k, 17, 8))::BIGINT AS h3, ('0x' || substr(k, 25, 8))::BIGINT AS h4 FROM keyed),
+formed AS (
+  SELECT *, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+         least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b
+  FROM hashed),
+parts AS (
+  SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM formed)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": OP2.replace("{seed}", str(mixing.SEED)),
+    "op8_substring_dedup": OP8,
+    "op9_jaccard_join": OP9,
+    "op11_fill_middle": OP11.replace("{seed}", str(fill_middle.SEED)),
+}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import bpe, fingerprints, jaccard_join, lm_scoring, media, mixing, secrets, substring_dedup, token_counts, toxicity
+from pointloom.llm import bpe, fill_middle, fingerprints, jaccard_join, lm_scoring, media, mixing, packing, secrets, spelling, substring_dedup, token_counts, toxicity
 from pointloom.llm.common import documents
 from pointloom.llm.oracle import ORACLE_SQL
 
@@ -55,9 +55,35 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(fill_middle.transform(documents(spark, sf_dir)))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir), spoilt=97)
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_lm_scoring, op2_mixing, op3_bpe, op4_secrets, op5_fingerprints, op6_media, op7_token_counts, op8_substring_dedup, op9_jaccard_join, op10_toxicity)
+    for f in (
+        op1_lm_scoring,
+        op2_mixing,
+        op3_bpe,
+        op4_secrets,
+        op5_fingerprints,
+        op6_media,
+        op7_token_counts,
+        op8_substring_dedup,
+        op9_jaccard_join,
+        op10_toxicity,
+        op11_fill_middle,
+        op12_spelling,
+        op13_packing,
+    )
 }
