@@ -1,98 +1,121 @@
-"""Minimum cuts of small graphs with integer capacities."""
+"""Minimum cuts with integer capacities, on arrays.
 
-from __future__ import annotations
+A region is a part of a network, with what is left of its capacities. Excess is pushed towards the sink along exact distances, whole rings of
+vertices at once, and distances are found again until no excess can move. Regions that exchange what crosses their borders solve a network together:
+``discharge`` also pushes to neighbours outside, those with the lowest labels first, a label being the number of borders on the way to the sink
+(Shekhovtsov and Hlavac 2013).
+"""
 
-from collections import deque
+from __future__ import annotations
 
 import numpy as np
 
+#: The label of what can't reach the sink.
+FAR = 1 << 30
+
+
+def _ranges(ptr: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all entries of ``v``, and for each the place of its owner in ``v``."""
+    n = ptr[v + 1] - ptr[v]
+    owner = np.repeat(np.arange(len(v)), n)
+    return np.arange(len(owner)) + np.repeat(ptr[v] - np.cumsum(n) + n, n), owner
+
+
+def _dealt(excess: np.ndarray, owner: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """What each place takes of its owner's excess, the first places first."""
+    before = np.cumsum(room) - room
+    if len(owner):
+        first = np.concatenate([[True], owner[1:] != owner[:-1]])
+        before -= np.repeat(before[first], np.diff(np.append(np.flatnonzero(first), len(owner))))
+    return np.clip(excess[owner] - before, 0, room)
+
+
+def arcs(n: int, u: np.ndarray, v: np.ndarray, capacity: np.ndarray) -> dict[str, np.ndarray]:
+    """Both directions of edges between ``n`` vertices, by vertex: ptr, head, cap and rev, the place of the other direction."""
+    real = (u != v) & (capacity > 0)
+    u, v, capacity = u[real], v[real], capacity[real]
+    tail, head = np.concatenate([u, v]), np.concatenate([v, u])
+    by = np.argsort(tail, kind="stable")
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    return {"ptr": np.searchsorted(tail[by], np.arange(n + 1)), "head": head[by].astype(np.int64), "cap": np.concatenate([capacity, capacity])[by].astype(np.int64), "rev": np.roll(place, len(u))[by]}
+
+
+class Region:
+    """Excess and room to the sink of n vertices, arcs() between them, and arcs to vertices outside: from ``at``, with room ``out``, to label ``far``."""
+
+    def __init__(self, excess, sink, ptr, head, cap, rev, at=(), out=(), far=()):
+        self.excess, self.sink = np.array(excess, np.int64), np.array(sink, np.int64)
+        self.ptr, self.head, self.cap, self.rev = ptr, head, np.array(cap, np.int64), rev
+        self.at, self.out, self.far = (np.array(x, np.int64) for x in (at, out, far))
+        self.by = np.argsort(self.at, kind="stable")
+        self.border = np.searchsorted(self.at[self.by], np.arange(len(self.excess) + 1))
+        self.label = np.full(len(self.excess), FAR)
+
+    def rings(self) -> list[tuple[np.ndarray, int | None]]:
+        """Vertices by their distance from the sink, then from outside vertices by ascending labels; sets level and label.
+
+        The first ring of each kind comes with the label that it is next to, -1 for the sink.
+        """
+        n = len(self.excess)
+        self.level, self.label = np.full(n, -1), np.full(n, FAR)
+        open_ = (self.out > 0) & (self.far < FAR)
+        found, number = [], 0
+        for mark in (-1, *np.unique(self.far[open_]).tolist()):
+            ring = np.flatnonzero(self.sink > 0) if mark < 0 else np.unique(self.at[open_ & (self.far == mark)])
+            ring, next_to = ring[self.level[ring] < 0], mark
+            while len(ring):
+                self.level[ring], self.label[ring] = number, mark + 1
+                found.append((ring, next_to))
+                place, _ = _ranges(self.ptr, ring)
+                near = self.head[place]
+                ring, next_to, number = np.unique(near[(self.cap[self.rev[place]] > 0) & (self.level[near] < 0)]), None, number + 1
+        return found
+
+    def discharge(self) -> np.ndarray:
+        """Moves all excess that can reach the sink or an outside vertex; returns what crossed each outside arc. Labels are exact afterwards."""
+        sent = np.zeros(len(self.out), np.int64)
+        while True:
+            rings = self.rings()
+            if not (self.excess[self.level >= 0] > 0).any():
+                return sent
+            for ring, mark in reversed(rings):
+                v = ring[self.excess[ring] > 0]
+                if not len(v):
+                    continue
+                if mark == -1:
+                    x = np.minimum(self.excess[v], self.sink[v])
+                    self.sink[v] -= x
+                    self.excess[v] -= x
+                elif mark is not None:
+                    place, owner = _ranges(self.border, v)
+                    place = self.by[place]
+                    use = (self.out[place] > 0) & (self.far[place] == mark)
+                    place, owner = place[use], owner[use]
+                    x = _dealt(self.excess[v], owner, self.out[place])
+                    self.out[place] -= x
+                    sent[place] += x
+                    np.subtract.at(self.excess, v[owner], x)
+                else:
+                    place, owner = _ranges(self.ptr, v)
+                    use = (self.cap[place] > 0) & (self.level[self.head[place]] == self.level[v[0]] - 1)
+                    place, owner = place[use], owner[use]
+                    x = _dealt(self.excess[v], owner, self.cap[place])
+                    self.cap[place] -= x
+                    self.cap[self.rev[place]] += x
+                    np.subtract.at(self.excess, v[owner], x)
+                    np.add.at(self.excess, self.head[place], x)
+
 
 def sink_side(n: int, to_source: np.ndarray, to_sink: np.ndarray, u: np.ndarray, v: np.ndarray, capacity: np.ndarray) -> np.ndarray:
     """Which of ``n`` vertices can still reach the sink after a maximum flow: the smallest sink side of all minimum cuts.
 
     ``to_source`` is the capacity from the source to each vertex, ``to_sink`` from each to the sink, ``capacity`` that of an edge either way.
-    Dinic's algorithm: levels by breadth, then blocking flows by an explicit stack.
     """
-    s, t = n, n + 1
-    # what goes straight through a vertex needs no search
-    straight = np.minimum(to_source, to_sink)
-    tails, heads, room, back = [], [], [], []
-
-    def add(a, b, c, d):
-        tails.append(a)
-        heads.append(b)
-        room.append(int(c))
-        back.append(int(d))
-
-    for i, (p, q) in enumerate(zip(to_source - straight, to_sink - straight)):
-        if p > 0:
-            add(s, i, p, 0)
-        if q > 0:
-            add(i, t, q, 0)
-    for a, b, c in zip(u.tolist(), v.tolist(), capacity.tolist()):
-        if a != b and c > 0:
-            add(a, b, c, c)
-    adj: list[list[int]] = [[] for _ in range(n + 2)]
-    head, cap = [], []
-    for a, b, c, d in zip(tails, heads, room, back):
-        adj[a].append(len(head))
-        head.append(b)
-        cap.append(c)
-        adj[b].append(len(head))
-        head.append(a)
-        cap.append(d)
-    while True:
-        level = [-1] * (n + 2)
-        level[s] = 0
-        queue = deque([s])
-        while queue and level[t] < 0:
-            x = queue.popleft()
-            for e in adj[x]:
-                if cap[e] and level[head[e]] < 0:
-                    level[head[e]] = level[x] + 1
-                    queue.append(head[e])
-        if level[t] < 0:
-            break
-        at = [0] * (n + 2)
-        path: list[int] = []
-        x = s
-        while True:
-            if x == t:
-                f = min(cap[e] for e in path)
-                cut = 0
-                for i, e in enumerate(path):
-                    cap[e] -= f
-                    cap[e ^ 1] += f
-                    if not cap[e] and not cut:
-                        cut = i + 1
-                path = path[: cut - 1]
-                x = head[path[-1]] if path else s
-                continue
-            for i in range(at[x], len(adj[x])):
-                e = adj[x][i]
-                if cap[e] and level[head[e]] == level[x] + 1:
-                    at[x] = i
-                    path.append(e)
-                    x = head[e]
-                    break
-            else:
-                if x == s:
-                    break
-                level[x] = -1
-                e = path.pop()
-                x = head[e ^ 1]
-                at[x] += 1
-    out = np.zeros(n + 2, bool)
-    out[t] = True
-    queue = deque([t])
-    while queue:
-        x = queue.popleft()
-        for e in adj[x]:
-            y = head[e]
-            if not out[y] and cap[e ^ 1]:
-                out[y] = True
-                queue.append(y)
-    return out[:n]
+    straight = np.minimum(to_source, to_sink)  # needs no search
+    region = Region(to_source - straight, to_sink - straight, **arcs(n, u, v, capacity))
+    region.discharge()
+    return region.label == 0
 
 
 def parts(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:

@@ -1,6 +1,7 @@
 """Connected components of an undirected graph by alternating large-star and small-star steps (Kiveris et al. 2014).
 
-A graph of at most SMALL edges, as counted, is solved in one task.
+First every task replaces the edges that it reads by stars of the parts they make, CHUNK edges at a time. A graph of at most SMALL edges, as counted
+after that, is solved in one task.
 """
 
 from __future__ import annotations
@@ -14,17 +15,39 @@ from pointloom.functions.maxflow import parts
 from pointloom.plans.storage import released, written
 
 
-#: Edges that are gathered in one task (16 bytes each).
-SMALL = 1 << 19
+#: Edges that are gathered in one task, and that a task contracts together (16 bytes each).
+SMALL, CHUNK = 1 << 19, 1 << 20
 
 
-def _at_once(batches):
-    """(v, label) of all vertices of all edges."""
-    table = pa.Table.from_batches(list(batches), pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+def _labels(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices of all edges and the smallest that each reaches."""
+    table = pa.Table.from_batches(batches, pa.schema([("u", pa.int64()), ("v", pa.int64())]))
     u, v = (table.column(c).to_numpy() for c in ("u", "v"))
     ids, place = np.unique(np.concatenate([u, v]), return_inverse=True)
-    label = ids[parts(len(ids), place[: len(u)], place[len(u) :])]
-    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(label)], names=["v", "label"])
+    return ids, ids[parts(len(ids), place[: len(u)], place[len(u) :])]
+
+
+def _at_once(batches):
+    """(v, label) of all vertices of all edges."""
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in _labels(list(batches))], names=["v", "label"])
+
+
+def _contracted(batches):
+    """The edges as stars: (u, v) of every vertex and the smallest that it reaches by edges of the same chunk."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= CHUNK:
+            yield _stars(held)
+            held, size = [], 0
+    yield _stars(held)
+
+
+def _stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    ids, label = _labels(held)
+    other = ids != label
+    return pa.RecordBatch.from_arrays([pa.array(ids[other]), pa.array(label[other])], names=["u", "v"])
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
@@ -52,7 +75,8 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     come to the driver are a count and a checksum, which show when a round changed nothing.
     """
     as_long = lambda c: c.cast("bigint")
-    now = written(edges.where("u <> v").select(as_long(F.greatest("u", "v")).alias("u"), as_long(F.least("u", "v")).alias("v")).distinct())
+    real = edges.where("u <> v").select(as_long(F.greatest("u", "v")).alias("u"), as_long(F.least("u", "v")).alias("v"))
+    now = written(real.mapInArrow(_contracted, "u bigint, v bigint").distinct())
     before = None
     if now.count() <= SMALL:
         return written(now.coalesce(1).mapInArrow(_at_once, "v bigint, label bigint"))

@@ -2,9 +2,9 @@
 
 Minimises 1/2 sum w |o - x|^2 + reg * sum of the weights of edges whose ends have different x. A component is split by minimum cuts between two
 centres, cut edges stay cut, and what remains connected is the next round's component. As no live edge leaves a component, components are
-independent: one grouped call splits one component. The first component is the whole graph, whose connected parts share its two centres,
-so its first split runs the flow steps as Spark rounds over parts. A graph of at most AT_ONCE vertices and edges, as counted, goes through all rounds
-in one grouped call instead, with the same result.
+independent: one grouped call splits one component of at most REGION vertices. Larger ones, as the whole graph is in its first round, are split together by
+Spark rounds: centres are aggregates, and the cuts are found by regions (pointloom.operators.regions), so that no group has more than that.
+A whole graph of at most REGION vertices goes through all rounds in one grouped call, with the same result.
 
 Graphs: vertices(v, o1..oD, w) and edges(u, v, w), each edge once.
 """
@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from pointloom.functions.maxflow import parts, sink_side
 from pointloom.operators.components import label_vertices
 from pointloom.operators.groups import border_weights, crossing, two_centers, weighted_means
+from pointloom.operators.regions import by_region, cut, lines
 from pointloom.params import CutPursuitParams
-from pointloom.plans.storage import written
+from pointloom.plans.storage import released, written
 
-
-#: Vertices and edges (32 bytes each) of a graph that one task solves.
-AT_ONCE = 1 << 20
+#: Vertices of a graph, component or region that one task solves; each has some hundred bytes, and edges besides.
+REGION = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -59,16 +59,17 @@ def terminals(obs: np.ndarray, w: np.ndarray, a: np.ndarray, b: np.ndarray, scal
     return np.where(near_a, 0, diff), np.where(near_a, diff, 0)
 
 
-def terminal_capacities(vertices: DataFrame, obs: list[str], scale: int = 1000) -> DataFrame:
-    """(v, to_source, to_sink) of rows of v, the observations, w and both centres of the vertex's component (a_, b_)."""
+def terminal_capacities(vertices: DataFrame, obs: list[str], scale: int = 1000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(v, to_source, to_sink) and columns to ``keep`` of rows of v, the observations, w and both centres of the vertex's component (a_, b_)."""
 
     def work(batches):
         for rows in batches:
             near = lambda t: rows[[f"{t}{o}" for o in obs]].to_numpy(float)
             source, sink = terminals(near(""), rows["w"].to_numpy(float), near("a_"), near("b_"), scale)
-            yield pd.DataFrame({"v": rows["v"], "to_source": source, "to_sink": sink})
+            yield pd.DataFrame({"v": rows["v"], "to_source": source, "to_sink": sink} | {c: rows[c] for c in keep})
 
-    return vertices.mapInPandas(work, "v long, to_source long, to_sink long")
+    kept = "".join(f", {c} {vertices.schema[c].dataType.simpleString()}" for c in keep)
+    return vertices.mapInPandas(work, f"v long, to_source long, to_sink long{kept}")
 
 
 def split_component(obs: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray, ew: np.ndarray, reg: float, p: CutPursuitParams) -> tuple[np.ndarray, bool]:
@@ -158,20 +159,156 @@ def _grouped(obs: list[str], reg: float, p: CutPursuitParams):
     return work
 
 
-def _flow(obs: list[str], reg: float, p: CutPursuitParams):
-    """One flow step of one connected part, whose component's centres come with its vertices."""
+def median_sides(vertices: DataFrame, obs: list[str], by: str = "comp") -> DataFrame:
+    """``vertices`` with side: above the component's median in its widest dimension."""
+    stats = vertices.groupBy(by).agg(*(F.var_pop(o).alias(f"_v{i}") for i, o in enumerate(obs)), *(F.percentile(o, 0.5).alias(f"_m{i}") for i, o in enumerate(obs)))
+    side = F.lit(False)
+    best = F.greatest(*(F.col(f"_v{i}") for i in range(len(obs)))) if len(obs) > 1 else F.col("_v0")
+    for i in reversed(range(len(obs))):
+        side = F.when(F.col(f"_v{i}") == best, F.col(obs[i]) > F.col(f"_m{i}")).otherwise(side)
+    return vertices.join(stats, by).withColumn("side", side).drop(*(f"_{k}{i}" for k in "vm" for i in range(len(obs))))
+
+
+def split_large(vertices: DataFrame, edges: DataFrame, obs: list[str], reg: float, p: CutPursuitParams, most: int | None = None) -> DataFrame:
+    """(v, comp, saturated): the parts that components fall into, by smallest vertices, of any size and all at once.
+
+    vertices have comp, the observations and w; edges (u, v, w) are those within components. A region holds about ``most`` / 2 vertices.
+    """
+    placed = by_region(vertices, obs, most or REGION)
+    capacity = (F.col("w") * reg * p.scale).cast("bigint") * p.edge_multiplier
+    near = lines(placed, edges.select("u", "v", capacity.alias("cap")))
+    sides = written(median_sides(placed, obs).select("v", "side"))
+    made = [placed, near]
+    for _ in range(p.flow_steps):
+        now = placed.join(sides.select("v", "side"), "v")
+        now = now.join(two_centers(now, obs), "comp")
+        own = now.select("v", *obs, "w", *(F.coalesce(f"{t}_{o}", F.lit(0.0)).alias(f"{t}_{o}") for t in "ab" for o in obs), "region", "side", "saturated")
+        asked = terminal_capacities(own, obs, p.scale, ("region", "side", "saturated"))
+        asked = written(asked.select("v", "region", "side", "saturated", *(F.when(F.col("saturated"), 0).otherwise(F.col(c)).alias(c) for c in ("to_source", "to_sink"))))
+        cuts = cut(asked, near)
+        made += [sides, asked, cuts]
+        sides = written(asked.join(cuts.withColumnRenamed("side", "_cut"), "v").select("v", F.when(F.col("saturated"), F.col("side")).otherwise(F.col("_cut")).alias("side"), "saturated"))
+    live = edges.join(sides.select(F.col("v").alias("_u"), F.col("side").alias("su")), F.col("u") == F.col("_u")).join(sides.select(F.col("v").alias("_v"), F.col("side").alias("sv")), F.col("v") == F.col("_v")).where("su = sv").select("u", "v")
+    out = written(label_vertices(vertices, live).withColumnRenamed("label", "comp").join(sides.select("v", "saturated"), "v"))
+    released(*made, sides)
+    return out
+
+
+def energy(self) -> float:
+        return self.fidelity + self.penalty
+
+
+def first_sides(obs: np.ndarray) -> np.ndarray:
+    """Above the median of the widest dimension or not."""
+    d = int(np.argmax(obs.var(axis=0)))
+    return obs[:, d] > np.median(obs[:, d])
+
+
+def terminals(obs: np.ndarray, w: np.ndarray, a: np.ndarray, b: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """Capacities from the source and to the sink: the difference of the costs of the two centres, scaled and cut off."""
+    cost_a = 0.5 * w * ((obs - a) ** 2).sum(axis=1)
+    cost_b = 0.5 * w * ((obs - b) ** 2).sum(axis=1)
+    diff = (np.abs(cost_a - cost_b) * scale).astype(np.int64)
+    near_a = cost_a <= cost_b
+    return np.where(near_a, 0, diff), np.where(near_a, diff, 0)
+
+
+def terminal_capacities(vertices: DataFrame, obs: list[str], scale: int = 1000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(v, to_source, to_sink) and columns to ``keep`` of rows of v, the observations, w and both centres of the vertex's component (a_, b_)."""
+
+    def work(batches):
+        for rows in batches:
+            near = lambda t: rows[[f"{t}{o}" for o in obs]].to_numpy(float)
+            source, sink = terminals(near(""), rows["w"].to_numpy(float), near("a_"), near("b_"), scale)
+            yield pd.DataFrame({"v": rows["v"], "to_source": source, "to_sink": sink} | {c: rows[c] for c in keep})
+
+    kept = "".join(f", {c} {vertices.schema[c].dataType.simpleString()}" for c in keep)
+    return vertices.mapInPandas(work, f"v long, to_source long, to_sink long{kept}")
+
+
+def split_component(obs: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray, ew: np.ndarray, reg: float, p: CutPursuitParams) -> tuple[np.ndarray, bool]:
+    """The parts that one component falls into, as smallest vertices, and whether it is saturated."""
+    n = len(obs)
+    side = first_sides(obs)
+    cap = (ew * reg * p.scale).astype(np.int64) * p.edge_multiplier
+    saturated = False
+    for _ in range(p.flow_steps):
+        wa, wb = w[~side].sum(), w[side].sum()
+        if wa == 0 or wb == 0:
+            saturated = True
+            break
+        a, b = ((w[m, None] * obs[m]).sum(axis=0) / w[m].sum() for m in (~side, side))
+        side = sink_side(n, *terminals(obs, w, a, b, p.scale), u, v, cap)
+    if saturated:
+        return np.zeros(n, np.int64), True
+    live = side[u] == side[v]
+    return parts(n, u[live], v[live]), False
+
 
+def _energy(obs: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray, ew: np.ndarray, reg: float, comp: np.ndarray) -> tuple[float, float]:
+    total = np.bincount(comp, w)
+    mean = np.stack([np.bincount(comp, w * o) / np.where(total > 0, total, 1) for o in obs.T], axis=1)
+    return float(0.5 * (w * ((obs - mean[comp]) ** 2).sum(axis=1)).sum()), float(reg * ew[comp[u] != comp[v]].sum())
+
+
+def solved(obs: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray, ew: np.ndarray, reg: float, p: CutPursuitParams) -> tuple[np.ndarray, list[Round]]:
+    """The smallest vertex of each vertex's component, and the rounds, of a whole graph."""
+    n = len(obs)
+    comp, stable, full = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
+    before = _energy(obs, w, u, v, ew, reg, comp)[0]
+    rounds: list[Round] = []
+    for number in range(1, p.max_rounds + 1):
+        live = comp[u] == comp[v]
+        by_vertex, by_edge = np.argsort(comp, kind="stable"), np.flatnonzero(live)
+        by_edge = by_edge[np.argsort(comp[u[by_edge]], kind="stable")]
+        cuts = [0, *(np.flatnonzero(np.diff(comp[by_vertex])) + 1).tolist(), n]
+        edge_comp, new, place = comp[u[by_edge]], comp.copy(), np.zeros(n, np.int64)
+        for a, b in zip(cuts, cuts[1:]):
+            own = by_vertex[a:b]
+            if stable[own[0]]:
+                continue
+            c = comp[own[0]]
+            e = by_edge[np.searchsorted(edge_comp, c, "left") : np.searchsorted(edge_comp, c, "right")]
+            place[own] = np.arange(len(own))
+            label, saturated = split_component(obs[own], w[own], place[u[e]], place[v[e]], ew[e], reg, p)
+            if number == 1 and saturated:  # the whole graph may have several parts
+                label = parts(n, u, v)
+            new[own], full[own] = own[label], saturated
+            stable[own] = number > 1 and bool((label == label[0]).all())
+        comp = new
+        fid, pen = _energy(obs, w, u, v, ew, reg, comp)
+        rounds.append(Round(number, len(np.unique(comp)), int(full.sum()), fid, pen))
+        if full.all() or before <= 0 or (before - fid - pen) / before < p.stop_ratio:
+            break
+        before = fid + pen
+    return comp, rounds
+
+
+_SOLVED = "v long, comp long, number int, components long, saturated long, fidelity double, penalty double"
+
+
+def _whole(obs: list[str], reg: float, p: CutPursuitParams):
+    def work(vertices: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        vertices = vertices.sort_values("v")
+        ids = vertices["v"].to_numpy()
+        u, v = (np.searchsorted(ids, edges[c].to_numpy()) for c in ("u", "v"))
+        comp, rounds = solved(vertices[obs].to_numpy(float), vertices["w"].to_numpy(float), u, v, edges["w"].to_numpy(float), reg, p)
+        labels = pd.DataFrame({"v": ids, "comp": ids[comp]}).astype("Int64")
+        done = pd.DataFrame([vars(r) for r in rounds]).astype({"number": "Int32", "components": "Int64", "saturated": "Int64"})
+        return pd.concat([labels, done], ignore_index=True)[["v", "comp", "number", "components", "saturated", "fidelity", "penalty"]]
+
+    return work
+
+
+def _grouped(obs: list[str], reg: float, p: CutPursuitParams):
     def work(vertices: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         if not len(vertices):
-            return pd.DataFrame({"v": [], "side": []})
+            return pd.DataFrame({"v": [], "comp": [], "stable": [], "saturated": []})
         vertices = vertices.sort_values("v")
         ids = vertices["v"].to_numpy()
-        if vertices["saturated"].iloc[0]:
-            return pd.DataFrame({"v": ids, "side": vertices["side"].to_numpy()})
         u, v = (np.searchsorted(ids, edges[c].to_numpy()) for c in ("u", "v"))
-        a, b = (vertices[[f"{t}_{o}" for o in obs]].iloc[0].to_numpy(float) for t in ("a", "b"))
-        caps = terminals(vertices[obs].to_numpy(float), vertices["w"].to_numpy(float), a, b, p.scale)
-        return pd.DataFrame({"v": ids, "side": sink_side(len(ids), *caps, u, v, (edges["w"].to_numpy(float) * reg * p.scale).astype(np.int64) * p.edge_multiplier)})
+        label, full = split_component(vertices[obs].to_numpy(float), vertices["w"].to_numpy(float), u, v, edges["w"].to_numpy(float), reg, p)
+        return pd.DataFrame({"v": ids, "comp": ids[label], "stable": bool((label == label[0]).all()), "saturated": full})
 
     return work
 
@@ -214,35 +351,27 @@ def cut_pursuit(vertices: DataFrame, edges: DataFrame, obs: list[str], reg: floa
     """(v, comp), comp the smallest vertex of the component, and what each round did.
 
     Rounds end when all vertices are in saturated components, when the energy falls by less than stop_ratio of it, or at max_rounds. The round that
-    ends them counts. A component that was left whole once is left alone from then on. One component must fit a task's memory.
+    ends them counts. A component that was left whole once is left alone from then on.
     """
     p = params or CutPursuitParams()
     vertices = written(vertices.select("v", *(F.col(o).cast("double").alias(o) for o in obs), F.col("w").cast("double").alias("w")))
     edges = written(edges.where("u <> v").select("u", "v", F.col("w").cast("double").alias("w")))
     n = vertices.count()
-    labels = vertices.select("v", F.lit(None).cast("long").alias("comp"), F.lit(False).alias("stable"), F.lit(False).alias("saturated"))
     if not n:
-        return labels.select("v", "comp"), []
-    if n + edges.count() <= AT_ONCE:
+        return vertices.select("v", F.col("v").alias("comp")), []
+    if n <= REGION:
         one = vertices.groupBy(F.lit(0).alias("k")).cogroup(edges.groupBy(F.lit(0).alias("k")))
         made = written(one.applyInPandas(_whole(obs, reg, p), _SOLVED))
         rounds = [Round(*r) for r in made.where("number IS NOT NULL").orderBy("number").select("number", "components", "saturated", "fidelity", "penalty").collect()]
         out = made.where("v IS NOT NULL").select("v", "comp")
         return (merge_back(vertices, edges, out, obs, reg, p) if p.cutoff > 0 or p.merge_step else out), rounds
-    start = vertices.withColumn("comp", F.lit(0))
-    before = energy(vertices, edges.limit(0), start, obs, reg)[0]
+    labels = vertices.select("v", F.lit(-1).cast("bigint").alias("comp"), F.lit(False).alias("stable"), F.lit(False).alias("saturated"))
+    before = energy(vertices, edges.limit(0), labels, obs, reg)[0]
     rounds: list[Round] = []
     for number in range(1, p.max_rounds + 1):
-        if number == 1:
-            new = _first_split(vertices, edges, obs, reg, p).select("v", F.col("part").alias("comp"), F.lit(False).alias("stable"), "saturated")
-        else:
-            todo = labels.where("NOT stable").select("v", F.col("comp").alias("c"))
-            own = todo.join(vertices, "v")
-            ends = todo.select(F.col("v").alias("_v"), F.col("c").alias("_c"))
-            inner = edges.join(todo.withColumnRenamed("v", "_u"), F.col("u") == F.col("_u")).join(ends, F.col("v") == F.col("_v")).where("c = _c").select(F.col("c").alias("of"), "u", "v", "w")
-            made = own.groupBy("c").cogroup(inner.groupBy("of")).applyInPandas(_grouped(obs, reg, p), "v long, comp long, stable boolean, saturated boolean")
-            new = made.unionByName(labels.where("stable"))
-        labels = written(new)
+        last, labels = labels, written(_round(vertices, edges, labels, obs, reg, p, number == 1))
+        if number > 1:
+            released(last)
         row = labels.agg(F.countDistinct("comp"), F.sum(F.col("saturated").cast("long"))).first()
         fid, pen = energy(vertices, edges, labels, obs, reg)
         rounds.append(Round(number, row[0], row[1], fid, pen))
@@ -255,6 +384,33 @@ def cut_pursuit(vertices: DataFrame, edges: DataFrame, obs: list[str], reg: floa
     return out, rounds
 
 
+def _round(vertices: DataFrame, edges: DataFrame, labels: DataFrame, obs: list[str], reg: float, p: CutPursuitParams, first: bool) -> DataFrame:
+    """The labels (v, comp, stable, saturated) after every component that isn't stable was split."""
+    todo = labels.where("NOT stable").select("v", F.col("comp").alias("c"))
+    big = written(todo.groupBy("c").count().where(F.col("count") > REGION).select("c"))
+    some = first or not big.isEmpty()
+
+    def inner(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+        ends = own.select(F.col("v").alias("_v"), F.col("c").alias("_c"))
+        within = edges.join(own.withColumnRenamed("v", "_u"), F.col("u") == F.col("_u")).join(ends, F.col("v") == F.col("_v")).where("c = _c")
+        return own.join(vertices, "v"), within.select(F.col("c").alias("of"), "u", "v", "w")
+
+    out = labels.where("stable")
+    if some:
+        own, within = inner(todo.join(big, "c", "left_semi"))
+        split = split_large(own.withColumnRenamed("c", "comp"), within.select("u", "v", "w"), obs, reg, p)
+        was = todo.join(big, "c", "left_semi").join(split, "v")
+        whole = was.groupBy("c").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"))
+        stable = F.lit(False) if first else F.col("_low") == F.col("_high")
+        out = out.unionByName(was.join(whole, "c").select("v", "comp", stable.alias("stable"), "saturated"))
+        todo = todo.join(big, "c", "left_anti")
+    if not first:
+        own, within = inner(todo)
+        made = own.groupBy("c").cogroup(within.groupBy("of")).applyInPandas(_grouped(obs, reg, p), "v long, comp long, stable boolean, saturated boolean")
+        out = out.unionByName(made)
+    return out
+
+
 def merge_back(vertices: DataFrame, edges: DataFrame, labels: DataFrame, obs: list[str], reg: float, p: CutPursuitParams, most: int = 51) -> DataFrame:
     """Undoes cuts whose merging lowers the energy (merge_step), and merges components lighter than cutoff into the neighbour that costs least.
 

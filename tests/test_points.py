@@ -289,14 +289,14 @@ def plain_neighbours(xyz, k):
     return np.repeat(np.arange(len(xyz)), order.shape[1]), order.ravel()
 
 
-@pytest.mark.parametrize("at_once", [1 << 20, 0])
-def test_first_stages_equal_a_plain_version(spark, monkeypatch, at_once):
-    """In one task and in Spark rounds."""
+@pytest.mark.parametrize("region", [1 << 17, 40])
+def test_first_stages_equal_a_plain_version(spark, monkeypatch, region):
+    """In one task, and in Spark rounds with cuts by regions of some twenty vertices."""
     from pointloom.operators import cutpursuit
     from pointloom.params import SegmentationParams
     from pointloom.plans.segmentation import init_segments, intermediate_segments
 
-    monkeypatch.setattr(cutpursuit, "AT_ONCE", at_once)
+    monkeypatch.setattr(cutpursuit, "REGION", region)
     rng = np.random.default_rng(11)
     xyz = np.concatenate([rng.normal(c, 0.4, (30, 3)) for c in ((0, 0, 0), (3, 0, 1), (3.5, 3, 0), (0.5, 2.5, 2))])
     p = SegmentationParams(reg_strength1=0.05, reg_strength2=0.5)
