@@ -194,149 +194,6 @@ def split_large(vertices: DataFrame, edges: DataFrame, obs: list[str], reg: floa
     return out
 
 
-def energy(self) -> float:
-        return self.fidelity + self.penalty
-
-
-def first_sides(obs: np.ndarray) -> np.ndarray:
-    """Above the median of the widest dimension or not."""
-    d = int(np.argmax(obs.var(axis=0)))
-    return obs[:, d] > np.median(obs[:, d])
-
-
-def terminals(obs: np.ndarray, w: np.ndarray, a: np.ndarray, b: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray]:
-    """Capacities from the source and to the sink: the difference of the costs of the two centres, scaled and cut off."""
-    cost_a = 0.5 * w * ((obs - a) ** 2).sum(axis=1)
-    cost_b = 0.5 * w * ((obs - b) ** 2).sum(axis=1)
-    diff = (np.abs(cost_a - cost_b) * scale).astype(np.int64)
-    near_a = cost_a <= cost_b
-    return np.where(near_a, 0, diff), np.where(near_a, diff, 0)
-
-
-def terminal_capacities(vertices: DataFrame, obs: list[str], scale: int = 1000, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(v, to_source, to_sink) and columns to ``keep`` of rows of v, the observations, w and both centres of the vertex's component (a_, b_)."""
-
-    def work(batches):
-        for rows in batches:
-            near = lambda t: rows[[f"{t}{o}" for o in obs]].to_numpy(float)
-            source, sink = terminals(near(""), rows["w"].to_numpy(float), near("a_"), near("b_"), scale)
-            yield pd.DataFrame({"v": rows["v"], "to_source": source, "to_sink": sink} | {c: rows[c] for c in keep})
-
-    kept = "".join(f", {c} {vertices.schema[c].dataType.simpleString()}" for c in keep)
-    return vertices.mapInPandas(work, f"v long, to_source long, to_sink long{kept}")
-
-
-def split_component(obs: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray, ew: np.ndarray, reg: float, p: CutPursuitParams) -> tuple[np.ndarray, bool]:
-    """The parts that one component falls into, as smallest vertices, and whether it is saturated."""
-    n = len(obs)
-    side = first_sides(obs)
-    cap = (ew * reg * p.scale).astype(np.int64) * p.edge_multiplier
-    saturated = False
-    for _ in range(p.flow_steps):
-        wa, wb = w[~side].sum(), w[side].sum()
-        if wa == 0 or wb == 0:
-            saturated = True
-            break
-        a, b = ((w[m, None] * obs[m]).sum(axis=0) / w[m].sum() for m in (~side, side))
-        side = sink_side(n, *terminals(obs, w, a, b, p.scale), u, v, cap)
-    if saturated:
-        return np.zeros(n, np.int64), True
-    live = side[u] == side[v]
-    return parts(n, u[live], v[live]), False
-
-
-def _energy(obs: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray, ew: np.ndarray, reg: float, comp: np.ndarray) -> tuple[float, float]:
-    total = np.bincount(comp, w)
-    mean = np.stack([np.bincount(comp, w * o) / np.where(total > 0, total, 1) for o in obs.T], axis=1)
-    return float(0.5 * (w * ((obs - mean[comp]) ** 2).sum(axis=1)).sum()), float(reg * ew[comp[u] != comp[v]].sum())
-
-
-def solved(obs: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray, ew: np.ndarray, reg: float, p: CutPursuitParams) -> tuple[np.ndarray, list[Round]]:
-    """The smallest vertex of each vertex's component, and the rounds, of a whole graph."""
-    n = len(obs)
-    comp, stable, full = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
-    before = _energy(obs, w, u, v, ew, reg, comp)[0]
-    rounds: list[Round] = []
-    for number in range(1, p.max_rounds + 1):
-        live = comp[u] == comp[v]
-        by_vertex, by_edge = np.argsort(comp, kind="stable"), np.flatnonzero(live)
-        by_edge = by_edge[np.argsort(comp[u[by_edge]], kind="stable")]
-        cuts = [0, *(np.flatnonzero(np.diff(comp[by_vertex])) + 1).tolist(), n]
-        edge_comp, new, place = comp[u[by_edge]], comp.copy(), np.zeros(n, np.int64)
-        for a, b in zip(cuts, cuts[1:]):
-            own = by_vertex[a:b]
-            if stable[own[0]]:
-                continue
-            c = comp[own[0]]
-            e = by_edge[np.searchsorted(edge_comp, c, "left") : np.searchsorted(edge_comp, c, "right")]
-            place[own] = np.arange(len(own))
-            label, saturated = split_component(obs[own], w[own], place[u[e]], place[v[e]], ew[e], reg, p)
-            if number == 1 and saturated:  # the whole graph may have several parts
-                label = parts(n, u, v)
-            new[own], full[own] = own[label], saturated
-            stable[own] = number > 1 and bool((label == label[0]).all())
-        comp = new
-        fid, pen = _energy(obs, w, u, v, ew, reg, comp)
-        rounds.append(Round(number, len(np.unique(comp)), int(full.sum()), fid, pen))
-        if full.all() or before <= 0 or (before - fid - pen) / before < p.stop_ratio:
-            break
-        before = fid + pen
-    return comp, rounds
-
-
-_SOLVED = "v long, comp long, number int, components long, saturated long, fidelity double, penalty double"
-
-
-def _whole(obs: list[str], reg: float, p: CutPursuitParams):
-    def work(vertices: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        vertices = vertices.sort_values("v")
-        ids = vertices["v"].to_numpy()
-        u, v = (np.searchsorted(ids, edges[c].to_numpy()) for c in ("u", "v"))
-        comp, rounds = solved(vertices[obs].to_numpy(float), vertices["w"].to_numpy(float), u, v, edges["w"].to_numpy(float), reg, p)
-        labels = pd.DataFrame({"v": ids, "comp": ids[comp]}).astype("Int64")
-        done = pd.DataFrame([vars(r) for r in rounds]).astype({"number": "Int32", "components": "Int64", "saturated": "Int64"})
-        return pd.concat([labels, done], ignore_index=True)[["v", "comp", "number", "components", "saturated", "fidelity", "penalty"]]
-
-    return work
-
-
-def _grouped(obs: list[str], reg: float, p: CutPursuitParams):
-    def work(vertices: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        if not len(vertices):
-            return pd.DataFrame({"v": [], "comp": [], "stable": [], "saturated": []})
-        vertices = vertices.sort_values("v")
-        ids = vertices["v"].to_numpy()
-        u, v = (np.searchsorted(ids, edges[c].to_numpy()) for c in ("u", "v"))
-        label, full = split_component(vertices[obs].to_numpy(float), vertices["w"].to_numpy(float), u, v, edges["w"].to_numpy(float), reg, p)
-        return pd.DataFrame({"v": ids, "comp": ids[label], "stable": bool((label == label[0]).all()), "saturated": full})
-
-    return work
-
-
-def median_sides(vertices: DataFrame, obs: list[str], by: str = "comp") -> DataFrame:
-    """``vertices`` with side: above the component's median in its widest dimension."""
-    stats = vertices.groupBy(by).agg(*(F.var_pop(o).alias(f"_v{i}") for i, o in enumerate(obs)), *(F.percentile(o, 0.5).alias(f"_m{i}") for i, o in enumerate(obs)))
-    side = F.lit(False)
-    best = F.greatest(*(F.col(f"_v{i}") for i in range(len(obs)))) if len(obs) > 1 else F.col("_v0")
-    for i in reversed(range(len(obs))):
-        side = F.when(F.col(f"_v{i}") == best, F.col(obs[i]) > F.col(f"_m{i}")).otherwise(side)
-    return vertices.join(stats, by).withColumn("side", side).drop(*(f"_{k}{i}" for k in "vm" for i in range(len(obs))))
-
-
-def _first_split(vertices: DataFrame, edges: DataFrame, obs: list[str], reg: float, p: CutPursuitParams) -> DataFrame:
-    """(v, part, saturated) of the graph as one component."""
-    whole = written(label_vertices(vertices, edges).withColumnRenamed("label", "part").join(vertices, "v").withColumn("comp", F.lit(0)))
-    inner = written(edges.join(whole.select(F.col("v").alias("u"), F.col("part").alias("of")), "u"))
-    sides = written(median_sides(whole, obs).select("v", "side"))
-    for _ in range(p.flow_steps):
-        now = whole.join(sides, "v")
-        centred = now.join(F.broadcast(two_centers(now, obs)), "comp")
-        sides = written(centred.groupBy("part").cogroup(inner.groupBy("of")).applyInPandas(_flow(obs, reg, p), "v long, side boolean"))
-    full = two_centers(whole.join(sides, "v"), obs).first()
-    live = inner.join(sides.withColumnsRenamed({"v": "_u", "side": "su"}), F.col("u") == F.col("_u")).join(sides.withColumnsRenamed({"v": "_v", "side": "sv"}), F.col("v") == F.col("_v")).where("su = sv").select("u", "v")
-    return label_vertices(vertices, live).select("v", F.col("label").alias("part"), F.lit(bool(full is not None and full["saturated"])).alias("saturated"))
-
-
 def energy(vertices: DataFrame, edges: DataFrame, labels: DataFrame, obs: list[str], reg: float) -> tuple[float, float]:
     """Fidelity and penalty of labels (v, comp)."""
     now = vertices.join(labels.select("v", "comp"), "v")
