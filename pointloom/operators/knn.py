@@ -1,19 +1,27 @@
-"""Exact nearest neighbours by joins on grid cells.
+"""Exact nearest neighbours and gaps, over boxes in the order of a space-filling curve.
 
-Points are hashed to cells and a query looks into the 3^d cells around its own. It is settled once its k-th neighbour is no farther than
-the border of these cells; the others try again with cells twice as wide. The first cells are so small that none holds more than
-OCCUPANCY places, so dense regions cost no more than thin ones. Points at one place count once, with the k + 1 smallest ids, as no others can
-come among anyone's k nearest. Ties go to the smaller id.
+Places are dealt to regions by ranges of their position on a Z-order curve. A region finds the nearest among its own places, which bounds how far
+any other can be; a query goes on only to those regions whose box is within that bound, and these answer with what they have. The boxes of all regions,
+with their counts, are a pyramid that is broadcast: some hundred bytes for each REGION places. Inside a region the same is done with boxes of a few
+places (pointloom.functions.boxes), so that a dense part of the cloud has small boxes whatever lies around it. Places that repeat count once, with the
+k + 1 smallest ids. Ties go to the smaller id.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.plans.storage import written
+from pointloom.functions.boxes import BLOCK, FAN, SLACK, Places, Pyramid, closest
+from pointloom.operators.morton import box, position
+from pointloom.plans.storage import released, written
 
-OCCUPANCY, ROUNDS = 64, 60
+#: Places of a region, of queries and data together, about; and regions at most, beyond which regions grow instead.
+REGION, REGIONS = 1 << 16, 1 << 20
+#: Points of one label that are held together.
+CHUNK = 1 << 10
 
 
 def distance(a: list[Column], b: list[Column]) -> Column:
@@ -23,80 +31,126 @@ def distance(a: list[Column], b: list[Column]) -> Column:
     return F.sqrt(total)
 
 
-def _cells(df: DataFrame, dims: list[str], h: float, prefix: str) -> DataFrame:
-    return df.withColumns({f"{prefix}{i}": F.floor(F.col(d) / h) for i, d in enumerate(dims)})
-
-
-def _around(df: DataFrame, n: int, prefix: str) -> DataFrame:
-    """A row for each of the 3^n cells around a row's cell."""
-    for i in range(n):
-        df = df.withColumn(f"{prefix}{i}", F.explode(F.array(*(F.col(f"{prefix}{i}") + s for s in (-1, 0, 1)))))
-    return df
-
-
-def first_width(data: DataFrame, dims: list[str], occupancy: int = OCCUPANCY) -> float:
-    """The widest cell, of widths halved from the extent, that holds no more places than ``occupancy`` anywhere."""
-    box = data.agg(F.count("*"), *(f(d) for d in dims for f in (F.min, F.max))).first()
-    span = max([box[2 + 2 * i] - box[1 + 2 * i] for i in range(len(dims))] or [0.0]) if box[0] else 0.0
-    if not span:
-        return 1.0
-    h = span * (occupancy / 4 / box[0]) ** (1 / len(dims)) if box[0] > occupancy / 4 else span
-    for _ in range(10):  # four widths at a time
-        each = data.select(*dims, F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(h / 2**i).alias("h")) for i in range(4)))).alias("_w"))
-        cells = each.groupBy("_w.i", *(F.floor(F.col(d) / F.col("_w.h")).alias(f"_c{j}") for j, d in enumerate(dims))).count()
-        full = {r["i"]: r["most"] for r in cells.groupBy("i").agg(F.max("count").alias("most")).collect()}
-        fits = [i for i in range(4) if full[i] <= occupancy]
-        h /= 2 ** (fits[0] if fits else 4)
-        if fits:
-            break
-    return h
+def located(dims: list[str]) -> Column:
+    """Whether a row has a place: no coordinate is null, NaN or infinite."""
+    real = F.lit(True)
+    for d in dims:
+        real = real & F.col(d).isNotNull() & ~F.isnan(F.col(d).cast("double")) & (F.abs(F.col(d).cast("double")) < float("inf"))
+    return real
+
+
+_LIST = "array<struct<dist: double, v: bigint>>"
+
+
+def _lists(n: int, row: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> pa.Array:
+    """What nearest() found, as a list for each of n queries."""
+    ends = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(dist), pa.array(ids)], names=["dist", "v"]))
+
+
+def _region(dims: list[str], more: int):
+    """Of one partition, sorted along the curve: every query with its nearest of the partition and the bound, then the partition's places as one row."""
+
+    def work(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId()
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        data, ids = table.column("data").to_numpy(), table.column("id").to_numpy()
+        xyz = np.stack([table.column(d).to_numpy() for d in dims], axis=1)
+        places, spots = Places(xyz[data], ids[data].astype(np.int64)), xyz[~data]
+        for a in range(0, len(spots), 8192):
+            part = spots[a : a + 8192]
+            row, near, dist = places.nearest(part, more)
+            full = np.full(len(part), np.inf)
+            last = np.bincount(row, minlength=len(part)) == more
+            full[last] = dist[np.searchsorted(row, np.flatnonzero(last), "right") - 1]
+            none = pa.nulls(len(part), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number, np.int64)), *(pa.array(part[:, i]) for i in range(len(dims))), pa.array(full), _lists(len(part), row, near, dist), none, none, none, pa.nulls(len(part), pa.int64())], names=names)
+        if len(places.ids):
+            box = np.concatenate([places.points.min(axis=0), places.points.max(axis=0)])
+            one = [pa.array([number], pa.int64()), *(pa.nulls(1, pa.float64()) for _ in dims), pa.nulls(1, pa.float64()), _lists(1, *(np.empty(0, t) for t in (np.int64, np.int64, np.float64)))]
+            yield pa.RecordBatch.from_arrays([*one, pa.array([places.points.tobytes()]), pa.array([places.ids.tobytes()]), pa.array([box.tobytes()]), pa.array([len(places.ids)], pa.int64())], names=names)
+
+    names = ["region", *dims, "reach", "near", "points", "ids", "box", "n"]
+    return work, f"region bigint, {', '.join(f'{d} double' for d in dims)}, reach double, near {_LIST}, points binary, ids binary, box binary, n bigint"
+
+
+def _asked(dims: list[str], more: int, directory):
+    """The queries that another region may have neighbours for, packed by that region."""
+
+    def work(batches):
+        numbers, *boxes_of = directory.value
+        pyramid = Pyramid(*boxes_of)
+        for batch in batches:
+            q, own, reach = np.stack([batch.column(d).to_numpy() for d in dims], axis=1), batch.column("region").to_numpy(), np.array(batch.column("reach").to_numpy())
+            found: dict[int, list[int]] = {}
+            for a in range(0, len(q), BLOCK):
+                part = q[a : a + BLOCK]
+                boxes, _ = pyramid.near(part.min(axis=0), part.max(axis=0), more, float(reach[a : a + BLOCK].max()) ** 2)
+                if not (numbers[boxes][:, None] != own[a : a + BLOCK]).any():
+                    continue
+                for i in range(a, a + len(part)):
+                    boxes, limit2 = pyramid.near(q[i], q[i], more, float(reach[i]) ** 2)
+                    reach[i] = min(reach[i], np.sqrt(limit2) * SLACK)
+                    for number in numbers[boxes].tolist():
+                        if number != own[i]:
+                            found.setdefault(number, []).append(i)
+            to = list(found)
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array([q[found[t]].tobytes() for t in to], pa.binary()), pa.array([reach[found[t]].tobytes() for t in to], pa.binary())], names=["to", "spots", "reach"])
+
+    return work, "to bigint, spots binary, reach binary"
+
+
+def _answers(dims: list[str], more: int):
+    """For packed queries, beside the region they ask, each query with the nearest that the region has within its reach."""
+
+    def work(batches):
+        for batch in batches:
+            for spots, reach, points, ids in zip(*(batch.column(c).to_pylist() for c in ("spots", "reach", "points", "ids"))):
+                q = np.frombuffer(spots).reshape(-1, len(dims))
+                row, near, dist = Places(np.frombuffer(points).reshape(-1, len(dims)), np.frombuffer(ids, np.int64)).nearest(q, more, np.frombuffer(reach))
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(q[:, i])) for i in range(len(dims))), _lists(len(q), row, near, dist)], names=[*dims, "near"])
+
+    return work, f"{', '.join(f'{d} double' for d in dims)}, near {_LIST}"
 
 
 def knn_join(queries: DataFrame, data: DataFrame, k: int, dims: tuple[str, ...] = ("x", "y", "z"), query_id: str = "point_id", data_id: str = "point_id", exclude_self: bool = False) -> DataFrame:
     """(u, v, dist, rk): the k nearest of ``data`` to each of ``queries``, nearest first, fewer only if there are fewer.
 
-    With ``exclude_self``, v <> u. Ids are unique on either side.
+    With ``exclude_self``, v <> u. Ids are integers and unique on either side. Rows without a place (a null, NaN or infinite coordinate) have no neighbours and
+    are nobody's.
     """
-    n, more = len(dims), k + (1 if exclude_self else 0)
-    place = [f"_p{i}" for i in range(n)]
-    q_all = queries.select(F.col(query_id).alias("u"), *(F.col(d).cast("double").alias(p) for d, p in zip(dims, place)))
-    d_all = data.select(F.col(data_id).alias("v"), *(F.col(d).cast("double").alias(f"_d{i}") for i, d in enumerate(dims)))
-    d_cols = [f"_d{i}" for i in range(n)]
+    more, place = k + (1 if exclude_self else 0), [f"_p{i}" for i in range(len(dims))]
+    at = [F.col(d).cast("double").alias(p) for d, p in zip(dims, place)]
+    q_all = queries.where(located(dims)).select(F.col(query_id).alias("u"), *at)
+    d_all = data.where(located(dims)).select(F.lit(True).alias("data"), F.col(data_id).cast("bigint").alias("id"), *at)
     # at one place only the smallest ids can be neighbours
-    best = d_all.withColumn("_rk", F.row_number().over(Window.partitionBy(*d_cols).orderBy("v"))).where(F.col("_rk") <= more)
-    places = written(best.groupBy(*d_cols).agg(F.sort_array(F.collect_list("v")).alias("ids")))
-    spots = written(q_all.select(*place).distinct().withColumn("_q", F.xxhash64(*place)))
-    total = best.count()
-    h = first_width(places, d_cols)
-    found, open_ = None, spots
-    for _ in range(ROUNDS):
-        left = _around(_cells(open_, place, h, "_c"), n, "_c")
-        right = _cells(places, d_cols, h, "_e")
-        met = left.join(right, [F.col(f"_c{i}") == F.col(f"_e{i}") for i in range(n)])
-        met = met.withColumn("dist", distance([F.col(p) for p in place], [F.col(d) for d in d_cols])).withColumn("v", F.explode("ids"))
-        w = Window.partitionBy(*place).orderBy("dist", "v")
-        top = met.select(*place, "v", "dist", F.row_number().over(w).alias("rk")).where(F.col("rk") <= more)
-        near = top.groupBy(*place).agg(F.sort_array(F.collect_list(F.struct("rk", "v", "dist"))).alias("near"))
-        low = [F.col(p) - (F.floor(F.col(p) / h) - 1) * h for p in place]
-        high = [(F.floor(F.col(p) / h) + 2) * h - F.col(p) for p in place]
-        border = F.least(*low, *high)
-        # a point just beyond the border may tie with the k-th and have a smaller id, so the k-th must lie within
-        sure = (F.size("near") >= more) & (F.element_at("near", -1)["dist"] < border) | (F.size("near") >= total)
-        seen = written(open_.join(near, place, "left").withColumn("_sure", F.coalesce(sure, F.lit(False) if total else F.lit(True))))
-        done = seen.where("_sure").select(*place, "near")
-        found = done if found is None else found.union(done)
-        open_ = seen.where(~F.col("_sure")).select(*place)
-        if open_.isEmpty():
-            break
-        h *= 2
-    else:
-        raise RuntimeError("neighbours weren't settled")
-    rows = q_all.join(found, place).select("u", F.explode("near").alias("n")).select("u", "n.v", "n.dist", "n.rk")
-    if not exclude_self:
-        return rows
-    # of the k + 1 nearest, itself among them or not, those that remain, counted again
-    w = Window.partitionBy("u").orderBy("dist", "v")
-    return rows.where("u <> v").withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
+    best = d_all.withColumn("_rk", F.row_number().over(Window.partitionBy(*place).orderBy("id"))).where(F.col("_rk") <= more).drop("_rk")
+    spots = q_all.select(*place).distinct().select(F.lit(False).alias("data"), F.lit(0).cast("bigint").alias("id"), *place)
+    both = written(best.unionByName(spots))
+    n, low, side = box(both, place)
+    parts = max(1, -(-n // max(REGION, -(-n // REGIONS))))
+    ranged = both.withColumn("_m", position(place, low, side))
+    ranged = (ranged.repartitionByRange(parts, "_m", "data", "id") if parts > 1 else ranged.coalesce(1)).sortWithinPartitions("_m")
+    made = written(ranged.mapInArrow(*_region(place, more)))
+    released(both)
+    found = made.where("n IS NULL").select(*place, "near")
+    if parts > 1:
+        known = sorted((r["region"], r["n"], r["box"]) for r in made.where("n IS NOT NULL").select("region", "n", "box").collect())
+        boxes = np.frombuffer(b"".join(r[2] for r in known)).reshape(-1, 2, len(dims))
+        directory = queries.sparkSession.sparkContext.broadcast((np.array([r[0] for r in known], np.int64), boxes[:, 0], boxes[:, 1], np.array([r[1] for r in known], np.int64)))
+        asked = made.where("n IS NULL").select("region", *place, "reach").mapInArrow(*_asked(place, more, directory))
+        blocks = made.where("n IS NOT NULL").select(F.col("region").alias("to"), "points", "ids")
+        every = found.unionByName(asked.join(blocks, "to").mapInArrow(*_answers(place, more)))
+        found = every.groupBy(*place).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, more).alias("near"))
+    rows = q_all.join(found, place)
+    if exclude_self:
+        rows = rows.withColumn("near", F.slice(F.filter("near", lambda x: x["v"] != F.col("u")), 1, k))
+    return rows.select("u", F.posexplode("near").alias("rk", "n")).select("u", "n.v", "n.dist", (F.col("rk") + 1).alias("rk"))
 
 
 def radius_edges(knn: DataFrame, limit: float) -> DataFrame:
@@ -104,21 +158,83 @@ def radius_edges(knn: DataFrame, limit: float) -> DataFrame:
     return knn.where(F.col("dist") < limit)
 
 
+def _chunks(dims: list[str], kind: str):
+    """Of one partition, sorted by label and along the curve: a row for every CHUNK points of a label, with their box."""
+
+    def work(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId()
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        label = table.column("label").combine_chunks().dictionary_encode()
+        code, xyz = label.indices.to_numpy(), np.stack([table.column(d).to_numpy() for d in dims], axis=1)
+        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        at = np.concatenate([np.arange(a, b, CHUNK) for a, b in zip(starts, np.append(starts[1:], len(code)))])
+        low, high = np.minimum.reduceat(xyz, at), np.maximum.reduceat(xyz, at)
+        packed = [xyz[a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(code)))]
+        over = (number << 32) + np.arange(len(at)) // FAN
+        columns = [label.dictionary.take(pa.array(code[at])), pa.array(over), pa.array((number << 32) + np.arange(len(at))), pa.array(packed, pa.binary())]
+        columns += [pa.array(np.ascontiguousarray(x[:, i])) for i in range(len(dims)) for x in (low, high)]
+        yield pa.RecordBatch.from_arrays(columns, names=["label", "over", "chunk", "points", *sides])
+
+    sides = [f"{s}{i}" for i in range(len(dims)) for s in ("lo", "hi")]
+    return work, f"label {kind}, over bigint, chunk bigint, points binary, {', '.join(f'{s} double' for s in sides)}"
+
+
+def _near_boxes(met: DataFrame, n: int, limit: float, keep: list[str]) -> DataFrame:
+    """Of pairs of boxes (of a and b, of labels ci and cj) those that may hold the closest points of the two labels and are nearer than the limit."""
+    gap, far = F.lit(0.0), F.lit(0.0)
+    for i in range(n):
+        apart = F.greatest(F.lit(0.0), F.col(f"a_lo{i}") - F.col(f"b_hi{i}"), F.col(f"b_lo{i}") - F.col(f"a_hi{i}"))
+        reach = F.greatest(F.col(f"a_hi{i}") - F.col(f"b_lo{i}"), F.col(f"b_hi{i}") - F.col(f"a_lo{i}"))
+        gap, far = gap + apart * apart, far + reach * reach
+    rows = met.select("ci", "cj", *keep, gap.alias("_gap"), far.alias("_far")).where(F.col("_gap") < limit * limit * SLACK)
+    best = rows.groupBy("ci", "cj").agg(F.min("_far").alias("_best"))
+    return rows.join(best, ["ci", "cj"]).where(F.col("_gap") <= F.col("_best") * SLACK).select("ci", "cj", *keep)
+
+
+def _closest(n: int, limit: float, kind: str):
+    def work(batches):
+        for batch in batches:
+            sets = [[np.frombuffer(x).reshape(-1, n) for x in batch.column(c).to_pylist()] for c in ("a_points", "b_points")]
+            yield pa.RecordBatch.from_arrays([batch.column("ci"), batch.column("cj"), pa.array([closest(a, b, limit) for a, b in zip(*sets)], pa.float64())], names=["ci", "cj", "gap"])
+
+    return work, f"ci {kind}, cj {kind}, gap double"
+
+
 def nearest_gaps(points: DataFrame, pairs: DataFrame, limit: float, label: str = "label", dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """(ci, cj, gap): for each of ``pairs`` (ci, cj) the smallest distance between points of the two labels, if it is below ``limit``.
 
-    Only points in neighbouring cells of that width meet, and only of labels that are paired; a label's gap to itself is 0.
+    Branch and bound: a label's points are cut into chunks along the curve, and chunks gathered into boxes of FAN of them. Of a pair's boxes, then of the
+    chunks in what remains, only those stay whose least distance is within the smallest largest one, and points meet only there, again by boxes. A
+    label's gap to itself is 0; points without a place or label don't count.
     """
-    n = len(dims)
-    wanted = pairs.select("ci", "cj").distinct()
-    apart = wanted.where("ci <> cj")
-    own = _cells(points.select(F.col(label).alias("ci"), *(F.col(d).alias(f"_a{i}") for i, d in enumerate(dims))), [f"_a{i}" for i in range(n)], limit, "_c")
-    far = _cells(points.select(F.col(label).alias("cj"), *(F.col(d).alias(f"_b{i}") for i, d in enumerate(dims))), [f"_b{i}" for i in range(n)], limit, "_e")
-    own = own.distinct().join(apart.select("ci").distinct(), "ci", "left_semi")
-    far = far.distinct().join(apart.select("cj").distinct(), "cj", "left_semi")
-    # first which labels are near each other at all, by cells alone; points meet only where a pair was asked for
-    cells = _around(own.select("ci", *(f"_c{i}" for i in range(n))).distinct(), n, "_c").join(far.select("cj", *(f"_e{i}" for i in range(n))).distinct(), [F.col(f"_c{i}") == F.col(f"_e{i}") for i in range(n)])
-    near = cells.join(apart, ["ci", "cj"]).select("ci", "cj").distinct()
-    met = _around(own.join(near.withColumnRenamed("cj", "_to"), "ci"), n, "_c").join(far, [*(F.col(f"_c{i}") == F.col(f"_e{i}") for i in range(n)), F.col("_to") == F.col("cj")])
-    gap = met.select("ci", "cj", distance([F.col(f"_a{i}") for i in range(n)], [F.col(f"_b{i}") for i in range(n)]).alias("gap"))
-    return gap.groupBy("ci", "cj").agg(F.min("gap").alias("gap")).where(F.col("gap") < limit).union(wanted.where("ci = cj").withColumn("gap", F.lit(0.0)))
+    n, axes = len(dims), [f"_d{i}" for i in range(len(dims))]
+    kind = points.schema[label].dataType.simpleString()
+    wanted = pairs.select(F.col("ci").cast(kind).alias("ci"), F.col("cj").cast(kind).alias("cj")).distinct()
+    own = written(points.where(located(list(dims)) & F.col(label).isNotNull()).select(F.col(label).alias("label"), *(F.col(d).cast("double").alias(a) for d, a in zip(dims, axes))))
+    rows, low, side = box(own, axes)
+    parts = max(1, -(-rows // REGION))
+    ranged = own.withColumn("_m", position(axes, low, side))
+    ranged = (ranged.repartitionByRange(parts, "label", "_m") if parts > 1 else ranged.coalesce(1)).sortWithinPartitions("label", "_m")
+    chunks = written(ranged.mapInArrow(*_chunks(axes, kind)))
+    released(own)
+    sides = [f"{s}{i}" for i in range(n) for s in ("lo", "hi")]
+    over = chunks.groupBy("label", "over").agg(*((F.min if s.startswith("lo") else F.max)(s).alias(s) for s in sides))
+    named = lambda df, tag: df.select(*(F.col(c).alias(f"{tag}_{c}") for c in df.columns))
+    once = wanted.where("ci <> cj").select(F.least("ci", "cj").alias("ci"), F.greatest("ci", "cj").alias("cj")).distinct()
+    met = once.join(named(over, "a"), F.col("ci") == F.col("a_label")).join(named(over, "b"), F.col("cj") == F.col("b_label"))
+    met = _near_boxes(met, n, limit, ["a_over", "b_over"])
+    small = chunks.drop("points")
+    met = met.withColumnsRenamed({"a_over": "_a", "b_over": "_b"})
+    met = met.join(named(small, "a"), (F.col("_a") == F.col("a_over")) & (F.col("ci") == F.col("a_label"))).join(named(small, "b"), (F.col("_b") == F.col("b_over")) & (F.col("cj") == F.col("b_label")))
+    met = _near_boxes(met, n, limit, ["a_chunk", "b_chunk"])
+    held = chunks.select("chunk", "points")
+    met = met.join(named(held, "a"), "a_chunk").join(named(held, "b"), "b_chunk").select("ci", "cj", "a_points", "b_points")
+    gaps = met.mapInArrow(*_closest(n, limit, kind)).groupBy("ci", "cj").agg(F.min("gap").alias("gap")).where(F.col("gap") < limit)
+    found = gaps.select(F.col("ci").alias("_i"), F.col("cj").alias("_j"), "gap")
+    apart = wanted.where("ci <> cj").join(found, (F.least("ci", "cj") == F.col("_i")) & (F.greatest("ci", "cj") == F.col("_j"))).select("ci", "cj", "gap")
+    return apart.union(wanted.where("ci = cj").withColumn("gap", F.lit(0.0)))

@@ -18,11 +18,11 @@ def interleaved(cells: list[Column], bits: int) -> Column:
     return out
 
 
-def box(df: DataFrame, dims: list[str]) -> tuple[list[float], float]:
-    """The smallest place and the longest side of the cube that holds all rows."""
-    got = df.agg(*(f(d) for d in dims for f in (F.min, F.max))).first()
-    low = [float(got[2 * i] or 0.0) for i in range(len(dims))]
-    return low, max([float(got[2 * i + 1] or 0.0) - a for i, a in enumerate(low)])
+def box(df: DataFrame, dims: list[str]) -> tuple[int, list[float], float]:
+    """How many rows there are, and the smallest place and the longest side of the cube that holds them."""
+    got = df.agg(F.count("*"), *(f(d) for d in dims for f in (F.min, F.max))).first()
+    low = [float(got[1 + 2 * i] or 0.0) for i in range(len(dims))]
+    return got[0], low, max([float(got[2 + 2 * i] or 0.0) - a for i, a in enumerate(low)])
 
 
 def position(dims: list[str], low: list[float], side: float, bits: int | None = None) -> Column:

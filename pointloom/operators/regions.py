@@ -26,8 +26,7 @@ _STATE = "region bigint, " + ", ".join(f"{a} binary" for a in ARRAYS) + ", pushe
 
 def by_region(vertices: DataFrame, dims: list[str], most: int) -> DataFrame:
     """``vertices`` (v, ...) with region, numbers of ranges of about ``most`` / 2 vertices along the curve. Written, so that they hold."""
-    n = vertices.count()
-    low, side = box(vertices, dims)
+    n, low, side = box(vertices, dims)
     parts = max(1, -(-2 * n // max(1, most)))
     ranged = vertices.withColumn("_m", position(dims, low, side))
     if parts > 1:
