@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions.maxflow import parts, sink_side
 from pointloom.operators.components import label_vertices
-from pointloom.operators.groups import border_weights, crossing, two_centers, weighted_means
+from pointloom.operators.groups import border_weights, crossing, medians, two_centers, weighted_means
 from pointloom.operators.regions import by_region, cut, lines
 from pointloom.params import CutPursuitParams
 from pointloom.plans.storage import released, written
@@ -161,7 +161,8 @@ def _grouped(obs: list[str], reg: float, p: CutPursuitParams):
 
 def median_sides(vertices: DataFrame, obs: list[str], by: str = "comp") -> DataFrame:
     """``vertices`` with side: above the component's median in its widest dimension."""
-    stats = vertices.groupBy(by).agg(*(F.var_pop(o).alias(f"_v{i}") for i, o in enumerate(obs)), *(F.percentile(o, 0.5).alias(f"_m{i}") for i, o in enumerate(obs)))
+    middle = medians(vertices, [by], tuple(obs)).withColumnsRenamed({f"med_{o}": f"_m{i}" for i, o in enumerate(obs)})
+    stats = vertices.groupBy(by).agg(*(F.var_pop(o).alias(f"_v{i}") for i, o in enumerate(obs))).join(middle, by)
     side = F.lit(False)
     best = F.greatest(*(F.col(f"_v{i}") for i in range(len(obs)))) if len(obs) > 1 else F.col("_v0")
     for i in reversed(range(len(obs))):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.operators.voxels import AXES
+from pointloom.plans.storage import released, written
 
 
 def centroids(points: DataFrame, by: list[str], axes: tuple[str, ...] = AXES) -> DataFrame:
@@ -47,9 +48,61 @@ def elevation_length(points: DataFrame, by: list[str]) -> DataFrame:
     return points.groupBy(*by).agg(F.min("z").alias("elev"), (F.max("z") - F.min("z")).alias("len"))
 
 
+#: Distinct values of a group that are ranked in one task, and stretches that more of them are counted in.
+RANKED, STRETCHES = 1 << 16, 1 << 10
+
+
+def _beside(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """``left`` with the columns of ``right``, which has a row for each key; null keys meet too."""
+    other = right.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(key)})
+    return left.join(other, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]).drop(*(f"_k{i}" for i in range(len(key))))
+
+
+def _narrowed(values: DataFrame, todo: DataFrame, key: list[str]) -> DataFrame:
+    """``todo`` with each group's band cut to the stretch that has the wanted ranks; with their values where two stretches have them, or one value alone."""
+    band = _beside(values, todo.select(*key, "lo", "hi"), key).where("value BETWEEN lo AND hi")
+    share = F.try_divide(F.col("value") / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2)  # halved, lest the difference overflows
+    stretch = F.least(F.floor(F.coalesce(share, (F.col("value") > F.col("lo")).cast("double")) * STRETCHES), F.lit(STRETCHES - 1))
+    counts = band.groupBy(*key, stretch.alias("_s")).agg(F.sum("m").alias("c"), F.count("*").alias("d"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*key).orderBy("_s")))
+    both = _beside(upto, todo.select(*key, "place", "k1", "k2", "below"), key).withColumn("from", F.col("below") + F.col("upto") - F.col("c"))
+    of = lambda k, c: F.max(F.when((F.col("from") <= F.col(k)) & (F.col(k) < F.col("from") + F.col("c")), F.col(c)))
+    each = both.groupBy(*key).agg(*(F.first(c).alias(c) for c in ("place", "k1", "k2")), of("k1", "from").alias("below"), of("k1", "lo").alias("lo"), of("k1", "hi").alias("hi"), of("k1", "d").alias("distinct"), of("k2", "lo").alias("_lo2"))
+    apart, alone = F.col("lo") < F.col("_lo2"), F.col("distinct") == 1
+    return each.withColumn("v1", F.when(apart | alone, F.col("hi"))).withColumn("v2", F.when(apart, F.col("_lo2")).when(alone, F.col("hi"))).drop("_lo2")
+
+
+def quantiles(points: DataFrame, by: list[str], share: float, axes: tuple[str, ...] = AXES, name: str = "q") -> DataFrame:
+    """Exact interpolated quantiles (name_axis) of each group, by selection: count, narrow, repeat.
+
+    Equal values are one row with a count. While a group has more than RANKED distinct values between its bounds, they are counted in STRETCHES equal
+    stretches, and the one that has the wanted ranks is the next band. Nulls and numbers that aren't finite don't count; a group of nothing else has no row.
+    """
+    if not 0 <= share <= 1:
+        raise ValueError("share must be from 0 to 1")
+    key = [*by, "axis"]
+    long = points.select(*by, F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(a).cast("double").alias("value")) for a in axes))).alias("_a")).select(*by, "_a.axis", "_a.value")
+    values = written(long.where("abs(value) < double('infinity')").groupBy(*key, "value").agg(F.count("*").alias("m")))
+    place, none = F.lit(share) * (F.sum("m") - 1), F.lit(None).cast("double")
+    todo = values.groupBy(*key).agg(place.alias("place"), F.floor(place).alias("k1"), F.ceil(place).alias("k2"), F.lit(0).cast("bigint").alias("below"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("distinct"))
+    todo = written(todo.withColumn("v1", none).withColumn("v2", none))
+    large = F.col("v1").isNull() & (F.col("distinct") > RANKED)
+    while not todo.where(large).isEmpty():
+        last, todo = todo, written(_narrowed(values, todo.where(large), key).unionByName(todo.where(~large)))
+        released(last)
+    band = _beside(values, todo.where("v1 IS NULL").drop("v1", "v2", "distinct"), key).where("value BETWEEN lo AND hi")
+    ranked = band.withColumn("upto", F.col("below") + F.sum("m").over(Window.partitionBy(*key).orderBy("value")))
+    first = lambda k: F.min(F.when(F.col("upto") > F.col(k), F.col("value")))
+    found = ranked.groupBy(*key).agg(F.first("place").alias("place"), first("k1").alias("v1"), first("k2").alias("v2"))
+    found = found.unionByName(todo.where("v1 IS NOT NULL").select(*key, "place", "v1", "v2"))
+    part = F.col("place") - F.floor("place")
+    each = found.withColumn("q", (1 - part) * F.col("v1") + part * F.col("v2"))
+    return each.groupBy(*by).agg(*(F.max(F.when(F.col("axis") == a, F.col("q"))).alias(f"{name}_{a}") for a in axes))
+
+
 def medians(points: DataFrame, by: list[str], axes: tuple[str, ...] = AXES) -> DataFrame:
-    """Exact interpolated medians. Values are counted by group first, so that repeated ones travel once."""
-    return points.groupBy(*by).agg(*(F.percentile(a, 0.5).alias(f"med_{a}") for a in axes))
+    """Exact interpolated medians (med_axis) of each group."""
+    return quantiles(points, by, 0.5, axes, "med")
 
 
 def widest_axis(points: DataFrame, by: list[str], axes: tuple[str, ...] = AXES) -> DataFrame:
