@@ -11,6 +11,7 @@ Graphs: vertices(v, o1..oD, w) and edges(u, v, w), each edge once.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,13 +32,14 @@ REGION = 1 << 17
 
 @dataclass(frozen=True)
 class Round:
-    """One round: how many components, vertices of saturated ones, and the energy."""
+    """One round: how many components, vertices of saturated ones, the energy, and how long it took."""
 
     number: int
     components: int
     saturated: int
     fidelity: float
     penalty: float
+    seconds: float = 0.0
 
     @property
     def energy(self) -> float:
@@ -104,6 +106,7 @@ def solved(obs: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray, ew: np.
     before = _energy(obs, w, u, v, ew, reg, comp)[0]
     rounds: list[Round] = []
     for number in range(1, p.max_rounds + 1):
+        began = time.perf_counter()
         live = comp[u] == comp[v]
         by_vertex, by_edge = np.argsort(comp, kind="stable"), np.flatnonzero(live)
         by_edge = by_edge[np.argsort(comp[u[by_edge]], kind="stable")]
@@ -123,14 +126,15 @@ def solved(obs: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray, ew: np.
             stable[own] = number > 1 and bool((label == label[0]).all())
         comp = new
         fid, pen = _energy(obs, w, u, v, ew, reg, comp)
-        rounds.append(Round(number, len(np.unique(comp)), int(full.sum()), fid, pen))
+        rounds.append(Round(number, len(np.unique(comp)), int(full.sum()), fid, pen, time.perf_counter() - began))
         if full.all() or before <= 0 or (before - fid - pen) / before < p.stop_ratio:
             break
         before = fid + pen
     return comp, rounds
 
 
-_SOLVED = "v long, comp long, number int, components long, saturated long, fidelity double, penalty double"
+_ROUND = ["number", "components", "saturated", "fidelity", "penalty", "seconds"]
+_SOLVED = "key long, v long, comp long, number int, components long, saturated long, fidelity double, penalty double, seconds double"
 
 
 def _whole(obs: list[str], reg: float, p: CutPursuitParams):
@@ -141,7 +145,9 @@ def _whole(obs: list[str], reg: float, p: CutPursuitParams):
         comp, rounds = solved(vertices[obs].to_numpy(float), vertices["w"].to_numpy(float), u, v, edges["w"].to_numpy(float), reg, p)
         labels = pd.DataFrame({"v": ids, "comp": ids[comp]}).astype("Int64")
         done = pd.DataFrame([vars(r) for r in rounds]).astype({"number": "Int32", "components": "Int64", "saturated": "Int64"})
-        return pd.concat([labels, done], ignore_index=True)[["v", "comp", "number", "components", "saturated", "fidelity", "penalty"]]
+        out = pd.concat([labels, done], ignore_index=True)
+        out["key"] = int(vertices["key"].iloc[0])
+        return out[["key", "v", "comp", *_ROUND]]
 
     return work
 
@@ -195,14 +201,20 @@ def split_large(vertices: DataFrame, edges: DataFrame, obs: list[str], reg: floa
     return out
 
 
-def energy(vertices: DataFrame, edges: DataFrame, labels: DataFrame, obs: list[str], reg: float) -> tuple[float, float]:
-    """Fidelity and penalty of labels (v, comp)."""
+def energies(vertices: DataFrame, edges: DataFrame, labels: DataFrame, obs: list[str], reg: float) -> DataFrame:
+    """(key, fidelity, penalty) of labels (v, comp), for each key of vertices and edges."""
     now = vertices.join(labels.select("v", "comp"), "v")
     near = now.join(weighted_means(now, ["comp"], obs), "comp")
     square = sum((F.col(o) - F.col(f"m_{o}")) * (F.col(o) - F.col(f"m_{o}")) for o in obs)
-    fid = near.agg(F.sum(0.5 * F.col("w") * square)).first()[0] or 0.0
-    pen = crossing(edges, labels).agg(F.sum("w")).first()[0] or 0.0
-    return fid, reg * pen
+    fid = near.groupBy("key").agg(F.sum(0.5 * F.col("w") * square).alias("fidelity"))
+    pen = crossing(edges, labels).groupBy("key").agg((F.lit(float(reg)) * F.sum("w")).alias("penalty"))
+    return fid.join(pen, "key", "left").select("key", "fidelity", F.coalesce("penalty", F.lit(0.0)).alias("penalty"))
+
+
+def energy(vertices: DataFrame, edges: DataFrame, labels: DataFrame, obs: list[str], reg: float) -> tuple[float, float]:
+    """Fidelity and penalty of labels (v, comp)."""
+    one = energies(vertices.withColumn("key", F.lit(0)), edges.withColumn("key", F.lit(0)), labels, obs, reg).first()
+    return (one["fidelity"] or 0.0, one["penalty"]) if one else (0.0, 0.0)
 
 
 def cut_pursuit(vertices: DataFrame, edges: DataFrame, obs: list[str], reg: float, params: CutPursuitParams | None = None) -> tuple[DataFrame, list[Round]]:
@@ -211,35 +223,57 @@ def cut_pursuit(vertices: DataFrame, edges: DataFrame, obs: list[str], reg: floa
     Rounds end when all vertices are in saturated components, when the energy falls by less than stop_ratio of it, or at max_rounds. The round that
     ends them counts. A component that was left whole once is left alone from then on.
     """
+    labels, rounds = cut_pursuits(vertices, edges, obs, reg, params)
+    return labels, [Round(*r) for r in rounds.orderBy("number").select(*_ROUND).collect()]
+
+
+def cut_pursuits(vertices: DataFrame, edges: DataFrame, obs: list[str], reg: float, params: CutPursuitParams | None = None, by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """As cut_pursuit() for many graphs at once, one for each value of ``by``, an integer column of vertices; edges join vertices of one graph.
+
+    The rounds come as a table (key, number, components, saturated, fidelity, penalty, seconds). Graphs share their jobs, and each ends by itself.
+    """
     p = params or CutPursuitParams()
-    vertices = written(vertices.select("v", *(F.col(o).cast("double").alias(o) for o in obs), F.col("w").cast("double").alias("w")))
-    edges = written(edges.where("u <> v").select("u", "v", F.col("w").cast("double").alias("w")))
-    n = vertices.count()
-    if not n:
-        return vertices.select("v", F.col("v").alias("comp")), []
-    if n <= REGION:
-        one = vertices.groupBy(F.lit(0).alias("k")).cogroup(edges.groupBy(F.lit(0).alias("k")))
-        made = written(one.applyInPandas(_whole(obs, reg, p), _SOLVED))
-        rounds = [Round(*r) for r in made.where("number IS NOT NULL").orderBy("number").select("number", "components", "saturated", "fidelity", "penalty").collect()]
-        out = made.where("v IS NOT NULL").select("v", "comp")
-        return (merge_back(vertices, edges, out, obs, reg, p) if p.cutoff > 0 or p.merge_step else out), rounds
-    labels = vertices.select("v", F.lit(-1).cast("bigint").alias("comp"), F.lit(False).alias("stable"), F.lit(False).alias("saturated"))
-    before = energy(vertices, edges.limit(0), labels, obs, reg)[0]
-    rounds: list[Round] = []
+    key = (F.col(by) if by else F.lit(0)).cast("bigint").alias("key")
+    vertices = written(vertices.select("v", key, *(F.col(o).cast("double").alias(o) for o in obs), F.col("w").cast("double").alias("w")))
+    edges = edges.where("u <> v").select("u", "v", F.col("w").cast("double").alias("w"))
+    edges = written(edges.join(vertices.select(F.col("v").alias("u"), "key"), "u") if by else edges.withColumn("key", F.lit(0).cast("bigint")))
+    large = written(vertices.groupBy("key").count().where(F.col("count") > REGION).select("key"))
+    some = not large.isEmpty()
+    only = lambda df, how: df.join(large, "key", how) if some else df
+    one = only(vertices, "left_anti").groupBy("key").cogroup(only(edges, "left_anti").groupBy("key"))
+    made = written(one.applyInPandas(_whole(obs, reg, p), _SOLVED))
+    labels, rounds = made.where("v IS NOT NULL").select("v", "comp"), made.where("number IS NOT NULL").select("key", *_ROUND)
+    if some:
+        more, what = _in_rounds(written(only(vertices, "left_semi")), written(only(edges, "left_semi")), obs, reg, p)
+        labels, rounds = labels.unionByName(more), rounds.unionByName(what)
+    return (merge_back(vertices, edges, labels, obs, reg, p) if p.cutoff > 0 or p.merge_step else labels), rounds
+
+
+def _in_rounds(vertices: DataFrame, edges: DataFrame, obs: list[str], reg: float, p: CutPursuitParams) -> tuple[DataFrame, DataFrame]:
+    """The labels and the rounds of graphs of more than REGION vertices."""
+    labels = vertices.select("v", "key", F.col("key").alias("comp"), F.lit(False).alias("stable"), F.lit(False).alias("saturated"))
+    sizes = vertices.groupBy("key").agg(F.count("*").alias("n"))
+    open_ = written(energies(vertices, edges.limit(0), labels, obs, reg).join(sizes, "key").select("key", "n", F.col("fidelity").alias("before")))
+    rounds = None
     for number in range(1, p.max_rounds + 1):
-        last, labels = labels, written(_round(vertices, edges, labels, obs, reg, p, number == 1))
+        began, last = time.perf_counter(), labels
+        labels = written(_round(vertices, edges, labels, obs, reg, p, number == 1).join(vertices.select("v", "key"), "v"))
+        counts = labels.groupBy("key").agg(F.countDistinct("comp").alias("components"), F.sum(F.col("saturated").cast("long")).alias("saturated"))
+        now = open_.join(counts, "key").join(energies(vertices, edges, labels, obs, reg), "key")
+        total = F.col("fidelity") + F.col("penalty")
+        ended = (F.col("saturated") == F.col("n")) | (F.col("before") <= 0) | (F.try_divide(F.col("before") - total, F.col("before")) < p.stop_ratio)
+        now = written(now.select("key", "n", F.lit(number).alias("number"), "components", "saturated", "fidelity", "penalty", total.alias("before"), ended.alias("ended")))
+        one = now.withColumn("seconds", F.lit(time.perf_counter() - began)).select("key", *_ROUND)
+        rounds = one if rounds is None else rounds.unionByName(one)
         if number > 1:
             released(last)
-        row = labels.agg(F.countDistinct("comp"), F.sum(F.col("saturated").cast("long"))).first()
-        fid, pen = energy(vertices, edges, labels, obs, reg)
-        rounds.append(Round(number, row[0], row[1], fid, pen))
-        if row[1] == n or before <= 0 or (before - fid - pen) / before < p.stop_ratio:
+        open_ = now.where("NOT ended").select("key", "n", "before")
+        if open_.isEmpty():
             break
-        before = fid + pen
-    out = labels.select("v", "comp")
-    if p.cutoff > 0 or p.merge_step:
-        out = merge_back(vertices, edges, out, obs, reg, p)
-    return out, rounds
+        if not now.where("ended").isEmpty():
+            over = now.where("ended").select("key", F.lit(True).alias("_over"))
+            labels = written(labels.join(over, "key", "left").withColumn("stable", F.col("stable") | F.coalesce("_over", F.lit(False))).drop("_over"))
+    return labels.select("v", "comp"), rounds
 
 
 def _round(vertices: DataFrame, edges: DataFrame, labels: DataFrame, obs: list[str], reg: float, p: CutPursuitParams, first: bool) -> DataFrame:
@@ -253,7 +287,7 @@ def _round(vertices: DataFrame, edges: DataFrame, labels: DataFrame, obs: list[s
         within = edges.join(own.withColumnRenamed("v", "_u"), F.col("u") == F.col("_u")).join(ends, F.col("v") == F.col("_v")).where("c = _c")
         return own.join(vertices, "v"), within.select(F.col("c").alias("of"), "u", "v", "w")
 
-    out = labels.where("stable")
+    out = labels.where("stable").select("v", "comp", "stable", "saturated")
     if some:
         own, within = inner(todo.join(big, "c", "left_semi"))
         split = split_large(own.withColumnRenamed("c", "comp"), within.select("u", "v", "w"), obs, reg, p)
@@ -264,6 +298,7 @@ def _round(vertices: DataFrame, edges: DataFrame, labels: DataFrame, obs: list[s
         todo = todo.join(big, "c", "left_anti")
     if not first:
         own, within = inner(todo)
+        own = own.drop("key")
         made = own.groupBy("c").cogroup(within.groupBy("of")).applyInPandas(_grouped(obs, reg, p), "v long, comp long, stable boolean, saturated boolean")
         out = out.unionByName(made)
     return out

@@ -22,6 +22,8 @@ from pointloom.plans.storage import released, written
 REGION, REGIONS = 1 << 16, 1 << 20
 #: Points of one label that are held together.
 CHUNK = 1 << 10
+#: Rows of a batch that a region passes on.
+ROWS = 1 << 13
 
 
 def distance(a: list[Column], b: list[Column]) -> Column:
@@ -42,14 +44,8 @@ def located(dims: list[str]) -> Column:
 _LIST = "array<struct<dist: double, v: bigint>>"
 
 
-def _lists(n: int, row: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> pa.Array:
-    """What nearest() found, as a list for each of n queries."""
-    ends = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(dist), pa.array(ids)], names=["dist", "v"]))
-
-
 def _region(dims: list[str], more: int):
-    """Of one partition, sorted along the curve: every query with its nearest of the partition and the bound, then the partition's places as one row."""
+    """Of one partition, sorted by key and along the curve: every query with its nearest of the partition and the bound, then each key's places as one row."""
 
     def work(batches):
         from pyspark import TaskContext
@@ -59,50 +55,62 @@ def _region(dims: list[str], more: int):
         if not held:
             return
         table = pa.Table.from_batches(held)
-        data, ids = table.column("data").to_numpy(), table.column("id").to_numpy()
+        key, data, ids = (table.column(c).to_numpy() for c in ("key", "data", "id"))
         xyz = np.stack([table.column(d).to_numpy() for d in dims], axis=1)
-        places, spots = Places(xyz[data], ids[data].astype(np.int64)), xyz[~data]
-        for a in range(0, len(spots), 8192):
-            part = spots[a : a + 8192]
-            row, near, dist = places.nearest(part, more)
-            full = np.full(len(part), np.inf)
-            last = np.bincount(row, minlength=len(part)) == more
-            full[last] = dist[np.searchsorted(row, np.flatnonzero(last), "right") - 1]
-            none = pa.nulls(len(part), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number, np.int64)), *(pa.array(part[:, i]) for i in range(len(dims))), pa.array(full), _lists(len(part), row, near, dist), none, none, none, pa.nulls(len(part), pa.int64())], names=names)
-        if len(places.ids):
-            box = np.concatenate([places.points.min(axis=0), places.points.max(axis=0)])
-            one = [pa.array([number], pa.int64()), *(pa.nulls(1, pa.float64()) for _ in dims), pa.nulls(1, pa.float64()), _lists(1, *(np.empty(0, t) for t in (np.int64, np.int64, np.float64)))]
-            yield pa.RecordBatch.from_arrays([*one, pa.array([places.points.tobytes()]), pa.array([places.ids.tobytes()]), pa.array([box.tobytes()]), pa.array([len(places.ids)], pa.int64())], names=names)
-
-    names = ["region", *dims, "reach", "near", "points", "ids", "box", "n"]
-    return work, f"region bigint, {', '.join(f'{d} double' for d in dims)}, reach double, near {_LIST}, points binary, ids binary, box binary, n bigint"
+        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+        spots, blocks = [], []
+        for a, b in zip(cuts, cuts[1:]):
+            own = data[a:b]
+            places, q = Places(xyz[a:b][own], ids[a:b][own].astype(np.int64)), xyz[a:b][~own]
+            row, near, dist = places.nearest(q, more)
+            reach = np.full(len(q), np.inf)
+            last = np.bincount(row, minlength=len(q)) == more
+            reach[last] = dist[np.searchsorted(row, np.flatnonzero(last), "right") - 1]
+            spots.append((np.full(len(q), key[a]), q, reach, np.bincount(row, minlength=len(q)), near, dist))
+            if len(places.ids):
+                blocks.append((key[a], places.points.tobytes(), places.ids.tobytes(), np.concatenate([places.points.min(axis=0), places.points.max(axis=0)]).tobytes(), len(places.ids)))
+        keys, q, reach, many, near, dist = (np.concatenate(x) for x in zip(*spots))
+        ends = np.concatenate([[0], np.cumsum(many)])
+        for a in range(0, len(q), ROWS):
+            b = min(a + ROWS, len(q))
+            found = pa.ListArray.from_arrays(pa.array((ends[a : b + 1] - ends[a]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(x[ends[a] : ends[b]]) for x in (dist, near)], names=["dist", "v"]))
+            none = pa.nulls(b - a, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, number, np.int64)), pa.array(keys[a:b]), *(pa.array(np.ascontiguousarray(q[a:b, i])) for i in range(len(dims))), pa.array(reach[a:b]), found, none, none, none, pa.nulls(b - a, pa.int64())], names=names)
+        for one in blocks:
+            head = [pa.array([number], pa.int64()), pa.array([one[0]], pa.int64()), *(pa.nulls(1, pa.float64()) for _ in range(len(dims) + 1)), pa.nulls(1, lists)]
+            yield pa.RecordBatch.from_arrays([*head, *(pa.array([x]) for x in one[1:])], names=names)
+
+    names, lists = ["region", "key", *dims, "reach", "near", "points", "ids", "box", "n"], pa.list_(pa.struct([("dist", pa.float64()), ("v", pa.int64())]))
+    return work, f"region bigint, key bigint, {', '.join(f'{d} double' for d in dims)}, reach double, near {_LIST}, points binary, ids binary, box binary, n bigint"
 
 
 def _asked(dims: list[str], more: int, directory):
     """The queries that another region may have neighbours for, packed by that region."""
 
     def work(batches):
-        numbers, *boxes_of = directory.value
-        pyramid = Pyramid(*boxes_of)
+        pyramids = {key: (numbers, Pyramid(*boxes)) for key, (numbers, *boxes) in directory.value.items()}
         for batch in batches:
-            q, own, reach = np.stack([batch.column(d).to_numpy() for d in dims], axis=1), batch.column("region").to_numpy(), np.array(batch.column("reach").to_numpy())
-            found: dict[int, list[int]] = {}
-            for a in range(0, len(q), BLOCK):
-                part = q[a : a + BLOCK]
-                boxes, _ = pyramid.near(part.min(axis=0), part.max(axis=0), more, float(reach[a : a + BLOCK].max()) ** 2)
-                if not (numbers[boxes][:, None] != own[a : a + BLOCK]).any():
+            q, key, own, reach = np.stack([batch.column(d).to_numpy() for d in dims], axis=1), batch.column("key").to_numpy(), batch.column("region").to_numpy(), np.array(batch.column("reach").to_numpy())
+            found: dict[tuple[int, int], list[int]] = {}
+            cuts = np.unique(np.concatenate([np.arange(0, len(q), BLOCK), np.flatnonzero(np.diff(key)) + 1, [len(q)]]))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if int(key[a]) not in pyramids:
+                    continue
+                numbers, pyramid = pyramids[int(key[a])]
+                boxes, _ = pyramid.near(q[a:b].min(axis=0), q[a:b].max(axis=0), more, float(reach[a:b].max()) ** 2)
+                if not (numbers[boxes][:, None] != own[a:b]).any():
                     continue
-                for i in range(a, a + len(part)):
+                for i in range(a, b):
                     boxes, limit2 = pyramid.near(q[i], q[i], more, float(reach[i]) ** 2)
                     reach[i] = min(reach[i], np.sqrt(limit2) * SLACK)
                     for number in numbers[boxes].tolist():
                         if number != own[i]:
-                            found.setdefault(number, []).append(i)
+                            found.setdefault((number, int(key[a])), []).append(i)
             to = list(found)
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array([q[found[t]].tobytes() for t in to], pa.binary()), pa.array([reach[found[t]].tobytes() for t in to], pa.binary())], names=["to", "spots", "reach"])
+            packed = [pa.array([x[found[t]].tobytes() for t in to], pa.binary()) for x in (q, reach)]
+            yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in to], pa.int64()), pa.array([t[1] for t in to], pa.int64()), *packed], names=["to", "key", "spots", "reach"])
 
-    return work, "to bigint, spots binary, reach binary"
+    return work, "to bigint, key bigint, spots binary, reach binary"
 
 
 def _answers(dims: list[str], more: int):
@@ -110,44 +118,57 @@ def _answers(dims: list[str], more: int):
 
     def work(batches):
         for batch in batches:
-            for spots, reach, points, ids in zip(*(batch.column(c).to_pylist() for c in ("spots", "reach", "points", "ids"))):
+            for key, spots, reach, points, ids in zip(*(batch.column(c).to_pylist() for c in ("key", "spots", "reach", "points", "ids"))):
                 q = np.frombuffer(spots).reshape(-1, len(dims))
                 row, near, dist = Places(np.frombuffer(points).reshape(-1, len(dims)), np.frombuffer(ids, np.int64)).nearest(q, more, np.frombuffer(reach))
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(q[:, i])) for i in range(len(dims))), _lists(len(q), row, near, dist)], names=[*dims, "near"])
+                ends = np.searchsorted(row, np.arange(len(q) + 1)).astype(np.int32)
+                found = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(dist), pa.array(near)], names=["dist", "v"]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), key, np.int64)), *(pa.array(np.ascontiguousarray(q[:, i])) for i in range(len(dims))), found], names=["key", *dims, "near"])
 
-    return work, f"{', '.join(f'{d} double' for d in dims)}, near {_LIST}"
+    return work, f"key bigint, {', '.join(f'{d} double' for d in dims)}, near {_LIST}"
 
 
-def knn_join(queries: DataFrame, data: DataFrame, k: int, dims: tuple[str, ...] = ("x", "y", "z"), query_id: str = "point_id", data_id: str = "point_id", exclude_self: bool = False) -> DataFrame:
+def knn_join(queries: DataFrame, data: DataFrame, k: int, dims: tuple[str, ...] = ("x", "y", "z"), query_id: str = "point_id", data_id: str = "point_id", exclude_self: bool = False, by: str | None = None) -> DataFrame:
     """(u, v, dist, rk): the k nearest of ``data`` to each of ``queries``, nearest first, fewer only if there are fewer.
 
-    With ``exclude_self``, v <> u. Ids are integers and unique on either side. Rows without a place (a null, NaN or infinite coordinate) have no neighbours and
+    With ``exclude_self``, v <> u. Ids are integers and unique on either side. With ``by``, an integer column of both such as the cloud, only rows of one value
+    are each other's neighbours; all values share the same jobs. Rows without a place (a null, NaN or infinite coordinate) have no neighbours and
     are nobody's.
     """
     more, place = k + (1 if exclude_self else 0), [f"_p{i}" for i in range(len(dims))]
     at = [F.col(d).cast("double").alias(p) for d, p in zip(dims, place)]
-    q_all = queries.where(located(dims)).select(F.col(query_id).alias("u"), *at)
-    d_all = data.where(located(dims)).select(F.lit(True).alias("data"), F.col(data_id).cast("bigint").alias("id"), *at)
+    key = (F.col(by) if by else F.lit(0)).cast("bigint").alias("key")
+    q_all = queries.where(located(dims)).select(F.col(query_id).alias("u"), key, *at)
+    d_all = data.where(located(dims)).select(F.lit(True).alias("data"), key, F.col(data_id).cast("bigint").alias("id"), *at)
     # at one place only the smallest ids can be neighbours
-    best = d_all.withColumn("_rk", F.row_number().over(Window.partitionBy(*place).orderBy("id"))).where(F.col("_rk") <= more).drop("_rk")
-    spots = q_all.select(*place).distinct().select(F.lit(False).alias("data"), F.lit(0).cast("bigint").alias("id"), *place)
+    best = d_all.withColumn("_rk", F.row_number().over(Window.partitionBy("key", *place).orderBy("id"))).where(F.col("_rk") <= more).drop("_rk")
+    spots = q_all.select("key", *place).distinct().select(F.lit(False).alias("data"), "key", F.lit(0).cast("bigint").alias("id"), *place)
     both = written(best.unionByName(spots))
-    n, low, side = box(both, place)
+    if by:
+        stats = both.groupBy(F.col("key").alias("_k")).agg(*(f(p).alias(f"_{n}{i}") for i, p in enumerate(place) for n, f in (("lo", F.min), ("hi", F.max))))
+        side = F.greatest(*(F.col(f"_hi{i}") - F.col(f"_lo{i}") for i in range(len(place))))
+        n, located_ = both.count(), both.join(stats, F.col("key") == F.col("_k"))
+        ranged = located_.withColumn("_m", position(place, [F.col(f"_lo{i}") for i in range(len(place))], side)).select(*both.columns, "_m")
+    else:
+        n, low, side = box(both, place)
+        ranged = both.withColumn("_m", position(place, low, side))
     parts = max(1, -(-n // max(REGION, -(-n // REGIONS))))
-    ranged = both.withColumn("_m", position(place, low, side))
-    ranged = (ranged.repartitionByRange(parts, "_m", "data", "id") if parts > 1 else ranged.coalesce(1)).sortWithinPartitions("_m")
+    ranged = (ranged.repartitionByRange(parts, "key", "_m", "data", "id") if parts > 1 else ranged.coalesce(1)).sortWithinPartitions("key", "_m")
     made = written(ranged.mapInArrow(*_region(place, more)))
     released(both)
-    found = made.where("n IS NULL").select(*place, "near")
+    found = made.where("n IS NULL").select("key", *place, "near")
     if parts > 1:
-        known = sorted((r["region"], r["n"], r["box"]) for r in made.where("n IS NOT NULL").select("region", "n", "box").collect())
-        boxes = np.frombuffer(b"".join(r[2] for r in known)).reshape(-1, 2, len(dims))
-        directory = queries.sparkSession.sparkContext.broadcast((np.array([r[0] for r in known], np.int64), boxes[:, 0], boxes[:, 1], np.array([r[1] for r in known], np.int64)))
-        asked = made.where("n IS NULL").select("region", *place, "reach").mapInArrow(*_asked(place, more, directory))
-        blocks = made.where("n IS NOT NULL").select(F.col("region").alias("to"), "points", "ids")
-        every = found.unionByName(asked.join(blocks, "to").mapInArrow(*_answers(place, more)))
-        found = every.groupBy(*place).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, more).alias("near"))
-    rows = q_all.join(found, place)
+        # ranges are consecutive, so at most one key in a region goes on into the next
+        wide = made.groupBy("key").agg(F.min("region").alias("a"), F.max("region").alias("b")).where("a < b").select("key")
+        directory: dict = {}
+        for r in sorted(made.where("n IS NOT NULL").join(wide, "key", "left_semi").select("key", "region", "n", "box").collect()):
+            directory.setdefault(r["key"], []).append((r["region"], r["n"], np.frombuffer(r["box"]).reshape(2, -1)))
+        packed = {x: (np.array([e[0] for e in rows], np.int64), np.stack([e[2][0] for e in rows]), np.stack([e[2][1] for e in rows]), np.array([e[1] for e in rows], np.int64)) for x, rows in directory.items()}
+        asked = made.where("n IS NULL").select("region", "key", *place, "reach").mapInArrow(*_asked(place, more, queries.sparkSession.sparkContext.broadcast(packed)))
+        blocks = made.where("n IS NOT NULL").select(F.col("region").alias("to"), "key", "points", "ids")
+        every = found.unionByName(asked.join(blocks, ["to", "key"]).mapInArrow(*_answers(place, more)))
+        found = every.groupBy("key", *place).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, more).alias("near"))
+    rows = q_all.join(found, ["key", *place])
     if exclude_self:
         rows = rows.withColumn("near", F.slice(F.filter("near", lambda x: x["v"] != F.col("u")), 1, k))
     return rows.select("u", F.posexplode("near").alias("rk", "n")).select("u", "n.v", "n.dist", (F.col("rk") + 1).alias("rk"))

@@ -69,63 +69,89 @@ def _closest(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").groupBy("a", "b").agg(F.min(d).alias("d3"))
 
 
-def merge_pass(points: DataFrame, clusters: DataFrame, p: SegmentationParams, first: bool) -> tuple[DataFrame, int, DataFrame, DataFrame]:
-    """One pass over points (init, x, y, z) and clusters (init, cx, cy, cz, g).
+def merge_pass(points: DataFrame, clusters: DataFrame, p: SegmentationParams, first: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """One pass over points (cloud, init, x, y, z) and clusters (cloud, init, cx, cy, cz, g) of any number of clouds; init and g are of one cloud each.
 
-    Returns the clusters with new g, how many groups were to merge, the groups that stayed as targets (g) and the features.
+    Returns the clusters with new g, how many groups were to merge in each cloud (cloud, n), the groups that stayed as targets (g) and the features.
     """
-    features = written(group_features(points.join(clusters.select("init", "g"), "init").select("g", "x", "y", "z"), p))
+    whose = clusters.select("g", "cloud").distinct()
+    grouped = points.join(clusters.select("init", "g"), "init").select("g", "x", "y", "z")
+    features = written(group_features(grouped, p).join(whose, "g"))
     flat = ("fx", "fy")
-    near = written(knn_join(features, features, p.min_nn3, flat, "g", "g"))
-    sigma = nearest_scale(near).first()[0] or 0.0
+    near = written(knn_join(features, features, p.min_nn3, flat, "g", "g", by="cloud"))
+    apart = near.where("u <> v").groupBy(F.col("u").alias("g")).agg(F.min("dist").alias("d"))
+    scale = apart.join(whose, "g").groupBy("cloud").agg(F.avg("d").alias("sigma"))
     flags = written(stem_flags(features, near, p))
-    only_long = first and not flags.where("long").isEmpty()
-    going = flags.where("long" if only_long else "flagged")
+    count = lambda c: F.sum(F.col(c).cast("long"))
+    counts = flags.groupBy("cloud").agg(F.max("long").alias("any_long"), count("long").alias("n_long"), count("flagged").alias("n_flagged"), F.sum((~F.col("flagged")).cast("long")).alias("n_stay"))
+    only_long = F.col("any_long") if first else F.lit(False)
+    counts = written(counts.select("cloud", only_long.alias("only_long"), F.when(F.col("n_stay") == 0, 0).when(only_long, F.col("n_long")).otherwise(F.col("n_flagged")).alias("n")).join(scale, "cloud", "left"))
     staying = flags.where("NOT flagged")
-    n = going.count()
-    if not n or staying.isEmpty():
-        return clusters, 0, staying.select("g"), features
-    pairs = written(knn_join(going, staying, p.min_nn3, flat, "g", "g").select(F.col("u").alias("a"), F.col("v").alias("b")))
+    going = flags.join(counts.where("n > 0").select("cloud", "only_long"), "cloud").where(F.when(F.col("only_long"), F.col("long")).otherwise(F.col("flagged")))
+    if counts.where("n > 0").isEmpty():
+        return clusters, counts.select("cloud", "n"), staying.select("g"), features
+    pairs = written(knn_join(going, staying, p.min_nn3, flat, "g", "g", by="cloud").select(F.col("u").alias("a"), F.col("v").alias("b")))
     mean = centroids(clusters.withColumnsRenamed({f"c{x}": x for x in "xyz"}), ["g"])
-    a = features.join(mean, "g").select(*(F.col(c).alias(f"{c}_a") for c in ("g", "elev", "len", "hx", "hy", "cx", "cy")))
+    a = features.join(mean, "g").select(*(F.col(c).alias(f"{c}_a") for c in ("g", "cloud", "elev", "len", "hx", "hy", "cx", "cy")))
     b = features.join(mean, "g").select(*(F.col(c).alias(f"{c}_b") for c in ("g", "elev", "len", "hx", "hy", "cx", "cy")))
-    both = _closest(pairs, clusters).join(a, F.col("a") == F.col("g_a")).join(b, F.col("b") == F.col("g_b"))
+    both = _closest(pairs, clusters).join(a, F.col("a") == F.col("g_a")).join(b, F.col("b") == F.col("g_b")).join(counts.select(F.col("cloud").alias("cloud_a"), "sigma"), "cloud_a")
     both = both.withColumn("h", hull_overlap("hx_a", "hy_a", "hx_b", "hy_b", "lattice", p.raster_scale))
     both = both.withColumn("v", vertical_overlap(*(F.col(c) for c in ("elev_a", "len_a", "elev_b", "len_b"))))
     both = both.withColumn("d2", distance([F.col("cx_a"), F.col("cy_a")], [F.col("cx_b"), F.col("cy_b")]))
-    scored = both.withColumn("score", merge_score(F.col("h"), F.col("v"), F.col("d3"), F.col("d2"), F.lit(float(sigma)), p.vertical_weight))
+    scored = both.withColumn("score", merge_score(F.col("h"), F.col("v"), F.col("d3"), F.col("d2"), F.coalesce("sigma", F.lit(0.0)), p.vertical_weight))
     chosen = best_candidates(scored.select("a", "b", "d3", "score"), p.score_candidate_ratio)
     moved = clusters.join(chosen, F.col("g") == F.col("a"), "left").withColumn("g", F.coalesce("b", "g")).select(*clusters.columns)
-    return written(moved), n, staying.select("g"), features
+    return written(moved), counts.select("cloud", "n"), staying.select("g"), features
 
 
-def final_segments(points: DataFrame, params: SegmentationParams | None = None, max_passes: int = 100) -> DataFrame:
+def final_segments(points: DataFrame, params: SegmentationParams | None = None, max_passes: int = 100, by: str | None = None) -> DataFrame:
     """(init, final): the final label of each first-stage cluster, from 0, of rows of point_id, x, y, z, init and inter.
 
-    Passes go on while groups are to merge and their number changes; that this doesn't end is an error. Groups of the last pass that never were targets
-    then join the nearest of those that were.
+    With ``by``, an integer column of points, its values are clouds of their own, whose labels init and inter differ; passes are shared by all clouds, and each
+    cloud ends by itself. Passes go on while groups are to merge and their number changes; that this doesn't end is an error. Groups of the last
+    pass that never were targets then join the nearest of those that were.
     """
     p = params or SegmentationParams()
-    points = written(points.select("point_id", "x", "y", "z", "init", "inter"))
-    clusters = written(centroids(points, ["init"]).join(first_label(points, ["init"], "inter").withColumnRenamed("inter", "g"), "init"))
-    targets, before, number = None, -1, 0
-    while number < max_passes:
-        if clusters.select("g").distinct().limit(2).count() < 2:
-            return clusters.select("init", F.lit(0).alias("final"))
-        clusters, n, staying, features = merge_pass(points, clusters, p, number == 0)
-        number += 1
+    cloud = (F.col(by) if by else F.lit(0)).cast("bigint").alias("cloud")
+    points = written(points.select("point_id", cloud, "x", "y", "z", "init", "inter"))
+    labels = first_label(points, ["init"], "inter").withColumnRenamed("inter", "g").join(points.groupBy("init").agg(F.min("cloud").alias("cloud")), "init")
+    clusters = written(centroids(points, ["init"]).join(labels, "init"))
+    open_ = points.select("cloud").distinct().withColumn("before", F.lit(-1).cast("bigint"))
+    targets, ended, last = None, [], []
+    for number in range(max_passes):
+        # clouds of one group, or none, are done
+        many = written(clusters.groupBy("cloud").agg(F.countDistinct("g").alias("groups")).join(open_, "cloud"))
+        ended.append(members(clusters, many.where("groups < 2"), "cloud"))
+        open_ = many.where("groups > 1").select("cloud", "before")
+        if open_.isEmpty():
+            break
+        clusters = members(clusters, open_, "cloud")
+        clusters, counts, staying, features = merge_pass(members(points, open_, "cloud"), clusters, p, number == 0)
         targets = written(staying if targets is None else targets.union(staying).distinct())
-        if not n or n == before:
+        now = written(counts.join(open_, "cloud").withColumn("over", (F.col("n") == 0) | (F.col("n") == F.col("before"))))
+        ended.append(members(clusters, now.where("over"), "cloud"))
+        last.append(members(features, now.where("over"), "cloud"))
+        open_ = now.where("NOT over").select("cloud", F.col("n").alias("before"))
+        clusters = members(clusters, open_, "cloud")
+        if open_.isEmpty():
             break
-        before = n
     else:
         raise RuntimeError("merging didn't settle")
-    left = without(clusters.select("g").distinct(), targets, "g")
-    if targets is not None and not left.isEmpty():
-        now = clusters.select("g").distinct()
-        features = members(features, now, "g")
-        pairs = knn_join(members(features, left, "g"), members(features, targets, "g"), p.min_nn3, ("fx", "fy"), "g", "g")
-        near = _closest(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")), clusters)
-        to = near.groupBy("a").agg(F.min_by("b", F.struct("d3", "b")).alias("b"))
-        clusters = clusters.join(to, F.col("g") == F.col("a"), "left").withColumn("g", F.coalesce("b", "g")).select(*clusters.columns)
-    return dense_labels(clusters.withColumn("cloud_id", F.lit(0)), "g", name="final").select("init", "final")
+    every = _united(ended)
+    if last:
+        every, now = written(every), every.select("g").distinct()
+        left = without(now, targets, "g")
+        if not left.isEmpty():
+            features = members(_united(last), now, "g")
+            pairs = knn_join(members(features, left, "g"), members(features, targets, "g"), p.min_nn3, ("fx", "fy"), "g", "g", by="cloud")
+            near = _closest(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")), every)
+            to = near.groupBy("a").agg(F.min_by("b", F.struct("d3", "b")).alias("b"))
+            every = every.join(to, F.col("g") == F.col("a"), "left").withColumn("g", F.coalesce("b", "g")).select(*every.columns)
+    return dense_labels(every, "g", ["cloud"], "final").select("init", "final")
+
+
+def _united(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out

@@ -25,9 +25,10 @@ def box(df: DataFrame, dims: list[str]) -> tuple[int, list[float], float]:
     return got[0], low, max([float(got[2 + 2 * i] or 0.0) - a for i, a in enumerate(low)])
 
 
-def position(dims: list[str], low: list[float], side: float, bits: int | None = None) -> Column:
+def position(dims: list[str], low: list[float] | list[Column], side: float | Column, bits: int | None = None) -> Column:
     """The place of a row on the curve through a cube, in ``bits`` for each dimension."""
     bits = bits or BITS // len(dims)
-    step = side / (1 << bits) if side > 0 else 1.0
-    cell = lambda d, a: F.least(F.greatest(F.floor((F.col(d) - F.lit(a)) / F.lit(step)), F.lit(0)), F.lit((1 << bits) - 1))
+    side = side if isinstance(side, Column) else F.lit(side)
+    step = F.when(side > 0, side / float(1 << bits)).otherwise(1.0)
+    cell = lambda d, a: F.least(F.greatest(F.floor((F.col(d) - (a if isinstance(a, Column) else F.lit(a))) / step), F.lit(0)), F.lit((1 << bits) - 1))
     return interleaved([cell(d, a) for d, a in zip(dims, low)], bits)

@@ -18,7 +18,7 @@ def sor_filter(points: DataFrame, k: int = 10, deviations: float = 1.0) -> DataF
     return points.join(mean.where(F.col("_d") <= limit), F.col("point_id") == F.col("_u"), "left_semi")
 
 
-def isolate_gaps(points: DataFrame, max_gap: float = 3.0, k: int = 20) -> DataFrame:
-    """(point_id, label): parts of the cloud that no chain of near neighbours closer than ``max_gap`` joins, by their smallest point."""
-    edges = radius_edges(knn_join(points, points, k), max_gap).where("u <> v").select("u", "v")
+def isolate_gaps(points: DataFrame, max_gap: float = 3.0, k: int = 20, by: str | None = None) -> DataFrame:
+    """(point_id, label): parts of the cloud, or of each of ``by``, that no chain of near neighbours closer than ``max_gap`` joins, by their smallest point."""
+    edges = radius_edges(knn_join(points, points, k, by=by), max_gap).where("u <> v").select("u", "v")
     return label_vertices(points.select(F.col("point_id").alias("v")), edges).select(F.col("v").alias("point_id"), "label")

@@ -1,13 +1,14 @@
-"""Segmentation of files, one cloud each, and the command line for it."""
+"""Segmentation of files, one cloud each and all in one plan, and the command line for it."""
 
 from __future__ import annotations
 
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pointloom.params import SegmentationParams
-from pointloom.plans.segmentation import segment
+from pointloom.plans.segmentation import LABELS, segment
 from pointloom.plans.storage import written
 from pointloom.sources.las import Header, LasSource
 from pointloom.sources.points import SUFFIX, discover, original_columns, read_delimited, write_delimited
@@ -23,13 +24,12 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return written(read_delimited(spark, path))
 
 
-def segment_file(spark: SparkSession, path: str, out: str, params: SegmentationParams | None = None) -> str:
-    """Labels one file and writes it, in the kind it came in, to a folder below ``out``; returns that folder."""
+def write_labelled(spark: SparkSession, path: str, labelled: DataFrame, out: str) -> str:
+    """Writes a file's labelled points, in the kind that the file is, to a folder below ``out``; returns that folder."""
     stem, _, kind = path.rsplit("/", 1)[-1].rpartition(".")
     to = f"{out}/{stem}{SUFFIX}.{kind}"
-    labelled = segment(read_points(spark, path), params)
     if kind.lower() == "las":
-        head = Header.read(path.removeprefix("file://").removeprefix("file:"))
+        head = Header.read(path)
         said = lambda numbers: ",".join(map(repr, numbers))
         ordered = labelled.repartitionByRange("point_id").sortWithinPartitions("point_id")
         ordered.write.format("las").option("format", head.format).option("scale", said(head.scale)).option("offset", said(head.offset)).mode("append").save(to)
@@ -41,8 +41,30 @@ def segment_file(spark: SparkSession, path: str, out: str, params: SegmentationP
     return to
 
 
+def segment_file(spark: SparkSession, path: str, out: str, params: SegmentationParams | None = None) -> str:
+    """Labels one file and writes it; returns the folder."""
+    return _segment_files(spark, [path], out, params)[0]
+
+
 def segment_folder(spark: SparkSession, folder: str, out: str, params: SegmentationParams | None = None) -> list[str]:
-    return [segment_file(spark, path, out, params) for path in discover(spark, folder)]
+    """Labels the files of a folder, all in one plan, and writes each; returns the folders."""
+    return _segment_files(spark, discover(spark, folder), out, params)
+
+
+def _segment_files(spark: SparkSession, paths: list[str], out: str, params: SegmentationParams | None) -> list[str]:
+    if not paths:
+        return []
+    tables = {path: read_points(spark, path) for path in paths}
+    clouds = None
+    for path, points in tables.items():
+        own = points.select(F.lit(path).alias("cloud_id"), F.col("point_id").cast("bigint").alias("point_id"), *(F.col(a).cast("double").alias(a) for a in "xyz"))
+        clouds = own if clouds is None else clouds.unionByName(own)
+    labels = written(segment(clouds, params).select(F.col("cloud_id").alias("_path"), F.col("point_id").alias("_id"), *LABELS))
+    made = []
+    for path, points in tables.items():
+        own = labels.where(F.col("_path") == path).drop("_path")
+        made.append(write_labelled(spark, path, points.join(own, F.col("point_id") == F.col("_id"), "left").drop("_id"), out))
+    return made
 
 
 def main(args: list[str] | None = None) -> None:

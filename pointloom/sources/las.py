@@ -1,4 +1,4 @@
-"""LAS files as a Spark data source, read by ranges of records and written a file for each partition.
+"""LAS files as a Spark data source, read by ranges of records and written by partition, on any file system that pyarrow opens by its address.
 
 ``spark.dataSource.register(LasSource)``, then ``spark.read.format("las").load(path)``. Compressed files (LAZ) need a codec that isn't part of
 this package and are refused. Record layouts follow the public LAS 1.2 to 1.4 specification of the ASPRS.
@@ -6,16 +6,15 @@ this package and are refused. Record layouts follow the public LAS 1.2 to 1.4 sp
 
 from __future__ import annotations
 
-import contextlib
-import glob
-import os
 import struct
 import uuid
 from dataclasses import dataclass
+from fnmatch import fnmatch
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -41,7 +40,8 @@ class Header:
 
     @classmethod
     def read(cls, path: str) -> Header:
-        with open(path, "rb") as f:
+        store, inner = _store(path)
+        with store.open_input_file(inner) as f:
             head = f.read(375)
             if head[:4] != b"LASF" or len(head) < 227:
                 raise ValueError(f"{path} is not a LAS file")
@@ -70,9 +70,24 @@ class Header:
         return np.dtype(fields + ([("_rest", f"V{self.length - used}")] if self.length > used else []))
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of an address, or of a local path, and the path there."""
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path.removeprefix("file:")
+
+
 def _files(path: str) -> list[str]:
-    path = path.removeprefix("file://").removeprefix("file:")
-    return sorted(glob.glob(os.path.join(path, "*.las"))) if os.path.isdir(path) else sorted(glob.glob(path))
+    """The LAS files of a folder, or those that a pattern in the last part of the path matches, or the one file."""
+    store, inner = _store(path)
+    inner = inner.rstrip("/")
+    address = path.rstrip("/").removesuffix(inner)
+    if store.get_file_info(inner).type == fs.FileType.Directory:
+        base, pattern = inner, "*.las"
+    else:
+        base, _, pattern = inner.rpartition("/")
+    found = store.get_file_info(fs.FileSelector(base or ".", allow_not_found=True))
+    return sorted(address + x.path for x in found if x.type == fs.FileType.File and fnmatch(x.base_name, pattern))
 
 
 def _arrow(dtype: str) -> pa.DataType:
@@ -100,7 +115,8 @@ class LasReader(DataSourceReader):
 
     def read(self, part: Range):
         h = Header.read(part.path)
-        with open(part.path, "rb") as f:
+        store, inner = _store(part.path)
+        with store.open_input_file(inner) as f:
             f.seek(h.start + part.first * h.length)
             rows = np.frombuffer(f.read(part.count * h.length), h.dtype)
         xyz = [rows[a].astype(float) * s + o for a, s, o in zip("XYZ", h.scale, h.offset)]
@@ -114,24 +130,29 @@ class LasReader(DataSourceReader):
 _WRITTEN = {"tinyint": 2, "smallint": 4, "int": 6, "bigint": 8, "float": 9, "double": 10}
 
 
+#: Points of a file; a partition of more is written as several.
+FILE = 1 << 21
+
+
 @dataclass
 class Written(WriterCommitMessage):
-    """The file that an attempt wrote, and what it is to be called."""
+    """The files that an attempt wrote, and what they are to be called."""
 
-    temporary: str
-    final: str
+    files: list[tuple[str, str]]
 
 
 class LasWriter(DataSourceArrowWriter):
-    """Every partition that has rows writes a LAS 1.4 file: coordinates, the format's fields that are there, and all other numbers but the ids as extra fields.
+    """Every partition that has rows writes LAS 1.4 files: coordinates, the format's fields that are there, and all other numbers but the ids as extra fields.
 
-    The file gets its name when the job commits, so that attempts that were lost or repeated leave nothing. ``scale`` and ``offset`` are one or three
-    numbers; without an offset the first batch's minimum, rounded down, is taken. ``format``: that of the points, 7 if there are colours and else 6.
-    Nulls are written as 0, or NaN in extra fields of real numbers.
+    Files are written to a folder of the job and get their names, which are the job's own, when it commits: what is there already stays when rows are
+    appended, and goes, once the new files are named, when they overwrite. Attempts that were lost or repeated leave nothing. ``scale`` and
+    ``offset`` are one or three numbers; without an offset the first batch's minimum, rounded down, is taken. ``format``: that of the points, 7 if
+    there are colours and else 6. Nulls are written as 0, or NaN in extra fields of real numbers.
     """
 
-    def __init__(self, path: str, schema: StructType, options):
-        self.path = path.removeprefix("file://").removeprefix("file:")
+    def __init__(self, path: str, schema: StructType, options, overwrite: bool = False):
+        self.path, self.job = path.rstrip("/"), uuid.uuid4().hex
+        self.old = _files(self.path) if overwrite else []
         self.scale, self.offset = _three(options.get("scale", "0.001")), _three(options.get("offset"))
         self.format = int(options.get("format", 7 if "red" in schema.names else 6))
         known = {n for n, _ in LAYOUTS[self.format]} | {"x", "y", "z", "cloud_id", "point_id"}
@@ -140,33 +161,51 @@ class LasWriter(DataSourceArrowWriter):
             raise ValueError(f"columns that LAS has no type for: {lost}")
         self.extra = [(n, _WRITTEN[t]) for n, t in rest]
 
+    def _folder(self) -> tuple[fs.FileSystem, str, str]:
+        store, inner = _store(self.path)
+        return store, inner, f"{inner}/_temporary-{self.job}"
+
     def write(self, batches):
         from pyspark import TaskContext
 
-        made = None
+        store, inner, temporary = self._folder()
+        part, made, out = TaskContext.get().partitionId(), [], None
+
+        def close():
+            at = f"{temporary}/{uuid.uuid4().hex}"
+            store.create_dir(temporary, recursive=True)
+            with store.open_output_stream(at) as f:
+                out.write(f)
+            made.append((at, f"{inner}/part-{part:05d}-{len(made):03d}-{self.job}.las"))
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if made is None:
-                os.makedirs(self.path, exist_ok=True)
-                final = os.path.join(self.path, f"part-{TaskContext.get().partitionId():05d}.las")
-                made = Written(os.path.join(self.path, f"._{uuid.uuid4().hex}"), final)
-                out = Encoder(open(made.temporary, "wb"), self.format, self.extra, self.scale, self.offset)
+            if out is None or out.count + batch.num_rows > FILE:
+                if out is not None:
+                    close()
+                out = Encoder(self.format, self.extra, self.scale, self.offset)
             out.add(batch)
-        if made is not None:
-            out.close()
-        return made or Written("", "")
+        if out is not None:
+            close()
+        return Written(made)
 
     def commit(self, messages):
+        store, _, temporary = self._folder()
         for m in messages:
-            if m and m.temporary:
-                os.replace(m.temporary, m.final)
+            for at, final in m.files if m else ():
+                store.move(at, final)
+        for path in self.old:
+            store.delete_file(_store(path)[1])
+        self._clear(store, temporary)
 
     def abort(self, messages):
-        for m in messages:
-            if m and m.temporary:
-                with contextlib.suppress(FileNotFoundError):
-                    os.remove(m.temporary)
+        store, _, temporary = self._folder()
+        self._clear(store, temporary)
+
+    def _clear(self, store: fs.FileSystem, folder: str) -> None:
+        if store.get_file_info(folder).type == fs.FileType.Directory:
+            store.delete_dir(folder)
 
 
 def _three(given: str | None) -> tuple[float, float, float] | None:
@@ -177,18 +216,17 @@ def _three(given: str | None) -> tuple[float, float, float] | None:
 
 
 class Encoder:
-    """Writes points batch by batch; the header follows at the end, in the room left for it."""
+    """The points of one file, held until the header, which comes first, is known."""
 
-    def __init__(self, file, kind: int, extra: list[tuple[str, int]], scale: tuple[float, float, float], offset: tuple[float, float, float] | None):
-        self.file, self.kind, self.extra, self.scale, self.offset = file, kind, extra, scale, offset
+    def __init__(self, kind: int, extra: list[tuple[str, int]], scale: tuple[float, float, float], offset: tuple[float, float, float] | None):
+        self.kind, self.extra, self.scale, self.offset = kind, extra, scale, offset
         self.dtype = np.dtype(LAYOUTS[kind] + [(n, EXTRA[t]) for n, t in extra])
         fields = b"".join(struct.pack("<2xBB32s4x", t, 0, n.encode()[:32]).ljust(192, b"\0") for n, t in extra)
         self.vlr = struct.pack("<2x16sHH32s", b"LASF_Spec", 4, len(fields), b"extra fields") + fields if extra else b""
-        self.count, self.low, self.high = 0, np.full(3, np.inf), np.full(3, -np.inf)
-        file.write(bytes(375) + self.vlr)
+        self.count, self.low, self.high, self.rows = 0, np.full(3, np.inf), np.full(3, -np.inf), []
 
     def add(self, batch: pa.RecordBatch) -> None:
-        xyz = np.stack([batch.column(a).to_numpy(zero_copy_only=False).astype(float) for a in "xyz"])
+        xyz = np.stack([pc.fill_null(batch.column(a).cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False) for a in "xyz"])
         if self.offset is None:
             self.offset = tuple(np.floor(xyz.min(axis=1)))
         rows = np.zeros(batch.num_rows, self.dtype)
@@ -197,11 +235,11 @@ class Encoder:
         for n in [*(n for n, _ in LAYOUTS[self.kind] if n in batch.schema.names), *(n for n, _ in self.extra)]:
             column = batch.column(n)
             rows[n] = pc.fill_null(column, float("nan") if pa.types.is_floating(column.type) else 0).to_numpy(zero_copy_only=False)
-        self.file.write(rows.tobytes())
+        self.rows.append(rows.tobytes())
         self.count += len(rows)
         self.low, self.high = np.minimum(self.low, xyz.min(axis=1)), np.maximum(self.high, xyz.max(axis=1))
 
-    def close(self) -> None:
+    def write(self, file) -> None:
         head = bytearray(375)
         head[:4], head[24:26] = b"LASF", b"\x01\x04"
         old = self.count if self.kind < 6 and self.count < 1 << 32 else 0
@@ -209,9 +247,9 @@ class Encoder:
         struct.pack_into("<6d", head, 131, *self.scale, *self.offset)
         struct.pack_into("<6d", head, 179, *(v for i in range(3) for v in (self.high[i], self.low[i])))
         struct.pack_into("<Q", head, 247, self.count)
-        self.file.seek(0)
-        self.file.write(bytes(head))
-        self.file.close()
+        file.write(bytes(head) + self.vlr)
+        for rows in self.rows:
+            file.write(rows)
 
 
 class LasSource(DataSource):
@@ -231,4 +269,4 @@ class LasSource(DataSource):
         return LasReader(self.options["path"])
 
     def writer(self, schema, overwrite):
-        return LasWriter(self.options["path"], schema, self.options)
+        return LasWriter(self.options["path"], schema, self.options, overwrite)

@@ -122,3 +122,22 @@ def test_gaps_of_labels(spark, monkeypatch, region, chunk):
                 want[a, b] = gap
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
     assert nearest_gaps(points.limit(0), pairs, 1.5, "g").where("ci <> cj").count() == 0
+
+
+@pytest.mark.parametrize("region", [1 << 16, 60, 9])
+def test_nearest_within_each_of_many_clouds(spark, monkeypatch, region):
+    """Clouds of any size and place beside each other, each with its own neighbours, in one region and across many."""
+    monkeypatch.setattr(knn, "REGION", region)
+    rng = np.random.default_rng(8)
+    sets = [rng.random((int(n), 3)) * s + o for n, s, o in ((70, 1, 0), (1, 1, 0), (40, 1e-3, 1e6), (3, 5, -4), (90, 100, 0), (6, 0, 2))]
+    data, start = [], 0
+    for c, p in enumerate(sets):
+        data += [(c * 10, start + i, *map(float, x)) for i, x in enumerate(p)]
+        start += len(p)
+    df = spark.createDataFrame(data, "cloud bigint, point_id bigint, x double, y double, z double").repartition(3)
+    got = collected(knn_join(df, df, 4, exclude_self=True, by="cloud"))
+    start = 0
+    for p in sets:
+        ids = np.arange(len(p)) + start
+        assert [got.get(int(i), []) for i in ids] == plain(p, p, 4, ids, ids)
+        start += len(p)
