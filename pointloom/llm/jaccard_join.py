@@ -576,5 +576,6 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     if not again.limit(1).count():
         return out
     met = docs.join(again, same(again))
-    one = met.groupBy(again["id"], again["tie"]).agg(F.first(F.struct(*(docs[c] for c in docs.columns))).alias("row"))
+    whole = F.struct(*(docs[c] for c in docs.columns))
+    one = met.groupBy(again["id"], again["tie"]).agg(F.min_by(whole, F.to_json(whole)).alias("row"))  # the same one on every run
     return out.unionByName(one.select("row.*"))

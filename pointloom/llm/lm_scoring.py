@@ -155,6 +155,8 @@ class Model:
     words: Shards
     pairs: Shards
     terms: Terms
+    #: Of each segment of pairs, into how many lanes what is sent to it is dealt.
+    lanes: np.ndarray
 
     @property
     def whole(self) -> bool:
@@ -183,7 +185,7 @@ def _packed(segment: np.ndarray, keys: np.ndarray, times: np.ndarray, first: boo
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[c] for r in rows], pa.binary()) for c in (1, 2)), pa.array([first] * len(rows))], names=["segment", "keys", "times", "first"])
 
 
-def _counted(texts: DataFrame, keys_of, bits: int) -> DataFrame:
+def _counted(texts: DataFrame, keys_of) -> DataFrame:
     """Rows of _PACKED: keys counted in the tasks. ``keys_of``: (segment, key) arrays of (token, before)."""
 
     def work(batches):
@@ -217,17 +219,26 @@ def _summed(keys: list[bytes], times: list[bytes], kind) -> tuple[np.ndarray, np
     return key[at], np.add.reduceat(n, at) if len(at) else n
 
 
-def word_counts(texts: DataFrame, bits: int = 8) -> DataFrame:
-    """(word, c) of all tokens, by hash."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, c) of all tokens, by hash, counted in the tasks first."""
 
-    def keys_of(token, before):
-        return (token >> np.uint64(64 - bits)).astype(np.int64), token
+    def work(batches):
+        held, size = [], 0
 
-    def total(table: pa.Table) -> pa.Table:
-        key, n = _summed(table.column("keys").to_pylist(), table.column("times").to_pylist(), np.uint64)
-        return pa.table({"word": pa.array(key.view(np.int64)), "c": pa.array(n)})
+        def sent():
+            word, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(c.astype(np.int64))], names=["word", "c"])
+
+        for batch in blocks(batches, limit=ARRAY_BYTES):
+            held.append(hashed(batch.column("text"))[0])
+            size += len(held[-1])
+            if size >= HELD:
+                yield sent()
+                held, size = [], 0
+        if held:
+            yield sent()
 
-    return _counted(texts, keys_of, bits).groupBy("segment").applyInArrow(total, "word bigint, c bigint")
+    return texts.select("text").mapInArrow(work, "word bigint, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _entered(words: DataFrame, keys, bits: int, first: bool) -> DataFrame:
@@ -267,6 +278,23 @@ def _built(entries: DataFrame, bits: int, capacity: int) -> Shards:
     return Shards(parts, bits, size, (0, *(np.flatnonzero(np.diff(which)) + 1).tolist(), 1 << bits))
 
 
+def _lanes(words: DataFrame, bits: int) -> np.ndarray:
+    """For each segment as many lanes as its words, by their counts, begin pairs over the mean of all segments."""
+
+    def work(batches):
+        for batch in batches:
+            segment = segments_of(batch.column("word").to_numpy().view(np.uint64), bits)
+            own, place = np.unique(segment, return_inverse=True)
+            load = np.zeros(len(own), np.int64)
+            np.add.at(load, place, batch.column("c").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(load)], names=["segment", "load"])
+
+    load = np.zeros(1 << bits, np.int64)
+    for r in words.select("word", "c").mapInArrow(work, "segment bigint, load bigint").groupBy("segment").agg(F.sum("load").alias("load")).toLocalIterator():
+        load[r["segment"]] = r["load"]
+    return np.maximum(1, -(-load // max(1, int(load.mean())))).astype(np.int64)
+
+
 def learn(texts: DataFrame, capacity: int = CAPACITY, prior: float = PRIOR) -> tuple[Model, DataFrame]:
     """The model and the exact (word, c), by hash, of the rows of ``texts``. ``capacity``: bytes of a shard, about."""
     words = written(word_counts(texts))
@@ -277,9 +305,9 @@ def learn(texts: DataFrame, capacity: int = CAPACITY, prior: float = PRIOR) -> t
     bits = lambda n: int(np.ceil(np.log2(max(1, -(-n // each)))))
     many, few = bits(total), bits(4 * distinct)
     singles = _built(_entered(words, mixed, few, True), few, capacity)
-    pairs = _counted(texts, lambda token, before: (segments_of(before, many), short_of(pair_keys(before, token))), many)
+    pairs = _counted(texts, lambda token, before: (segments_of(before, many), short_of(pair_keys(before, token))))
     doubles = _built(pairs.union(_entered(words, first_keys, many, True)), many, capacity)
-    return Model(singles, doubles, Terms(total, distinct, prior)), words
+    return Model(singles, doubles, Terms(total, distinct, prior), _lanes(words, many)), words
 
 
 # ---- Scoring
@@ -345,13 +373,19 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, hot: int = HOT) -> D
     return rows.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score")
 
 
-#: Of each token sent to a segment: the pair's key, that of the word before it, the level of its word, and which of the documents of the pack it is in.
+#: Of each token sent to a lane of a segment: the pair's key, that of the word before it, the level of its word, and which of the documents of the pack it is in.
 _SENT = {"keys": np.uint32, "firsts": np.uint32, "levels": np.uint16, "docs": np.uint32, "rows": np.int64}
 
 
 def _routed(texts: DataFrame, model: Model) -> DataFrame:
-    """(row, score) by filters that aren't broadcast whole."""
+    """(row, score) by filters that aren't broadcast whole.
+
+    A document's tokens go to one lane of each segment. Frequent words make heavy segments, which have more lanes, so no lane gets much more than the mean.
+    """
     sc, bits, terms = texts.sparkSession.sparkContext, model.pairs.bits, model.terms
+    first_lane = np.cumsum(model.lanes) - model.lanes
+    lanes = sc.broadcast((first_lane, model.lanes))
+    segment_of = texts.sparkSession.createDataFrame(pa.table({"lane": pa.array(np.arange(int(model.lanes.sum())), pa.int32()), "segment": pa.array(np.repeat(np.arange(len(model.lanes)), model.lanes), pa.int32())}))
 
     def sent(held):
         segment, key, first, level, row = (np.concatenate(x) for x in zip(*held))
@@ -363,7 +397,7 @@ def _routed(texts: DataFrame, model: Model) -> DataFrame:
             if a < b:
                 rows, docs = np.unique(row[a:b], return_inverse=True)
                 packs.append([int(segment[a]), *(x.astype(k).tobytes() for x, k in zip((key[a:b], first[a:b], level[a:b], docs, rows), _SENT.values()))])
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in packs], pa.int32()), *(pa.array([p[i + 1] for p in packs], pa.binary()) for i in range(len(_SENT)))], names=["segment", *_SENT])
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in packs], pa.int32()), *(pa.array([p[i + 1] for p in packs], pa.binary()) for i in range(len(_SENT)))], names=["lane", *_SENT])
 
     def tokens_of(shard):
         def work(batches):
@@ -376,7 +410,9 @@ def _routed(texts: DataFrame, model: Model) -> DataFrame:
                 level = shard.value.levels(mixed(own), words)[place]
                 row = np.repeat(batch.column("row").to_numpy(), n)
                 segment, first = (x[_follows(own, place, before)] for x in (segments_of(own, bits), short_of(first_keys(own))))
-                held.append([x[here] for x in (segment, short_of(pair_keys(before, token)), first, level, row)])
+                begin, many = lanes.value
+                lane = begin[segment] + mixed(row.astype(np.uint64)).astype(np.int64) % many[segment]
+                held.append([x[here] for x in (lane, short_of(pair_keys(before, token)), first, level, row)])
                 size += len(here)
                 if size >= HELD:
                     yield sent(held)
@@ -401,8 +437,9 @@ def _routed(texts: DataFrame, model: Model) -> DataFrame:
     parts = []
     for i in range(len(model.words)):
         shard = sc.broadcast(model.words.filter(i))
-        packs = texts.select("row", "text").mapInArrow(tokens_of(shard), "segment int, " + ", ".join(f"{c} binary" for c in _SENT))
-        scored = packs.groupBy("segment").cogroup(model.pairs.parts.groupBy("segment")).applyInArrow(total, "row bigint, score double")
+        packs = texts.select("row", "text").mapInArrow(tokens_of(shard), "lane int, " + ", ".join(f"{c} binary" for c in _SENT))
+        parts_of = segment_of.join(model.pairs.parts, "segment").select("lane", "bits")
+        scored = packs.groupBy("lane").cogroup(parts_of.groupBy("lane")).applyInArrow(total, "row bigint, score double")
         parts.append(written(scored.groupBy("row").agg(F.sum("score").alias("score"))))
         shard.destroy()
     return reduce(DataFrame.union, parts).groupBy("row").agg(F.sum("score").alias("score"))

@@ -24,13 +24,15 @@ _parse, _op = re._parser, re._constants
 
 @dataclass(frozen=True)
 class Rule:
-    """``least``: the characters that group ``group`` of a match has at least; shorter matches are dropped after they were consumed."""
+    """``least``: the characters that group ``group`` of a match has at least; shorter matches are dropped after they were consumed. ``span``: the group that
+    is the secret, where a match takes more than that to be found in one go."""
 
     kind: str
     pattern: str
     fold: bool = False
     group: int = 0
     least: int = 1
+    span: int = 0
 
     @property
     def flags(self) -> int:
@@ -51,15 +53,16 @@ _KEY = (
     r"|(?:(?:\s|\\[nrt])*+(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):[^\r\n\\]*+)*+(?:(?:\s|\\[nrt])*+[A-Za-z0-9+/=]{16,}+(?:(?:\s|\\[nrt])++[A-Za-z0-9+/=]{16,}+)*+"
     r"(?:(?:\r?\n|(?:\\r)?\\n)[A-Za-z0-9+/=]{1,15}+(?=[ \t]*(?:[\r\n\\\"']|\Z))){0,2}+)?+)"
 )
-#: Further public credential formats. Values have no upper bound, so that a span covers the whole value.
+#: Further public credential formats. Values have no upper bound, so that a span covers the whole value. The last two are tried only where a run of their
+#: letters begins and never step back in it, so that a long run is read a few times and not once for each of its letters.
 EXTRA = (
     Rule("private_key", _KEY),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_key", r"AIza[A-Za-z0-9_-]{35,}"),
     Rule("payment", r"[rs]k_live_[A-Za-z0-9]{16,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@]++:[^\s/@]++@"),
+    Rule("web_token", r"(?<![A-Za-z0-9_-])(?:(?!eyJ)[A-Za-z0-9_-])*+(eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)", span=1),
+    Rule("url_login", r"(?<![A-Za-z0-9+.-])[0-9+.-]*+([A-Za-z][A-Za-z0-9+.-]++://[^\s/:@]++:[^\s/@]++@)", span=1),
 )
 RULES = BASE + EXTRA
 
@@ -238,12 +241,12 @@ class Scanner:
             for d in self.candidates(self.queries[k], postings, len(texts)).tolist():
                 raw = texts[d]
                 if full:  # over all documents: bytes need no decoding, as classes and literals are ASCII
-                    found = np.array([m.span() for m in self.bytes_scan[k](raw) if m.end(rule.group) - m.start(rule.group) >= rule.least], np.int64)
+                    found = np.array([m.span(rule.span) for m in self.bytes_scan[k](raw) if m.end(rule.group) - m.start(rule.group) >= rule.least], np.int64)
                     out[d] += [(a, b, k) for a, b in _code_points(raw, found.reshape(-1, 2)).tolist()]
                     continue
                 if d not in decoded:
                     decoded[d] = raw.decode("utf-8", "replace")
-                out[d] += [(m.start(), m.end(), k) for m in self.scan[k](decoded[d]) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+                out[d] += [(*m.span(rule.span), k) for m in self.scan[k](decoded[d]) if m.end(rule.group) - m.start(rule.group) >= rule.least]
         for s in out:
             s.sort(key=lambda x: (x[0], x[2]))
         return out

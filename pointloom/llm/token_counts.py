@@ -1,7 +1,8 @@
 """Token counts by a map-side lookup in two tiers, without a shuffle of pre-tokens.
 
 The first tier is a compact hash table of the most frequent pre-tokens and their lengths in tokens: ascending 64-bit hashes beside bytes, TABLE entries
-at most, broadcast. Which are frequent is counted in a bounded sample of documents; that changes no result, only how often the second tier is asked.
+at most, broadcast. Which are frequent is counted in a bounded sample, the first documents of some partitions; that changes no result, only how often the
+second tier is asked.
 There a worker encodes a pre-token by the library's model and keeps its length in a bounded cache.
 
 Texts are cut into pre-tokens a block at a time, as arrays, and looked up as hashes; only pre-tokens that the table lacks are cut out as strings.
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from pointloom.llm.common import ARRAY_BYTES, blocks, column, live, texts_of
 from pointloom.llm.pretokens import Recent, span_hashes, spans, splitter
 
-#: Entries of the table (9 bytes each), documents that are sampled for it, about, and pre-tokens that a task of the sample passes on.
-TABLE, SAMPLE, PASSED = 1 << 18, 8_000, 1 << 17
+#: Entries of the table (9 bytes each), and the documents, partitions and bytes that are sampled for it, at most and about.
+TABLE, SAMPLE, PARTS, SAMPLED = 1 << 18, 8_000, 256, 64 << 20
+#: Pre-tokens that a task of the sample counts before it passes them on.
+PASSED = 1 << 17
 #: Misses that a worker keeps (some 150 bytes each); long ones are encoded each time.
 MISS_CACHE = 400_000
 
@@ -54,24 +57,41 @@ def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum([0, *map(len, texts)])
 
 
-def frequent(docs: DataFrame, sample: int = SAMPLE, passed: int = PASSED) -> Tally:
-    """Pre-tokens of about ``sample`` documents, chosen by a hash of the id, with their counts: of each task the ``passed`` most frequent."""
-    part = max(1, docs.count() // max(1, sample))
+def frequent(docs: DataFrame, sample: int = SAMPLE, most: int = TABLE) -> Tally:
+    """The ``most`` frequent pre-tokens, with their counts, of about ``sample`` documents: the first of evenly chosen partitions. What lies behind them
+    isn't read, so the cost doesn't grow with the table."""
+    texts = texts_of(docs).select("text")
+    parts = max(1, texts.rdd.getNumPartitions())
+    stride = -(-parts // PARTS)
+    chosen = -(-parts // stride)
+    rows, size = -(-sample // chosen), SAMPLED // chosen
+
+    def counted(seen: Tally) -> pa.RecordBatch:
+        best = [(t, n) for t, n in seen.items() if len(t) <= 64]
+        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], names=["piece", "n"])
 
     def work(batches):
-        seen: Tally = Tally()
-        split = splitter()
+        from pyspark import TaskContext
+
+        if TaskContext.get().partitionId() % stride:
+            return
+        seen, split, docs_left, bytes_left = Tally(), splitter(), rows, size
         for batch in blocks(batches):
-            for text in batch.column("text").to_pylist():
+            part = batch.slice(0, docs_left)
+            for text in part.column("text").to_pylist():
                 seen.update(split(text))
-        best = [(t, n) for t, n in seen.most_common(passed) if len(t) <= 64]
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], names=["piece", "n"])
-
-    chosen = texts_of(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0).coalesce(8)
-    out: Tally = Tally()
-    for r in chosen.select("text").mapInArrow(work, "piece string, n bigint").toLocalIterator():
-        out[r["piece"]] += r["n"]
-    return out
+            docs_left -= part.num_rows
+            bytes_left -= part.nbytes
+            if len(seen) > PASSED:
+                yield counted(seen)
+                seen = Tally()
+            if docs_left <= 0 or bytes_left <= 0:
+                break
+        yield counted(seen)
+
+    pieces = texts.mapInArrow(work, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
+    table = pieces.orderBy(F.desc("n"), "piece").limit(most).toArrow()
+    return Tally(dict(zip(table.column("piece").to_pylist(), table.column("n").to_pylist())))
 
 
 def table_of(tokenizer_json: str, pieces: Tally, most: int = TABLE) -> tuple[np.ndarray, np.ndarray]:

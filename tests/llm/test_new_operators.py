@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pointloom.llm import fill_middle, packing, spelling
+from pointloom.llm import fill_middle, jaccard_join, lm_scoring, packing, secrets, spelling, token_counts
 
 WORDS = P.path("word_bpe_49k.json")
 
@@ -235,3 +236,63 @@ def test_offsets_over_blocks_of_partitions(spark):
 
 def test_power_of_two_stands():
     assert [packing.padded(n, 64) for n in (1, 2, 3, 32, 33, 64)] == [1, 2, 64, 32, 64, 64]
+
+
+# ---- What large inputs ask of the earlier operators
+
+
+def test_secret_rules_read_long_runs_once():
+    """Runs in which every few letters could begin a secret: 20 MB take seconds."""
+    scan = secrets.Scanner(secrets.RULES)
+    n = 20 << 20
+    for text in (b"eyJ" * (n // 3) + b".eyJ", b"a.b" * (n // 3) + b"://", b"9" * n + b"://x", b"x://" * (n // 4) + b"y:z@"):
+        began = time.time()
+        scan.spans([text])
+        assert time.time() - began < 40
+
+
+def test_tokens_and_logins_within_runs():
+    scan = secrets.Scanner(secrets.RULES)
+    found = lambda t: [(t[a:b], secrets.RULES[k].kind) for a, b, k in scan.spans([t.encode()])[0] if k >= len(secrets.BASE)]
+    token = "eyJ" + "a" * 12 + ".eyJ" + "b" * 10 + "." + "c_-" * 4
+    assert found(f"x {token} y") == [(token, "web_token")] and found(f"Bearer_{token}.more") == [(token, "web_token")]
+    assert found(f"é.{token}") == [(token, "web_token")] and found(f"abc.{token}") == [(token, "web_token")]
+    assert found("eyJ" + "a" * 9 + ".eyJ" + "b" * 10 + "." + "c" * 10) == [] and found("eyJ" + "a" * 20 + ".xyJ" + "b" * 10 + "." + "c" * 10) == []
+    long = "s" + "cheme+" * 9 + "x"
+    assert found(f"see {long}://me:pw@host") == [(f"{long}://me:pw@", "url_login")] and found("12ab://u:p@h") == [("ab://u:p@", "url_login")]
+
+
+def test_frequent_pieces_come_from_a_bounded_part(spark, monkeypatch):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('word', id % 7, ' and the rest ', id) AS text").repartition(20)
+    every = token_counts.frequent(docs, 10_000)
+    assert every[" rest"] == 4000 and every[" and"] == 4000
+    few = token_counts.frequent(docs, 40)
+    assert 40 <= few[" rest"] <= 60 and len(token_counts.frequent(docs, 40, 5)) == 5
+    monkeypatch.setattr(token_counts, "PARTS", 4)
+    assert 30 <= token_counts.frequent(docs, 40)[" rest"] <= 60
+    with open(P.path("byte_bpe_50k.json")) as f:
+        assert f.read(1) == "{"
+    got = token_counts.count_tokens(docs.withColumn("doc_id", F.lit(None).cast("bigint")), P.path("byte_bpe_50k.json"))
+    assert got.count() == 4000 and got.where("n_tokens < 4").count() == 0
+
+
+def test_heavy_segments_have_lanes(spark):
+    """Half of all tokens follow one word: its segment's work is dealt to many lanes, and scores are those of one lane each."""
+    rng = np.random.default_rng(0)
+    names = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(x for w in rng.choice(names, 60) for x in ("the", str(w))) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(6)
+    model, counts = lm_scoring.learn(docs, 4096)
+    assert not model.whole and model.lanes.max() > 3 and model.lanes.sum() <= 3 * len(model.lanes)
+    score = lambda m: {r["doc_id"]: r["score"] for r in lm_scoring.score(docs, m, counts).collect()}
+    import dataclasses
+
+    one = score(dataclasses.replace(model, lanes=np.ones_like(model.lanes)))
+    assert score(model) == pytest.approx(one) and len(one) == 300
+
+
+def test_kept_row_of_equal_ones_is_the_same_on_every_run(spark):
+    rows = [(1, "one two three four five six", lang, "s", 5) for lang in ("de", "en", "fr", None)] * 3
+    for parts in (1, 3, 5):
+        got = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(parts)).collect()
+        assert [(r["doc_id"], r["lang"]) for r in got] == [(1, "de")]
