@@ -8,8 +8,8 @@ import numpy as np
 
 from pointloom.llm.words import mixed
 
-#: Bits for each entry, and probes for each level.
-BITS, PROBES = 10, 4
+#: Bits for each entry, and probes for each level, which lie in one block of as many bits as a line of the processor's cache has.
+BITS, PROBES, BLOCK = 11, 4, 512
 
 
 def segments_of(words: np.ndarray, bits: int) -> np.ndarray:
@@ -32,25 +32,27 @@ class Filter:
     data: np.ndarray
 
     @staticmethod
-    def positions(short: np.ndarray, level: int):
-        """PROBES fractions of 2**32, one array after the other: the place of each probe in its segment."""
-        x = mixed(short.astype(np.uint64) + np.uint64(0xA0761D6478BD642F * level % (1 << 64)))
-        now, step = (x >> np.uint64(32)).astype(np.uint32), x.astype(np.uint32) | np.uint32(1)
-        for i in range(PROBES):
-            yield now
-            if i + 1 < PROBES:
-                now = now + step
+    def hashes(short: np.ndarray, level: int) -> np.ndarray:
+        """Of each entry 28 bits for its block, above PROBES times 9 bits for the places in it."""
+        return mixed(short.astype(np.uint64) + np.uint64(0xA0761D6478BD642F * level % (1 << 64)))
+
+    @staticmethod
+    def block(hashes: np.ndarray, blocks: np.ndarray | np.uint64) -> np.ndarray:
+        """Where the block of each entry begins, in a segment of so many."""
+        return ((hashes >> np.uint64(36)) * blocks >> np.uint64(28)) << np.uint64(9)
 
     @staticmethod
     def built(short: np.ndarray, levels: np.ndarray, most: int | None = None) -> bytes:
         """One segment that holds each key at the levels 1 to its own, of at most ``most`` bytes."""
-        size = max(64, -(-int(levels.sum()) * BITS // 64) * 64)
-        size = size if most is None else max(64, min(size, most // 8 * 64))
-        on = np.zeros(size, bool)
+        blocks = max(1, -(-int(levels.sum()) * BITS // BLOCK))
+        blocks = blocks if most is None else max(1, min(blocks, 8 * most // BLOCK))
+        on = np.zeros(blocks * BLOCK, bool)
         now = 1
         while len(short):
-            for p in Filter.positions(short, now):
-                on[p * np.uint64(size) >> np.uint64(32)] = True
+            x = Filter.hashes(short, now)
+            begin = Filter.block(x, np.uint64(blocks))
+            for i in range(PROBES):
+                on[begin + (x >> np.uint64(9 * i) & np.uint64(BLOCK - 1))] = True
             now += 1
             keep = levels >= now
             short, levels = short[keep], levels[keep]
@@ -79,30 +81,30 @@ class Filter:
         here = self.holds(segments)
         if not here.all():
             index, segments = index[here], segments[here]
-        start, size, short = self.start[segments], self.size[segments], short_of(keys)[index]
-        found = self._climbed(start, size, short, 1, 2)
+        start, blocks, short = self.start[segments], self.size[segments] // np.uint64(BLOCK), short_of(keys)[index]
+        found = self._climbed(start, blocks, short, 1, 2)
         # what goes further occurs often, so each key is followed once
         more = np.flatnonzero(found == 2)
         _, first, place = np.unique(segments[more].astype(np.uint64) << np.uint64(32) | short[more], return_index=True, return_inverse=True)
         first = more[first]
-        found[more] = self._climbed(start[first], size[first], short[first], 3)[place]
+        found[more] = self._climbed(start[first], blocks[first], short[first], 3)[place]
         out[index] = found
         return out
 
-    def _climbed(self, start: np.ndarray, size: np.ndarray, short: np.ndarray, now: int, last: int | None = None) -> np.ndarray:
+    def _climbed(self, start: np.ndarray, blocks: np.ndarray, short: np.ndarray, now: int, last: int | None = None) -> np.ndarray:
         """The highest level up to ``last`` of keys that are known to hold the one below ``now``."""
         out = np.full(len(short), now - 1)
         index = np.arange(len(short))
         while len(index) and (last is None or now <= last):
+            x = self.hashes(short, now)
+            begin = self.block(x, blocks) + start
             alive = None
-            for p in self.positions(short, now):
-                if alive is None:
-                    at = (p * size >> np.uint64(32)) + start
-                else:
-                    at = (p[alive] * size[alive] >> np.uint64(32)) + start[alive]
+            for i in range(PROBES):
+                at = begin + (x >> np.uint64(9 * i) & np.uint64(BLOCK - 1))
                 found = np.flatnonzero(self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
                 alive = found if alive is None else alive[found]
-            index, start, size, short = index[alive], start[alive], size[alive], short[alive]
+                x, begin = x[found], begin[found]
+            index, start, blocks, short = index[alive], start[alive], blocks[alive], short[alive]
             out[index] = now
             now += 1
         return out
