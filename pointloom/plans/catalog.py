@@ -386,14 +386,29 @@ def convex_hulls(spark, d):
     return h.select("grp", F.round("c.hx", 6).alias("x"), F.round("c.hy", 6).alias("y"))
 
 
-@query()
+@query(f"""WITH {EMB}, {NEAR}, q AS (SELECT DISTINCT grp, x, y FROM emb),
+e AS (SELECT a.grp, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM q a JOIN q b ON a.grp = b.grp AND (a.x <> b.x OR a.y <> b.y)
+  WHERE NOT EXISTS (SELECT 1 FROM q c WHERE c.grp = a.grp AND (b.x-a.x)*(c.y-a.y) - (b.y-a.y)*(c.x-a.x) < 0)),
+box AS (SELECT grp, min(x0) AS lx, min(y0) AS ly, max(y0) AS hy, 0.5 * sum(x0 * y1 - x1 * y0) AS area FROM e GROUP BY grp),
+p AS (SELECT u, v, least(a.lx, b.lx) AS lx, least(a.ly, b.ly) AS ly, greatest(a.hy, b.hy) AS hy, a.area AS area_a, b.area AS area_b FROM near JOIN box a ON a.grp = u JOIN box b ON b.grp = v WHERE u <> v),
+s AS (SELECT u, v, s AS side, (x0-lx)*10.0 AS x0, (y0-ly)*10.0 AS y0, (x1-lx)*10.0 AS x1, (y1-ly)*10.0 AS y1 FROM p, (VALUES (0), (1)) t(s), e WHERE e.grp = CASE s WHEN 0 THEN u ELSE v END),
+r AS (SELECT u, v, unnest(range(0, ceil((hy - ly) * 10.0)::BIGINT + 1)) AS y FROM p),
+i AS (SELECT u, v, side, r.y, ceil(min(x0 + (r.y-y0)*(x1-x0)/(y1-y0))) AS a, ceil(max(x0 + (r.y-y0)*(x1-x0)/(y1-y0))) AS b FROM r JOIN s USING (u, v) WHERE (y0 > r.y) <> (y1 > r.y) GROUP BY ALL),
+n AS (SELECT u, v, sum(b - a) FILTER (side = 0) AS one, sum(b - a) FILTER (side = 1) AS two FROM i GROUP BY ALL),
+m AS (SELECT k.u, k.v, sum(greatest(least(k.b, l.b) - greatest(k.a, l.a), 0)) AS both_ FROM i k JOIN i l ON k.u = l.u AND k.v = l.v AND k.y = l.y AND k.side = 0 AND l.side = 1 GROUP BY ALL),
+h AS (SELECT k.u, k.v, k.side, k.x0, k.y0, k.x1 - k.x0 AS dx, k.y1 - k.y0 AS dy, (l.x1-l.x0)*(k.y0-l.y0) - (l.y1-l.y0)*(k.x0-l.x0) AS num, (l.x1-l.x0)*(k.y1-k.y0) - (l.y1-l.y0)*(k.x1-k.x0) AS den
+  FROM s k JOIN s l ON k.u = l.u AND k.v = l.v AND k.side <> l.side),
+c AS (SELECT u, v, x0, y0, dx, dy, greatest(0, max(-num / den) FILTER (den > 0)) AS t0, least(1, min(-num / den) FILTER (den < 0)) AS t1, bool_or(den = 0 AND num < 0) AS out_ FROM h GROUP BY u, v, side, x0, y0, dx, dy),
+x AS (SELECT u, v, sum(0.5 * ((x0+t0*dx)*(y0+t1*dy) - (x0+t1*dx)*(y0+t0*dy))) / 100.0 AS area FROM c WHERE t1 > t0 AND NOT out_ GROUP BY u, v)
+SELECT p.u, p.v, round(coalesce(both_ / least(one, two), 0.0), 6) AS lattice, round(coalesce(area / least(area_a, area_b), 0.0), 6) AS exact
+FROM p LEFT JOIN n USING (u, v) LEFT JOIN m USING (u, v) LEFT JOIN x USING (u, v)""")
 def hull_overlaps(spark, d):
     """Each group's hull against those of the other groups that are near by centre."""
     h = hulls(emb(spark, d), "grp")
     near = _near(spark, d)[1].where("u <> v").select("u", "v")
     a, b = (h.select(F.col("grp").alias(f"g{t}"), F.col("hx").alias(f"x{t}"), F.col("hy").alias(f"y{t}")) for t in "ab")
     both = near.join(a, F.col("u") == F.col("ga")).join(b, F.col("v") == F.col("gb"))
-    return both.select("u", "v", hull_overlap("xa", "ya", "xb", "yb").alias("lattice"), hull_overlap("xa", "ya", "xb", "yb", "exact").alias("exact"))
+    return both.select("u", "v", hull_overlap("xa", "ya", "xb", "yb").alias("lattice"), hull_overlap("xa", "ya", "xb", "yb", "exact").alias("exact")).select("u", "v", *r6("lattice", "exact"))
 
 
 # ---- Cut pursuit and the pipeline (held against brute force in the tests)

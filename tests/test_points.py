@@ -117,6 +117,20 @@ def test_hulls_and_overlap():
     assert overlap_ratio(a, a) == overlap_ratio(a, a, "exact") == 1 and overlap_ratio(a, a + 50) == 0
 
 
+def test_lattice_rows_count_what_points_count(spark):
+    """Overlap by intervals of rows, in the engine, against points tested one by one."""
+    from pointloom.operators.hulls import hull_overlap
+
+    rng = np.random.default_rng(3)
+    pairs = [(convex_hull(rng.random((int(rng.integers(1, 12)), 2)) * rng.random() * 6), convex_hull(rng.random((int(rng.integers(1, 12)), 2)) * 4 + rng.random(2) * 3)) for _ in range(60)]
+    square = np.array([[0, 0], [1, 0], [1, 1], [0, 1]], float)
+    pairs += [(square, square), (square, square + 5), (square, square + [1, 0]), (square, square * 0), (np.empty((0, 2)), square)]
+    df = spark.createDataFrame([(i, *(c.tolist() for h in p for c in h.T)) for i, p in enumerate(pairs)], "i int, ax array<double>, ay array<double>, bx array<double>, by array<double>")
+    got = {r["i"]: (r["h"], r["fine"]) for r in df.select("i", hull_overlap("ax", "ay", "bx", "by").alias("h"), hull_overlap("ax", "ay", "bx", "by", scale=37.0).alias("fine")).collect()}
+    assert [got[i] for i in range(len(pairs))] == [(overlap_ratio(a, b), overlap_ratio(a, b, scale=37.0)) for a, b in pairs]
+    assert sum(0 < h < 1 for h, _ in got.values()) > 5
+
+
 def test_cut_pursuit_golden(spark):
     v = spark.createDataFrame([(0, 0.0, 1.0), (1, 0.1, 1.0), (2, 10.0, 1.0), (3, 10.1, 1.0)], "v bigint, o double, w double")
     e = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0)], "u bigint, v bigint, w double")
