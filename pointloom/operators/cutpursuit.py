@@ -52,6 +52,36 @@ def first_sides(obs: np.ndarray) -> np.ndarray:
     return obs[:, d] > np.median(obs[:, d])
 
 
+def kmeans_first_sides(obs: np.ndarray, w: np.ndarray, keys: np.ndarray, steps: int) -> np.ndarray:
+    """The nearer of two centres: the best, by energy, of those from pairs of seeded vertices and from the median, after ``steps`` means each.
+
+    ``keys``: from 0 to 1, a column for each first vertex, the one of the smallest, and then for each second one, drawn by weight and squared distance.
+    """
+    square = lambda c: sum((obs[:, i] - c[i]) ** 2 for i in range(obs.shape[1]))
+    mean = lambda m: np.array([(w[m] * o[m]).sum() / w[m].sum() for o in obs.T])
+    pairs, half = [], keys.shape[1] // 2
+    for r in range(half):
+        a = obs[int(np.argmin(keys[:, r]))]
+        weight = w * square(a)
+        late = np.where(weight > 0, -np.log(keys[:, half + r]) / np.where(weight > 0, weight, 1), np.inf)
+        pairs.append((a, obs[int(np.argmin(late))]))
+    side = first_sides(obs)
+    if w[side].sum() > 0 and w[~side].sum() > 0:
+        pairs.append((mean(~side), mean(side)))
+    best = None
+    for a, b in pairs:
+        for _ in range(steps):
+            side = square(a) > square(b)
+            if not (w[side].sum() > 0 and w[~side].sum() > 0):
+                break
+            a, b = mean(~side), mean(side)
+        da, db = square(a), square(b)
+        energy = float((w * np.minimum(da, db)).sum())
+        if best is None or energy < best[0]:
+            best = energy, da > db
+    return best[1]
+
+
 def terminals(obs: np.ndarray, w: np.ndarray, a: np.ndarray, b: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray]:
     """Capacities from the source and to the sink: the difference of the costs of the two centres, scaled and cut off."""
     cost_a = 0.5 * w * ((obs - a) ** 2).sum(axis=1)
@@ -74,10 +104,10 @@ def terminal_capacities(vertices: DataFrame, obs: list[str], scale: int = 1000,
     return vertices.mapInPandas(work, f"v long, to_source long, to_sink long{kept}")
 
 
-def split_component(obs: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray, ew: np.ndarray, reg: float, p: CutPursuitParams) -> tuple[np.ndarray, bool]:
-    """The parts that one component falls into, as smallest vertices, and whether it is saturated."""
+def split_component(obs: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray, ew: np.ndarray, reg: float, p: CutPursuitParams, keys: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
+    """The parts that one component falls into, as smallest vertices, and whether it is saturated. ``keys``: see kmeans_first_sides()."""
     n = len(obs)
-    side = first_sides(obs)
+    side = first_sides(obs) if keys is None else kmeans_first_sides(obs, w, keys, p.steps)
     cap = (ew * reg * p.scale).astype(np.int64) * p.edge_multiplier
     saturated = False
     for _ in range(p.flow_steps):
@@ -99,7 +129,7 @@ def _energy(obs: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray, ew: np
     return float(0.5 * (w * ((obs - mean[comp]) ** 2).sum(axis=1)).sum()), float(reg * ew[comp[u] != comp[v]].sum())
 
 
-def solved(obs: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray, ew: np.ndarray, reg: float, p: CutPursuitParams) -> tuple[np.ndarray, list[Round]]:
+def solved(obs: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray, ew: np.ndarray, reg: float, p: CutPursuitParams, keys: np.ndarray | None = None) -> tuple[np.ndarray, list[Round]]:
     """The smallest vertex of each vertex's component, and the rounds, of a whole graph."""
     n = len(obs)
     comp, stable, full = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
@@ -119,7 +149,7 @@ def solved(obs: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray, ew: np.
             c = comp[own[0]]
             e = by_edge[np.searchsorted(edge_comp, c, "left") : np.searchsorted(edge_comp, c, "right")]
             place[own] = np.arange(len(own))
-            label, saturated = split_component(obs[own], w[own], place[u[e]], place[v[e]], ew[e], reg, p)
+            label, saturated = split_component(obs[own], w[own], place[u[e]], place[v[e]], ew[e], reg, p, None if keys is None else keys[own])
             if number == 1 and saturated:  # the whole graph may have several parts
                 label = parts(n, u, v)
             new[own], full[own] = own[label], saturated
@@ -133,6 +163,18 @@ def solved(obs: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray, ew: np.
     return comp, rounds
 
 
+def _keys(p: CutPursuitParams) -> list:
+    """The columns of a vertex that seed the starts, if k-means is asked for: numbers between 0 and 1 that depend on the vertex alone."""
+    if p.start not in ("median", "kmeans"):
+        raise ValueError(f"start {p.start!r}")
+    number = lambda i: (F.shiftrightunsigned(F.xxhash64(F.col("v").cast("bigint"), F.lit(p.seed), F.lit(i)), 11) + 0.5) / float(1 << 53)
+    return [number(i).alias(f"_key{i}") for i in range(2 * p.restarts)] if p.start == "kmeans" else []
+
+
+def _keys_of(vertices: pd.DataFrame, p: CutPursuitParams) -> np.ndarray | None:
+    return vertices[[f"_key{i}" for i in range(2 * p.restarts)]].to_numpy(float) if p.start == "kmeans" else None
+
+
 _ROUND = ["number", "components", "saturated", "fidelity", "penalty", "seconds"]
 _SOLVED = "key long, v long, comp long, number int, components long, saturated long, fidelity double, penalty double, seconds double"
 
@@ -142,7 +184,7 @@ def _whole(obs: list[str], reg: float, p: CutPursuitParams):
         vertices = vertices.sort_values("v")
         ids = vertices["v"].to_numpy()
         u, v = (np.searchsorted(ids, edges[c].to_numpy()) for c in ("u", "v"))
-        comp, rounds = solved(vertices[obs].to_numpy(float), vertices["w"].to_numpy(float), u, v, edges["w"].to_numpy(float), reg, p)
+        comp, rounds = solved(vertices[obs].to_numpy(float), vertices["w"].to_numpy(float), u, v, edges["w"].to_numpy(float), reg, p, _keys_of(vertices, p))
         labels = pd.DataFrame({"v": ids, "comp": ids[comp]}).astype("Int64")
         done = pd.DataFrame([vars(r) for r in rounds]).astype({"number": "Int32", "components": "Int64", "saturated": "Int64"})
         out = pd.concat([labels, done], ignore_index=True)
@@ -159,7 +201,7 @@ def _grouped(obs: list[str], reg: float, p: CutPursuitParams):
         vertices = vertices.sort_values("v")
         ids = vertices["v"].to_numpy()
         u, v = (np.searchsorted(ids, edges[c].to_numpy()) for c in ("u", "v"))
-        label, full = split_component(vertices[obs].to_numpy(float), vertices["w"].to_numpy(float), u, v, edges["w"].to_numpy(float), reg, p)
+        label, full = split_component(vertices[obs].to_numpy(float), vertices["w"].to_numpy(float), u, v, edges["w"].to_numpy(float), reg, p, _keys_of(vertices, p))
         return pd.DataFrame({"v": ids, "comp": ids[label], "stable": bool((label == label[0]).all()), "saturated": full})
 
     return work
@@ -176,6 +218,44 @@ def median_sides(vertices: DataFrame, obs: list[str], by: str = "comp") -> DataF
     return vertices.join(stats, by).withColumn("side", side).drop(*(f"_{k}{i}" for k in "vm" for i in range(len(obs))))
 
 
+def kmeans_sides(vertices: DataFrame, obs: list[str], p: CutPursuitParams, by: str = "comp") -> DataFrame:
+    """``vertices`` with side, as kmeans_first_sides() has it, of components of any size: centres are drawn by smallest keys and moved by sums of groups.
+
+    All starts of all components go on together, a join and an aggregate for each step.
+    """
+    names, starts = [f"_key{i}" for i in range(2 * p.restarts)], range(p.restarts + 1)
+    if not set(names) <= set(vertices.columns):
+        vertices = vertices.select(*vertices.columns, *_keys(p))
+    square = lambda c: sum((F.col(o) - F.col(f"{c}_{o}")) * (F.col(o) - F.col(f"{c}_{o}")) for o in obs)
+    drawn = lambda c, key: F.min_by(F.struct(*obs), F.struct(key, F.col("v"))).alias(c)
+    spread = lambda cs: [F.col(f"{c}.{o}").alias(f"{c}_{o}") for c in cs for o in obs]
+    one = vertices.groupBy(by).agg(*(drawn(f"a{r}", F.col(f"_key{r}")) for r in range(p.restarts))).select(by, *spread([f"a{r}" for r in range(p.restarts)]))
+    late = lambda r: F.coalesce(-F.ln(f"_key{p.restarts + r}") / F.when(F.col("w") * square(f"a{r}") > 0, F.col("w") * square(f"a{r}")), F.lit(float("inf")))
+    two = vertices.join(one, by).groupBy(by).agg(*(drawn(f"b{r}", late(r)) for r in range(p.restarts))).select(by, *spread([f"b{r}" for r in range(p.restarts)]))
+    last = p.restarts
+    middle = two_centers(median_sides(vertices, obs, by), obs, by)
+    middle = middle.select(by, *(F.when(~F.col("saturated"), F.col(f"{t}_{o}")).alias(f"{t}{last}_{o}") for t in "ab" for o in obs))
+    centres = written(one.join(two, by).join(middle, by))
+    columns = [f"{t}{r}_{o}" for r in starts for t in "ab" for o in obs]
+    for _ in range(p.steps):
+        met = vertices.join(centres, by)
+        sums = []
+        for r in starts:
+            far = square(f"a{r}") > square(f"b{r}")
+            sums += [F.sum(F.when(on, F.col("w") * x)).alias(f"_{t}{r}_{i}") for t, on in (("a", ~far), ("b", far)) for i, x in enumerate((F.lit(1.0), *map(F.col, obs)))]
+        moved = met.groupBy(by).agg(*sums, *(F.first(c).alias(c) for c in columns))
+        both = lambda r: (F.col(f"_a{r}_0") > 0) & (F.col(f"_b{r}_0") > 0)
+        before, centres = centres, written(moved.select(by, *(F.when(both(r), F.try_divide(F.col(f"_{t}{r}_{i + 1}"), F.col(f"_{t}{r}_0"))).otherwise(F.col(f"{t}{r}_{o}")).alias(f"{t}{r}_{o}") for r in starts for t in "ab" for i, o in enumerate(obs))))
+        released(before)
+    met = vertices.join(centres, by)
+    energies_ = [F.coalesce(F.sum(F.col("w") * F.least(square(f"a{r}"), square(f"b{r}"))), F.lit(float("inf"))) for r in starts]
+    best = met.groupBy(by).agg(F.array_min(F.array(*(F.struct(e.alias("e"), F.lit(r).alias("r")) for r, e in zip(starts, energies_))))["r"].alias("_best"))
+    side = F.lit(False)
+    for r in starts:
+        side = F.when(F.col("_best") == r, F.coalesce(square(f"a{r}") > square(f"b{r}"), F.lit(False))).otherwise(side)
+    return met.join(best, by).withColumn("side", side).select(*vertices.columns, "side")
+
+
 def split_large(vertices: DataFrame, edges: DataFrame, obs: list[str], reg: float, p: CutPursuitParams, most: int | None = None) -> DataFrame:
     """(v, comp, saturated): the parts that components fall into, by smallest vertices, of any size and all at once.
 
@@ -184,7 +264,8 @@ def split_large(vertices: DataFrame, edges: DataFrame, obs: list[str], reg: floa
     placed = by_region(vertices, obs, most or REGION)
     capacity = (F.col("w") * reg * p.scale).cast("bigint") * p.edge_multiplier
     near = lines(placed, edges.select("u", "v", capacity.alias("cap")))
-    sides = written(median_sides(placed, obs).select("v", "side"))
+    start = median_sides(placed, obs) if p.start == "median" else kmeans_sides(placed, obs, p)
+    sides = written(start.select("v", "side"))
     made = [placed, near]
     for _ in range(p.flow_steps):
         now = placed.join(sides.select("v", "side"), "v")
@@ -234,7 +315,7 @@ def cut_pursuits(vertices: DataFrame, edges: DataFrame, obs: list[str], reg: flo
     """
     p = params or CutPursuitParams()
     key = (F.col(by) if by else F.lit(0)).cast("bigint").alias("key")
-    vertices = written(vertices.select("v", key, *(F.col(o).cast("double").alias(o) for o in obs), F.col("w").cast("double").alias("w")))
+    vertices = written(vertices.select("v", key, *(F.col(o).cast("double").alias(o) for o in obs), F.col("w").cast("double").alias("w"), *_keys(p)))
     edges = edges.where("u <> v").select("u", "v", F.col("w").cast("double").alias("w"))
     edges = written(edges.join(vertices.select(F.col("v").alias("u"), "key"), "u") if by else edges.withColumn("key", F.lit(0).cast("bigint")))
     large = written(vertices.groupBy("key").count().where(F.col("count") > REGION).select("key"))

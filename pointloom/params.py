@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 @dataclass(frozen=True)
 class CutPursuitParams:
     """``edge_multiplier``: what a cut edge costs in the flow, in units of weight x regularisation (2 counts each edge in both directions).
-    ``cutoff``: components of less weight are merged into a neighbour afterwards; 0 turns that off. ``merge_step``: also undo cuts that don't pay."""
+    ``cutoff``: components of less weight are merged into a neighbour afterwards; 0 turns that off. ``merge_step``: also undo cuts that don't pay.
+    ``start``: how a component's first two sides come about, by its median or by k-means, from ``restarts`` seeded pairs of centres and ``steps`` each."""
 
     flow_steps: int = 4
     max_rounds: int = 20
@@ -17,6 +18,10 @@ class CutPursuitParams:
     edge_multiplier: int = 2
     cutoff: float = 0.0
     merge_step: bool = False
+    start: str = "median"
+    restarts: int = 5
+    steps: int = 8
+    seed: int = 0
 
 
 @dataclass(frozen=True)
