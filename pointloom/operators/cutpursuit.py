@@ -12,6 +12,7 @@ Graphs: vertices(v, o1..oD, w) and edges(u, v, w), each edge once.
 from __future__ import annotations
 
 import time
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -385,12 +386,34 @@ def _round(vertices: DataFrame, edges: DataFrame, labels: DataFrame, obs: list[s
     return out
 
 
-def merge_back(vertices: DataFrame, edges: DataFrame, labels: DataFrame, obs: list[str], reg: float, p: CutPursuitParams, most: int = 51) -> DataFrame:
+def greedy_pairs(wanted: DataFrame) -> DataFrame:
+    """(ca, cb): what a queue of pairs (ca, cb, gain) takes that is emptied by falling gain, ties by ca and then cb, skipping pairs of which a side is taken.
+
+    In rounds: a pair that is the best left of both its sides is taken by the queue whatever else there is, as any pair that comes before it has other sides. So
+    all such pairs are taken at once, and the pairs of their sides go. The best pair left is always among them, so rounds end. Written.
+    """
+    left, taken = written(wanted.select("ca", "cb", "gain")), None
+    while not left.isEmpty():
+        key = F.struct(-F.col("gain"), F.col("ca"), F.col("cb"))
+        ends = left.withColumn("c", F.explode(F.array("ca", "cb")))
+        best = ends.groupBy("c").agg(F.min_by(F.struct("ca", "cb"), key).alias("p"))
+        now = written(best.groupBy("p").count().where("count = 2").select("p.ca", "p.cb"))
+        gone = now.select(F.explode(F.array("ca", "cb")).alias("c"))
+        before = left
+        left = written(left.join(gone.withColumnRenamed("c", "ca"), "ca", "left_anti").join(gone.withColumnRenamed("c", "cb"), "cb", "left_anti").select("ca", "cb", "gain"))
+        released(before)
+        taken = now if taken is None else taken.unionByName(now)
+    return left.select("ca", "cb") if taken is None else written(taken)
+
+
+def merge_back(vertices: DataFrame, edges: DataFrame, labels: DataFrame, obs: list[str], reg: float, p: CutPursuitParams, most: int | None = None) -> DataFrame:
     """Undoes cuts whose merging lowers the energy (merge_step), and merges components lighter than cutoff into the neighbour that costs least.
 
-    In a round, pairs are merged that are each other's best, so every component merges once at most.
+    A pass takes pairs by falling gain, every component once at most, and gains are found anew for the next. Every pass has fewer components, so passes end;
+    with ``most``, that more would follow is warned of.
     """
-    for _ in range(most):
+    number = 0
+    while True:
         now = vertices.join(labels, "v")
         comps = weighted_means(now, ["comp"], obs).join(now.groupBy("comp").agg(F.sum("w").alias("weight")), "comp")
         a = comps.withColumnsRenamed({c: f"{c}_a" for c in comps.columns})
@@ -402,12 +425,12 @@ def merge_back(vertices: DataFrame, edges: DataFrame, labels: DataFrame, obs: li
         gain = F.lit(2.0 * reg) * F.col("weight") - worse
         small = F.least("weight_a", "weight_b") < p.cutoff
         wanted = pairs.withColumn("gain", gain).where((small if p.cutoff > 0 else F.lit(False)) | ((F.col("gain") > 0) if p.merge_step else F.lit(False))).select("ca", "cb", "gain")
-        key = F.struct(-F.col("gain"), F.col("ca"), F.col("cb"))
-        ends = wanted.select(F.col("ca").alias("c"), "ca", "cb", "gain").union(wanted.select(F.col("cb").alias("c"), "ca", "cb", "gain"))
-        best = ends.groupBy("c").agg(F.min_by(F.struct("ca", "cb"), key).alias("p"))
-        taken = best.groupBy("p").count().where("count = 2").select(F.col("p.ca").alias("into"), F.col("p.cb").alias("gone"))
-        taken = written(taken)
+        taken = greedy_pairs(wanted)
         if taken.isEmpty():
-            break
-        labels = written(labels.join(taken, F.col("comp") == F.col("gone"), "left").select("v", F.coalesce("into", "comp").alias("comp")))
-    return labels
+            return labels
+        if most is not None and number >= most:
+            warnings.warn(f"merging was stopped after {most} passes", stacklevel=2)
+            return labels
+        into = taken.select(F.col("ca").alias("into"), F.col("cb").alias("gone"))
+        labels = written(labels.join(into, F.col("comp") == F.col("gone"), "left").select("v", F.coalesce("into", "comp").alias("comp")))
+        number += 1
