@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import as_bytes, blocks, column, texts_of
+from pointloom.llm.common import BLOCK_BYTES, as_bytes, blocks, column, texts_of
 
 #: Fixed value: the first eight bytes of every PNG file.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -144,7 +144,10 @@ def payload(raw: bytes, width: int = WIDTH) -> bytes:
 
 
 def store(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_bytes, media (PNG, binary) of every whole text; a null text counts as empty and gives one row of spaces."""
+    """doc_id, n_bytes, media (PNG, binary) of every whole text; a null text counts as empty and gives one row of spaces.
+
+    Equal texts give equal files. Null ids and repeated rows pass row by row; an empty table gives no rows.
+    """
 
     def work(batches):
         for batch in blocks(batches):
@@ -158,23 +161,35 @@ def store(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def features(stored: DataFrame) -> DataFrame:
     """``stored`` with payload (the samples read back), hash (binary, 8 bytes) and error, null unless the file can't be read.
 
-    An unreadable or null file gives null payload and hash, and the reason. Equal files give equal values; other columns pass through.
+    An unreadable or null file gives null payload and hash, and the reason. Equal files give equal values; other columns pass through. What is passed on
+    at once is bounded by the payloads, which may be far larger than the files.
     """
 
     def work(batches):
         for batch in blocks(batches, "media"):
-            back, marks, errors = [], [], []
+            start, size, back, marks, errors = 0, 0, [], [], []
+
+            def made(start, batch=batch):
+                part = batch.slice(start, len(back))
+                return pa.RecordBatch.from_arrays([*part.columns, pa.array(back, pa.binary()), pa.array(marks, pa.binary()), pa.array(errors, pa.string())], names=[*batch.schema.names, "payload", "hash", "error"])
+
             for data in batch.column("media").to_pylist():
                 try:
                     image = decode_png(data or b"")
                     back.append(image.tobytes())
                     marks.append(cosine_hash(image))
                     errors.append(None)
+                    size += len(back[-1])
                 except (ValueError, zlib.error, struct.error) as e:
                     back.append(None)
                     marks.append(None)
                     errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.binary()), pa.array(marks, pa.binary()), pa.array(errors, pa.string())], names=[*batch.schema.names, "payload", "hash", "error"])
+                if size >= BLOCK_BYTES:
+                    yield made(start)
+                    start, size = start + len(back), 0
+                    back, marks, errors = [], [], []
+            if back:
+                yield made(start)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema)
     return stored.mapInArrow(work, f"{fields}, payload binary, hash binary, error string")

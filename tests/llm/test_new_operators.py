@@ -1,6 +1,7 @@
 """Fill-in-middle, spelling variants and packing against plain versions."""
 
 import hashlib
+import math
 import re
 import time
 import zlib
@@ -13,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pointloom.llm import fill_middle, jaccard_join, lm_scoring, packing, secrets, spelling, token_counts
+from pointloom.llm import fill_middle, jaccard_join, lm_scoring, media, packing, secrets, spelling, token_counts, toxicity
 
 WORDS = P.path("word_bpe_49k.json")
 
@@ -296,3 +297,59 @@ def test_kept_row_of_equal_ones_is_the_same_on_every_run(spark):
     for parts in (1, 3, 5):
         got = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(parts)).collect()
         assert [(r["doc_id"], r["lang"]) for r in got] == [(1, "de")]
+
+
+def plain_cosine_hash(image, side=32, low=8):
+    """The same bits by sums over all samples, each cut exactly into the cells that it lies in."""
+    height, width = image.shape
+    share = lambda n: np.array([[max(0.0, min((i + 1) * n / side, j + 1) - max(i * n / side, j)) for j in range(n)] for i in range(side)]) * side / n
+    small = share(height) @ image.astype(float) @ share(width).T
+    wave = np.zeros((low, low))
+    for u in range(low):
+        for v in range(low):
+            scale = (1 if u == 0 else 2) ** 0.5 * (1 if v == 0 else 2) ** 0.5 / side
+            wave[u, v] = scale * sum(small[y, x] * np.cos(np.pi * (2 * y + 1) * u / (2 * side)) * np.cos(np.pi * (2 * x + 1) * v / (2 * side)) for y in range(side) for x in range(side))
+    flat = wave.ravel()
+    middle = np.median(flat[1:])
+    return flat, middle, np.packbits(flat > middle).tobytes()
+
+
+def test_features_against_plain_cosine_sums():
+    rng = np.random.default_rng(0)
+    for height in (1, 3, 32, 45):
+        image = rng.integers(0, 256, (height, 192)).astype(np.uint8)
+        flat, middle, want = plain_cosine_hash(image)
+        got = media.cosine_hash(image)
+        near = np.abs(flat - middle) < 1e-6  # sums in another order may fall on the other side
+        a, b = (np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for x in (got, want))
+        assert (a == b)[~near].all() and (height < 8 or near.sum() < 8)
+
+
+def test_features_of_small_files_with_large_payloads(spark):
+    n = 60
+    docs = spark.createDataFrame([(i, "a" * 1_000_000) for i in range(n)] + [(n, None)], "doc_id bigint, text string").coalesce(1)
+    made = media.features(media.store(docs))
+    got = media.digest(made).collect()
+    assert len(got) == n + 1 and {r["n_bytes"] for r in got} == {0, 1_000_000} and len({r["payload_sha256"] for r in got}) == 2
+    assert {r["payload_sha256"] for r in got if r["n_bytes"]} == {sha(b"a" * 1_000_000 + b" " * (192 - 1_000_000 % 192))}
+
+
+def test_toxicity_scores_against_plain_sums(spark, docs):
+    """A fitted model's probabilities, grades and decisions, text by text, by the definition of its features and of a cumulative link."""
+    sf_dir = "/root/testdata/sf0.001"
+    model = toxicity.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert len(model.index) > 5 and list(model.thresholds) == sorted(model.thresholds)
+    seen = 0
+    for given_ in (spark.read.parquet(f"{sf_dir}/documents.parquet"), docs):
+        rows = {r["doc_id"]: r for r in toxicity.scores(given_, model).collect()}
+        for r in given_.select("doc_id", "text").collect():
+            counts = Counter()
+            for word in re.findall(r"[a-z0-9\u0080-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in r["text"] or "")):
+                counts.update([f"={word}", *(f"^{word[:n]}" for n in range(3, 9) if n <= len(word))])
+            x = sum(model.weights[model.index[f]] * (1 + math.log(c)) for f, c in counts.items() if f in model.index)
+            p = [1 / (1 + math.exp(t - x)) for t in model.thresholds]
+            got = rows[r["doc_id"]]
+            assert got["severity"] == pytest.approx(sum(p), abs=1e-9) and got["p_toxic"] == pytest.approx(p[0], abs=1e-9)
+            assert got["grade"] == sum(q >= 0.5 for q in p) and got["toxic"] == (got["p_toxic"] >= model.cut)
+            seen += got["toxic"]
+    assert seen > 3
