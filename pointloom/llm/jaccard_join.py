@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import ARRAY_BYTES, as_bytes, blocks, bounded, column, released, written
+from pointloom.llm.common import ARRAY_BYTES, as_bytes, blocks, bounded, column, free, released, written
 from pointloom.llm.words import Words, mixed
 from pointloom.operators.components import components
 
@@ -568,14 +568,15 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     times = classed.groupBy("label", "row").agg(F.count("*").alias("times"))
     first = times.groupBy("label").agg(F.min("row").alias("first")).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
     times = times.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
-    times = written(times.join(first, ["label", "salt"]).select(F.col("row.doc_id").alias("id"), F.col("row.tie").alias("tie"), (F.col("row") != F.col("first")).alias("goes"), (F.col("times") > 1).alias("again")).where("goes OR again"))
-    text = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    same = lambda t: docs["doc_id"].eqNullSafe(t["id"]) & (text == t["tie"])
-    out = docs.join(times, same(times), "left_anti")
-    again = times.where("again AND NOT goes")
-    if not again.limit(1).count():
+    gone, more, own, tie = (free(c, docs) for c in ("_goes", "_again", "_id", "_tie"))
+    named = [F.col("row.doc_id").alias(own), F.col("row.tie").alias(tie), (F.col("row") != F.col("first")).alias(gone), (F.col("times") > 1).alias(more)]
+    times = written(times.join(first, ["label", "salt"]).select(*named).where(F.col(gone) | F.col(more)))
+    # texts go through one shuffle, by the same plan whatever the number of rows that go
+    met = docs.join(times.hint("merge"), docs["doc_id"].eqNullSafe(F.col(own)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(tie)), "left")
+    out = met.where(F.col(gone).isNull()).select(*docs.columns)
+    again = F.col(more) & ~F.col(gone)
+    if times.where(again).isEmpty():
         return out
-    met = docs.join(again, same(again))
-    whole = F.struct(*(docs[c] for c in docs.columns))
-    one = met.groupBy(again["id"], again["tie"]).agg(F.min_by(whole, F.to_json(whole)).alias("row"))  # the same one on every run
+    whole = F.struct(*docs.columns)
+    one = met.where(again).groupBy(own, tie).agg(F.min_by(whole, F.to_json(whole)).alias("row"))  # the same one on every run
     return out.unionByName(one.select("row.*"))
