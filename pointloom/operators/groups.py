@@ -138,11 +138,22 @@ def trimmed_means(points: DataFrame, by: list[str], percent: float, axes: tuple[
 
 
 def dense_labels(df: DataFrame, label: str, by: list[str] | None = None, name: str | None = None) -> DataFrame:
-    """``df`` with labels renumbered 0, 1, ... by value in each cloud. Only distinct labels are ranked, then joined back."""
+    """``df`` with labels renumbered 0, 1, ... by value in each cloud. Rows with a null label or cloud are left out.
+
+    Distinct labels are sorted by ranges over all tasks, and written, so that the ranges hold. A label's number is its place in its range, after as many as its
+    cloud has in the ranges before: no task sees more of a cloud than a range, and one row for each of its ranges.
+    """
     by, name = by or ["cloud_id"], name or label
-    distinct = df.select(*by, label).distinct()
-    ranks = distinct.select(*by, F.col(label).alias("_l"), (F.row_number().over(Window.partitionBy(*by).orderBy(label)) - 1).cast("int").alias("_dense"))
-    return df.join(ranks.withColumnsRenamed({b: f"_b{i}" for i, b in enumerate(by)}), [*(F.col(b) == F.col(f"_b{i}") for i, b in enumerate(by)), F.col(label) == F.col("_l")]).withColumn(name, F.col("_dense")).drop("_l", "_dense", *(f"_b{i}" for i in range(len(by))))
+    keys = [f"_b{i}" for i in range(len(by))]
+    distinct = df.select(*(F.col(b).alias(k) for b, k in zip(by, keys)), F.col(label).alias("_l")).dropna().distinct()
+    ranges = distinct.repartitionByRange(*keys, "_l").sortWithinPartitions(*keys, "_l")
+    # the upper bits of such an id are the range's number
+    rows = written(ranges.withColumn("_id", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_id", 33)))
+    counts = rows.groupBy(*keys, "_range").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    start = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n")).drop("_n")
+    ranks = rows.join(start, [*keys, "_range"]).select(*keys, "_l", (F.col("_id") - F.col("_first") + F.col("_before")).cast("int").alias("_dense"))
+    met = [*(F.col(b) == F.col(k) for b, k in zip(by, keys)), F.col(label) == F.col("_l")]
+    return df.join(ranks, met).withColumn(name, F.col("_dense")).drop("_l", "_dense", *keys)
 
 
 # ---- Of weighted vertices: (comp, o1..oD, w)

@@ -61,7 +61,7 @@ def best_candidates(pairs: DataFrame, ratio: float) -> DataFrame:
     return good.groupBy("a").agg(F.min_by("b", F.struct(F.col("d3"), -F.col("score"), F.col("b"))).alias("b"))
 
 
-def _closest(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
+def centroid_gaps(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
     """(a, b, d3): the smallest distance between centroids of the clusters of two groups."""
     one = clusters.select(F.col("g").alias("a"), *(F.col(f"c{x}").alias(f"_a{x}") for x in "xyz"))
     two = clusters.select(F.col("g").alias("b"), *(F.col(f"c{x}").alias(f"_b{x}") for x in "xyz"))
@@ -94,7 +94,7 @@ def merge_pass(points: DataFrame, clusters: DataFrame, p: SegmentationParams, fi
     mean = centroids(clusters.withColumnsRenamed({f"c{x}": x for x in "xyz"}), ["g"])
     a = features.join(mean, "g").select(*(F.col(c).alias(f"{c}_a") for c in ("g", "cloud", "elev", "len", "hx", "hy", "cx", "cy")))
     b = features.join(mean, "g").select(*(F.col(c).alias(f"{c}_b") for c in ("g", "elev", "len", "hx", "hy", "cx", "cy")))
-    both = _closest(pairs, clusters).join(a, F.col("a") == F.col("g_a")).join(b, F.col("b") == F.col("g_b")).join(counts.select(F.col("cloud").alias("cloud_a"), "sigma"), "cloud_a")
+    both = centroid_gaps(pairs, clusters).join(a, F.col("a") == F.col("g_a")).join(b, F.col("b") == F.col("g_b")).join(counts.select(F.col("cloud").alias("cloud_a"), "sigma"), "cloud_a")
     both = both.withColumn("h", hull_overlap("hx_a", "hy_a", "hx_b", "hy_b", "lattice", p.raster_scale))
     both = both.withColumn("v", vertical_overlap(*(F.col(c) for c in ("elev_a", "len_a", "elev_b", "len_b"))))
     both = both.withColumn("d2", distance([F.col("cx_a"), F.col("cy_a")], [F.col("cx_b"), F.col("cy_b")]))
@@ -144,7 +144,7 @@ def final_segments(points: DataFrame, params: SegmentationParams | None = None,
         if not left.isEmpty():
             features = members(_united(last), now, "g")
             pairs = knn_join(members(features, left, "g"), members(features, targets, "g"), p.min_nn3, ("fx", "fy"), "g", "g", by="cloud")
-            near = _closest(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")), every)
+            near = centroid_gaps(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")), every)
             to = near.groupBy("a").agg(F.min_by("b", F.struct("d3", "b")).alias("b"))
             every = every.join(to, F.col("g") == F.col("a"), "left").withColumn("g", F.coalesce("b", "g")).select(*every.columns)
     return dense_labels(every, "g", ["cloud"], "final").select("init", "final")

@@ -26,7 +26,8 @@ class CutPursuitParams:
 
 @dataclass(frozen=True)
 class SegmentationParams:
-    """Distances are in metres. ``origin`` of the voxels: the cloud's mean or its min. ``cluster_label``: how a cluster gets its second label."""
+    """Distances are in metres. ``origin`` of the voxels: the cloud's mean or its min. ``cluster_label``: how a cluster gets its second label.
+    ``min_points``: clouds of fewer points are skipped, and come back with null labels; 0 skips none, twice min_nn1 is another common choice."""
 
     reg_strength1: float = 1.0
     min_nn1: int = 5
@@ -46,4 +47,5 @@ class SegmentationParams:
     origin: str = "mean"
     cluster_label: str = "first"
     isolate_outliers: bool = False
+    min_points: int = 0
     solver: CutPursuitParams = field(default_factory=CutPursuitParams)

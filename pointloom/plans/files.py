@@ -11,7 +11,7 @@ from pointloom.params import SegmentationParams
 from pointloom.plans.segmentation import LABELS, segment
 from pointloom.plans.storage import written
 from pointloom.sources.las import Header, LasSource
-from pointloom.sources.points import SUFFIX, discover, original_columns, read_delimited, write_delimited
+from pointloom.sources.points import SUFFIX, discover, original_columns, read_delimited, separator, write_delimited
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
@@ -36,8 +36,9 @@ def write_labelled(spark: SparkSession, path: str, labelled: DataFrame, out: str
     elif kind.lower() == "parquet":
         labelled.write.parquet(to)
     else:
-        fields, header = original_columns(spark.read.text(path).head()[0], labelled.columns)
-        write_delimited(labelled, to, header, fields=fields)
+        line = spark.read.text(path).head()[0]
+        fields, header = original_columns(line, labelled.columns)
+        write_delimited(labelled, to, header, separator(line), fields)
     return to
 
 

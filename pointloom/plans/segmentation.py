@@ -54,15 +54,16 @@ def intermediate_segments(points: DataFrame, params: SegmentationParams | None =
     return labels.select(F.col("v").alias("point_id"), F.col("comp").alias("inter"))
 
 
-def numbered(points: DataFrame) -> DataFrame:
-    """(cloud_id, point_id, x, y, z, and as _cloud and _point the ids that they came with) of points that have a place and an id.
+def numbered(points: DataFrame, min_points: int = 0) -> DataFrame:
+    """(cloud_id, point_id, x, y, z, and as _cloud and _point the ids that they came with) of points that have a place and an id,
+    in clouds of at least ``min_points`` of them.
 
     The new ids are integers, unique over all clouds, in the order of cloud and id; a cloud's is its smallest point's. Written, so that they hold.
     """
     plain = points.where(located(list("xyz")) & F.col("point_id").isNotNull()).select(F.col("cloud_id").alias("_cloud"), F.col("point_id").alias("_point"), *(F.col(a).cast("double").alias(a) for a in "xyz"))
     order = plain.repartitionByRange("_cloud", "_point").sortWithinPartitions("_cloud", "_point")
     own = written(order.withColumn("point_id", F.monotonically_increasing_id()))
-    first = own.groupBy(F.col("_cloud").alias("_c")).agg(F.min("point_id").alias("cloud_id"))
+    first = own.groupBy(F.col("_cloud").alias("_c")).agg(F.min("point_id").alias("cloud_id"), F.count("*").alias("_n")).where(F.col("_n") >= min_points).drop("_n")
     return written(own.join(first, F.col("_cloud").eqNullSafe(F.col("_c"))).drop("_c"))
 
 
@@ -71,11 +72,11 @@ def segment(points: DataFrame, params: SegmentationParams | None = None) -> Data
 
     All clouds go through the same jobs, whose number doesn't depend on theirs. Every input row comes back once, point_id being unique in a cloud; a row with a
     null, NaN or infinite coordinate, or without an id, has null labels and counts for nothing. An empty table gives no rows; fewer points than neighbours
-    are asked for, or all at one place, are one segment. Labels are computed on decimated points and carried back through voxels; other columns
+    are asked for, or all at one place, are one segment, unless ``min_points`` skips such clouds, whose labels are null then. Labels are computed on decimated points and carried back through voxels; other columns
     pass unchanged.
     """
     p, by = params or SegmentationParams(), "cloud_id"
-    own = numbered(points)
+    own = numbered(points, p.min_points)
     plain = own.select("cloud_id", "point_id", "x", "y", "z")
     fine = written(voxelize(plain, p.decimate_res1, p.origin))
     coarse = written(voxelize(plain, p.decimate_res2, p.origin))

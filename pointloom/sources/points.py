@@ -70,6 +70,12 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("cloud_id", "point_id", *(F.get("_f", F.lit(i)).cast("double").alias(a) for i, a in zip(xyz, "xyz")), *(F.get("_f", F.lit(i)).alias(n) for i, n in rest))
 
 
+def separator(first_line: str) -> str:
+    """The mark between the first two fields of a line, or a blank."""
+    marks = re.findall(SEPARATORS, re.sub(r"^(//|#)\s*", "", first_line.strip()))
+    return marks[0].strip(" ") or " " if marks else ","
+
+
 def original_columns(first_line: str, columns: list[str]) -> tuple[list[tuple[str, str]], bool]:
     """The fields of a file as (column read, name in the file), with the labels after them, and whether the file has a header."""
     names = sniff(first_line)
@@ -81,11 +87,14 @@ def original_columns(first_line: str, columns: list[str]) -> tuple[list[tuple[st
 
 
 def write_delimited(points: DataFrame, path: str, header: bool = True, sep: str = ",", fields: list[tuple[str, str]] | None = None) -> None:
-    """One sorted text folder, labels after the other columns. ``fields``: the columns to write, and their names."""
+    """One sorted text folder, labels after the other columns. ``fields``: the columns to write, and their names.
+
+    A null is an empty field, or NaN between blanks, where an empty field would be none.
+    """
     ordered = points.repartitionByRange("point_id").sortWithinPartitions("point_id")
     if fields is not None:
         ordered = ordered.select(*(F.col(f"`{c}`").alias(n) for c, n in fields))
-    ordered.write.option("header", header).option("sep", sep).csv(path)
+    ordered.write.option("header", header).option("sep", sep).option("nullValue", "NaN" if sep == " " else "").csv(path)
 
 
 def range_filter(points: DataFrame, field: str, low: float, high: float) -> DataFrame:

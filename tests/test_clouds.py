@@ -76,6 +76,13 @@ def test_rows_without_a_place_keep_null_labels(spark):
     assert {tuple(r[x] for x in LABELS) for r in segment(spark.createDataFrame(nameless, KIND), p).collect()} == set(want.values())
 
 
+def test_small_clouds_can_be_skipped(spark, clouds, single):
+    from dataclasses import replace
+
+    got = segment(spark.createDataFrame([r for r in clouds if r[0] in ("few", "c1")], KIND), replace(PARAMS, min_points=2 * PARAMS.min_nn1)).collect()
+    assert {(r["cloud_id"], r["point_id"]): tuple(r[x] for x in LABELS) for r in got} == {k: (None,) * 3 if k[0] == "few" else x for k, x in single.items() if k[0] in ("few", "c1")}
+
+
 def test_far_parts_are_segments_of_their_own(spark):
     """isolate_outliers: a label is cut where no chain of neighbours joins it."""
     xyz = [(0.3 * i, 0.0, 0.0) for i in range(8)] + [(100 + 0.3 * i, 0.0, 0.0) for i in range(25)]

@@ -173,6 +173,43 @@ def test_delimited_files(spark, tmp_path, text, want):
     assert [(r["x"], r["y"], r["z"]) for r in read_delimited(spark, str(tmp_path / "a.csv")).orderBy("point_id").collect()] == want
 
 
+@pytest.mark.parametrize(("line", "want"), [("0 0 0", " "), ("0,0 0", ","), ("//X Y Z", " "), ("x ; y;z", ";"), ("# z\ty\tx", "\t"), ("1", ",")])
+def test_separators(line, want):
+    from pointloom.sources.points import separator
+
+    assert separator(line) == want
+
+
+@pytest.mark.parametrize("sep", [",", ";", "\t", " "])
+def test_delimited_files_with_nulls_come_back(spark, tmp_path, sep):
+    from pointloom.sources.points import write_delimited
+
+    rows = [("c", i, float(i), None if i == 3 else i / 4, -1.5, None if i % 2 else "a") for i in range(9)]
+    df = spark.createDataFrame(rows, "cloud_id string, point_id bigint, x double, y double, z double, name string")
+    write_delimited(df.repartition(3), str(tmp_path / "out"), True, sep, [(c, c.upper()) for c in ("x", "y", "z", "name")])
+    back = {r["x"]: (r["y"], r["z"], r["NAME"]) for r in read_delimited(spark, str(tmp_path / "out")).collect()}
+    none = "NaN" if sep == " " else None
+    assert {k: (str(y), z, n) for k, (y, z, n) in back.items()} == {r[2]: (("nan" if none else "None") if r[3] is None else str(r[3]), r[4], r[5] or none) for r in rows}
+
+
+def test_labels_are_ranked_over_ranges(spark):
+    """Labels of one large and many small clouds, strings and structs among them, with nulls, in many ranges."""
+    rng = np.random.default_rng(5)
+    rows = [("big", int(x)) for x in rng.integers(-(1 << 40), 1 << 40, 3000)] * 2 + [(f"c{i % 40}", int(x)) for i, x in enumerate(rng.integers(0, 9, 400))] + [("big", None), (None, 1)]
+    df = spark.createDataFrame(rows, "cloud_id string, lab bigint").withColumn("text", F.col("lab").cast("string")).withColumn("both", F.struct("text", "lab"))
+    for label in ("lab", "text", "both"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = {(r["cloud_id"], r[label]): r["n"] for r in G.dense_labels(df.repartition(5).where("lab IS NOT NULL"), label, name="n").collect()}
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        of = {}
+        for r in df.where("lab IS NOT NULL AND cloud_id IS NOT NULL").collect():
+            of.setdefault(r["cloud_id"], set()).add(r[label])
+        assert got == {(c, x): i for c, xs in of.items() for i, x in enumerate(sorted(xs))}
+    assert G.dense_labels(df, "lab", name="n").count() == len(rows) - 2 and G.dense_labels(df.limit(0), "lab").count() == 0
+
+
 def test_bad_headers(spark, tmp_path):
     (tmp_path / "b.csv").write_text("a b c\n1 2 3\n")
     with pytest.raises(PointFileError):
@@ -245,7 +282,7 @@ def test_files_come_back_as_they_were(spark, tmp_path, monkeypatch):
     lines = [x for f in sorted((out / "a_segmented.csv").glob("part-*.csv")) for x in f.read_text().splitlines() if not x.startswith("Z")]
     assert spark.read.option("header", True).csv(a).columns == ["Z", "X", "name", "Y", "init_segs", "intermediate_segs", "final_segs"]
     assert [x.split(",")[2] for x in lines] == [f"n{i}" for i in range(40)]
-    bare = spark.read.csv(b).collect()
+    bare = spark.read.option("sep", " ").csv(b).collect()
     assert len(bare) == 40 and len(bare[0]) == 7 and {int(r[3]) for r in bare} == set(range(40))
     back = spark.read.format("las").load(c).collect()
     assert {r["mark"] for r in back} == set(range(40)) and len({r["final_segs"] for r in back if r["x"] < 10} & {r["final_segs"] for r in back if r["x"] > 20}) == 0
