@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 
 from pointloom.operators import groups as G
 from pointloom.operators.components import label_vertices
-from pointloom.operators.cutpursuit import cut_pursuit, median_sides, terminal_capacities
+from pointloom.operators.cutpursuit import cut_pursuit, energies, median_sides, terminal_capacities
 from pointloom.operators.hulls import hull_overlap, hulls
 from pointloom.operators.knn import knn_join, nearest_gaps, radius_edges
-from pointloom.operators.merge import best_candidates, final_segments, merge_score, nearest_scale, stem_flags, vertical_overlap
+from pointloom.operators.merge import best_candidates, centroid_gaps, final_segments, merge_score, nearest_scale, stem_flags, vertical_overlap
 from pointloom.operators.outliers import isolate_gaps, sor_filter
 from pointloom.operators.voxels import VOXEL, centered, decimate, label_back, min_shifted, voxelize
 from pointloom.params import SegmentationParams
 from pointloom.plans.segmentation import gap_weight, init_segments, intermediate_segments, segment
-from pointloom.sources.points import global_shift, range_filter
+from pointloom.plans.storage import shared_folder
+from pointloom.sources.las import LasSource
+from pointloom.sources.points import distinct_labels, export_graph, global_shift, range_filter, read_delimited, write_delimited
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -97,11 +99,71 @@ def global_shift_auto(spark, d):
     return global_shift(evt(spark, d)).select("point_id", "x", "y", *r6("z"))
 
 
+@query(f"WITH {EVT}, f AS (SELECT arg_min(x, point_id) AS fx, arg_min(y, point_id) AS fy, arg_min(z, point_id) AS fz FROM evt) SELECT point_id, round(x - fx, 6) AS x, round(y - fy, 6) AS y, round(z - fz, 6) AS z FROM evt, f")
+def global_shift_first(spark, d):
+    return global_shift(evt(spark, d), "first").select("point_id", *r6("x", "y", "z"))
+
+
+@query(f"WITH {EVT} SELECT point_id, round(x + 1.5, 6) AS x, round(y - 20, 6) AS y, round(z - 400000, 6) AS z FROM evt")
+def global_shift_given(spark, d):
+    return global_shift(evt(spark, d), (1.5, -20.0, -400_000.0)).select("point_id", *r6("x", "y", "z"))
+
+
 @query("SELECT count(*) AS n, round(min(x), 6) AS min_x, round(max(x), 6) AS max_x, round(min(y), 6) AS min_y, round(max(y), 6) AS max_y FROM (SELECT o_custkey::DOUBLE AS x, o_totalprice / 1000 AS y FROM orders)")
 def extent(spark, d):
     return G.extents(ord_(spark, d), [], ("x", "y")).select("n", *r6("min_x", "max_x", "min_y", "max_y"))
 
 
+# ---- Files: a cloud is written to the shared folder and read back
+
+
+@query(f"WITH {EVT} SELECT point_id::VARCHAR AS id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, grp AS kind FROM evt")
+def delimited_scan(spark, d):
+    """With a header, semicolons, and coordinates that are found by their names."""
+    to = shared_folder(spark)
+    write_delimited(evt(spark, d), to, True, ";", [("z", "Z"), ("point_id", "id"), ("x", "X"), ("grp", "kind"), ("y", "Y")])
+    return read_delimited(spark, to).select("id", *r6("x", "y", "z"), "kind")
+
+
+@query(f"WITH {EVT} SELECT round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, point_id::VARCHAR AS col4 FROM evt")
+def delimited_scan_bare(spark, d):
+    """Without a header, between blanks: the first three fields are the coordinates."""
+    to = shared_folder(spark)
+    write_delimited(evt(spark, d), to, False, " ", [(c, c) for c in ("x", "y", "z", "point_id")])
+    return read_delimited(spark, to).select(*r6("x", "y", "z"), "col4")
+
+
+def _las(spark, d):
+    """The labelled points as LAS files in steps of a thousandth, and read back."""
+    spark.dataSource.register(LasSource)
+    to = shared_folder(spark)
+    points = emb(spark, d).withColumn("final_segs", F.col("grp").cast("int")).withColumn("mark", F.col("point_id"))
+    points.drop("grp").write.format("las").option("scale", "0.001").option("offset", "0").mode("append").save(to)
+    return spark.read.format("las").load(to)
+
+
+@query(f"WITH {EMB} SELECT point_id AS mark, round(x * 1000)::BIGINT AS x, round(y * 1000)::BIGINT AS y, round(z * 1000)::BIGINT AS z, grp::INTEGER AS final_segs FROM emb")
+def las_scan(spark, d):
+    """Coordinates in thousandths, with the extra fields."""
+    return _las(spark, d).select("mark", *(F.round(F.col(a) * 1000).cast("bigint").alias(a) for a in "xyz"), "final_segs")
+
+
+@query("SELECT DISTINCT label::INTEGER AS final_segs FROM embeddings")
+def label_readback(spark, d):
+    return distinct_labels(_las(spark, d))
+
+
+@query("SELECT a.n_nationkey AS u, b.n_nationkey AS v, 'n' || b.n_nationkey AS name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def graph_export(spark, d):
+    """Nations of one region as a graph, exported and read back: its edges with the name of the second end."""
+    to = shared_folder(spark)
+    n = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("bigint").alias("v"), F.col("n_regionkey").alias("r"))
+    edges = n.withColumnRenamed("v", "u").join(n, "r").where("u < v").select("u", "v")
+    export_graph(n.select("v", F.concat(F.lit("n"), "v").alias("name")), edges, to)
+    read = lambda what, schema: spark.read.schema(schema).option("header", True).csv(f"{to}_{what}")
+    return read("edges", "u bigint, v bigint").join(read("vertices", "v bigint, name string"), "v").select("u", "v", "name")
+
+
 # ---- Neighbours
 
 NN3 = "SELECT a.point_id AS u, b.point_id AS v, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS dist FROM emb a, emb b WHERE a.point_id <> b.point_id"
@@ -125,6 +187,13 @@ def knn2d_incl_self(spark, d):
     return knn_join(g, g, 4, ("cx", "cy"), "grp", "grp").select("u", "v", F.col("rk").cast("long").alias("rk"), *r6("dist"))
 
 
+@query(f"WITH {EMB}, g AS (SELECT grp AS g, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM emb GROUP BY grp) SELECT a.g AS u, b.g AS v, row_number() OVER (PARTITION BY a.g ORDER BY sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), b.g) AS rk FROM g a JOIN g b ON a.g <> b.g")
+def knn_more_than_points(spark, d):
+    """More neighbours asked for than there are: all of them."""
+    g = G.centroids(emb(spark, d), ["grp"])
+    return knn_join(g, g, 1000, ("cx", "cy", "cz"), "grp", "grp", exclude_self=True).select("u", "v", F.col("rk").cast("long").alias("rk"))
+
+
 @query(f"""WITH {EMB}, nn AS (SELECT a.point_id AS u, b.point_id AS v, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS dist FROM emb a, emb b WHERE a.grp < 3 AND b.grp >= 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY dist, v) AS rk FROM nn) SELECT u, v, rk, round(dist, 6) AS dist FROM r WHERE rk <= 20""")
 def knn_bichromatic(spark, d):
@@ -163,6 +232,19 @@ def edge_gap_lookup(spark, d):
     return edges.join(both, ["ci", "cj"]).select("u", "v", F.round(gap_weight(F.col("gap")), 6).alias("w"))
 
 
+CLUSTERS = "k AS (SELECT grp * 2 + (z > 0)::INTEGER AS init, grp AS g, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM emb GROUP BY ALL)"
+
+
+@query(f"""WITH {EMB}, {CLUSTERS} SELECT a.g AS a, b.g AS b, round(min(sqrt((a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy)+(a.cz-b.cz)*(a.cz-b.cz))), 6) AS d3 FROM k a JOIN k b ON b.g = a.g + 1 GROUP BY ALL""")
+def group_gap_centroids(spark, d):
+    """Between each label and the next: the smallest distance of the centroids of their clusters."""
+    e = emb(spark, d).withColumn("init", F.col("grp") * 2 + (F.col("z") > 0).cast("int"))
+    clusters = G.centroids(e.withColumnRenamed("grp", "g"), ["init", "g"])
+    g = clusters.select("g").distinct()
+    pairs = g.select(F.col("g").alias("a")).join(g.select(F.col("g").alias("b")), F.col("b") == F.col("a") + 1)
+    return centroid_gaps(pairs, clusters).select("a", "b", *r6("d3"))
+
+
 # ---- Aggregates
 
 
@@ -243,6 +325,17 @@ def energy(spark, d):
     return one.join(pen.select(F.lit(1).alias("k"), F.round("penalty", 5).alias("penalty")), "k").drop("k")
 
 
+@query(f"""WITH {EMB}, {KNN5}, {CROSS}, m AS (SELECT grp, avg(x) AS mx, avg(y) AS my FROM emb GROUP BY grp), f AS (SELECT grp % 3 AS key, 0.5 * sum((x-mx)*(x-mx)+(y-my)*(y-my)) AS fidelity FROM emb JOIN m USING (grp) GROUP BY 1),
+p AS (SELECT lu % 3 AS key, sum(2.5 * w) AS penalty FROM cr WHERE lu % 3 = lv % 3 GROUP BY 1) SELECT key, round(fidelity, 5) AS fidelity, round(coalesce(penalty, 0), 5) AS penalty FROM f LEFT JOIN p USING (key)""")
+def cut_energy(spark, d):
+    """The energy of the labels in each of three graphs, which are the labels by their remainders."""
+    edges, v = _labelled(spark, d)
+    keyed = v.withColumn("key", F.col("comp") % 3)
+    ends = keyed.select("v", "key")
+    own = edges.join(ends.toDF("u", "key"), "u").join(ends.toDF("v", "_other"), "v").where(F.col("key") == F.col("_other")).drop("_other")
+    return energies(keyed.drop("comp"), own, v, ["x", "y"], 2.5).select("key", F.round("fidelity", 5).alias("fidelity"), F.round("penalty", 5).alias("penalty"))
+
+
 @query(f"""WITH {EMB}, s AS (SELECT grp, var_pop(x) AS a, var_pop(y) AS b, var_pop(z) AS c, median(x) AS mx, median(y) AS my, median(z) AS mz FROM emb GROUP BY grp)
 SELECT point_id AS v, CASE WHEN a >= b AND a >= c THEN x > mx WHEN b >= c THEN y > my ELSE z > mz END AS side FROM emb JOIN s USING (grp)""")
 def median_split_labels(spark, d):
