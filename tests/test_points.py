@@ -296,36 +296,106 @@ def test_files_come_back_as_they_were(spark, tmp_path, monkeypatch):
 # ---- The first two stages against a plain version
 
 
-def plain_cut_pursuit(obs, u, v, ew, reg, p):
-    """Labels (smallest vertex) of the same method on whole arrays, a component after the other."""
-    from pointloom.functions.maxflow import parts, sink_side
-    from pointloom.operators.cutpursuit import first_sides, split_component, terminals
+def plain_parts(n, u, v):
+    """The smallest vertex that each one reaches."""
+    near = [[] for _ in range(n)]
+    for a, b in zip(u.tolist(), v.tolist()):
+        near[a].append(b)
+        near[b].append(a)
+    label = [-1] * n
+    for i in range(n):
+        if label[i] < 0:
+            label[i], todo = i, [i]
+            while todo:
+                for b in near[todo.pop()]:
+                    if label[b] < 0:
+                        label[b] = i
+                        todo.append(b)
+    return np.array(label)
+
+
+def plain_sink_side(to_source, to_sink, u, v, cap):
+    """Who still reaches the sink once no shortest path from the source has room, found path by path."""
+    n = len(to_source)
+    source, sink, room = n, n + 1, [{} for _ in range(n + 2)]
+
+    def line(a, b, there, back):
+        room[a][b] = room[a].get(b, 0) + there
+        room[b][a] = room[b].get(a, 0) + back
+
+    for i in range(n):
+        line(source, i, int(to_source[i]), 0)
+        line(i, sink, int(to_sink[i]), 0)
+    for a, b, c in zip(u.tolist(), v.tolist(), cap.tolist()):
+        line(a, b, c, c)
+    while True:
+        came, ring = {source: None}, [source]
+        while ring and sink not in came:
+            after = []
+            for a in ring:
+                for b, c in room[a].items():
+                    if c > 0 and b not in came:
+                        came[b] = a
+                        after.append(b)
+            ring = after
+        if sink not in came:
+            break
+        path, b = [], sink
+        while came[b] is not None:
+            path.append((came[b], b))
+            b = came[b]
+        flow = min(room[a][b] for a, b in path)
+        for a, b in path:
+            room[a][b] -= flow
+            room[b][a] += flow
+    seen, todo = {sink}, [sink]
+    while todo:
+        b = todo.pop()
+        for a in room[b]:
+            if room[a].get(b, 0) > 0 and a not in seen:
+                seen.add(a)
+                todo.append(a)
+    return np.array([i in seen for i in range(n)])
+
+
+def plain_split(obs, u, v, ew, reg, p):
+    """The parts of one component, by smallest vertices, and whether it can't be split."""
+    spread = [np.mean((o - o.mean()) ** 2) for o in obs.T]
+    wide = obs[:, spread.index(max(spread))]
+    side = wide > np.median(wide)
+    cap = np.trunc(ew * reg * p.scale).astype(int) * p.edge_multiplier
+    for _ in range(p.flow_steps):
+        if len(set(side.tolist())) == 1:
+            return plain_parts(len(obs), u, v), True
+        cost = [0.5 * ((obs - obs[side == s].mean(axis=0)) ** 2).sum(axis=1) for s in (False, True)]
+        lack = np.trunc(abs(cost[0] - cost[1]) * p.scale).astype(int)
+        first = cost[0] <= cost[1]
+        side = plain_sink_side(lack * ~first, lack * first, u, v, cap)
+    live = side[u] == side[v]
+    return plain_parts(len(obs), u[live], v[live]), False
 
-    n, w = len(obs), np.ones(len(obs))
+
+def plain_cut_pursuit(obs, u, v, ew, reg, p):
+    """Labels (smallest vertex) of the same method on whole arrays, a component after the other, with cuts of its own."""
+    n = len(obs)
 
     def energy(comp):
         means = {c: obs[comp == c].mean(axis=0) for c in set(comp.tolist())}
         return 0.5 * sum(((obs[i] - means[comp[i]]) ** 2).sum() for i in range(n)) + reg * ew[comp[u] != comp[v]].sum()
 
-    comp, stable, before = np.zeros(n, np.int64), np.zeros(n, bool), energy(np.zeros(n, np.int64))
-    full = np.zeros(n, bool)
+    comp, stable, full = np.zeros(n, int), np.zeros(n, bool), np.zeros(n, bool)
+    before = energy(comp)
     for number in range(1, p.max_rounds + 1):
-        if number == 1:
-            side, cap = first_sides(obs), (ew * reg * p.scale).astype(np.int64) * p.edge_multiplier
-            for _ in range(p.flow_steps):
-                if side.all() or not side.any():
-                    break
-                side = sink_side(n, *terminals(obs, w, obs[~side].mean(axis=0), obs[side].mean(axis=0), p.scale), u, v, cap)
-            live = side[u] == side[v]
-            comp, full[:] = parts(n, u[live], v[live]), side.all() or not side.any()
-        else:
-            new = comp.copy()
-            for c in sorted(set(comp[~stable].tolist())):
-                own = np.flatnonzero(comp == c)
-                inner = (comp[u] == c) & (comp[v] == c)
-                label, saturated = split_component(obs[own], w[own], np.searchsorted(own, u[inner]), np.searchsorted(own, v[inner]), ew[inner], reg, p)
-                new[own], stable[own], full[own] = own[label], (label == label[0]).all(), saturated
-            comp = new
+        new = comp.copy()
+        for c in sorted(set(comp[~stable].tolist())):
+            own = np.flatnonzero(comp == c)
+            inner = (comp[u] == c) & (comp[v] == c)
+            label, saturated = plain_split(obs[own], np.searchsorted(own, u[inner]), np.searchsorted(own, v[inner]), ew[inner], reg, p)
+            if saturated and number > 1:
+                label = np.zeros(len(own), int)
+            new[own], full[own] = own[label], saturated
+            stable[own] = number > 1 and len(set(label.tolist())) == 1
+        comp = new
         now = energy(comp)
         if full.all() or before <= 0 or (before - now) / before < p.stop_ratio:
             break
