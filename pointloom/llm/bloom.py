@@ -10,6 +10,8 @@ from pointloom.llm.words import mixed
 
 #: Bits for each entry, and probes for each level, which lie in one block of as many bits as a line of the processor's cache has.
 BITS, PROBES, BLOCK = 11, 4, 512
+#: Keys that are looked up together.
+RUN = 1 << 14
 
 
 def segments_of(words: np.ndarray, bits: int) -> np.ndarray:
@@ -92,19 +94,29 @@ class Filter:
         return out
 
     def _climbed(self, start: np.ndarray, blocks: np.ndarray, short: np.ndarray, now: int, last: int | None = None) -> np.ndarray:
-        """The highest level up to ``last`` of keys that are known to hold the one below ``now``."""
+        """The highest level up to ``last`` of keys that are known to hold the one below ``now``; RUN keys at a time, so that what is computed stays at hand."""
         out = np.full(len(short), now - 1)
-        index = np.arange(len(short))
-        while len(index) and (last is None or now <= last):
+        for a in range(0, len(short), RUN):
+            self._climb(out[a : a + RUN], start[a : a + RUN], blocks[a : a + RUN], short[a : a + RUN], now, last)
+        return out
+
+    def _climb(self, out: np.ndarray, start: np.ndarray, blocks: np.ndarray, short: np.ndarray, now: int, last: int | None) -> None:
+        index = None
+        while len(short) and (last is None or now <= last):
             x = self.hashes(short, now)
-            begin = self.block(x, blocks) + start
-            alive = None
+            begin = (self.block(x, blocks) + start >> np.uint64(3)).view(np.int64)
+            alive, found = None, None
             for i in range(PROBES):
-                at = begin + (x >> np.uint64(9 * i) & np.uint64(BLOCK - 1))
-                found = np.flatnonzero(self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
-                alive = found if alive is None else alive[found]
-                x, begin = x[found], begin[found]
-            index, start, blocks, short = index[alive], start[alive], blocks[alive], short[alive]
+                # few keys have more than one level: most are gone after some probes
+                if now > 1 and i == PROBES // 2:
+                    alive = np.flatnonzero(found & np.uint8(1))
+                    x, begin, found = x[alive], begin[alive], None
+                at = x >> np.uint64(9 * i) & np.uint64(BLOCK - 1)
+                bit = self.data.take(begin + (at >> np.uint64(3)).view(np.int64)) >> (at.astype(np.uint8) & np.uint8(7))
+                found = bit if found is None else found & bit
+            kept = np.flatnonzero(found & np.uint8(1))
+            alive = kept if alive is None else alive[kept]
+            start, blocks, short = start[alive], blocks[alive], short[alive]
+            index = alive if index is None else index[alive]
             out[index] = now
             now += 1
-        return out

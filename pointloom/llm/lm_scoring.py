@@ -11,8 +11,8 @@ Every word is followed by one token, END by the first of a text.
 A filter is made of segments, each built by one task to the size that its entries need and written to the shared folder: those of words by a hash of the
 word, those of pairs by a hash of the first word. Filters of at most ``capacity`` bytes are broadcast whole. Words beyond that are put in shards of about
 that size, each broadcast for a pass over the documents. Pairs beyond that aren't broadcast: tokens, with the levels of their words, are sent packed to the
-segments of the words before them, and what each segment adds to a document's score is summed up. The levels read are the same either way, and no n-gram is
-left out for room.
+segments of the words before them, a bundle of segments at a time, and what each bundle adds to a document's score is sent back packed and summed up. The
+levels read are the same either way, and no n-gram is left out for room.
 
 Words are known by 64-bit hashes. The base score needs exact counts: those of frequent words are broadcast (at most HOT of them), a document's other words
 are joined with the counts.
@@ -36,8 +36,8 @@ from pointloom.llm.words import Words, mixed
 #: The token that ends each document, which is also what its first word follows. It is no word's hash.
 END = np.uint64(0x94D049BB133111EB)
 HOT, CAPACITY = 1 << 20, 160 << 20
-#: Entries in a segment, about.
-SEGMENT = 1 << 20
+#: Entries in a segment, about, and segments that tokens are sent to together: the more, the fewer sums come back for each document.
+SEGMENT, BUNDLE = 1 << 20, 8
 #: A level covers counts up to so many times its smallest: finer for words than for pairs.
 WORD_STEP, PAIR_STEP = 1.2, 1.5
 PRIOR = 20.0
@@ -135,6 +135,33 @@ def _follows(own: np.ndarray, place: np.ndarray, before: np.ndarray) -> np.ndarr
     return out
 
 
+class Known:
+    """Levels of words that a task has looked up, of those with FEW or more, at most MOST words: frequent ones have many levels and are in most blocks."""
+
+    FEW, MOST = 3, 1 << 17
+
+    def __init__(self):
+        self.words, self.levels = np.zeros(0, np.uint64), None
+
+    def of(self, own: np.ndarray, find) -> list[np.ndarray]:
+        """What ``find`` gives for distinct words: arrays of levels."""
+        at = np.searchsorted(self.words, own)
+        new = np.ones(len(own), bool) if not len(self.words) else self.words[np.minimum(at, len(self.words) - 1)] != own
+        found = find(own[new])
+        out = [np.zeros(len(own), np.int64) for _ in found]
+        for i, x in enumerate(out):
+            x[new] = found[i]
+            if len(self.words):
+                x[~new] = self.levels[i][at[~new]]
+        keep = np.flatnonzero(np.max(found, axis=0) >= self.FEW)[: self.MOST - len(self.words)]
+        if len(keep):
+            words = np.concatenate([self.words, own[new][keep]])
+            by = np.argsort(words)
+            self.levels = [np.concatenate([*([self.levels[i]] if self.levels else []), x[keep]])[by] for i, x in enumerate(found)]
+            self.words = words[by]
+        return out
+
+
 @dataclass(frozen=True)
 class Scorer:
     """What is sent to the workers where both filters are broadcast."""
@@ -143,10 +170,10 @@ class Scorer:
     pairs: Filter
     terms: Terms
 
-    def log10(self, token: np.ndarray, before: np.ndarray, own: np.ndarray, place: np.ndarray) -> np.ndarray:
+    def log10(self, token: np.ndarray, before: np.ndarray, own: np.ndarray, place: np.ndarray, known: Known) -> np.ndarray:
         """log10 P of each token after the one before it. ``own``: the distinct tokens, at ``place``."""
         segments, follows = self.pairs.segments(own), _follows(own, place, before)
-        words, firsts = self.words.levels(mixed(own), self.words.segments(own)), self.pairs.levels(first_keys(own), segments)
+        words, firsts = known.of(own, lambda w: (self.words.levels(mixed(w), self.words.segments(w)), self.pairs.levels(first_keys(w), self.pairs.segments(w))))
         return self.terms.log10(self.pairs.levels(pair_keys(before, token), segments[follows]), words[place], firsts[follows])
 
 
@@ -155,7 +182,7 @@ class Model:
     words: Shards
     pairs: Shards
     terms: Terms
-    #: Of each segment of pairs, into how many lanes what is sent to it is dealt.
+    #: Of each bundle of segments of pairs, into how many lanes what is sent to it is dealt.
     lanes: np.ndarray
 
     @property
@@ -272,26 +299,26 @@ def _built(entries: DataFrame, bits: int, capacity: int) -> Shards:
     for r in parts.select("segment", F.octet_length("bits").alias("n")).toLocalIterator():
         size[r["segment"]] = r["n"]
     # what is kept by a word of another segment than any in the filter must still be told to lie in a shard
-    size = np.maximum(size, 8)
+    size = np.maximum(size, 64)
     shards = max(1, -(-int(size.sum()) // capacity))
     which = np.minimum((np.cumsum(size) - size) * shards // max(1, int(size.sum())), shards - 1)
     return Shards(parts, bits, size, (0, *(np.flatnonzero(np.diff(which)) + 1).tolist(), 1 << bits))
 
 
 def _lanes(words: DataFrame, bits: int) -> np.ndarray:
-    """For each segment as many lanes as its words, by their counts, begin pairs over the mean of all segments."""
+    """For each bundle of segments as many lanes as its words, by their counts, begin pairs over the mean of all bundles."""
 
     def work(batches):
         for batch in batches:
-            segment = segments_of(batch.column("word").to_numpy().view(np.uint64), bits)
-            own, place = np.unique(segment, return_inverse=True)
+            bundle = segments_of(batch.column("word").to_numpy().view(np.uint64), bits) // BUNDLE
+            own, place = np.unique(bundle, return_inverse=True)
             load = np.zeros(len(own), np.int64)
             np.add.at(load, place, batch.column("c").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(load)], names=["segment", "load"])
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(load)], names=["bundle", "load"])
 
-    load = np.zeros(1 << bits, np.int64)
-    for r in words.select("word", "c").mapInArrow(work, "segment bigint, load bigint").groupBy("segment").agg(F.sum("load").alias("load")).toLocalIterator():
-        load[r["segment"]] = r["load"]
+    load = np.zeros(-(-(1 << bits) // BUNDLE), np.int64)
+    for r in words.select("word", "c").mapInArrow(work, "bundle bigint, load bigint").groupBy("bundle").agg(F.sum("load").alias("load")).toLocalIterator():
+        load[r["bundle"]] = r["load"]
     return np.maximum(1, -(-load // max(1, int(load.mean())))).astype(np.int64)
 
 
@@ -345,7 +372,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, hot: int = HOT) -> D
     shared = sc.broadcast(model.scorer() if whole else None)
 
     def work(batches):
-        word, times = frequent.value
+        (word, times), known_levels = frequent.value, Known()
         for batch in blocks(batches, limit=ARRAY_BYTES):
             token, before, n = hashed(batch.column("text"))
             own, place = np.unique(token, return_inverse=True)
@@ -356,7 +383,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, hot: int = HOT) -> D
             there = known[place]
             cut = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(n)), n)[~there], minlength=len(n)))])
             rare = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(token[~there].view(np.int64)))
-            value = _sums(shared.value.log10(token, before, own, place), n) if whole else np.zeros(len(n))
+            value = _sums(shared.value.log10(token, before, own, place, known_levels), n) if whole else np.zeros(len(n))
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("row", "doc_id", "held_out")), pa.array(n), pa.array(_sums(there, n).astype(np.int64)), pa.array(_sums(base, n)), pa.array(value), rare], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
 
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
@@ -373,76 +400,126 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, hot: int = HOT) -> D
     return rows.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score")
 
 
-#: Of each token sent to a lane of a segment: the pair's key, that of the word before it, the level of its word, and which of the documents of the pack it is in.
-_SENT = {"keys": np.uint32, "firsts": np.uint32, "levels": np.uint16, "docs": np.uint32, "rows": np.int64}
+#: Of each token sent to a lane: the pair's key, the level of its word, and its document, counted from the pack's first row. Tokens are sorted by the word
+#: before them, so of each such word once: its key, its segment in the bundle, and how many tokens follow it.
+_SENT = {"keys": np.uint32, "levels": np.uint8, "docs": np.uint16, "firsts": np.uint32, "parts": np.uint8, "times": np.uint32}
+#: Rows that a pack reaches over.
+REACH = 1 << 16
+
+
+def _packs(held: list[list[np.ndarray]], base: int) -> pa.RecordBatch:
+    """A row for each lane, of the (lane, segment, key, key of the word before, level, document) of tokens."""
+    lane, segment, key, first, level, doc = (np.concatenate(x) for x in zip(*held))
+    whose = (lane * BUNDLE + segment % BUNDLE).astype(np.uint64) << np.uint64(32) | first
+    by = np.argsort(whose, kind="stable")
+    whose, key, level, doc = whose[by], key[by], level[by].astype(np.uint8), doc[by].astype(np.uint16)
+    run = np.flatnonzero(np.concatenate([[True], whose[1:] != whose[:-1]]))
+    times = np.diff(np.append(run, len(whose))).astype(np.uint32)
+    firsts, at = whose[run].astype(np.uint32), (whose[run] >> np.uint64(32)).astype(np.int64)
+    lanes, parts = at // BUNDLE, (at % BUNDLE).astype(np.uint8)
+    cuts = np.flatnonzero(np.concatenate([[True], lanes[1:] != lanes[:-1]]))
+    ends = np.append(cuts[1:], len(lanes))
+    token = np.append(run, len(whose))
+    cells = [[x[a:b].tobytes() for a, b in zip(token[cuts], token[ends])] for x in (key, level, doc)] + [[x[a:b].tobytes() for a, b in zip(cuts, ends)] for x in (firsts, parts, times)]
+    return pa.RecordBatch.from_arrays([pa.array(lanes[cuts], pa.int32()), pa.array(np.full(len(cuts), base, np.int64)), *(pa.array(x, pa.binary()) for x in cells)], names=["lane", "base", *_SENT])
+
+
+def _within_reach(batches):
+    """(first row of the pack, whether it begins here, batch) of batches whose rows lie within REACH of that one."""
+    base = None
+    for batch in blocks(batches, limit=ARRAY_BYTES):
+        row, a = batch.column("row").to_numpy(), 0
+        while a < len(row):
+            new = base is None or not base <= row[a] < base + REACH
+            base = int(row[a]) if new else base
+            out = np.flatnonzero((row[a:] < base) | (row[a:] >= base + REACH))
+            b = a + int(out[0]) if len(out) else len(row)
+            again = yield base, new, batch.slice(a, b - a)
+            base, a = None if again else base, b
 
 
 def _routed(texts: DataFrame, model: Model) -> DataFrame:
     """(row, score) by filters that aren't broadcast whole.
 
-    A document's tokens go to one lane of each segment. Frequent words make heavy segments, which have more lanes, so no lane gets much more than the mean.
+    A document's tokens go to one lane of each bundle of segments. Frequent words make heavy bundles, which have more lanes, so no lane gets much more than the
+    mean. What a lane adds to the documents of a pack comes back as one row of arrays, so rows are few both ways.
     """
     sc, bits, terms = texts.sparkSession.sparkContext, model.pairs.bits, model.terms
     first_lane = np.cumsum(model.lanes) - model.lanes
     lanes = sc.broadcast((first_lane, model.lanes))
-    segment_of = texts.sparkSession.createDataFrame(pa.table({"lane": pa.array(np.arange(int(model.lanes.sum())), pa.int32()), "segment": pa.array(np.repeat(np.arange(len(model.lanes)), model.lanes), pa.int32())}))
-
-    def sent(held):
-        segment, key, first, level, row = (np.concatenate(x) for x in zip(*held))
-        by = np.lexsort((row, first, segment))
-        segment, key, first, level, row = (x[by] for x in (segment, key, first, level, row))
-        cuts = [0, *(np.flatnonzero(np.diff(segment)) + 1).tolist(), len(segment)]
-        packs = []
-        for a, b in zip(cuts, cuts[1:]):
-            if a < b:
-                rows, docs = np.unique(row[a:b], return_inverse=True)
-                packs.append([int(segment[a]), *(x.astype(k).tobytes() for x, k in zip((key[a:b], first[a:b], level[a:b], docs, rows), _SENT.values()))])
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in packs], pa.int32()), *(pa.array([p[i + 1] for p in packs], pa.binary()) for i in range(len(_SENT)))], names=["lane", *_SENT])
+    bundle = np.repeat(np.arange(len(model.lanes)), model.lanes)
+    segment = (bundle[:, None] * BUNDLE + np.arange(BUNDLE)).ravel()
+    segment_of = texts.sparkSession.createDataFrame(pa.table({"lane": pa.array(np.repeat(np.arange(len(bundle)), BUNDLE), pa.int32()), "segment": pa.array(segment, pa.int32())}))
 
     def tokens_of(shard):
         def work(batches):
-            held, size = [], 0
-            for batch in blocks(batches, limit=ARRAY_BYTES):
+            held, size, base, known = [], 0, None, Known()
+            each = _within_reach(batches)
+            item = next(each, None)
+            while item is not None:
+                now, new, batch = item
+                if new and size:
+                    yield _packs(held, base)
+                    held, size = [], 0
+                base = now
                 token, before, n = hashed(batch.column("text"))
                 own, place = np.unique(token, return_inverse=True)
                 words = shard.value.segments(own)
                 here = np.flatnonzero(shard.value.holds(words)[place])
-                level = shard.value.levels(mixed(own), words)[place]
-                row = np.repeat(batch.column("row").to_numpy(), n)
-                segment, first = (x[_follows(own, place, before)] for x in (segments_of(own, bits), short_of(first_keys(own))))
+                (found,) = known.of(own, lambda w: (shard.value.levels(mixed(w), shard.value.segments(w)),))
+                level = np.minimum(found, 255)[place[here]]
+                row = np.repeat(batch.column("row").to_numpy(), n)[here]
+                of, first = (x[_follows(own, place, before)[here]] for x in (segments_of(own, bits), short_of(first_keys(own))))
                 begin, many = lanes.value
-                lane = begin[segment] + mixed(row.astype(np.uint64)).astype(np.int64) % many[segment]
-                held.append([x[here] for x in (lane, short_of(pair_keys(before, token)), first, level, row)])
+                lane = begin[of // BUNDLE] + mixed(row.astype(np.uint64)).astype(np.int64) % many[of // BUNDLE]
+                held.append([lane, of, short_of(pair_keys(before[here], token[here])), first, level, row - base])
                 size += len(here)
-                if size >= HELD:
-                    yield sent(held)
+                full = size >= HELD
+                if full:
+                    yield _packs(held, base)
                     held, size = [], 0
+                try:
+                    item = each.send(full)
+                except StopIteration:
+                    break
             if size:
-                yield sent(held)
+                yield _packs(held, base)
 
         return work
 
-    def total(packs: pa.Table, part: pa.Table) -> pa.Table:
-        rows, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
-        data = np.frombuffer(part.column("bits")[0].as_py() if part.num_rows else b"", np.uint8)
-        segment = Filter(0, np.zeros(1, np.uint64), np.array([8 * len(data)], np.uint64), data)
-        read = lambda short: segment.levels(short.astype(np.uint64) << np.uint64(32), np.zeros(len(short), np.int64))
-        for pack in packs.select(list(_SENT)).to_pylist():
-            key, first, level, doc, row = (np.frombuffer(pack[c], k) for c, k in _SENT.items())
-            own, place = np.unique(first, return_inverse=True)
-            rows.append(row)
-            scores.append(np.bincount(doc, terms.log10(read(key), level, read(own)[place]), len(row)))
-        return pa.table({"row": pa.array(np.concatenate(rows)), "score": pa.array(np.concatenate(scores))})
+    def scored(packs: pa.Table, part: pa.Table) -> pa.Table:
+        segments = {s % BUNDLE: bits for s, bits in zip(part.column("segment").to_pylist(), part.column("bits").to_pylist())}
+        filter_ = Filter.joined(BUNDLE.bit_length() - 1, segments)
+        read = lambda short, at: filter_.levels(short.astype(np.uint64) << np.uint64(32), at)
+        docs, sums = [], []
+        for i in range(packs.num_rows):
+            key, level, doc, first, at, times = (np.frombuffer(packs.column(c)[i].as_py(), k) for c, k in _SENT.items())
+            at = at.astype(np.int64)
+            value = terms.log10(read(key, np.repeat(at, times)), level, np.repeat(read(first, at), times))
+            there = np.flatnonzero(np.bincount(doc))
+            docs.append(there.astype(np.uint16).tobytes())
+            sums.append(np.bincount(doc, value)[there].tobytes())
+        return pa.table({"base": packs.column("base"), "lane": packs.column("lane"), "docs": pa.array(docs, pa.binary()), "sums": pa.array(sums, pa.binary())})
+
+    def total(answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("lane")  # in one order, so that equal texts have equal sums
+        score, there = np.zeros(REACH), np.zeros(REACH, bool)
+        for docs, sums in zip(answers.column("docs").to_pylist(), answers.column("sums").to_pylist()):
+            docs = np.frombuffer(docs, np.uint16)
+            score[docs] += np.frombuffer(sums)
+            there[docs] = True
+        docs = np.flatnonzero(there)
+        return pa.table({"row": pa.array(docs + answers.column("base")[0].as_py()), "score": pa.array(score[docs])})
 
     parts = []
     for i in range(len(model.words)):
         shard = sc.broadcast(model.words.filter(i))
-        packs = texts.select("row", "text").mapInArrow(tokens_of(shard), "lane int, " + ", ".join(f"{c} binary" for c in _SENT))
-        parts_of = segment_of.join(model.pairs.parts, "segment").select("lane", "bits")
-        scored = packs.groupBy("lane").cogroup(parts_of.groupBy("lane")).applyInArrow(total, "row bigint, score double")
-        parts.append(written(scored.groupBy("row").agg(F.sum("score").alias("score"))))
+        packs = texts.select("row", "text").mapInArrow(tokens_of(shard), "lane int, base bigint, " + ", ".join(f"{c} binary" for c in _SENT))
+        parts_of = segment_of.join(model.pairs.parts, "segment").select("lane", "segment", "bits")
+        answers = packs.groupBy("lane").cogroup(parts_of.groupBy("lane")).applyInArrow(scored, "base bigint, lane int, docs binary, sums binary")
+        parts.append(written(answers.groupBy("base").applyInArrow(total, "row bigint, score double")))
         shard.destroy()
-    return reduce(DataFrame.union, parts).groupBy("row").agg(F.sum("score").alias("score"))
+    return parts[0] if len(parts) == 1 else reduce(DataFrame.union, parts).groupBy("row").agg(F.sum("score").alias("score"))
 
 
 def score_corpus(docs: DataFrame, capacity: int = CAPACITY, hot: int = HOT) -> DataFrame:
