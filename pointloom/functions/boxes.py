@@ -102,29 +102,58 @@ class Places:
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
+#: Distances that two sets of places may have to be compared at once, and pairs of lowest boxes that are.
+FEW, PAIRS = 1 << 14, 1 << 9
+
+
+def _filled(points: np.ndarray) -> np.ndarray:
+    """(box, place, axis) of the lowest boxes, the last one filled up with its last place."""
+    short = -len(points) % LEAF
+    return (np.concatenate([points, np.repeat(points[-1:], short, axis=0)]) if short else points).reshape(-1, LEAF, points.shape[1])
+
+
 def closest(a: np.ndarray, b: np.ndarray, limit: float = np.inf) -> float:
     """The smallest distance between two sets of places, each in the order of a curve; the limit if none is below. Pairs of boxes are taken by their least
-    distance, and those beyond the best so far are left out."""
-    best = limit
-    a_low, a_high, a_n = leaves(a)
+    distance, PAIRS at once, and those beyond the best so far are left out."""
+    if not len(a) or not len(b):
+        return limit
+    if len(a) * len(b) <= FEW:
+        return min(limit, float(distances(a, b).min()))
+    a_low, a_high, _ = leaves(a)
     b_low, b_high, b_n = leaves(b)
-    if not len(a_n) or not len(b_n):
-        return best
-    pyramid = Pyramid(b_low, b_high, b_n)
+    pyramid, best = Pyramid(b_low, b_high, b_n), limit
+    own = np.flatnonzero(_mind2(a_low, a_high, b_low.min(axis=0), b_high.max(axis=0)) <= best * best * SLACK)
     found = []
-    for i in range(len(a_n)):
-        index, bound2 = pyramid.near(a_low[i], a_high[i], 1, best * best)
-        best = min(best, np.sqrt(bound2)) if np.isfinite(bound2) else best
-        if len(index):
-            found.append((np.full(len(index), i), index, _mind2(b_low[index], b_high[index], a_low[i], a_high[i])))
+    if len(own) * len(b_n) <= FEW:
+        gap, far = 0.0, 0.0
+        for i in range(a.shape[1]):
+            low, high = a_low[own, i, None], a_high[own, i, None]
+            apart, reach = np.maximum(0.0, np.maximum(low - b_high[:, i], b_low[:, i] - high)), np.maximum(high - b_low[:, i], b_high[:, i] - low)
+            gap, far = gap + apart * apart, far + reach * reach
+        if len(own):
+            best = min(best, float(np.sqrt(far.min())))
+            one, two = np.nonzero(gap <= best * best * SLACK)
+            found.append((own[one], two, gap[one, two]))
+    else:
+        for i in own.tolist():
+            index, bound2 = pyramid.near(a_low[i], a_high[i], 1, best * best)
+            best = min(best, np.sqrt(bound2)) if np.isfinite(bound2) else best
+            if len(index):
+                found.append((np.full(len(index), i), index, _mind2(b_low[index], b_high[index], a_low[i], a_high[i])))
     if not found:
         return limit
     one, two, gap = (np.concatenate(x) for x in zip(*found))
-    best = min(best, limit) * np.sqrt(SLACK)
-    result = limit
-    for j in np.argsort(gap).tolist():
-        if gap[j] > min(best, result) ** 2 * SLACK:
+    best, result = min(best, limit) * np.sqrt(SLACK), limit
+    by = np.argsort(gap, kind="stable")
+    a_boxes, b_boxes = _filled(a), _filled(b)
+    for at in range(0, len(by), PAIRS):
+        j = by[at : at + PAIRS]
+        j = j[gap[j] <= min(best, result) ** 2 * SLACK]
+        if not len(j):
             break
-        d = distances(a[one[j] * LEAF : (one[j] + 1) * LEAF], b[two[j] * LEAF : (two[j] + 1) * LEAF]).min()
-        result = min(result, float(d))
+        total = 0.0
+        for i in range(a.shape[1]):
+            apart = a_boxes[one[j], :, None, i] - b_boxes[two[j], None, :, i]
+            total = total + apart * apart
+        result = min(result, float(np.sqrt(total.min())))
     return result

@@ -22,6 +22,8 @@ from pointloom.plans.storage import released, written
 REGION, REGIONS = 1 << 16, 1 << 20
 #: Points of one label that are held together.
 CHUNK = 1 << 10
+#: Points that follow a point along the curve to which its distance is taken as a first bound, and pairs of chunks that a task takes, about.
+AHEAD, TOGETHER = 16, 1 << 9
 #: Rows of a batch that a region passes on.
 ROWS = 1 << 13
 
@@ -205,23 +207,53 @@ def _chunks(dims: list[str], kind: str):
     return work, f"label {kind}, over bigint, chunk bigint, points binary, {', '.join(f'{s} double' for s in sides)}"
 
 
-def _near_boxes(met: DataFrame, n: int, limit: float, keep: list[str]) -> DataFrame:
-    """Of pairs of boxes (of a and b, of labels ci and cj) those that may hold the closest points of the two labels and are nearer than the limit."""
+def _bounds(dims: list[str], limit: float, kind: str):
+    """Of one partition, sorted along the curve: the smallest distance below the limit of points of two labels that follow each other at most AHEAD apart."""
+
+    def work(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        label = table.column("label").combine_chunks().dictionary_encode()
+        code, xyz = label.indices.to_numpy().astype(np.int64), np.stack([table.column(d).to_numpy() for d in dims], axis=1)
+        pairs, gaps = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for step in range(1, min(AHEAD, len(code) - 1) + 1):
+            i = np.flatnonzero(code[:-step] != code[step:])
+            total = 0.0
+            for x in xyz.T:
+                total = total + (x[i] - x[i + step]) * (x[i] - x[i + step])
+            gap = np.sqrt(total)
+            i, gap = i[gap < limit], gap[gap < limit]
+            pair = np.minimum(code[i], code[i + step]) * len(label.dictionary) + np.maximum(code[i], code[i + step])
+            pair, gap = np.concatenate([pairs[0], pair]), np.concatenate([gaps[0], gap])
+            by = np.argsort(pair, kind="stable")
+            at = np.flatnonzero(np.concatenate([[True], np.diff(pair[by]) != 0])) if len(by) else by
+            pairs, gaps = [pair[by][at]], [np.minimum.reduceat(gap[by], at) if len(by) else gap]
+        one, two = (label.dictionary.take(pa.array(x)) for x in np.divmod(pairs[0], len(label.dictionary)))
+        yield pa.RecordBatch.from_arrays([one, two, pa.array(gaps[0])], names=["a", "b", "bound"])
+
+    return work, f"a {kind}, b {kind}, bound double"
+
+
+def _near_boxes(met: DataFrame, n: int, keep: list[str]) -> DataFrame:
+    """Of pairs of boxes (of a and b, of labels ci and cj) those that may hold the closest points of the two labels and are no farther than ``bound``."""
     gap, far = F.lit(0.0), F.lit(0.0)
     for i in range(n):
         apart = F.greatest(F.lit(0.0), F.col(f"a_lo{i}") - F.col(f"b_hi{i}"), F.col(f"b_lo{i}") - F.col(f"a_hi{i}"))
         reach = F.greatest(F.col(f"a_hi{i}") - F.col(f"b_lo{i}"), F.col(f"b_hi{i}") - F.col(f"a_lo{i}"))
         gap, far = gap + apart * apart, far + reach * reach
-    rows = met.select("ci", "cj", *keep, gap.alias("_gap"), far.alias("_far")).where(F.col("_gap") < limit * limit * SLACK)
+    rows = met.select("ci", "cj", "bound", *keep, gap.alias("_gap"), far.alias("_far")).where(F.col("_gap") <= F.col("bound") * F.col("bound") * SLACK)
     best = rows.groupBy("ci", "cj").agg(F.min("_far").alias("_best"))
-    return rows.join(best, ["ci", "cj"]).where(F.col("_gap") <= F.col("_best") * SLACK).select("ci", "cj", *keep)
+    return rows.join(best, ["ci", "cj"]).where(F.col("_gap") <= F.col("_best") * SLACK).select("ci", "cj", "bound", *keep)
 
 
-def _closest(n: int, limit: float, kind: str):
+def _closest(n: int, kind: str):
     def work(batches):
         for batch in batches:
             sets = [[np.frombuffer(x).reshape(-1, n) for x in batch.column(c).to_pylist()] for c in ("a_points", "b_points")]
-            yield pa.RecordBatch.from_arrays([batch.column("ci"), batch.column("cj"), pa.array([closest(a, b, limit) for a, b in zip(*sets)], pa.float64())], names=["ci", "cj", "gap"])
+            gaps = [closest(a, b, x) for a, b, x in zip(*sets, batch.column("bound").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("ci"), batch.column("cj"), pa.array(gaps, pa.float64())], names=["ci", "cj", "gap"])
 
     return work, f"ci {kind}, cj {kind}, gap double"
 
@@ -229,9 +261,10 @@ def _closest(n: int, limit: float, kind: str):
 def nearest_gaps(points: DataFrame, pairs: DataFrame, limit: float, label: str = "label", dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """(ci, cj, gap): for each of ``pairs`` (ci, cj) the smallest distance between points of the two labels, if it is below ``limit``.
 
-    Branch and bound: a label's points are cut into chunks along the curve, and chunks gathered into boxes of FAN of them. Of a pair's boxes, then of the
-    chunks in what remains, only those stay whose least distance is within the smallest largest one, and points meet only there, again by boxes. A
-    label's gap to itself is 0; points without a place or label don't count.
+    Branch and bound: points of all labels that follow each other along the curve give a first bound of each pair. A label's points are cut into chunks
+    along the curve, and chunks gathered into boxes of FAN of them. Of a pair's boxes, then of the chunks in what remains, only those stay whose least distance is
+    within the bound and the smallest largest one, and points meet only there, again by boxes and within the bound. So labels that overlap, however many
+    points they have, meet in a number of chunks that grows with the points. A label's gap to itself is 0; points without a place or label don't count.
     """
     n, axes = len(dims), [f"_d{i}" for i in range(len(dims))]
     kind = points.schema[label].dataType.simpleString()
@@ -240,22 +273,27 @@ def nearest_gaps(points: DataFrame, pairs: DataFrame, limit: float, label: str =
     rows, low, side = box(own, axes)
     parts = max(1, -(-rows // REGION))
     ranged = own.withColumn("_m", position(axes, low, side))
+    first = (ranged.repartitionByRange(parts, "_m") if parts > 1 else ranged.coalesce(1)).sortWithinPartitions("_m")
     ranged = (ranged.repartitionByRange(parts, "label", "_m") if parts > 1 else ranged.coalesce(1)).sortWithinPartitions("label", "_m")
     chunks = written(ranged.mapInArrow(*_chunks(axes, kind)))
-    released(own)
     sides = [f"{s}{i}" for i in range(n) for s in ("lo", "hi")]
     over = chunks.groupBy("label", "over").agg(*((F.min if s.startswith("lo") else F.max)(s).alias(s) for s in sides))
     named = lambda df, tag: df.select(*(F.col(c).alias(f"{tag}_{c}") for c in df.columns))
     once = wanted.where("ci <> cj").select(F.least("ci", "cj").alias("ci"), F.greatest("ci", "cj").alias("cj")).distinct()
+    along = first.mapInArrow(*_bounds(axes, limit, kind)).groupBy(F.least("a", "b").alias("ci"), F.greatest("a", "b").alias("cj")).agg(F.min("bound").alias("bound"))
+    # a bound is the distance of two points, so it is the gap if nothing is nearer
+    once = written(once.join(along, ["ci", "cj"], "left").select("ci", "cj", F.coalesce("bound", F.lit(float(limit))).alias("bound")))
+    released(own)
     met = once.join(named(over, "a"), F.col("ci") == F.col("a_label")).join(named(over, "b"), F.col("cj") == F.col("b_label"))
-    met = _near_boxes(met, n, limit, ["a_over", "b_over"])
+    met = _near_boxes(met, n, ["a_over", "b_over"])
     small = chunks.drop("points")
     met = met.withColumnsRenamed({"a_over": "_a", "b_over": "_b"})
     met = met.join(named(small, "a"), (F.col("_a") == F.col("a_over")) & (F.col("ci") == F.col("a_label"))).join(named(small, "b"), (F.col("_b") == F.col("b_over")) & (F.col("cj") == F.col("b_label")))
-    met = _near_boxes(met, n, limit, ["a_chunk", "b_chunk"])
-    held = chunks.select("chunk", "points")
-    met = met.join(named(held, "a"), "a_chunk").join(named(held, "b"), "b_chunk").select("ci", "cj", "a_points", "b_points")
-    gaps = met.mapInArrow(*_closest(n, limit, kind)).groupBy("ci", "cj").agg(F.min("gap").alias("gap")).where(F.col("gap") < limit)
+    met = written(_near_boxes(met, n, ["a_chunk", "b_chunk"]))
+    held, tasks = chunks.select("chunk", "points"), max(1, min(1 << 11, -(-met.count() // TOGETHER)))
+    met = met.join(named(held, "a"), "a_chunk").repartition(tasks, "b_chunk").join(named(held, "b").hint("shuffle_hash"), "b_chunk").select("ci", "cj", "bound", "a_points", "b_points")
+    near = met.mapInArrow(*_closest(n, kind)).unionByName(once.withColumnRenamed("bound", "gap"))
+    gaps = near.groupBy("ci", "cj").agg(F.min("gap").alias("gap")).where(F.col("gap") < limit)
     found = gaps.select(F.col("ci").alias("_i"), F.col("cj").alias("_j"), "gap")
     apart = wanted.where("ci <> cj").join(found, (F.least("ci", "cj") == F.col("_i")) & (F.greatest("ci", "cj") == F.col("_j"))).select("ci", "cj", "gap")
     return apart.union(wanted.where("ci = cj").withColumn("gap", F.lit(0.0)))
