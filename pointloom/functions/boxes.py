@@ -6,6 +6,8 @@ import numpy as np
 
 #: Points of a lowest box, queries that go down together, and boxes below a box.
 LEAF, BLOCK, FAN = 16, 32, 64
+#: Lowest boxes that queries meet without a closer look.
+MANY = 64
 #: Squared distances may be off by some last bits.
 SLACK = 1 + 1e-9
 
@@ -76,6 +78,21 @@ class Places:
         at = (boxes[:, None] * LEAF + np.arange(LEAF)).ravel()
         return at[at < len(self.points)]
 
+    def narrowed(self, boxes: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+        """Of lowest boxes those that may hold one of the k nearest of a query, by how far these are in the boxes next to each query."""
+        if len(boxes) <= MANY:
+            return boxes
+        low, high, _ = self.pyramid.levels[0]
+        low, high, gap = low[boxes], high[boxes], 0.0
+        for i in range(q.shape[1]):
+            apart = np.maximum(0.0, np.maximum(low[:, i] - q[:, i, None], q[:, i, None] - high[:, i]))
+            gap = gap + apart * apart
+        first = self.members(boxes[np.unique(np.argpartition(gap, 2, axis=1)[:, :3])])
+        if len(first) < k:
+            return boxes
+        most = np.partition(distances(q, self.points[first]), k - 1, axis=1)[:, k - 1]
+        return boxes[(gap <= (most * most * SLACK)[:, None]).any(axis=0)]
+
     def nearest(self, queries: np.ndarray, k: int, limit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, id, distance) of the k nearest, nearest first and the smaller id among equals, of every query; none beyond its ``limit``."""
         out = []
@@ -83,6 +100,7 @@ class Places:
             q = queries[a : a + BLOCK]
             far = None if limit is None else limit[a : a + BLOCK]
             boxes, _ = self.pyramid.near(q.min(axis=0), q.max(axis=0), k, np.inf if far is None else float(far.max()) ** 2)
+            boxes = self.narrowed(boxes, q, k)
             at = self.members(boxes)
             if not len(at):
                 continue
