@@ -2,8 +2,9 @@
 
 Minimises 1/2 sum w |o - x|^2 + reg * sum of the weights of edges whose ends have different x. A component is split by minimum cuts between two
 centres, cut edges stay cut, and what remains connected is the next round's component. As no live edge leaves a component, components are
-independent: one grouped call splits one component of at most REGION vertices. Larger ones, as the whole graph is in its first round, are split together by
-Spark rounds: centres are aggregates, and the cuts are found by regions (pointloom.operators.regions), so that no group has more than that.
+independent: a grouped call splits components of at most REGION vertices, their flows found together. Larger ones, as the whole graph is in its first round,
+are split together by Spark rounds: centres are aggregates, and the cuts are found by regions (pointloom.operators.regions), so that no group has more
+than that. Once no component is larger, groups of them go through all rounds left, and the sums over groups show which round was the last.
 A whole graph of at most REGION vertices goes through all rounds in one grouped call, with the same result.
 
 Graphs: vertices(v, o1..oD, w) and edges(u, v, w), each edge once.
@@ -17,10 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.functions.maxflow import parts, sink_side
+from pointloom.functions.maxflow import arcs, parts, smallest_side
 from pointloom.operators.components import label_vertices
 from pointloom.operators.groups import border_weights, crossing, medians, two_centers, weighted_means
 from pointloom.operators.regions import by_region, cut, lines
@@ -105,23 +106,30 @@ def terminal_capacities(vertices: DataFrame, obs: list[str], scale: int = 1000,
     return vertices.mapInPandas(work, f"v long, to_source long, to_sink long{kept}")
 
 
-def split_component(obs: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray, ew: np.ndarray, reg: float, p: CutPursuitParams, keys: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
-    """The parts that one component falls into, as smallest vertices, and whether it is saturated. ``keys``: see kmeans_first_sides()."""
-    n = len(obs)
-    side = first_sides(obs) if keys is None else kmeans_first_sides(obs, w, keys, p.steps)
-    cap = (ew * reg * p.scale).astype(np.int64) * p.edge_multiplier
-    saturated = False
+def split_components(obs: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray, ew: np.ndarray, cuts: np.ndarray, reg: float, p: CutPursuitParams, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The parts that components fall into, as smallest vertices, and for each component whether it is saturated. ``keys``: see kmeans_first_sides().
+
+    A component's vertices follow each other, from one of ``cuts`` to before the next. No edge joins two, so that their flows are found together.
+    """
+    n, of, spans = len(obs), np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)), list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+    side = np.concatenate([first_sides(obs[a:b]) if keys is None else kmeans_first_sides(obs[a:b], w[a:b], keys[a:b], p.steps) for a, b in spans])
+    net = arcs(n, u, v, (ew * reg * p.scale).astype(np.int64) * p.edge_multiplier)
+    saturated, a_, b_ = np.zeros(len(spans), bool), *np.zeros((2, len(spans), obs.shape[1]))
     for _ in range(p.flow_steps):
-        wa, wb = w[~side].sum(), w[side].sum()
-        if wa == 0 or wb == 0:
-            saturated = True
+        for i, (a, b) in enumerate(spans):
+            if not saturated[i]:
+                o, x, s = obs[a:b], w[a:b], side[a:b]
+                wa, wb = x[~s].sum(), x[s].sum()
+                saturated[i] = wa == 0 or wb == 0
+                if not saturated[i]:
+                    a_[i], b_[i] = (x[~s, None] * o[~s]).sum(axis=0) / wa, (x[s, None] * o[s]).sum(axis=0) / wb
+        if saturated.all():
             break
-        a, b = ((w[m, None] * obs[m]).sum(axis=0) / w[m].sum() for m in (~side, side))
-        side = sink_side(n, *terminals(obs, w, a, b, p.scale), u, v, cap)
-    if saturated:
-        return np.zeros(n, np.int64), True
-    live = side[u] == side[v]
-    return parts(n, u[live], v[live]), False
+        to_source, to_sink = terminals(obs, w, a_[of], b_[of], p.scale)
+        # the sides of saturated ones don't matter any more; without terminals they have no flow
+        side = smallest_side(np.where(saturated[of], 0, to_source - to_sink), **net)
+    live = (side[u] == side[v]) & ~saturated[of[u]]
+    return np.where(saturated[of], np.asarray(cuts)[of], parts(n, u[live], v[live])), saturated
 
 
 def _energy(obs: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray, ew: np.ndarray, reg: float, comp: np.ndarray) -> tuple[float, float]:
@@ -138,24 +146,7 @@ def solved(obs: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray, ew: np.
     rounds: list[Round] = []
     for number in range(1, p.max_rounds + 1):
         began = time.perf_counter()
-        live = comp[u] == comp[v]
-        by_vertex, by_edge = np.argsort(comp, kind="stable"), np.flatnonzero(live)
-        by_edge = by_edge[np.argsort(comp[u[by_edge]], kind="stable")]
-        cuts = [0, *(np.flatnonzero(np.diff(comp[by_vertex])) + 1).tolist(), n]
-        edge_comp, new, place = comp[u[by_edge]], comp.copy(), np.zeros(n, np.int64)
-        for a, b in zip(cuts, cuts[1:]):
-            own = by_vertex[a:b]
-            if stable[own[0]]:
-                continue
-            c = comp[own[0]]
-            e = by_edge[np.searchsorted(edge_comp, c, "left") : np.searchsorted(edge_comp, c, "right")]
-            place[own] = np.arange(len(own))
-            label, saturated = split_component(obs[own], w[own], place[u[e]], place[v[e]], ew[e], reg, p, None if keys is None else keys[own])
-            if number == 1 and saturated:  # the whole graph may have several parts
-                label = parts(n, u, v)
-            new[own], full[own] = own[label], saturated
-            stable[own] = number > 1 and bool((label == label[0]).all())
-        comp = new
+        comp, stable, full = split_all(obs, w, u, v, ew, comp, stable, full, reg, p, number == 1, keys)
         fid, pen = _energy(obs, w, u, v, ew, reg, comp)
         rounds.append(Round(number, len(np.unique(comp)), int(full.sum()), fid, pen, time.perf_counter() - began))
         if full.all() or before <= 0 or (before - fid - pen) / before < p.stop_ratio:
@@ -164,6 +155,26 @@ def solved(obs: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray, ew: np.
     return comp, rounds
 
 
+def split_all(obs: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray, ew: np.ndarray, comp: np.ndarray, stable: np.ndarray, full: np.ndarray, reg: float, p: CutPursuitParams, first: bool = False, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The smallest vertex of each vertex's component, whether that was left whole, and whether it is saturated, after all that weren't left whole before are split."""
+    n = len(obs)
+    todo = np.flatnonzero(~stable)
+    own = todo[np.argsort(comp[todo], kind="stable")]
+    if not len(own):
+        return comp, stable, full
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(comp[own])) + 1, [len(own)]])
+    place = np.zeros(n, np.int64)
+    place[own] = np.arange(len(own))
+    inner = np.flatnonzero((comp[u] == comp[v]) & ~stable[u])
+    label, saturated = split_components(obs[own], w[own], place[u[inner]], place[v[inner]], ew[inner], cuts, reg, p, None if keys is None else keys[own])
+    if first and saturated.all():  # the whole graph may have several parts
+        label = parts(n, u, v)
+    whole = np.logical_and.reduceat(label == np.repeat(cuts[:-1], np.diff(cuts)), cuts[:-1])
+    comp, stable, full = comp.copy(), stable.copy(), full.copy()
+    comp[own], full[own], stable[own] = own[label], np.repeat(saturated, np.diff(cuts)), np.repeat(whole & (not first), np.diff(cuts))
+    return comp, stable, full
+
+
 def _keys(p: CutPursuitParams) -> list:
     """The columns of a vertex that seed the starts, if k-means is asked for: numbers between 0 and 1 that depend on the vertex alone."""
     if p.start not in ("median", "kmeans"):
@@ -195,15 +206,30 @@ def _whole(obs: list[str], reg: float, p: CutPursuitParams):
     return work
 
 
-def _grouped(obs: list[str], reg: float, p: CutPursuitParams):
+_BINNED = f"key long, v long, comp long, full boolean, stable boolean, final boolean, {_SOLVED.split('comp long, ')[1]}"
+
+
+def _grouped(obs: list[str], reg: float, p: CutPursuitParams, most: int):
+    """Of components c of one graph: each vertex's component and how that is, in ``most`` rounds or until all are left whole, the round then being final; and each round's sums."""
+
     def work(vertices: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        if not len(vertices):
-            return pd.DataFrame({"v": [], "comp": [], "stable": [], "saturated": []})
         vertices = vertices.sort_values("v")
-        ids = vertices["v"].to_numpy()
-        u, v = (np.searchsorted(ids, edges[c].to_numpy()) for c in ("u", "v"))
-        label, full = split_component(vertices[obs].to_numpy(float), vertices["w"].to_numpy(float), u, v, edges["w"].to_numpy(float), reg, p, _keys_of(vertices, p))
-        return pd.DataFrame({"v": ids, "comp": ids[label], "stable": bool((label == label[0]).all()), "saturated": full})
+        ids, o, w, ew = vertices["v"].to_numpy(), vertices[obs].to_numpy(float), vertices["w"].to_numpy(float), edges["w"].to_numpy(float)
+        u, v, comp = (np.searchsorted(ids, x.to_numpy()) for x in (edges["u"], edges["v"], vertices["c"]))
+        keys, stable, full = _keys_of(vertices, p), np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+        labels, rounds = [], []
+        for number in range(1, most + 1):
+            began = time.perf_counter()
+            if not stable.all():
+                comp, stable, full = split_all(o, w, u, v, ew, comp, stable, full, reg, p, keys=keys)
+                sums = len(np.unique(comp)), int(full.sum()), *_energy(o, w, u, v, ew, reg, comp)
+                labels.append(pd.DataFrame({"v": ids, "comp": ids[comp], "full": full, "stable": stable, "final": number == most or bool(stable.all()), "number": number}))
+            rounds.append(Round(number, *sums, time.perf_counter() - began))
+        done = pd.DataFrame([vars(r) for r in rounds]).astype({"number": "Int32", "components": "Int64", "saturated": "Int64"})
+        labels = pd.concat(labels).astype({"v": "Int64", "comp": "Int64", "full": "boolean", "stable": "boolean", "final": "boolean", "number": "Int32"})
+        out = pd.concat([labels, done], ignore_index=True)
+        out["key"] = int(vertices["key"].iloc[0])
+        return out[["key", "v", "comp", "full", "stable", "final", *_ROUND]]
 
     return work
 
@@ -274,7 +300,7 @@ def split_large(vertices: DataFrame, edges: DataFrame, obs: list[str], reg: floa
         own = now.select("v", *obs, "w", *(F.coalesce(f"{t}_{o}", F.lit(0.0)).alias(f"{t}_{o}") for t in "ab" for o in obs), "region", "side", "saturated")
         asked = terminal_capacities(own, obs, p.scale, ("region", "side", "saturated"))
         asked = written(asked.select("v", "region", "side", "saturated", *(F.when(F.col("saturated"), 0).otherwise(F.col(c)).alias(c) for c in ("to_source", "to_sink"))))
-        cuts = cut(asked, near)
+        cuts = cut(asked, near, most=most or REGION)
         made += [sides, asked, cuts]
         sides = written(asked.join(cuts.withColumnRenamed("side", "_cut"), "v").select("v", F.when(F.col("saturated"), F.col("side")).otherwise(F.col("_cut")).alias("side"), "saturated"))
     live = edges.join(sides.select(F.col("v").alias("_u"), F.col("side").alias("su")), F.col("u") == F.col("_u")).join(sides.select(F.col("v").alias("_v"), F.col("side").alias("sv")), F.col("v") == F.col("_v")).where("su = sv").select("u", "v")
@@ -339,12 +365,16 @@ def _in_rounds(vertices: DataFrame, edges: DataFrame, obs: list[str], reg: float
     rounds = None
     for number in range(1, p.max_rounds + 1):
         began, last = time.perf_counter(), labels
-        labels = written(_round(vertices, edges, labels, obs, reg, p, number == 1).join(vertices.select("v", "key"), "v"))
+        todo = written(labels.where("NOT stable").groupBy("key", F.col("comp").alias("c")).count())
+        if number > 1 and todo.where(F.col("count") > REGION).isEmpty():
+            labels, one = _last_rounds(vertices, edges, labels, todo, open_, number, obs, reg, p)
+            return labels, rounds.unionByName(one)
+        labels = written(_round(vertices, edges, labels, todo, obs, reg, p, number == 1))
+        released(todo)
         counts = labels.groupBy("key").agg(F.countDistinct("comp").alias("components"), F.sum(F.col("saturated").cast("long")).alias("saturated"))
         now = open_.join(counts, "key").join(energies(vertices, edges, labels, obs, reg), "key")
         total = F.col("fidelity") + F.col("penalty")
-        ended = (F.col("saturated") == F.col("n")) | (F.col("before") <= 0) | (F.try_divide(F.col("before") - total, F.col("before")) < p.stop_ratio)
-        now = written(now.select("key", "n", F.lit(number).alias("number"), "components", "saturated", "fidelity", "penalty", total.alias("before"), ended.alias("ended")))
+        now = written(now.select("key", "n", F.lit(number).alias("number"), "components", "saturated", "fidelity", "penalty", total.alias("before"), _ended(p).alias("ended")))
         one = now.withColumn("seconds", F.lit(time.perf_counter() - began)).select("key", *_ROUND)
         rounds = one if rounds is None else rounds.unionByName(one)
         if number > 1:
@@ -358,31 +388,66 @@ def _in_rounds(vertices: DataFrame, edges: DataFrame, obs: list[str], reg: float
     return labels.select("v", "comp"), rounds
 
 
-def _round(vertices: DataFrame, edges: DataFrame, labels: DataFrame, obs: list[str], reg: float, p: CutPursuitParams, first: bool) -> DataFrame:
-    """The labels (v, comp, stable, saturated) after every component that isn't stable was split."""
-    todo = labels.where("NOT stable").select("v", F.col("comp").alias("c"))
-    big = written(todo.groupBy("c").count().where(F.col("count") > REGION).select("c"))
-    some = first or not big.isEmpty()
+def _ended(p: CutPursuitParams) -> Column:
+    """Whether the round of a row is a graph's last, by its sums and the energy before."""
+    total = F.col("fidelity") + F.col("penalty")
+    return (F.col("saturated") == F.col("n")) | (F.col("before") <= 0) | (F.try_divide(F.col("before") - total, F.col("before")) < p.stop_ratio)
 
-    def inner(own: DataFrame) -> tuple[DataFrame, DataFrame]:
-        ends = own.select(F.col("v").alias("_v"), F.col("c").alias("_c"))
-        within = edges.join(own.withColumnRenamed("v", "_u"), F.col("u") == F.col("_u")).join(ends, F.col("v") == F.col("_v")).where("c = _c")
-        return own.join(vertices, "v"), within.select(F.col("c").alias("of"), "u", "v", "w")
 
-    out = labels.where("stable").select("v", "comp", "stable", "saturated")
-    if some:
-        own, within = inner(todo.join(big, "c", "left_semi"))
-        split = split_large(own.withColumnRenamed("c", "comp"), within.select("u", "v", "w"), obs, reg, p)
-        was = todo.join(big, "c", "left_semi").join(split, "v")
-        whole = was.groupBy("c").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"))
-        stable = F.lit(False) if first else F.col("_low") == F.col("_high")
-        out = out.unionByName(was.join(whole, "c").select("v", "comp", stable.alias("stable"), "saturated"))
-        todo = todo.join(big, "c", "left_anti")
+def _binned(vertices: DataFrame, edges: DataFrame, labels: DataFrame, todo: DataFrame, obs: list[str], reg: float, p: CutPursuitParams, most: int) -> DataFrame:
+    """What _grouped() makes of the components ``todo`` (key, c, count) of at most REGION vertices. Written.
+
+    A large component is alone in its group. Small ones are dealt by hash, so that a group has a quarter of REGION, about.
+    """
+    alone = F.col("count") > REGION // 8
+    few = todo.where((F.col("count") <= REGION) & ~alone).agg(F.sum("count")).first()[0] or 0
+    bins = F.pmod(F.xxhash64("c"), F.lit(max(1, -(-4 * few // REGION))))
+    dealt = todo.where(F.col("count") <= REGION).select("key", "c", alone.alias("alone"), F.when(alone, F.col("c")).otherwise(bins).alias("bin"))
+    own = labels.where("NOT stable").select("v", "key", F.col("comp").alias("c")).join(dealt, ["key", "c"])
+    ends = own.select(F.col("v").alias("_v"), F.col("c").alias("_c"))
+    within = edges.select("u", "v", "w").join(own.withColumnRenamed("v", "_u"), F.col("u") == F.col("_u")).join(ends, F.col("v") == F.col("_v")).where("c = _c")
+    group = ["key", "alone", "bin"]
+    other = within.select(*(F.col(c).alias(f"_{c}") for c in group), "u", "v", "w").groupBy(*(f"_{c}" for c in group))
+    one = own.join(vertices.drop("key"), "v").groupBy(*group).cogroup(other)
+    return written(one.applyInPandas(_grouped(obs, reg, p, most), _BINNED))
+
+
+def _last_rounds(vertices: DataFrame, edges: DataFrame, labels: DataFrame, todo: DataFrame, open_: DataFrame, number: int, obs: list[str], reg: float, p: CutPursuitParams) -> tuple[DataFrame, DataFrame]:
+    """The labels, and the rounds from ``number`` on, once no component that may still be split has more than REGION vertices.
+
+    Components don't depend on each other, so each group of them goes through all rounds by itself. The sums of a round over all groups then show
+    which round is a graph's last, and its labels are taken.
+    """
+    most = p.max_rounds - number + 1
+    made = _binned(vertices, edges, labels, todo, obs, reg, p, most)
+    sums = made.where("v IS NULL").groupBy("key", "number").agg(*(F.sum(c).alias(c) for c in ("components", "saturated", "fidelity", "penalty")), F.max("seconds").alias("seconds"))
+    fixed = labels.where("stable")
+    counts = fixed.groupBy("key").agg(F.countDistinct("comp").alias("_components"), F.sum(F.col("saturated").cast("long")).alias("_saturated"))
+    kept = counts.join(energies(vertices, edges.limit(0), fixed, obs, reg).select("key", F.col("fidelity").alias("_fidelity")), "key")
+    border = crossing(edges, labels).groupBy("key").agg((F.lit(float(reg)) * F.sum("w")).alias("_penalty"))
+    every = open_.withColumn("number", F.explode(F.sequence(F.lit(1), F.lit(most)))).join(sums, ["key", "number"], "left").join(kept, "key", "left").join(border, "key", "left")
+    every = every.select("key", "n", "before", "number", *((F.coalesce(c, F.lit(0)) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in ("components", "saturated", "fidelity", "penalty")), F.coalesce("seconds", F.lit(0.0)).alias("seconds"))
+    order = Window.partitionBy("key").orderBy("number")
+    every = every.withColumn("before", F.coalesce(F.lag(F.col("fidelity") + F.col("penalty")).over(order), "before")).withColumn("ended", _ended(p))
+    every = written(every.withColumn("last", F.coalesce(F.min(F.when(F.col("ended"), F.col("number"))).over(Window.partitionBy("key")), F.lit(most))).where("number <= last"))
+    took = made.where("v IS NOT NULL").join(every.select("key", "last").distinct(), "key").where("number = last OR final AND number < last").select("v", "comp")
+    return fixed.select("v", "comp").unionByName(took), every.withColumn("number", F.col("number") + (number - 1)).select("key", *_ROUND)
+
+
+def _round(vertices: DataFrame, edges: DataFrame, labels: DataFrame, todo: DataFrame, obs: list[str], reg: float, p: CutPursuitParams, first: bool) -> DataFrame:
+    """The labels (v, key, comp, stable, saturated) after every component ``todo`` (key, c, count), that isn't stable, was split."""
+    big = todo if first else todo.where(F.col("count") > REGION)
+    was = labels.where("NOT stable").select("v", "key", F.col("comp").alias("c")).join(big.select("c"), "c", "left_semi")
+    ends = was.select(F.col("v").alias("_v"), F.col("c").alias("_c"))
+    within = edges.join(was.select(F.col("v").alias("_u"), "c"), F.col("u") == F.col("_u")).join(ends, F.col("v") == F.col("_v")).where("c = _c")
+    split = split_large(was.drop("key").join(vertices, "v").withColumnRenamed("c", "comp"), within.select("u", "v", "w"), obs, reg, p)
+    was = was.join(split, "v")
+    whole = was.groupBy("c").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"))
+    stable = F.lit(False) if first else F.col("_low") == F.col("_high")
+    out = labels.where("stable").unionByName(was.join(whole, "c").select("v", "key", "comp", stable.alias("stable"), "saturated"))
     if not first:
-        own, within = inner(todo)
-        own = own.drop("key")
-        made = own.groupBy("c").cogroup(within.groupBy("of")).applyInPandas(_grouped(obs, reg, p), "v long, comp long, stable boolean, saturated boolean")
-        out = out.unionByName(made)
+        made = _binned(vertices, edges, labels, todo, obs, reg, p, 1).where("v IS NOT NULL")
+        out = out.unionByName(made.select("v", "key", "comp", "stable", F.col("full").alias("saturated")))
     return out
 
 

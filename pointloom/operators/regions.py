@@ -5,6 +5,9 @@ and across its borders, each in a call of its own (pointloom.functions.maxflow),
 are from the sink. What was sent to a vertex whose label has risen too far comes back; both sides decide that from the same two labels. Sweeps end when
 nothing crosses a border. A last walk from the sink over the regions finds the smallest sink side, which doesn't depend on the regions.
 
+Before that, regions settle the vertices whose side is clear from their own arcs. Where few enough are left open, as in large components, whose centres are
+far apart, these are solved in one task without sweeps.
+
 A region's state is one row of packed arrays. Only sums and the labels in use come to the driver.
 """
 
@@ -15,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.functions.maxflow import FAR, Region, arcs
+from pointloom.functions.maxflow import FAR, Region, arcs, decided, smallest_side
 from pointloom.operators.morton import box, position
 from pointloom.plans.storage import released, written
 
@@ -135,11 +138,60 @@ def _gap(labels: list[int]) -> int:
     return gap - 1
 
 
-def cut(vertices: DataFrame, near: DataFrame, max_sweeps: int = 10_000) -> DataFrame:
+def _decide(vertices: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+    """Rows of a region's vertices (other is null; amount: the surplus left), of the arcs between open ones, once, and of the arcs to other regions."""
+    vertices = vertices.sort_values("v")
+    key, ids = int(vertices["region"].iloc[0]), vertices["v"].to_numpy(np.int64)
+    inner, outer = near[near["to"] == key], near[near["to"] != key]
+    place = lambda x: np.searchsorted(ids, x.to_numpy(np.int64))
+    a, b, c = place(inner["mine"]), place(inner["other"]), inner["cap"].to_numpy(np.int64)
+    at, outside = place(outer["mine"]), np.zeros(len(ids), np.int64)
+    np.add.at(outside, at, outer["cap"].to_numpy(np.int64))
+    net = arcs(len(ids), a, b, c)
+    known, rest = decided((vertices["to_source"] - vertices["to_sink"]).to_numpy(np.int64), net["ptr"], net["head"], net["cap"], outside)
+    both = (known[a] == 0) & (known[b] == 0)
+    rows = [(ids, None, known, rest, False), (ids[a[both]], ids[b[both]], 0, c[both], False), (ids[at], outer["other"].to_numpy(np.int64), known[at], outer["cap"].to_numpy(np.int64), True)]
+    return pd.concat([pd.DataFrame({"v": v, "other": pd.array([None] * len(v) if o is None else o, "Int64"), "known": k, "amount": x, "border": t}) for v, o, k, x, t in rows])
+
+
+def _open_sides(rows: pd.DataFrame) -> pd.DataFrame:
+    """The sides of all open vertices, from _decide()'s rows of them; those of borders have open vertices as other ends."""
+    one = rows["other"].isna()
+    own = rows[one].sort_values("v")
+    ids, surplus = own["v"].to_numpy(np.int64), own["amount"].to_numpy(np.int64)
+    arc = rows[~one]
+    place = lambda x: np.searchsorted(ids, x.to_numpy(np.int64))
+    gone = arc[arc["known"] > 0]
+    np.add.at(surplus, place(gone["other"]), np.where(gone["known"] == 1, gone["amount"], -gone["amount"]))
+    # an arc between two open vertices of two regions comes from both
+    arc = arc[(arc["known"] == 0) & (~arc["border"] | (arc["v"] < arc["other"]))]
+    return pd.DataFrame({"v": ids, "side": smallest_side(surplus, **arcs(len(ids), place(arc["v"]), place(arc["other"]), arc["amount"].to_numpy(np.int64)))})
+
+
+def _cut_of_few(vertices: DataFrame, near: DataFrame, most: int) -> DataFrame | None:
+    """As cut(), in one task after the regions have settled what is clear, or None if more than ``most`` vertices are open then."""
+    made = written(vertices.groupBy("region").cogroup(near.groupBy("region")).applyInPandas(_decide, "v bigint, other bigint, known int, amount bigint, border boolean"))
+    left = made.where("other IS NULL AND known = 0")
+    if left.count() > most:
+        released(made)
+        return None
+    border = made.where("border").join(left.select(F.col("v").alias("other")), "other", "left_semi").select(made.columns)
+    kernel = left.unionByName(made.where("other IS NOT NULL AND NOT border")).unionByName(border)
+    solved = kernel.groupBy().applyInPandas(_open_sides, "v bigint, side boolean")
+    out = written(made.where("other IS NULL AND known > 0").select("v", (F.col("known") == 2).alias("side")).unionByName(solved))
+    released(made)
+    return out
+
+
+def cut(vertices: DataFrame, near: DataFrame, max_sweeps: int = 10_000, most: int = 0) -> DataFrame:
     """(v, side): the smallest sink side of the minimum cuts, of rows of v, region, to_source and to_sink (capacities), and lines().
 
-    Written to the shared folder. Sweeps that don't end are an error.
+    Written to the shared folder. Without sweeps if the regions leave at most ``most`` vertices open. Sweeps that don't end are an error.
     """
+    if most:
+        few = _cut_of_few(vertices, near, most)
+        if few is not None:
+            return few
     state = written(vertices.groupBy("region").cogroup(near.groupBy("region")).applyInPandas(_begin, _STATE))
     for _ in range(max_sweeps):
         if not state.agg(F.sum("pushed")).first()[0]:

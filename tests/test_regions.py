@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pointloom.functions.maxflow import sink_side
 from pointloom.operators import components as comps
 from pointloom.operators import cutpursuit, regions
+from pointloom.params import CutPursuitParams
 
 
 def plain_sink_side(n, s, t, edges):
@@ -83,6 +84,36 @@ def test_cut_by_regions(spark, parts, seed):
     assert [got[7 * i] for i in range(n)] == want.tolist() and 0 < want.sum() < n
 
 
+@pytest.mark.parametrize("sink", [60, 4])
+def test_cut_by_regions_without_sweeps(spark, monkeypatch, sink):
+    """What the regions leave open is solved at once; with weak terminals nearly all is."""
+    n = 240
+    xy, u, v, c, s, t = network(np.random.default_rng(3), n)
+    t = np.minimum(t, sink)
+    vertices = spark.createDataFrame(pd.DataFrame({"v": np.arange(n) * 7, "x": xy[:, 0], "y": xy[:, 1], "to_source": s, "to_sink": t}))
+    placed = regions.by_region(vertices, ["x", "y"], n // 2)
+    near = regions.lines(placed, spark.createDataFrame(pd.DataFrame({"u": u * 7, "v": v * 7, "cap": c})))
+    monkeypatch.setattr(regions, "_begin", None)  # no sweep can begin
+    got = {r["v"]: r["side"] for r in regions.cut(placed, near, most=n).collect()}
+    assert [got[7 * i] for i in range(n)] == plain_sink_side(n, s, t, zip(u.tolist(), v.tolist(), c.tolist())).tolist()
+    assert regions._cut_of_few(placed, near, 1) is None
+
+
+def test_many_components_flow_together():
+    """Networks side by side give the sides that each has alone, in few searches for all."""
+    rng = np.random.default_rng(9)
+    made = [network(rng, 40) for _ in range(60)]
+    alone = np.concatenate([sink_side(40, s, t, u, v, c) for _, u, v, c, s, t in made])
+    u, v = (np.concatenate([m[i] + 40 * k for k, m in enumerate(made)]) for i in (1, 2))
+    c, s, t = (np.concatenate([m[i] for m in made]) for i in (3, 4, 5))
+    assert (sink_side(2400, s, t, u, v, c) == alone).all() and 0 < alone.sum() < 2400
+    obs, w = np.concatenate([m[0] for m in made]), np.ones(2400)
+    label, saturated = cutpursuit.split_components(obs, w, u, v, c / 40, np.arange(0, 2401, 40), 0.5, CutPursuitParams())
+    for k, (xy, a, b, cap, _, _) in enumerate(made):
+        one, full = cutpursuit.split_components(xy, w[:40], a, b, cap / 40, np.array([0, 40]), 0.5, CutPursuitParams())
+        assert (label[40 * k : 40 * k + 40] == one + 40 * k).all() and saturated[k] == full[0]
+
+
 def test_vertices_at_one_place_are_cut_into_regions(spark):
     """A path whose vertices share their place: regions go by id, and the cheapest edge is cut."""
     n = 60
